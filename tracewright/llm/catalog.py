@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import url_filters
+from tracewright.llm import bpe_chunks, url_filters
 from tracewright.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,10 @@ URL_RULES = [
 ]
 
 
+def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_chunks.round_trip(table(spark, sf_dir, "documents"), vocabulary="byte_bpe_50k.json")
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filters.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -42,7 +46,10 @@ SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict FROM f
 
 
 def queries() -> dict[str, Query]:
-    return {"op10_url_filters": op10_url_filters}
+    return {
+        "op4_bpe_round_trip": op4_bpe_round_trip,
+        "op10_url_filters": op10_url_filters,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
