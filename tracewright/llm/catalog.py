@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import bpe_chunks, url_filters
+from tracewright.llm import bpe_chunks, exact_dedup, fingerprints, token_counts, url_filters
 from tracewright.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,25 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.round_trip(table(spark, sf_dir, "documents"), vocabulary="byte_bpe_50k.json")
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
+
+
+DEDUP_SQL = r"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+    doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM n
+"""
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_neighbours(table(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary="piece_bpe_32k.model", limit=4096)
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filters.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -48,9 +67,12 @@ SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict FROM f
 def queries() -> dict[str, Query]:
     return {
         "op4_bpe_round_trip": op4_bpe_round_trip,
+        "op7_exact_dedup": op7_exact_dedup,
+        "op8_fingerprints": op8_fingerprints,
+        "op9_token_counts": op9_token_counts,
         "op10_url_filters": op10_url_filters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filters": URL_SQL}
+    return {"op7_exact_dedup": DEDUP_SQL, "op10_url_filters": URL_SQL}
