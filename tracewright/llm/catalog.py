@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import bpe_chunks, exact_dedup, fingerprints, language_id, token_counts, url_filters
+from tracewright.llm import bpe_chunks, exact_dedup, fingerprints, language_id, packing, token_counts, url_filters
 from tracewright.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.round_trip(table(spark, sf_dir, "documents"), vocabulary="byte_bpe_50k.json")
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), capacity=2048, vocabulary="byte_bpe_50k.json", end_id=0)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict FROM f
 def queries() -> dict[str, Query]:
     return {
         "op4_bpe_round_trip": op4_bpe_round_trip,
+        "op5_best_fit_packing": op5_best_fit_packing,
         "op6_language_id": op6_language_id,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_fingerprints": op8_fingerprints,

@@ -21,7 +21,7 @@ import tiktoken
 #: A place where no pre-token of any text goes on.
 SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 #: A space beside other white space or at an end: then splitting at every space is not safe.
-_LOOSE_SPACE = re.compile(r"\s | \s|^ | $")
+_LOOSE_SPACE = re.compile(r"[^\S ] | [^\S ]")
 #: Units in each of the two tables that a worker keeps, about 200 bytes each; a full table
 #: becomes the older one, and the one before it goes.
 KEPT_UNITS = 300_000
@@ -61,22 +61,24 @@ class UnitEncoder:
     def _plain(self, text: str) -> bytes:
         if not text:
             return b""
-        if _LOOSE_SPACE.search(text):
-            units = SAFE_CUT.split(text)
+        if "  " in text or text[0] == " " or text[-1] == " " or _LOOSE_SPACE.search(text):
+            first, *rest = SAFE_CUT.split(text)
+            rest = [u[1:] for u in rest]
         else:
             first, *rest = text.split(" ")
-            units = [first, *[" " + x for x in rest]]
-        ids = list(map(self._known.get, units))
+        # All units but the first begin with a space, which is left out of their keys.
+        ids = list(map(self._known.get, rest))
         if None in ids:
-            for k, found in enumerate(ids):
-                if found is None:
-                    ids[k] = self._missing(units[k])
-        return b"".join(ids)
+            k = -1
+            for _ in range(ids.count(None)):
+                k = ids.index(None, k + 1)
+                ids[k] = self._missing(rest[k])
+        return array.array("I", self._ranks.encode_ordinary(first)).tobytes() + b"".join(ids)
 
     def _missing(self, unit: str) -> bytes:
         ids = self._known.get(unit) or self._older.get(unit)
         if ids is None:
-            ids = array.array("I", self._ranks.encode_ordinary(unit)).tobytes()
+            ids = array.array("I", self._ranks.encode_ordinary(" " + unit)).tobytes()
         if len(unit) <= KEPT_LENGTH:
             if len(self._known) >= KEPT_UNITS:  # what is still in use comes back from the older table
                 self._known, self._older = {}, self._known
