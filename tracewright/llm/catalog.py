@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracewright.llm import bpe_chunks, exact_dedup, fingerprints, language_id, packing, token_counts, url_filters
+from tracewright.llm import bpe_chunks, exact_dedup, fingerprints, language_id, packing, token_counts, toxicity, url_filters
 from tracewright.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +20,13 @@ URL_RULES = [
 ]
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    scored = toxicity.score_texts(docs, net)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.round_trip(table(spark, sf_dir, "documents"), vocabulary="byte_bpe_50k.json")
 
@@ -74,6 +82,7 @@ SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict FROM f
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_toxicity": op3_toxicity,
         "op4_bpe_round_trip": op4_bpe_round_trip,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_language_id": op6_language_id,
