@@ -23,7 +23,7 @@ URL_RULES = [
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     net = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    scored = toxicity.score_texts(docs, net)
+    scored = toxicity.score_texts(docs, net, keep=["doc_id"])
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 

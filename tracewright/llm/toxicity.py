@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WINDOW = 16
 #: Words from the start of a window to that of the next: they overlap by the rest.
@@ -463,23 +464,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str,
     return [x[2] for x in found], [x[0] for x in found]
 
 
-def score_texts(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, net: Network, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add ``score`` (0 to 1) and ``worst_word`` (place of the worst window's first word) to every row.
 
+    Other columns stay, or those named in ``keep``.
     The whole text is scored; a null or empty one is scored as a window of empty words. Equal texts
     get equal scores, and an empty table stays empty. Columns of these names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
-    @F.pandas_udf("struct<score: double, worst_word: long>")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    kept = keep or [c for c in docs.columns if c not in ("score", "worst_word")]
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("_text"))
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         runner = Runner(shared.value)
-        for texts in batches:
-            scores, places = runner.score([t or "" for t in texts])
-            yield pd.DataFrame({"score": scores, "worst_word": places})
+        for batch in batches:
+            scores, places = runner.score([t or "" for t in batch.pop("_text")])
+            yield batch.assign(score=scores, worst_word=places)
 
-    found = docs.drop("score", "worst_word").withColumn("_scored", scored(F.col(text)))
-    return found.select(*[F.col(f"`{c}`") for c in found.columns if c != "_scored"], "_scored.score", "_scored.worst_word")
+    fields = [f for f in rows.schema if f.name != "_text"]
+    return rows.mapInPandas(scored, T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("worst_word", T.LongType())]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Network:
