@@ -5,21 +5,23 @@ it has a space mark behind another character, which is checked when it is loaded
 a text is the sum, over its *pre-tokens* (a run of spaces and what follows up to the next space),
 of how often each occurs times its number of pieces.
 
-1. Each partition reduces its documents to (pre-token, occurrences); Spark adds them up over the
-   corpus, and one pass over the distinct pre-tokens counts their pieces.
-2. Pre-tokens that make up at least one in ``HEAD`` of all occurrences form the head; there can be
-   at most ``HEAD`` of them, whatever the corpus, so the head is broadcast.
-3. Each document's pre-token frequencies meet the counts: those in the head at once, in the
-   document's own task; the others are grouped into (document, pre-token, frequency) rows and
-   joined by the pre-token. No row of that join is hot: a pre-token in it has less than one in
-   ``HEAD`` of all occurrences.
+1. Each task counts its pre-tokens and reports those that make up at least one in ``HEAD`` of what
+   it has seen; Spark adds the reports up. Whatever the corpus, at most ``HEAD`` pre-tokens can have
+   that share of all occurrences: they form the head, whose pieces are counted once and broadcast.
+2. A document's pre-tokens in the head are added up in the document's own task. The others leave it
+   as postings: a row for each pre-token of the task, with the documents that have it.
+3. The postings are brought together by pre-token, the pieces of each are counted once, and meet the
+   frequencies there; sums for each document follow. No pre-token is hot in this shuffle: a task
+   sends one row for it, and it has less than about one in ``HEAD`` of all occurrences.
 """
 
 from __future__ import annotations
 
+import array
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -31,7 +33,11 @@ from tracewright.storage import stash
 #: A pre-token with at least 1/HEAD of all occurrences belongs to the broadcast head.
 HEAD = 1 << 19
 #: Distinct pre-tokens that a task gathers before it hands them on.
-GATHERED = 400_000
+GATHERED = 300_000
+#: Postings that are summed at a time.
+SUMMED = 1_000_000
+#: Bits of ``monotonically_increasing_id`` that number the rows of a partition.
+ROW_BITS = 33
 #: Longer pre-tokens are counted where they occur, so that no key grows without bound.
 KEY_CHARS = 200
 
@@ -84,58 +90,94 @@ def count_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter[str] = Counter()
 
-        def flush() -> pd.DataFrame:
-            return pd.DataFrame({"pre_token": list(seen.keys()), "n": list(seen.values())})
+        def report() -> pd.DataFrame:
+            total = seen.total()
+            heavy = [(p, n) for p, n in seen.items() if n * HEAD >= total and len(p) <= KEY_CHARS]
+            seen.clear()
+            return pd.DataFrame([*heavy, (None, total)], columns=["pre_token", "n"])
 
         for batch in batches:
             for value in batch["text"]:
                 if value:
                     seen.update(pre_tokens(value))
                     if len(seen) >= GATHERED:
-                        yield flush()
-                        seen.clear()
-        yield flush()
+                        yield report()
+        yield report()
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(pieces=pieces(list(batch["pre_token"]), vocabulary))
-
-    found = picked.select("text").mapInPandas(gather, "pre_token string, n long").filter(F.length("pre_token") <= KEY_CHARS)
-    distinct = stash(found.groupBy("pre_token").agg(F.sum("n").alias("n")).mapInPandas(count, "pre_token string, n long, pieces long"), "pre-tokens")
-    total = distinct.agg(F.sum("n")).first()[0] or 0
-    is_head = F.col("n") * HEAD >= F.lit(total)
-    head = spark.sparkContext.broadcast(dict(distinct.filter(is_head).select("pre_token", "pieces").toPandas().itertuples(index=False, name=None)))
+    reports = picked.select("text").mapInPandas(gather, "pre_token string, n long").groupBy("pre_token").agg(F.sum("n").alias("n"))
+    common = _heavy(stash(reports, "common-pre-tokens"))
+    head = spark.sparkContext.broadcast(dict(zip(common, pieces(common, vocabulary), strict=True)))
 
-    def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = head.value.get
+        postings: dict[str, array.array] = {}
+        base = 0
+
+        def hand_on() -> pd.DataFrame:
+            out = pd.DataFrame({"pre_token": list(postings), "base": base, "doc_id": None, "n_bytes": None, "have": None, "rows": [p.tobytes() for p in postings.values()]}, dtype=object)
+            postings.clear()
+            return out
+
         for batch in batches:
-            rows = []
+            docs_out = []
             for key, name, value in zip(batch["row_key"], batch["doc_id"], batch["text"], strict=True):
-                have, rest, long = 0, Counter(), []
+                have, long = 0, []
                 if value:
                     parts = pre_tokens(value)
                     counts = list(map(known, parts))
                     if None in counts:
-                        k = -1
+                        k, row = -1, key & ((1 << ROW_BITS) - 1)
                         for _ in range(counts.count(None)):
                             k = counts.index(None, k + 1)
                             counts[k] = 0
-                            if len(parts[k]) <= KEY_CHARS:
-                                rest[parts[k]] += 1
+                            part = parts[k]
+                            if len(part) > KEY_CHARS:
+                                long.append(part)
+                            elif part in postings:
+                                postings[part].append(row)
                             else:
-                                long.append(parts[k])
+                                postings[part] = array.array("I", (row,))
                     have = sum(counts) + sum(pieces(long, vocabulary))
-                rows.append((key, name, len((value or "").encode("utf-8", "surrogatepass")), have, None, 1))
-                rows += [(key, None, None, 0, part, n) for part, n in rest.items()]
-            yield pd.DataFrame(rows, columns=["row_key", "doc_id", "n_bytes", "have", "pre_token", "n"], dtype=object)
+                docs_out.append((f"\0{key}", key, name, len((value or "").encode("utf-8", "surrogatepass")), have))
+                base = key >> ROW_BITS << ROW_BITS
+                if len(postings) >= GATHERED:
+                    yield hand_on()
+            yield pd.DataFrame(docs_out, columns=["pre_token", "base", "doc_id", "n_bytes", "have"], dtype=object).assign(rows=None)
+        if postings:
+            yield hand_on()
+
+    def total_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by pre-token: its pieces are counted when it first comes up."""
+        last, last_pieces = None, 0
+        for batch in batches:
+            is_doc = batch["rows"].isna()
+            found = batch[is_doc]
+            yield pd.DataFrame({"row_key": found["base"], "doc_id": found["doc_id"], "n_bytes": found["n_bytes"], "have": found["have"]})
+            tail = batch[~is_doc]
+            for a in range(0, len(tail), SUMMED // 4):
+                some = tail.iloc[a : a + SUMMED // 4]
+                names, counts = list(some["pre_token"]), {}
+                if last in names[:1]:
+                    counts[last] = last_pieces
+                fresh = [n for n in dict.fromkeys(names) if n not in counts]
+                counts.update(zip(fresh, pieces(fresh, vocabulary), strict=True))
+                last, last_pieces = names[-1], counts[names[-1]]
+                sizes = np.array([len(r) // 4 for r in some["rows"]], dtype=np.int64)
+                keys = np.frombuffer(b"".join(some["rows"]), dtype=np.uint32).astype(np.int64) + np.repeat(some["base"].to_numpy(dtype=np.int64), sizes)
+                rows, at = np.unique(keys, return_inverse=True)
+                sums = np.bincount(at, weights=np.repeat([counts[n] for n in names], sizes)).astype(np.int64)
+                yield pd.DataFrame({"row_key": rows, "doc_id": None, "n_bytes": None, "have": sums})
 
     kind = picked.schema["doc_id"].dataType.simpleString()
     keyed = picked.withColumn("row_key", F.monotonically_increasing_id())
-    schema = f"row_key long, doc_id {kind}, n_bytes long, have long, pre_token string, n long"
-    met = stash(keyed.mapInPandas(frequencies, schema), "frequencies")
-    tail = met.filter("pre_token IS NOT NULL").select("row_key", "pre_token", "n")
-    counts = distinct.filter(~is_head).select("pre_token", "pieces")
-    tail = tail.join(counts, "pre_token").groupBy("row_key").agg(F.sum(F.col("n") * F.col("pieces")).alias("more"))
-    rows = met.filter("pre_token IS NULL").select("row_key", "doc_id", "n_bytes", "have").join(tail, "row_key", "left")
-    n = F.col("have") + F.coalesce("more", F.lit(0))
-    return rows.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
+    met = keyed.mapInPandas(meet, f"pre_token string, base long, doc_id {kind}, n_bytes long, have long, rows binary")
+    together = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "pre_token").sortWithinPartitions("pre_token")
+    sums = together.mapInPandas(total_up, f"row_key long, doc_id {kind}, n_bytes long, have long")
+    rows = sums.groupBy("row_key").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("have").alias("n_tokens"))
+    return rows.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+
+
+def _heavy(reports: DataFrame) -> list[str]:
+    """Pre-tokens with at least one in ``HEAD`` of all occurrences, as far as tasks reported them."""
+    total = reports.filter("pre_token IS NULL").agg(F.sum("n")).first()[0] or 0
+    return sorted(r[0] for r in reports.filter("pre_token IS NOT NULL").filter(F.col("n") * HEAD >= total).select("pre_token").collect())
