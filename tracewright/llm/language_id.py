@@ -25,9 +25,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters of labelled text for all languages together.
-TRAIN_CHARS = 160_000
+TRAIN_CHARS = 120_000
 #: At most this many characters of one document are used for training, so that many take part.
 TRAIN_PIECE = 2_000
 #: Character classes: the most frequent characters of the sample; all others share one class.
@@ -44,7 +45,7 @@ class Alphabet:
     def __init__(self, texts: list[str]) -> None:
         counts = Counter(c for t in texts for c in t.lower() if c.isalpha())
         letters = sorted(c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: CLASSES - 2])
-        self.letters = letters
+        self.size = len(letters) + 2
         # Class 0: what is no letter; class 1: letters that the sample hardly has.
         self.low = np.zeros(0x3000, dtype=np.uint8)
         for code in range(0x3000):
@@ -70,7 +71,7 @@ def squeezed(classes: np.ndarray) -> np.ndarray:
     return classes[~(gap & np.concatenate([[True], gap[:-1]]))] if len(classes) else classes
 
 
-def suffix_table(symbols: list[int]) -> np.ndarray:
+def suffix_table(symbols: list[int], size: int) -> np.ndarray:
     """The automaton of ``symbols`` as a table: next state, plus END where a phrase ends before the symbol."""
     links, lengths, edges = [-1], [0], [{}]
     last = 0
@@ -97,7 +98,7 @@ def suffix_table(symbols: list[int]) -> np.ndarray:
                     p = links[p]
                 links[q] = links[new] = copy
         last = new
-    root = np.zeros(CLASSES, dtype=np.int32)
+    root = np.zeros(size, dtype=np.int32)
     for c, to in edges[0].items():
         root[c] = to
     table = np.tile(root | END, (len(edges), 1))
@@ -118,7 +119,7 @@ class CrossParser:
         for k in self.languages:
             parts = [squeezed(self.alphabet.classes(t)) for t in samples[k]]
             flat = np.concatenate([np.append(p, 0).astype(np.uint8) for p in parts]) if parts else np.zeros(1, np.uint8)
-            self.tables.append(suffix_table(flat.tolist()).ravel())
+            self.tables.append(suffix_table(flat.tolist(), self.alphabet.size).ravel())
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each text: phrases by language, symbols parsed, letters."""
@@ -147,7 +148,7 @@ class CrossParser:
                 met = np.ones(len(some), dtype=np.int32)  # the last phrase, which the end of the block ends
                 for step in range(int(ends[0])):
                     n = live[step]
-                    to = table[state[:n] * CLASSES + grid[step, :n]]
+                    to = table[state[:n] * self.alphabet.size + grid[step, :n]]
                     met[:n] += to >> 30
                     state[:n] = to & (END - 1)
                 np.add.at(counts[:, k], owner[some], met)
@@ -211,13 +212,12 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     spark = docs.sparkSession
     parser = spark.sparkContext.broadcast(CrossParser(training_sample(docs, doc_id, text, lang, chars)))
 
-    @F.pandas_udf("struct<lang_pred: string, score: double>")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            names, scores = parser.value.predict([t or "" for t in texts])
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
+    rows = docs.select(*([F.col(f"`{c}`") for c in keep if c not in ("held_out", "lang_pred", "score")] if keep else [F.col(doc_id).alias("doc_id")]), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("_text"))
 
-    names = {"held_out": held_out(F.col(doc_id)), "_found": predict(F.col(text))}
-    kept = [F.col(f"`{c}`") for c in keep if c not in ("held_out", "lang_pred", "score")] if keep else [F.col(doc_id).alias("doc_id")]
-    found = docs.select(*kept, *[c.alias(k) for k, c in names.items()])
-    return found.select(*[F.col(f"`{c}`") for c in found.columns if c != "_found"], "_found.lang_pred", "_found.score")
+    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            names, scores = parser.value.predict([t or "" for t in batch.pop("_text")])
+            yield batch.assign(lang_pred=names, score=scores)
+
+    fields = [f for f in rows.schema if f.name != "_text"]
+    return rows.mapInPandas(predict, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
