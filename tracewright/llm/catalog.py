@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import bpe_chunks, exact_dedup, fingerprints, language_id, ngram_join, packing, token_counts, toxicity, url_filters
+from tracewright.llm import bpe_chunks, exact_dedup, fingerprints, language_id, line_dedup, ngram_join, packing, token_counts, toxicity, url_filters
 from tracewright.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), n=5, num=3, den=4)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     net = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
@@ -87,6 +91,7 @@ SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict FROM f
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_join": op1_ngram_join,
+        "op2_line_dedup": op2_line_dedup,
         "op3_toxicity": op3_toxicity,
         "op4_bpe_round_trip": op4_bpe_round_trip,
         "op5_best_fit_packing": op5_best_fit_packing,
