@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracewright.plans import corpus, traces
+
 Query = Callable[[SparkSession, str], DataFrame]
+_GROUPS = (corpus.QUERIES, traces.QUERIES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return traces.count_limit_summary(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for group in _GROUPS for name, (query, _) in group.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for group in _GROUPS for name, (_, sql) in group.items() if sql}
