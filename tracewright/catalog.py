@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.plans import corpus, graph, traces
+from tracewright.plans import corpus, graph, journeys, live, traces
 
 Query = Callable[[SparkSession, str], DataFrame]
-_GROUPS = (corpus.QUERIES, graph.QUERIES, traces.QUERIES)
+_GROUPS = (corpus.QUERIES, graph.QUERIES, journeys.QUERIES, traces.QUERIES, live.QUERIES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
