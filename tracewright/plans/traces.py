@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewright.functions.text import folded
 from tracewright.operators import grading as G
 from tracewright.operators import traces as X
+from tracewright.operators import truth
 from tracewright.storage import table
 
 #: The profile: wire names declared for entities, and labels that the graph's entities have.
@@ -179,6 +180,27 @@ def turn_observed(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", F.array_join(F.transform("r", lambda x: x["role"]), "|").alias("roles"), "said")
 
 
+def turn_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Turns against a graph in which members browse, buyers select, and a failure ends the journey."""
+    facts = truth.state_facts(
+        spark.createDataFrame([("signup", "view"), ("purchase", "view"), ("purchase", "click")], "state string, tool string"), spark.createDataFrame([("click", "purchase")], "tool string, outcome string"),
+        spark.createDataFrame([("signup", "purchase"), ("purchase", "error")], "state string, next_state string"), spark.createDataFrame([("error",)], "state string"),
+    )
+    t = F.col("token")
+    seen = observations(spark, d).groupBy("conversation_id", "turn").agg(
+        F.array_sort(F.collect_set(F.when(t.isin("view", "click"), t))).alias("tools"), F.array_sort(F.collect_set(F.when(t.isin("purchase", "error"), t))).alias("outcomes"), (F.count_if(t.isin("view", "click")) == 0).alias("silent"),
+    )
+    return truth.findings(placed(spark, d), seen, facts).groupBy("finding", "detail").agg(F.count("*").alias("n"))
+
+
+def profile_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Wire names of the profile, with those that no event bears out."""
+    profile = spark.createDataFrame([*DECLARED, ("Tool", "lost", "Tool:absent")], "entity_type string, wire string, entity string")
+    heard = bound(spark, d).filter("entity IS NOT NULL").select("entity").distinct()
+    named, gaps = truth.profile_triples(profile, heard)
+    return named.select("head", "relation", "tail").unionByName(gaps.select(F.col("entity").alias("head"), F.lit("UNHEARD").alias("relation"), F.col("wire").alias("tail")))
+
+
 def discover_transitions(spark: SparkSession, d: str) -> DataFrame:
     return X.transitions(observations(spark, d), "token")
 
@@ -287,6 +309,19 @@ SELECT r.conversation_id, a.subject, CASE WHEN bool_or(contains(said, a.text)) I
     "following_states": (following_states, PLACED + "SELECT conversation_id, turn, state, following FROM placed"),
     "illegal_hops": (illegal_hops, PLACED + "SELECT state AS source, following AS target, count(*) AS n FROM placed WHERE state <> following AND (state, following) NOT IN (('signup', 'purchase'), ('purchase', 'error'), ('error', 'signup')) GROUP BY 1, 2"),
     "gradable_turns": (gradable_turns, PLACED + "SELECT method, count(*) AS turns, count(state) AS placed FROM placed GROUP BY 1"),
+    "turn_findings": (
+        turn_findings,
+        PLACED + """, o AS (SELECT conversation_id, turn::BIGINT AS turn, list_distinct(list(token)) AS toks, count(*) FILTER (token IN ('view', 'click')) = 0 AS silent FROM obs GROUP BY 1, 2),
+j AS (SELECT placed.*, toks, silent FROM placed JOIN o USING (conversation_id, turn)),
+f AS (SELECT 'unplaced' AS finding, '' AS detail FROM j WHERE state IS NULL
+    UNION ALL SELECT 'undeclared_tool', t FROM (SELECT state, unnest(toks) AS t FROM j) WHERE t IN ('view', 'click') AND (state = 'signup' AND t = 'click' OR state = 'error')
+    UNION ALL SELECT 'stray_outcome', t FROM (SELECT state, unnest(toks) AS t FROM j) WHERE t = 'error' AND state = 'purchase'
+    UNION ALL SELECT 'illegal_hop', following FROM j WHERE state <> following AND (state = 'signup' AND following <> 'purchase' OR state = 'purchase' AND following <> 'error')
+    UNION ALL SELECT 'continues_after_terminal', following FROM j WHERE state = 'error' AND following IS NOT NULL
+    UNION ALL SELECT 'silent', '' FROM j WHERE silent AND state <> 'error')
+SELECT finding, detail, count(*) AS n FROM f GROUP BY 1, 2""",
+    ),
+    "profile_gaps": (profile_gaps, f"WITH {BOUND}, h AS (SELECT DISTINCT entity FROM bound), p(t, w, e) AS (VALUES ('Tool', 'view', 'Tool:browse'), ('Outcome', 'purchase', 'Outcome:paid'), ('State', 'signup', 'State:member'), ('Tool', 'lost', 'Tool:absent')) SELECT e AS head, CASE WHEN e IN (SELECT entity FROM h) THEN 'EMITTED_AS_' || upper(t) ELSE 'UNHEARD' END AS relation, w AS tail FROM p"),
     "silence_turns": (silence_turns, f"WITH {OBS} SELECT conversation_id, turn::BIGINT AS turn, count(*) AS n FROM obs GROUP BY 1, 2 HAVING count(*) FILTER (entity_type = 'Tool') = 0"),
     "turn_observed": (turn_observed, "SELECT conv_id, string_agg(role, '|' ORDER BY turn, role) AS roles, count(*) FILTER (role = 'assistant') AS said FROM conversations GROUP BY 1"),
     "discover_transitions": (discover_transitions, f"WITH {OBS}, m AS (SELECT lag(token) OVER (PARTITION BY conversation_id ORDER BY seq) AS source, token AS target FROM obs) SELECT source, target, count(*) AS n FROM m WHERE source <> target GROUP BY 1, 2"),
