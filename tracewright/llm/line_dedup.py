@@ -3,8 +3,8 @@
 1. *Normalise.* A line's normal form is its words in lower case with every digit as 0. Lines of fewer
    than ``MIN_CHARS`` characters in that form are never dropped. Lines with one form are one *line class*,
    which keeps its first occurrence, by document and place.
-2. *SimHash.* Each class gets a 64-bit SimHash of its distinct words, weighed by their length (short
-   words are common and tell little).
+2. *SimHash.* Each class gets a 64-bit SimHash of its words, weighed by their length (short words are
+   common and tell little).
 3. *Pigeonhole.* The bits are cut into ``PARTS`` blocks. Two hashes at most ``DISTANCE`` bits apart agree on
    ``PARTS - DISTANCE`` of them, so each class goes to a cell for every such choice of blocks, and all
    pairs within the distance meet in a cell.
@@ -18,54 +18,135 @@
 from __future__ import annotations
 
 import itertools
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.components import connected_components
+from tracewright.llm.membership import bitmap, contains, slot
 from tracewright.storage import stash
 
 MIN_CHARS = 12
 DISTANCE, PARTS = 3, 5
 SIMILARITY = 0.85
-STEP_WORDS, KEPT_WORDS = 200_000, 400_000
-_WORD, _DIGIT = re.compile(r"\w+"), re.compile(r"\d")
+#: Characters that are read at a time.
+STEP_CHARS = 400_000
+_BASE = 0x5851F42D4C957F2D
+
+
+def _folding() -> np.ndarray:
+    """For each code point what it counts as: itself in lower case, 0 for a digit; nothing (zero) if it is part of no word."""
+    out = np.zeros(0x110000, dtype=np.uint32)
+    for code in range(0x110000):
+        char = chr(code)
+        if char.isalnum() or char == "_":
+            low = char.lower()
+            out[code] = ord("0") if char.isdecimal() else ord(low) if len(low) == 1 else code
+    return out
+
+
+_tables: dict[str, np.ndarray] = {}
+
+
+def _table(name: str, make: Callable[[], np.ndarray]) -> np.ndarray:
+    if name not in _tables:
+        _tables[name] = make()
+    return _tables[name]
 
 
 def normal_words(line: str) -> list[str]:
-    words = _WORD.findall(line.lower())
-    if _DIGIT.search(line):
-        words = [_DIGIT.sub("0", w) for w in words]
-    return words
+    fold = _table("fold", _folding)
+    codes = fold[np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+    codes[codes == 0] = 32
+    return codes.tobytes().decode("utf-32-le", "surrogatepass").split()
 
 
-class Simhasher:
-    """64-bit SimHashes of lists of words."""
+def _powers(base: int) -> np.ndarray:
+    out = np.full(STEP_CHARS + 1, base, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _mixed(h: np.ndarray, turn: int) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93 + 2 * turn)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def read_lines(text: str, min_chars: int = MIN_CHARS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the lines of ``text`` whose normal form is long enough: numbers, digests (two 64-bit halves) and SimHashes.
 
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+    A word's hash is a difference of running sums over all characters, and a line's digest a sum over its
+    words, so nothing is done word by word. The text is read in parts of whole lines.
+    """
+    parts, at, no = [], 0, 0
+    while at <= len(text):
+        # Whole lines up to STEP_CHARS; a longer line goes alone.
+        end = len(text) if len(text) - at <= STEP_CHARS else text.rfind("\n", at, at + STEP_CHARS)
+        if end < at:
+            end = text.find("\n", at)
+            end = len(text) if end < 0 else end
+        part = text[at:end]
+        numbers, digests, hashes = _read_part(part, min_chars)
+        parts.append((numbers + no, digests, hashes))
+        no += part.count("\n") + 1
+        at = end + 1
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _read_part(text: str, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    none = np.zeros(0, np.int64), np.zeros((0, 2), np.uint64), np.zeros(0, np.int64)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    folded = _table("fold", _folding)[codes]
+    inside = np.concatenate([[False], folded != 0, [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return none
+    power, back = (_table("power", lambda: _powers(_BASE)), _table("back", lambda: _powers(pow(_BASE, -1, 1 << 64)))) if len(codes) <= STEP_CHARS else (_long_powers(_BASE, len(codes)), _long_powers(pow(_BASE, -1, 1 << 64), len(codes)))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(folded.astype(np.uint64) * power[: len(codes)], dtype=np.uint64)])
+    sizes = ends - starts
+    words = _mixed((sums[ends] - sums[starts]) * back[starts] + sizes.astype(np.uint64), 0)
+    lines = np.searchsorted(np.flatnonzero(codes == 10), starts)
+    first = np.flatnonzero(np.diff(lines, prepend=-1))
+    counts = np.diff(np.append(first, len(lines)))
+    chars = np.add.reduceat(sizes, first) + counts - 1
+    place = (np.arange(len(lines)) - np.repeat(first, counts)).astype(np.uint64)
+    halves = [_mixed(np.add.reduceat(_mixed(words + place * np.uint64(0x9E3779B97F4A7C15), turn), first), turn) for turn in (1, 2)]
+    long = chars >= min_chars
+    return lines[first][long].astype(np.int64), np.stack(halves, axis=1)[long], _simhashes(words, np.minimum(sizes, 12), first, counts)[long]
+
+
+def _long_powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n + 1, base, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _simhashes(words: np.ndarray, weights: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each line the bits that most of its words' weight is for."""
+    out = np.zeros((len(first), 64), dtype=bool)
+    a = 0
+    while a < len(first):  # some 4,000 words at a time stay in the processor's cache
+        b = max(a + 1, int(np.searchsorted(first, first[a] + 4_000)))
+        some = slice(first[a], first[b - 1] + counts[b - 1])
+        kind = np.int16 if some.stop - some.start < 2_700 or counts[a:b].max() < 2_700 else np.int32
+        weigh = weights[some].astype(kind)
+        bits = np.unpackbits(words[some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits * weigh[:, None], first[a:b] - first[a], axis=0)
+        out[a:b] = 2 * ones.astype(np.int32) > np.add.reduceat(weigh.astype(np.int32), first[a:b] - first[a])[:, None]
+        a = b
+    return np.packbits(out, axis=1, bitorder="little").view("<i8").ravel()
+
+
+class Simhasher:
+    """SimHashes of lists of words."""
 
     def hashes(self, lines: list[list[str]]) -> np.ndarray:
-        flat = [w for words in lines for w in dict.fromkeys(words)]
-        sizes = np.array([len(set(words)) for words in lines], dtype=np.int64)
-        found = list(map(self.known.get, flat))
-        if None in found:
-            if len(self.known) > KEPT_WORDS:
-                self.known = {}
-            for k, h in enumerate(found):
-                if h is None:
-                    found[k] = self.known[flat[k]] = xxhash.xxh64_intdigest(flat[k])
-        weight = np.array([min(len(w), 12) for w in flat], dtype=np.int32)
-        bits = np.unpackbits(np.array(found, dtype="<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
-        first = np.cumsum(sizes) - sizes
-        ones = np.add.reduceat(bits * weight[:, None], first, axis=0)
-        half = np.add.reduceat(weight, first)
-        return np.packbits(2 * ones > half[:, None], axis=1, bitorder="little").view("<i8").ravel()
+        return np.concatenate([read_lines(" ".join(words), 0)[2] for words in lines])
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -109,69 +190,55 @@ def cells(simhash: Column, distance: int = DISTANCE, parts: int = PARTS) -> Colu
     return F.array(*[F.xxhash64(F.lit(k), *[blocks[c] for c in choice]) for k, choice in enumerate(itertools.combinations(range(parts), parts - distance))])
 
 
-def _digest(words: list[str]) -> bytes:
-    return xxhash.xxh3_128_digest(" ".join(words))
-
-
 def _lines(rows: DataFrame, kind: str, min_chars: int) -> DataFrame:
     """``doc_id, line_no, line, simhash`` of every line that is long enough; ``line`` is the normal form's digest."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        simhasher = Simhasher()
         for batch in batches:
-            names, numbers, forms, have = [], [], [], 0
-
-            def out() -> pd.DataFrame:
-                return pd.DataFrame({"doc_id": names, "line_no": numbers, "line": [_digest(w) for w in forms], "simhash": simhasher.hashes(forms)})
-
-            for name, text in zip(batch["doc_id"], batch["text"], strict=True):
-                for k, line in enumerate((text or "").split("\n")):
-                    words = normal_words(line) if len(line) >= min_chars else ()
-                    if words and sum(map(len, words)) + len(words) - 1 >= min_chars:
-                        names.append(name)
-                        numbers.append(k)
-                        forms.append(words)
-                        have += len(words)
-                if have >= STEP_WORDS:
-                    yield out()
-                    names, numbers, forms, have = [], [], [], 0
-            if forms:
-                yield out()
+            names, texts = batch["doc_id"].to_numpy(), batch["text"].fillna("")
+            a = 0
+            while a < len(texts):
+                # Texts are read as one, and lines numbered anew in each.
+                b, have = a, 0
+                while b < len(texts) and (b == a or have + len(texts.iloc[b]) < STEP_CHARS):
+                    have += len(texts.iloc[b]) + 1
+                    b += 1
+                some = texts.iloc[a:b]
+                before = np.cumsum([0, *(t.count("\n") + 1 for t in some)])
+                numbers, digests, hashes = read_lines("\n".join(some), min_chars)
+                owner = np.searchsorted(before, numbers, side="right") - 1
+                raw = digests.tobytes()
+                yield pd.DataFrame({"doc_id": names[a:b][owner], "line_no": numbers - before[owner], "line": [raw[k : k + 16] for k in range(0, len(raw), 16)], "simhash": hashes})
+                a = b
 
     return rows.mapInPandas(split, f"doc_id {kind}, line_no int, line binary, simhash long")
 
 
-def _texts(rows: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
-    """``line, form``: the normal forms of the lines in ``wanted``.
+def _texts(rows: DataFrame, kind: str, pairs: DataFrame, places: DataFrame) -> DataFrame:
+    """``line, form``: the normal forms of the lines in ``pairs`` (``a, b``), found at their ``places`` (``line, doc_id, line_no``).
 
-    The first 24 bits of the wanted digests, as a bitmap of fixed size (2 MB), are broadcast; they
-    leave out most other lines before the join.
+    A broadcast bitmap leaves out most documents that have none of these lines before the join.
     """
-    spark = rows.sparkSession
-    at = F.conv(F.hex(F.substring("line", 1, 3)), 16, 10).cast("long")
-    bit = F.expr("shiftleft(1L, cast(at % 64 as int))")
-    words = wanted.select(at.alias("at")).groupBy((F.col("at") / 64).cast("long").alias("word")).agg(F.bit_or(bit).alias("bits"))
-    bitmap = np.zeros(1 << 18, dtype=np.int64)
-    for r in words.collect():  # at most 2^18 rows
-        bitmap[r["word"]] = r["bits"]
-    packed = spark.sparkContext.broadcast(bitmap.view(np.uint64))
+    wanted = stash(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct().join(places, "line"), "wanted")
+    has = bitmap(wanted.select(F.col("doc_id").cast("string").alias("key")), "key")
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        have = [int(x) for x in packed.value]
         for batch in batches:
-            out: dict[bytes, str] = {}
-            for text in batch["text"]:
-                for line in (text or "").split("\n"):
-                    words = normal_words(line) if len(line) >= min_chars else ()
-                    if words:
-                        digest = _digest(words)
-                        k = int.from_bytes(digest[:3], "big")
-                        if have[k >> 6] >> (k & 63) & 1:
-                            out[digest] = " ".join(words)
-            yield pd.DataFrame({"line": list(out), "form": list(out.values())})
+            out = []
+            some = batch[contains(has.value, batch["slot"].to_numpy())]
+            for name, text in zip(some["doc_id"], some["text"], strict=True):
+                out += [(name, k, line) for k, line in enumerate((text or "").split("\n"))]
+            yield pd.DataFrame(out, columns=["doc_id", "line_no", "raw"])
 
-    found = rows.select("text").mapInPandas(pick, "line binary, form string")
-    return stash(found.join(wanted, "line", "left_semi").dropDuplicates(["line"]), "line-texts")
+    slotted = rows.select("doc_id", slot(F.col("doc_id").cast("string")).alias("slot"), "text")
+    lines = slotted.mapInPandas(pick, f"doc_id {kind}, line_no int, raw string")
+    found = lines.join(wanted, ["doc_id", "line_no"])
+
+    def normalise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"line": batch["line"], "form": [" ".join(normal_words(x)) for x in batch["raw"]]})
+
+    return stash(found.select("line", "raw").mapInPandas(normalise, "line long, form string").dropDuplicates(["line"]), "line-texts")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -185,44 +252,48 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             ok = [similar(x, y, least) for x, y in zip(batch["x"], batch["y"], strict=True)]
             yield batch.loc[ok, ["a", "b"]]
 
-    return rows.select("a", "b", "x", "y").mapInPandas(verify, "a binary, b binary")
+    return rows.select("a", "b", "x", "y").mapInPandas(verify, "a long, b long")
 
 
 def line_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY, distance: int = DISTANCE, parts: int = PARTS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``doc_id, line_no, line, group_id, kept`` of every line that is long enough.
+    """``doc_id, line_no, group_id, kept`` of every line that is long enough and has others like it.
 
-    ``line`` is the digest of the line's normal form, ``group_id`` the smallest digest that links reach.
+    ``group_id`` is a number for the connected group, the same within one call.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    lines = stash(_lines(rows, rows.schema["doc_id"].dataType.simpleString(), min_chars), "lines")
-    classes = lines.groupBy("line").agg(F.first("simhash").alias("simhash"))
-    dealt = classes.withColumn("cell", F.explode(cells(F.col("simhash"), distance, parts)))
-    # The pivot of a cell is the smallest digest; its hash comes along for a first comparison.
-    shared = dealt.groupBy("cell").agg(F.min(F.struct("line", "simhash")).alias("pivot"), F.max("line").alias("other")).filter("pivot.line <> other").select("cell", "pivot")
-    met = stash(dealt.join(shared, "cell"), "line-cells")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    lines = stash(_lines(rows, kind, min_chars), "lines")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
+    classes = lines.groupBy(F.col("line").alias("digest")).agg(F.first("simhash").alias("simhash"), F.min(place).alias("place"), F.count("*").alias("n"))
+    classes = stash(classes.withColumn("line", F.monotonically_increasing_id()), "line-classes")
+    dealt = classes.select("line", F.explode(cells(F.col("simhash"), distance, parts)).alias("cell"))
+    several = dealt.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").select("cell")
+    met = dealt.join(several, "cell")
+    met = stash(met.join(classes.select("line", "simhash"), "line"), "line-cells")
+    # The pivot of a cell is the smallest number; its hash comes along for a first comparison.
+    pivots = met.groupBy("cell").agg(F.min(F.struct("line", "simhash")).alias("pivot"))
+    met = met.join(pivots, "cell")
     near = F.bit_count(F.col("simhash").bitwiseXOR(F.col("pivot.simhash"))) <= distance
     spanning = met.filter(near & (F.col("line") != F.col("pivot.line"))).select(F.col("pivot.line").alias("a"), F.col("line").alias("b")).distinct()
     spanning = stash(spanning, "spanning")
-    # All pairs within the distance are among these lines.
-    close = met.select("line").distinct()
-    texts = _texts(rows, close, min_chars)
-    links = stash(_verified(spanning, texts, least), "line-links")
+    places = classes.select("line", "place.doc_id", "place.line_no")
+    links = stash(_verified(spanning, _texts(rows, kind, spanning, places), least), "line-links")
     groups = connected_components(links)
-    named = met.join(groups.withColumnRenamed("node", "line"), "line", "left").select("cell", "line", "simhash", F.coalesce("component", "line").alias("component"), "pivot.line")
-    named = named.toDF("cell", "line", "simhash", "component", "pivot")
+    named = met.select("cell", "line", "simhash").join(groups.withColumnRenamed("node", "line"), "line", "left").select("cell", "line", "simhash", F.coalesce("component", "line").alias("component"))
     mixed = named.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("cell", "low")
     left = stash(named.join(mixed, "cell"), "mixed-line-cells")
     x, y = left.filter("component <> low").alias("x"), left.alias("y")
     apart = (F.col("x.component") != F.col("y.component")) & (F.bit_count(F.col("x.simhash").bitwiseXOR(F.col("y.simhash"))) <= distance)
     pairs = x.join(y, (F.col("x.cell") == F.col("y.cell")) & apart)
     pairs = pairs.select(F.least("x.line", "y.line").alias("a"), F.greatest("x.line", "y.line").alias("b")).distinct()
-    more = _verified(pairs.join(spanning, ["a", "b"], "left_anti"), texts, least)
+    pairs = stash(pairs.join(spanning, ["a", "b"], "left_anti"), "line-pairs")
+    more = _verified(pairs, _texts(rows, kind, pairs, places), least)
     groups = connected_components(stash(links.unionByName(more), "line-links"))
-    named = lines.join(groups.select(F.col("node").alias("line"), "component"), "line", "left").select("doc_id", "line_no", "line", F.coalesce("component", "line").alias("group_id"))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
-    first = named.groupBy("group_id").agg(F.min(place).alias("first"))
-    out = named.join(first, "group_id")
-    return out.select("doc_id", "line_no", "line", "group_id", (place == F.col("first")).alias("kept"))
+    found = classes.join(groups.select(F.col("node").alias("line"), "component"), "line", "left").filter("n > 1 OR component IS NOT NULL")
+    found = found.select("digest", F.coalesce("component", "line").alias("group_id"), "place")
+    first = found.groupBy("group_id").agg(F.min("place").alias("first"))
+    found = found.join(first, "group_id").select(F.col("digest").alias("line"), "group_id", "first")
+    return lines.select("doc_id", "line_no", "line").join(found, "line").select("doc_id", "line_no", "group_id", (place == F.col("first")).alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY, distance: int = DISTANCE, parts: int = PARTS, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -23,6 +23,7 @@ their sets reaches a threshold. No link between different sets is lost:
 from __future__ import annotations
 
 import itertools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +33,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm.components import connected_components
+from tracewright.llm.membership import bitmap, contains, slot
 from tracewright.storage import stash
 
-#: Buckets of the counts that give the order of n-grams.
-SKETCH = 1 << 18
+#: Buckets of the counts that give the order of n-grams, as a power of two (16 MB where all are needed).
+SKETCH_BITS = 22
+SKETCH = 1 << SKETCH_BITS
 SKETCH_PARTS = 64
 #: Groups that n-grams are hashed into: the dimensions of a point.
 GROUPS = 128
@@ -45,27 +48,31 @@ CELL_BITS = 48
 FAN_OUT = 16
 #: Points of a cell in one task.
 TILE = 1_000
-#: Words that a task works on at a time, and whose hashes it keeps.
-STEP_WORDS, KEPT_WORDS = 300_000, 400_000
+#: Bytes that a task works on at a time.
+STEP_BYTES = 1 << 20
+_BASE = 0x5851F42D4C957F2D
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n + 1, base, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
 class Shingler:
-    """Sets of hashed n-grams of whole texts."""
+    """Sets of hashed n-grams of whole texts.
+
+    The hash of a word is a difference of running sums over all bytes, so nothing is done word by word.
+    """
 
     def __init__(self, n: int = 5) -> None:
-        self.n, self.known = n, {}
-
-    def _hashes(self, tokens: list[bytes]) -> np.ndarray:
-        found = list(map(self.known.get, tokens))
-        if None in found:
-            if len(self.known) > KEPT_WORDS:
-                self.known = {}
-            known, digest = self.known, xxhash.xxh64_intdigest
-            for k, h in enumerate(found):
-                if h is None:
-                    found[k] = known[tokens[k]] = digest(tokens[k])
-        return np.array(found, dtype=np.uint64)
+        self.n = n
+        # Bytes count from 1, A-Z as a-z; ASCII white space (and no other) parts words.
+        self.fold = np.arange(1, 257, dtype=np.uint64)
+        self.fold[65:91] += np.uint64(32)
+        self.fold[[9, 10, 11, 12, 13, 32]] = 0
+        self.power, self.back = _powers(_BASE, STEP_BYTES), _powers(pow(_BASE, -1, 1 << 64), STEP_BYTES)
 
     @staticmethod
     def _combine(h: np.ndarray, n: int) -> np.ndarray:
@@ -76,25 +83,41 @@ class Shingler:
             out ^= out >> np.uint64(29)
         return out
 
+    def _words(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Where words begin, and their hashes."""
+        folded = self.fold[np.frombuffer(data, dtype=np.uint8)]
+        inside = np.concatenate([[False], folded != 0, [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        power, back = (self.power, self.back) if len(data) <= STEP_BYTES else (_powers(_BASE, len(data)), _powers(pow(_BASE, -1, 1 << 64), len(data)))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(folded * power[: len(data)], dtype=np.uint64)])
+        h = (sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return starts, h ^ (h >> np.uint64(32))
+
     def sets(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """For each text the sorted distinct hashes; a text of fewer than n words is one n-gram."""
         a = 0
         while a < len(texts):
-            split, have = [], 0
-            while a < len(texts) and (not split or have < STEP_WORDS):
-                # bytes.lower and bytes.split know ASCII letters and white space only, as is wanted.
-                split.append((texts[a] or "").encode("utf-8", "surrogatepass").lower().split())
-                have += len(split[-1])
+            data, have = [], 0
+            while a < len(texts) and (not data or have + len(data[-1]) < STEP_BYTES // 2):
+                data.append((texts[a] or "").encode("utf-8", "surrogatepass"))
+                have += len(data[-1]) + 1
                 a += 1
-            h = self._hashes([w for s in split for w in s])
+            starts, h = self._words(b" ".join(data))
+            counts = np.diff(np.searchsorted(starts, np.cumsum([0, *(len(d) + 1 for d in data)])))
             grams = self._combine(h, self.n) if len(h) >= self.n else np.zeros(0, np.uint64)
             at = 0
-            for s in split:
-                if len(s) >= self.n:
-                    yield np.unique(grams[at : at + len(s) - self.n + 1])
+            for k in counts.tolist():
+                if k >= self.n:
+                    yield np.unique(grams[at : at + k - self.n + 1])
                 else:
-                    yield self._combine(h[at : at + len(s)], len(s)) if s else np.zeros(0, np.uint64)
-                at += len(s)
+                    yield self._combine(h[at : at + k], k) if k else np.zeros(0, np.uint64)
+                at += k
+
+
+def _point(s: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS), 65535).astype(np.uint16).tobytes()
 
 
 def _counts(rows: DataFrame, n: int) -> np.ndarray:
@@ -105,33 +128,26 @@ def _counts(rows: DataFrame, n: int) -> np.ndarray:
         shingler, total = Shingler(n), np.zeros(SKETCH, dtype=np.int64)
         for batch in batches:
             for s in shingler.sets(list(batch["text"])):
-                total += np.bincount((s >> np.uint64(64 - 18)).astype(np.int64), minlength=SKETCH) if len(s) > SKETCH // 8 else 0
-                if len(s) <= SKETCH // 8:
-                    np.add.at(total, (s >> np.uint64(64 - 18)).astype(np.int64), 1)
+                np.add.at(total, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         if total.any():
+            # Tasks are added up in groups first, so that no task adds up all of them.
             salt = int(xxhash.xxh32_intdigest(total.tobytes()) % 64)
-            yield pd.DataFrame({"part": range(SKETCH_PARTS), "salt": salt, "counts": [total[k * width : (k + 1) * width].astype(np.int32).tobytes() for k in range(SKETCH_PARTS)]})
+            yield pd.DataFrame({"part": range(SKETCH_PARTS), "salt": salt, "counts": [zlib.compress(total[k * width : (k + 1) * width].tobytes(), 1) for k in range(SKETCH_PARTS)]})
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(width, dtype=np.int64)
         for c in group["counts"]:
-            total += np.frombuffer(c, dtype=np.int64 if len(c) == 8 * width else np.int32)
-        return pd.DataFrame({"part": group["part"].iloc[:1], "salt": 0, "counts": [total.tobytes()]})
+            total += np.frombuffer(zlib.decompress(c), dtype=np.int64)
+        return pd.DataFrame({"part": group["part"].iloc[:1], "salt": 0, "counts": [zlib.compress(total.tobytes(), 1)]})
 
     schema = "part int, salt int, counts binary"
     summed = rows.select("text").mapInPandas(count, schema).groupBy("part", "salt").applyInPandas(add, schema).groupBy("part").applyInPandas(add, schema)
-    out = np.zeros(SKETCH, dtype=np.int64)
+    out = np.zeros(SKETCH, dtype=np.uint32)
     for r in summed.collect():
-        out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["counts"], dtype=np.int64)
+        out[r["part"] * width : (r["part"] + 1) * width] = np.minimum(np.frombuffer(zlib.decompress(r["counts"]), dtype=np.int64), 2**32 - 1)
     return out
 
 
-def _frequent(counts: np.ndarray) -> np.ndarray:
-    """For each bucket by how much its count stands out; 0 for most."""
-    mean = float(counts.mean())
-    return np.maximum(0, counts - int(mean + 5 * mean**0.5 + 2)).astype(np.int64)
-
-
 def prefix_size(n: int, num: int, den: int) -> int:
     """How many of n n-grams a set must share one of with every set that reaches num/den."""
     return n - -(-num * n // den) + 1
@@ -175,6 +191,37 @@ def search(queries: np.ndarray, q_sizes: np.ndarray, points: np.ndarray, sizes:
     return q, order[node]
 
 
+def _bounded(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b`` of the pairs whose bound on the overlap allows num/den."""
+    x, y = (points.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("point").alias(f"p_{k}")) for k in "ab")
+    rows = pairs.join(x, "a").join(y, "b")
+
+    def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                p, q = (np.frombuffer(b"".join(batch[c]), dtype=np.uint16).reshape(-1, GROUPS) for c in ("p_a", "p_b"))
+                most = np.minimum(p, q).sum(axis=1, dtype=np.int64)
+                yield batch.loc[most * (num + den) >= num * (batch["n_a"] + batch["n_b"]).to_numpy(), ["a", "b"]]
+
+    return rows.mapInPandas(bound, "a long, b long")
+
+
+def _sets(rows: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """``doc_id, grams``: the sets of the documents in ``pairs``. A broadcast bitmap leaves out most others before the join."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    has = bitmap(wanted, "doc_id")
+
+    def with_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler = Shingler(n)
+        for batch in batches:
+            batch = batch[contains(has.value, batch["slot"].to_numpy())]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "grams": [s.tobytes() for s in shingler.sets(list(batch["text"]))]})
+
+    slotted = rows.filter("doc_id IS NOT NULL").select("doc_id", slot(F.col("doc_id")).alias("slot"), "text")
+    found = slotted.mapInPandas(with_sets, "doc_id long, grams binary")
+    return stash(found.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sets")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """``a, b`` of the pairs whose sets reach num/den."""
     rows = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a")
@@ -204,7 +251,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rank = spark.sparkContext.broadcast(_frequent(_counts(rows, n)))
+    rank = spark.sparkContext.broadcast(_counts(rows, n))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, mask = Shingler(n), np.uint64((1 << CELL_BITS) - 1)
@@ -215,17 +262,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     out.append((name, 0, None, None, None))
                     continue
                 size = prefix_size(len(s), num, den)
-                stands_out = rank.value[(s >> np.uint64(64 - 18)).astype(np.int64)]
+                often = rank.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 # Sets are sorted by hash, and the sort is stable: one order of all n-grams.
-                first = s[np.argsort(stands_out, kind="stable")[:size]] & mask
+                first = s[np.argsort(often, kind="stable")[:size]] & mask
                 cells = first.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : CELL_BITS // 8].tobytes()
-                point = np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS), 65535).astype(np.uint16)
-                out.append((name, len(s), xxhash.xxh3_128_digest(s.tobytes()), cells, point.tobytes()))
+                out.append((name, len(s), xxhash.xxh3_128_digest(s.tobytes()), cells, _point(s)))
             yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "digest", "cells", "point"], dtype=object)
 
     described = stash(rows.mapInPandas(describe, "doc_id long, n_shingles long, digest binary, cells binary, point binary"), "described")
-    classes = described.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
-    chosen = described.join(classes, "digest").filter("doc_id = class_id").dropDuplicates(["doc_id", "digest"])
+    first = F.min_by(F.struct("doc_id", "cells"), "doc_id").alias("first")
+    chosen = described.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(first)
+    classes = stash(chosen.select("digest", F.col("first.doc_id").alias("class_id"), "first.cells"), "classes")
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         width = CELL_BITS // 8
@@ -235,32 +282,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             full[:, :width] = np.concatenate(cells) if cells else 0
             yield pd.DataFrame({"cell": full.view("<i8").ravel(), "doc_id": np.repeat(batch["doc_id"].to_numpy(dtype=np.int64), [len(c) for c in cells])})
 
-    dealt = chosen.select("doc_id", "cells").mapInPandas(deal, "cell long, doc_id long")
+    dealt = classes.select(F.col("class_id").alias("doc_id"), "cells").mapInPandas(deal, "cell long, doc_id long")
     # Cells of one set alone are most of them. The smallest id is the pivot of a cell.
-    shared = dealt.groupBy("cell").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("other")).filter("pivot <> other").drop("other")
-    met = stash(dealt.distinct().join(shared, "cell"), "cells")
+    several = dealt.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").select("cell")
+    met = stash(dealt.join(several, "cell").distinct(), "cells")
+    met = met.join(met.groupBy("cell").agg(F.min("doc_id").alias("pivot")), "cell")
     involved = met.select("doc_id").distinct()
-
-    def with_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler = Shingler(n)
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "grams": [s.tobytes() for s in shingler.sets(list(batch["text"]))]})
-
-    needed = rows.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = stash(needed.mapInPandas(with_sets, "doc_id long, grams binary"), "sets")
-    spanning = met.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = stash(_verified(spanning, sets, num, den), "links")
+    described_points = described.select("doc_id", "n_shingles", "point", "digest").filter("digest IS NOT NULL")
+    points = stash(described_points.drop("digest").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "points")
+    spanning = stash(_bounded(met.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct(), points, num, den), "spanning")
+    links = stash(_verified(spanning, _sets(rows, spanning, n), num, den), "links")
     components = connected_components(links)
 
     named = met.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("cell", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = named.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low <> high")
     left = stash(named.join(mixed.select("cell", "n"), "cell"), "mixed-cells")
-    found = _search_cells(spark, left, described.select("doc_id", "n_shingles", "point").filter("digest IS NOT NULL").dropDuplicates(["doc_id"]), num, den)
     # What was compared with a pivot is known already.
-    more = _verified(found.join(spanning, ["a", "b"], "left_anti"), sets, num, den)
+    found = stash(_search_cells(spark, left, points, num, den).join(spanning, ["a", "b"], "left_anti"), "pairs")
+    more = _verified(found, _sets(rows, found, n), num, den)
     links = stash(links.unionByName(more), "links")
     components = connected_components(links)
-    out = described.join(classes, "digest", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
+    out = described.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "class_id"), "digest", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
     out = out.join(components.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
     return out.select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
 
@@ -319,4 +361,4 @@ def _search_cells(spark: SparkSession, left: DataFrame, points: DataFrame, num:
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tiles_sorted = rows.repartition(parts, "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    return stash(tiles_sorted.mapInPandas(search_tiles, "a long, b long"), "pairs")
+    return tiles_sorted.mapInPandas(search_tiles, "a long, b long")

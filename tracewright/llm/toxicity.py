@@ -18,7 +18,6 @@ Fitting uses a bounded sample of labelled documents (``TRAIN_DOCS`` for each lab
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -41,6 +40,8 @@ TRAIN_CHARS = 20_000
 #: Windows of each kind in a round of training, at most.
 TRAIN_WINDOWS = 10_000
 CLEAN_WEIGHT = 3.0
+#: Buckets that n-grams are counted in to find what tells labels apart, as a power of two.
+TELLING_BITS = 23
 #: Windows that are run in step, and words that a worker keeps the inputs of.
 STEP_WINDOWS = 4096
 KEPT_WORDS = 250_000
@@ -207,7 +208,7 @@ class Vocabulary:
     def __init__(self, texts: list[list[str]]) -> None:
         self.index = {w: k + 1 for k, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
         self.word, self.gram, self.first = features(["", *self.index])
-        self.rows = [np.array([self.index[w] for w in t] or [0]) for t in texts]
+        self.rows = [np.array([self.index[w] for w in t] or [0], dtype=np.int32) for t in texts]
 
     def window_ids(self) -> tuple[np.ndarray, np.ndarray]:
         """(windows x WINDOW) word numbers, padded with 0 (the empty word), and the text of each window."""
@@ -219,21 +220,43 @@ class Vocabulary:
         return np.where(inside, flat[np.minimum(first[owner][:, None] + at, len(flat) - 1)], 0), owner
 
 
-def telling(texts: list[list[str]], labels: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
-    """For each distinct word, the log odds of the most telling of the word and its n-grams.
+def telling(labels: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+    """For each distinct word, the log odds of the most telling of the word and its n-grams of 4 and 5.
 
-    Counted in documents; what stands in fewer than three toxic ones tells nothing.
+    Counted in documents, by hash; what stands in fewer than three toxic ones tells nothing.
     """
-    toxic, clean = Counter(), Counter()
-    grams: list[list[str]] = [[]]
-    for w in vocabulary.index:
-        core = f"\x02{_cores([w])[0]}\x03"
-        grams.append([core, *{core[k : k + n] for n in (4, 5) for k in range(len(core) - n + 1)}])
+    marked = ["\x02\x03", *(f"\x02{c}\x03" for c in _cores(list(vocabulary.index)))]
+    sizes = np.array([len(m) for m in marked], dtype=np.int64)
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    first = np.cumsum(sizes) - sizes
+    place = (np.arange(len(codes)) - np.repeat(first, sizes)).astype(np.int32)
+    left = np.repeat(sizes, sizes).astype(np.int32) - place
+    prime, owners, grams = np.uint64(0x9E3779B97F4A7C15), [], []
+    for n in (4, 5):
+        at = np.flatnonzero(left >= n)
+        h = np.full(len(at), n, dtype=np.uint64)
+        for k in range(n):
+            h = (h ^ codes[at + k]) * prime
+            h ^= h >> np.uint64(32)
+        grams.append((h * prime >> np.uint64(64 - TELLING_BITS)).astype(np.int32))
+        owners.append((np.searchsorted(first, at, side="right") - 1).astype(np.int32))
+    # Every word has a bucket of its own, behind those of the n-grams.
+    grams.append((1 << TELLING_BITS) + np.arange(len(marked), dtype=np.int32))
+    owners.append(np.arange(len(marked), dtype=np.int32))
+    owner, gram = np.concatenate(owners), np.concatenate(grams)
+    order = np.argsort(owner, kind="stable")
+    owner, gram = owner[order], gram[order]
+    starts = np.searchsorted(owner, np.arange(len(marked) + 1))
+    seen = np.zeros((2, (1 << TELLING_BITS) + len(marked)), dtype=np.int16)
     for rows, label in zip(vocabulary.rows, labels, strict=True):
-        (toxic if label else clean).update({g for k in set(rows.tolist()) for g in grams[k]})
+        some = np.unique(rows)
+        counts = starts[some + 1] - starts[some]
+        at = np.repeat(starts[some] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        seen[int(label)][np.unique(gram[at])] += 1
     n1, n0 = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
-    odds = {g: np.log((c - 1) / n1) - np.log((clean[g] + 1.0) / n0) for g, c in toxic.items() if c >= 3}
-    return np.array([max((odds.get(g, -9.0) for g in gs), default=-9.0) for gs in grams])
+    toxic, clean = seen[1][gram].astype(float), seen[0][gram].astype(float)
+    odds = np.where(toxic >= 3, np.log(np.maximum(toxic - 1, 1) / n1) - np.log((clean + 1.0) / n0), -9.0)
+    return np.maximum.reduceat(odds, starts[:-1])
 
 
 def train(texts: list[str], labels: list[int], seed: int = 0, rounds: int = 3, epochs: int = 4) -> Network:
@@ -245,7 +268,7 @@ def train(texts: list[str], labels: list[int], seed: int = 0, rounds: int = 3, e
     split = [words(t) for t in texts]
     vocabulary = Vocabulary(split)
     ids, owner = vocabulary.window_ids()
-    odds = telling(split, y, vocabulary)
+    odds = telling(y, vocabulary)
     # Words count as telling from odds that few words of clean texts reach.
     strong = odds[ids].max(axis=1)
     bar = max(2.0, float(np.quantile(strong[y[owner] == 0], 0.995)) + 0.5)
@@ -454,7 +477,6 @@ def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> tuple[list[str], list[int]]:
     """At most ``TRAIN_DOCS`` texts of each label, one for each slot of a hash of the id."""
     marked = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id))).groupBy(doc_id).agg(F.max(label).alias("label"))
-    rows = docs.select(F.col(doc_id), F.substring(F.coalesce(F.col(text), F.lit("")), 1, TRAIN_CHARS).alias("text")).join(marked, doc_id)
     h = F.xxhash64(F.col(doc_id).cast("string"))
     # First the ids are chosen, so that texts move only for those.
     slot = F.pmod(h, F.lit(TRAIN_DOCS)).alias("slot")
