@@ -8,7 +8,7 @@
 3. *Pigeonhole.* The bits are cut into ``PARTS`` blocks. Two hashes at most ``DISTANCE`` bits apart agree on
    ``PARTS - DISTANCE`` of them, so each class goes to a cell for every such choice of blocks, and all
    pairs within the distance meet in a cell.
-4. *Verify.* In each cell all are compared with one pivot first; those that reach the edit similarity
+4. *Verify.* In each cell all are compared with one pivot first, the most frequent line; those that reach the edit similarity
    are linked, and groups of links are found. What is left are pairs from different groups: in each cell,
    those outside the pivot's group are compared with all others. So large families of variants cost
    a comparison for each member rather than each pair, and no link between groups is lost.
@@ -30,7 +30,7 @@ from tracewright.llm.membership import bitmap, contains, slot
 from tracewright.storage import stash
 
 MIN_CHARS = 12
-DISTANCE, PARTS = 3, 5
+DISTANCE, PARTS = 3, 6
 SIMILARITY = 0.85
 #: Characters that are read at a time.
 STEP_CHARS = 400_000
@@ -269,12 +269,12 @@ def line_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     dealt = classes.select("line", F.explode(cells(F.col("simhash"), distance, parts)).alias("cell"))
     several = dealt.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").select("cell")
     met = dealt.join(several, "cell")
-    met = stash(met.join(classes.select("line", "simhash"), "line"), "line-cells")
-    # The pivot of a cell is the smallest number; its hash comes along for a first comparison.
-    pivots = met.groupBy("cell").agg(F.min(F.struct("line", "simhash")).alias("pivot"))
+    met = stash(met.join(classes.select("line", "simhash", (-F.col("n")).alias("rare")), "line"), "line-cells")
+    # The pivot of a cell is its most frequent line: others are mostly variants of it. Its hash comes along.
+    pivots = met.groupBy("cell").agg(F.min(F.struct("rare", "line", "simhash")).alias("pivot"))
     met = met.join(pivots, "cell")
     near = F.bit_count(F.col("simhash").bitwiseXOR(F.col("pivot.simhash"))) <= distance
-    spanning = met.filter(near & (F.col("line") != F.col("pivot.line"))).select(F.col("pivot.line").alias("a"), F.col("line").alias("b")).distinct()
+    spanning = met.filter(near & (F.col("line") != F.col("pivot.line"))).select(F.least("pivot.line", "line").alias("a"), F.greatest("pivot.line", "line").alias("b")).distinct()
     spanning = stash(spanning, "spanning")
     places = classes.select("line", "place.doc_id", "place.line_no")
     links = stash(_verified(spanning, _texts(rows, kind, spanning, places), least), "line-links")
