@@ -279,7 +279,8 @@ def line_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     places = classes.select("line", "place.doc_id", "place.line_no")
     links = stash(_verified(spanning, _texts(rows, kind, spanning, places), least), "line-links")
     groups = connected_components(links)
-    named = met.select("cell", "line", "simhash").join(groups.withColumnRenamed("node", "line"), "line", "left").select("cell", "line", "simhash", F.coalesce("component", "line").alias("component"))
+    # Everything has been compared with the pivots, so the others are left, where there are two at least.
+    named = met.filter("line <> pivot.line").select("cell", "line", "simhash").join(groups.withColumnRenamed("node", "line"), "line", "left").select("cell", "line", "simhash", F.coalesce("component", "line").alias("component"))
     mixed = named.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("cell", "low")
     left = stash(named.join(mixed, "cell"), "mixed-line-cells")
     x, y = left.filter("component <> low").alias("x"), left.alias("y")

@@ -294,7 +294,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = stash(_verified(spanning, _sets(rows, spanning, n), num, den), "links")
     components = connected_components(links)
 
-    named = met.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("cell", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    # Everything has been compared with the pivots, so the others are left, where there are two at least.
+    named = met.filter("doc_id <> pivot").join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("cell", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = named.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low <> high")
     left = stash(named.join(mixed.select("cell", "n"), "cell"), "mixed-cells")
     # What was compared with a pivot is known already.
