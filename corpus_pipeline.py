@@ -35,7 +35,7 @@ def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that an earlier document or line has; documents left without text go."""
-    found = line_dedup.dedup_lines(docs)
+    found = line_dedup.dedup_lines(docs, wide=True)
     kept = found.filter((F.col("n_dropped") == 0) | (F.length(F.trim("text")) > 0))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 

@@ -155,6 +155,25 @@ def test_lines_are_dropped_as_all_pairs_say(spark):
     assert line_dedup.dedup_lines(documents(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_lines_with_a_changed_word_are_met_whatever_their_simhashes(spark):
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
+    texts = []
+    for n in (8, 12, 20, 30, 50):
+        for _ in range(8):
+            words = [rng.choice(vocabulary) for _ in range(n)]
+            texts.append(" ".join(words))
+            k = min(range(n), key=lambda k: len(words[k]))
+            words[k] = "xyz"
+            texts.append(" ".join(words))
+    word = "".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 24))
+    texts += [word, word[:11] + "1" + word[12:]]  # no word in common
+    forms = [" ".join(line_dedup.normal_words(t)) for t in texts]
+    assert all(line_dedup.similar(forms[k], forms[k + 1]) for k in range(0, len(forms), 2))
+    found = [sum(r["n_dropped"] for r in line_dedup.dedup_lines(documents(spark, texts), wide=w).collect()) for w in (False, True)]
+    assert found[0] < 30 and found[1] == len(texts) // 2 == 41
+
+
 # 3: toxicity
 
 

@@ -7,7 +7,9 @@
    common and tell little).
 3. *Pigeonhole.* The bits are cut into ``PARTS`` blocks. Two hashes at most ``DISTANCE`` bits apart agree on
    ``PARTS - DISTANCE`` of them, so each class goes to a cell for every such choice of blocks, and all
-   pairs within the distance meet in a cell.
+   pairs within the distance meet in a cell. One changed word moves more bits than that in most lines, so a
+   ``wide`` search also deals each class to ``BANDS`` cells by ``ROWS`` minima (MinHash) of its words, and a short
+   line to as many by those of its 4-grams. Pairs that meet there are verified whatever their SimHashes are.
 4. *Verify.* In each cell all are compared with one pivot first, the most frequent line; those that reach the edit similarity
    are linked, and groups of links are found. What is left are pairs from different groups: in each cell,
    those outside the pivot's group are compared with all others. So large families of variants cost
@@ -32,6 +34,10 @@ from tracewright.storage import stash
 MIN_CHARS = 12
 DISTANCE, PARTS = 3, 6
 SIMILARITY = 0.85
+#: Cells by minima, and minima that must agree in each.
+BANDS, ROWS = 16, 5
+#: Lines of fewer characters also have cells by their 4-grams.
+SHORT_CHARS = 48
 #: Characters that are read at a time.
 STEP_CHARS = 400_000
 _BASE = 0x5851F42D4C957F2D
@@ -76,9 +82,11 @@ def _mixed(h: np.ndarray, turn: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def read_lines(text: str, min_chars: int = MIN_CHARS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def read_lines(text: str, min_chars: int = MIN_CHARS, wide: bool = False) -> tuple[np.ndarray, ...]:
     """Of the lines of ``text`` whose normal form is long enough: numbers, digests (two 64-bit halves) and SimHashes.
 
+    If ``wide``, also their lengths and bands (see ``_bands``).
+
     A word's hash is a difference of running sums over all characters, and a line's digest a sum over its
     words, so nothing is done word by word. The text is read in parts of whole lines.
     """
@@ -90,15 +98,15 @@ def read_lines(text: str, min_chars: int = MIN_CHARS) -> tuple[np.ndarray, np.nd
             end = text.find("\n", at)
             end = len(text) if end < 0 else end
         part = text[at:end]
-        numbers, digests, hashes = _read_part(part, min_chars)
-        parts.append((numbers + no, digests, hashes))
+        numbers, *others = _read_part(part, min_chars, wide)
+        parts.append((numbers + no, *others))
         no += part.count("\n") + 1
         at = end + 1
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _read_part(text: str, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    none = np.zeros(0, np.int64), np.zeros((0, 2), np.uint64), np.zeros(0, np.int64)
+def _read_part(text: str, min_chars: int, wide: bool) -> tuple[np.ndarray, ...]:
+    none = np.zeros(0, np.int64), np.zeros((0, 2), np.uint64), np.zeros(0, np.int64), *((np.zeros(0, np.int64), np.zeros(0, object)) if wide else ())
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     folded = _table("fold", _folding)[codes]
     inside = np.concatenate([[False], folded != 0, [False]])
@@ -117,7 +125,45 @@ def _read_part(text: str, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.nd
     place = (np.arange(len(lines)) - np.repeat(first, counts)).astype(np.uint64)
     halves = [_mixed(np.add.reduceat(_mixed(words + place * np.uint64(0x9E3779B97F4A7C15), turn), first), turn) for turn in (1, 2)]
     long = chars >= min_chars
-    return lines[first][long].astype(np.int64), np.stack(halves, axis=1)[long], _simhashes(words, np.minimum(sizes, 12), first, counts)[long]
+    more = (chars[long], _bands(folded, starts, ends, words, first, counts, chars)[long]) if wide else ()
+    return lines[first][long].astype(np.int64), np.stack(halves, axis=1)[long], _simhashes(words, np.minimum(sizes, 12), first, counts)[long], *more
+
+
+def _minima(hashes: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``BANDS`` numbers for each group of ``hashes``, each of ``ROWS`` minima."""
+    turns = _table("turns", lambda: _mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64), 3) | np.uint64(1))
+    out = np.zeros((BANDS, len(first)), dtype=np.uint64)
+    a = 0
+    while a < len(first):
+        b = max(a + 1, int(np.searchsorted(first, first[a] + 4_000)))
+        some = hashes[first[a] : first[b - 1] + counts[b - 1]]
+        for k in range(BANDS):
+            for turn in turns[k * ROWS : (k + 1) * ROWS]:
+                out[k, a:b] = _mixed(out[k, a:b] + np.minimum.reduceat((some ^ turn) * turn, first[a:b] - first[a]), 4)
+        a = b
+    return (out >> np.uint64(32)).astype(np.uint32).view(np.int32).T
+
+
+def _bands(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray, first: np.ndarray, counts: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """For each line the bands of its words and, if it is short, those of its normal form's 4-grams."""
+    out = np.empty(len(first), dtype=object)
+    out[:] = list(_minima(words, first, counts))
+    short = np.flatnonzero((chars < SHORT_CHARS) & (chars >= 4))
+    if len(short):
+        # The normal forms, each word with a space behind it.
+        form = np.append(folded, 0).astype(np.uint64)
+        form[ends] = 32
+        kept = form != 0
+        form, at = form[kept], (np.cumsum(kept) - 1)[starts[first[short]]]
+        n = chars[short] - 3
+        begin = np.cumsum(n) - n
+        places = np.arange(n.sum()) + np.repeat(at - begin, n)
+        grams = np.zeros(len(places), dtype=np.uint64)
+        for k in range(4):
+            grams = _mixed(grams + form[places + k], 5)
+        for k, band in zip(short, _minima(grams, begin, n), strict=True):
+            out[k] = np.concatenate([out[k], band])
+    return out
 
 
 def _long_powers(base: int, n: int) -> np.ndarray:
@@ -190,8 +236,11 @@ def cells(simhash: Column, distance: int = DISTANCE, parts: int = PARTS) -> Colu
     return F.array(*[F.xxhash64(F.lit(k), *[blocks[c] for c in choice]) for k, choice in enumerate(itertools.combinations(range(parts), parts - distance))])
 
 
-def _lines(rows: DataFrame, kind: str, min_chars: int) -> DataFrame:
-    """``doc_id, line_no, line, simhash`` of every line that is long enough; ``line`` is the normal form's digest."""
+def _lines(rows: DataFrame, kind: str, min_chars: int, wide: bool) -> DataFrame:
+    """``doc_id, line_no, line, simhash`` of every line that is long enough; ``line`` is the normal form's digest.
+
+    If ``wide``, also ``chars`` and ``bands``.
+    """
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -205,13 +254,14 @@ def _lines(rows: DataFrame, kind: str, min_chars: int) -> DataFrame:
                     b += 1
                 some = texts.iloc[a:b]
                 before = np.cumsum([0, *(t.count("\n") + 1 for t in some)])
-                numbers, digests, hashes = read_lines("\n".join(some), min_chars)
+                numbers, digests, hashes, *more = read_lines("\n".join(some), min_chars, wide)
                 owner = np.searchsorted(before, numbers, side="right") - 1
                 raw = digests.tobytes()
-                yield pd.DataFrame({"doc_id": names[a:b][owner], "line_no": numbers - before[owner], "line": [raw[k : k + 16] for k in range(0, len(raw), 16)], "simhash": hashes})
+                found = {"doc_id": names[a:b][owner], "line_no": numbers - before[owner], "line": [raw[k : k + 16] for k in range(0, len(raw), 16)], "simhash": hashes}
+                yield pd.DataFrame(found | dict(zip(("chars", "bands"), more, strict=False)))
                 a = b
 
-    return rows.mapInPandas(split, f"doc_id {kind}, line_no int, line binary, simhash long")
+    return rows.mapInPandas(split, f"doc_id {kind}, line_no int, line binary, simhash long" + (", chars int, bands array<int>" if wide else ""))
 
 
 def _texts(rows: DataFrame, kind: str, pairs: DataFrame, places: DataFrame) -> DataFrame:
@@ -255,36 +305,51 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return rows.select("a", "b", "x", "y").mapInPandas(verify, "a long, b long")
 
 
-def line_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY, distance: int = DISTANCE, parts: int = PARTS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY, distance: int = DISTANCE, parts: int = PARTS, min_chars: int = MIN_CHARS, wide: bool = False) -> DataFrame:
     """``doc_id, line_no, group_id, kept`` of every line that is long enough and has others like it.
 
-    ``group_id`` is a number for the connected group, the same within one call.
+    ``group_id`` is a number for the connected group, the same within one call. Lines are compared if their SimHashes are
+    within ``distance``; if ``wide``, also if they share a cell by minima.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    lines = stash(_lines(rows, kind, min_chars), "lines")
+    lines = stash(_lines(rows, kind, min_chars, wide), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
-    classes = lines.groupBy(F.col("line").alias("digest")).agg(F.first("simhash").alias("simhash"), F.min(place).alias("place"), F.count("*").alias("n"))
+    traits = ["simhash", "chars", "bands"] if wide else ["simhash"]
+    carried = [c for c in traits if c != "bands"]
+    classes = lines.groupBy(F.col("line").alias("digest")).agg(*[F.first(c).alias(c) for c in traits], F.min(place).alias("place"), F.count("*").alias("n"))
     classes = stash(classes.withColumn("line", F.monotonically_increasing_id()), "line-classes")
-    dealt = classes.select("line", F.explode(cells(F.col("simhash"), distance, parts)).alias("cell"))
+    dealt_to = cells(F.col("simhash"), distance, parts)
+    if wide:  # a cell's last bit says whether it is one by minima
+        banded = F.transform("bands", lambda band, k: F.xxhash64(F.lit("band"), k, band).bitwiseOR(F.lit(1)))
+        dealt_to = F.concat(F.transform(dealt_to, lambda c: c.bitwiseAND(F.lit(-2))), banded)
+
+    def comparable(x: str, y: str, cell: str) -> Column:
+        near = F.bit_count(F.col(f"{x}simhash").bitwiseXOR(F.col(f"{y}simhash"))) <= distance
+        if not wide:
+            return near
+        m, n = F.col(f"{x}chars"), F.col(f"{y}chars")
+        # No pair whose lengths differ by more reaches the edit similarity.
+        return (near | (F.col(cell).bitwiseAND(F.lit(1)) == 1)) & (F.abs(m - n) <= (1 - least) * F.greatest(m, n))
+
+    dealt = classes.select("line", F.explode(dealt_to).alias("cell"))
     several = dealt.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").select("cell")
     met = dealt.join(several, "cell")
-    met = stash(met.join(classes.select("line", "simhash", (-F.col("n")).alias("rare")), "line"), "line-cells")
+    met = stash(met.join(classes.select("line", *carried, (-F.col("n")).alias("rare")), "line"), "line-cells")
     # The pivot of a cell is its most frequent line: others are mostly variants of it. Its hash comes along.
-    pivots = met.groupBy("cell").agg(F.min(F.struct("rare", "line", "simhash")).alias("pivot"))
+    pivots = met.groupBy("cell").agg(F.min(F.struct("rare", "line", *carried)).alias("pivot"))
     met = met.join(pivots, "cell")
-    near = F.bit_count(F.col("simhash").bitwiseXOR(F.col("pivot.simhash"))) <= distance
-    spanning = met.filter(near & (F.col("line") != F.col("pivot.line"))).select(F.least("pivot.line", "line").alias("a"), F.greatest("pivot.line", "line").alias("b")).distinct()
+    spanning = met.filter(comparable("", "pivot.", "cell") & (F.col("line") != F.col("pivot.line"))).select(F.least("pivot.line", "line").alias("a"), F.greatest("pivot.line", "line").alias("b")).distinct()
     spanning = stash(spanning, "spanning")
     places = classes.select("line", "place.doc_id", "place.line_no")
     links = stash(_verified(spanning, _texts(rows, kind, spanning, places), least), "line-links")
     groups = connected_components(links)
     # Everything has been compared with the pivots, so the others are left, where there are two at least.
-    named = met.filter("line <> pivot.line").select("cell", "line", "simhash").join(groups.withColumnRenamed("node", "line"), "line", "left").select("cell", "line", "simhash", F.coalesce("component", "line").alias("component"))
+    named = met.filter("line <> pivot.line").select("cell", "line", *carried).join(groups.withColumnRenamed("node", "line"), "line", "left").select("cell", "line", *carried, F.coalesce("component", "line").alias("component"))
     mixed = named.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("cell", "low")
     left = stash(named.join(mixed, "cell"), "mixed-line-cells")
     x, y = left.filter("component <> low").alias("x"), left.alias("y")
-    apart = (F.col("x.component") != F.col("y.component")) & (F.bit_count(F.col("x.simhash").bitwiseXOR(F.col("y.simhash"))) <= distance)
+    apart = (F.col("x.component") != F.col("y.component")) & comparable("x.", "y.", "x.cell")
     pairs = x.join(y, (F.col("x.cell") == F.col("y.cell")) & apart)
     pairs = pairs.select(F.least("x.line", "y.line").alias("a"), F.greatest("x.line", "y.line").alias("b")).distinct()
     pairs = stash(pairs.join(spanning, ["a", "b"], "left_anti"), "line-pairs")
@@ -297,7 +362,7 @@ def line_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     return lines.select("doc_id", "line_no", "line").join(found, "line").select("doc_id", "line_no", "group_id", (place == F.col("first")).alias("kept"))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY, distance: int = DISTANCE, parts: int = PARTS, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY, distance: int = DISTANCE, parts: int = PARTS, min_chars: int = MIN_CHARS, wide: bool = False) -> DataFrame:
     """All rows of ``docs``, with the dropped lines taken out of their texts, and ``n_lines, n_dropped``.
 
     Of each group of alike lines the occurrence in the smallest ``doc_id`` (a null one is the largest),
@@ -306,7 +371,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     ``doc_id`` are taken for one document, of which each line goes from all of them or from none.
     Other columns stay as they are, but ``n_lines`` and ``n_dropped`` are replaced.
     """
-    groups = line_groups(docs, doc_id, text, least, distance, parts, min_chars)
+    groups = line_groups(docs, doc_id, text, least, distance, parts, min_chars, wide)
     gone = groups.groupBy(F.col("doc_id").alias("_id"), "line_no").agg(F.bool_or("kept").alias("kept")).filter("NOT kept").groupBy("_id").agg(F.collect_list("line_no").alias("_gone"))
     docs = docs.drop("n_lines", "n_dropped")
     found = docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_id")), "left")
