@@ -37,6 +37,12 @@ def test_quotes_are_located_inside_texts_only(spark):
     assert values(corpus.locate_quotes(quotes, texts), "item_id", "doc_id", "start") == [(1, 7, 2), (1, 8, 1)]
 
 
+def test_short_quotes_and_texts_without_spaces_are_located(spark):
+    quotes = spark.createDataFrame([(1, "short one"), (2, "本日は晴天なり、明日も"), (3, "a short"), (4, "b c d e f g"), (5, " tiny   "), (6, "😀 and 日本語")], "item_id long, quote string")
+    texts = spark.createDataFrame([(7, "this is a short one, again a short one"), (8, "天気:本日は晴天なり、明日も晴れ"), (9, "a b c d e f g"), (10, None), (11, "a tiny   x"), (12, "see 😀😀 and 日本語.")], "doc_id long, text string")
+    assert values(corpus.locate_quotes(quotes, texts), "item_id", "doc_id", "start") == [(1, 7, 10), (2, 8, 3), (4, 9, 2), (6, 12, 5)]
+
+
 def test_payload_outcomes(spark):
     df = spark.createDataFrame([('{"status": "OK_1"}',), ('{"b": {"result": "LATE"}, "a": {"x": 1}}',), ('{"status": "ok"}',), ("{'a': 1}",), (None,)], "p string")
     assert [r[0] for r in df.select(payloads.symbolic_outcome(F.col("p"))).collect()] == ["OK_1", "LATE", None, None, None]

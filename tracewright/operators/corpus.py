@@ -98,18 +98,27 @@ def modal_severity(sentence: Column, words: list[tuple[str, str]], default: str)
     return out
 
 
-def locate_quotes(quotes: DataFrame, texts: DataFrame, grams: int = 3) -> DataFrame:
+def locate_quotes(quotes: DataFrame, texts: DataFrame, grams: int = 3, min_chars: int = 8) -> DataFrame:
     """``item_id, doc_id, start``: where each quote begins in each text that holds it, from 0.
 
     A text that holds a quote holds the quote's second to ``grams + 1``st word as whole words, so
     texts and quotes meet by that run of words; the rest is verified. Quotes of fewer than
-    ``grams + 2`` words have no such run and are left out.
+    ``grams + 2`` words have no such run; they meet texts by their first ``min_chars`` characters. Quotes of fewer
+    characters than that, without blanks at their ends, are refused.
     """
+    quotes = quotes.filter(F.length(F.regexp_replace("quote", r"^\s+|\s+$", "")) >= min_chars)
     words = F.split("quote", " ")
     keyed = quotes.withColumn("gram", F.when(F.size(words) >= grams + 2, F.array_join(F.slice(words, 2, grams), " "))).filter("gram IS NOT NULL")
     text_words = texts.withColumn("w", F.split("text", " "))
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - grams + 1)), lambda k: F.array_join(F.slice("w", k, grams), " "))
     met = text_words.select("doc_id", F.explode(F.array_distinct(runs)).alias("gram")).join(keyed.select("gram").distinct(), "gram", "left_semi")
     pairs = met.join(keyed.select("gram", "item_id"), "gram").select("doc_id", "item_id").distinct()
-    found = pairs.join(keyed.select("item_id", "quote"), "item_id").join(texts, "doc_id")
+    short = quotes.filter(F.size(words) < grams + 2).withColumn("gram", F.substring("quote", 1, min_chars))
+    # Without a short quote no text is cut into characters.
+    if not short.isEmpty():
+        text_chars = texts.withColumn("c", F.split("text", ""))
+        heads = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("c") - min_chars + 1)), lambda k: F.array_join(F.slice("c", k, min_chars), ""))
+        cut = text_chars.select("doc_id", F.explode(F.array_distinct(heads)).alias("gram")).join(short.select("gram").distinct(), "gram", "left_semi")
+        pairs = pairs.unionByName(cut.join(short.select("gram", "item_id"), "gram").select("doc_id", "item_id")).distinct()
+    found = pairs.join(quotes.select("item_id", "quote"), "item_id").join(texts, "doc_id")
     return found.select("item_id", "doc_id", (F.expr("instr(text, quote)") - 1).alias("start")).filter("start >= 0")
