@@ -344,6 +344,28 @@ def test_languages_are_told_apart(spark):
     assert language_id.identify(docs.limit(0)).count() == 0
 
 
+def test_languages_of_many_letters_are_told_apart(spark):
+    rng = random.Random(13)
+    # Kana, Han and Hangul, two languages of one script, and scripts with more letters together than the table has classes.
+    scripts = {"ja": range(0x3041, 0x3091), "zh": range(0x4E00, 0x5200), "yu": range(0x5000, 0x5400), "ko": range(0xAC00, 0xB000), "el": range(0x3B1, 0x3CA), "ru": range(0x430, 0x450), "hy": range(0x561, 0x587), "en": range(0x61, 0x7B)}
+    words = {k: ["".join(chr(rng.choice(v)) for _ in range(rng.randint(2, 4))) for _ in range(300)] for k, v in scripts.items()}
+    langs = [rng.choice(sorted(words)) for _ in range(300)]
+    texts = [("" if g in ("ja", "zh", "yu") else " ").join(rng.choice(words[g]) for _ in range(40)) for g in langs]
+    docs = spark.createDataFrame([(k, t.upper() if k % 2 else t, g) for k, (t, g) in enumerate(zip(texts, langs, strict=True))], "doc_id long, text string, lang string")
+    got = as_dict(language_id.identify(docs))
+    assert all(got[k]["lang_pred"] == g and got[k]["score"] >= 0.4 for k, g in enumerate(langs))
+
+
+def test_cross_parsing_has_the_letters_beyond_the_table(monkeypatch):
+    rng = random.Random(14)
+    samples = {"a": ["".join(rng.choice("abc 日本語") for _ in range(60))], "b": ["".join(rng.choice("ab 語한글") for _ in range(60))]}
+    texts = ["".join(rng.choice("abcd 日本語한글中") for _ in range(n)) for n in (0, 1, 7, 100, 300)]
+    want = language_id.CrossParser(samples).phrases(texts)
+    monkeypatch.setattr(language_id, "CLASSES", 4)
+    few = language_id.CrossParser(samples)
+    assert few.alphabet.size == 4 and all((x == y).all() for x, y in zip(few.phrases(texts), want, strict=True))
+
+
 # 7: exact dedup
 
 

@@ -8,7 +8,9 @@ phrases for each character wins.
 
 An automaton is kept as a table of (state, character class); where it does not go on, the entry
 leads to where the character leads from the root and is marked as the end of a phrase. So all texts
-of a batch are parsed in step by table look-ups. Texts are parsed in blocks of ``BLOCK`` characters
+of a batch are parsed in step by table look-ups. The table has the most frequent letters; what the automaton
+does on each other letter of the sample is kept as sorted (state, class) keys, so that scripts with many letters
+are told apart as well. Texts are parsed in blocks of ``BLOCK`` characters
 (a phrase also ends at the end of a block), which bounds the work in step however long a text is.
 
 Training text is a bounded sample: ``TRAIN_CHARS`` characters over all languages, shared evenly, of
@@ -31,7 +33,7 @@ from pyspark.sql import types as T
 TRAIN_CHARS = 120_000
 #: At most this many characters of one document are used for training, so that many take part.
 TRAIN_PIECE = 2_000
-#: Character classes: the most frequent characters of the sample; all others share one class.
+#: Character classes in an automaton's table: the most frequent letters of the sample; its other letters have classes from here on.
 CLASSES = 64
 BLOCK = 256
 #: Characters (of one language) that are parsed in step.
@@ -44,25 +46,20 @@ class Alphabet:
 
     def __init__(self, texts: list[str]) -> None:
         counts = Counter(c for t in texts for c in t.lower() if c.isalpha())
-        letters = sorted(c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: CLASSES - 2])
-        self.size = len(letters) + 2
-        # Class 0: what is no letter; class 1: letters that the sample hardly has.
-        self.low = np.zeros(0x3000, dtype=np.uint8)
-        for code in range(0x3000):
-            if unicodedata.category(chr(code))[0] == "L":
-                self.low[code] = 1
-        for k, c in enumerate(letters):
-            for form in {c, c.upper()}:
-                if len(form) == 1 and ord(form) < 0x3000:
-                    self.low[ord(form)] = k + 2
+        letters = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
+        frequent, others = sorted(letters[: CLASSES - 2]), sorted(letters[CLASSES - 2 :])
+        self.size = len(frequent) + 2
+        self.total = self.size + len(others)
+        # Class 0: what is no letter; class 1: letters that the sample lacks.
+        classes = {c: k + 2 for k, c in enumerate(frequent + others)}
+        self.table = np.zeros(0x110000, dtype=np.uint16 if self.total < 1 << 16 else np.uint32)
+        for code in range(0x110000):
+            char = chr(code)
+            if char.isalpha():
+                self.table[code] = classes.get(char) or classes.get(char.lower(), 1)
 
     def classes(self, text: str) -> np.ndarray:
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        high = codes >= 0x3000
-        out = self.low[np.where(high, 0, codes)]
-        if high.any():
-            out[high] = [unicodedata.category(chr(c))[0] == "L" for c in codes[high]]
-        return out
+        return self.table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
 
 
 def squeezed(classes: np.ndarray) -> np.ndarray:
@@ -71,8 +68,11 @@ def squeezed(classes: np.ndarray) -> np.ndarray:
     return classes[~(gap & np.concatenate([[True], gap[:-1]]))] if len(classes) else classes
 
 
-def suffix_table(symbols: list[int], size: int) -> np.ndarray:
-    """The automaton of ``symbols`` as a table: next state, plus END where a phrase ends before the symbol."""
+def suffix_table(symbols: list[int], size: int, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The automaton of ``symbols``: a table of next states, plus END where a phrase ends before the symbol, for symbols below ``size``.
+
+    For those from there up to ``total``, the keys ``state * total + symbol`` of its transitions, in order, and their next states.
+    """
     links, lengths, edges = [-1], [0], [{}]
     last = 0
     for c in symbols:
@@ -100,13 +100,19 @@ def suffix_table(symbols: list[int], size: int) -> np.ndarray:
         last = new
     root = np.zeros(size, dtype=np.int32)
     for c, to in edges[0].items():
-        root[c] = to
+        if c < size:
+            root[c] = to
     table = np.tile(root | END, (len(edges), 1))
+    others = []
     for state, out in enumerate(edges):
         for c, to in out.items():
-            table[state, c] = to
+            if c < size:
+                table[state, c] = to
+            else:
+                others.append((state * total + c, to))
     # At the root a symbol that the language lacks is a phrase of its own.
-    return table
+    keys, targets = np.array(sorted(others), dtype=np.int64).reshape(-1, 2).T
+    return table.ravel(), np.ascontiguousarray(keys), targets.astype(np.int32)
 
 
 class CrossParser:
@@ -118,12 +124,29 @@ class CrossParser:
         self.tables = []
         for k in self.languages:
             parts = [squeezed(self.alphabet.classes(t)) for t in samples[k]]
-            flat = np.concatenate([np.append(p, 0).astype(np.uint8) for p in parts]) if parts else np.zeros(1, np.uint8)
-            self.tables.append(suffix_table(flat.tolist(), self.alphabet.size).ravel())
+            flat = np.concatenate([np.append(p, 0).astype(p.dtype) for p in parts]) if parts else np.zeros(1, np.uint8)
+            self.tables.append(suffix_table(flat.tolist(), self.alphabet.size, self.alphabet.total))
+
+    def _step(self, automaton: tuple[np.ndarray, np.ndarray, np.ndarray], state: np.ndarray, symbols: np.ndarray, whole: bool) -> np.ndarray:
+        """What the table would have for each state and symbol; ``whole`` if it has all symbols."""
+        table, keys, targets = automaton
+        if whole:
+            return table[state * self.alphabet.size + symbols]
+        inside = symbols < self.alphabet.size
+        to = table[state * self.alphabet.size + np.where(inside, symbols, 0)]
+        at = np.flatnonzero(~inside)
+        if len(at):
+            to[at] = END  # a letter that the language lacks
+            for begin, mark in ((np.zeros(len(at), np.int64), END), (state[at].astype(np.int64), np.int32(0))):
+                want = begin * self.alphabet.total + symbols[at]
+                place = np.minimum(np.searchsorted(keys, want), max(0, len(keys) - 1))
+                hit = keys[place] == want if len(keys) else np.zeros(len(at), dtype=bool)
+                to[at[hit]] = targets[place[hit]] | mark
+        return to
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each text: phrases by language, symbols parsed, letters."""
-        rows = [squeezed(self.alphabet.classes(t)) if t else np.zeros(0, np.uint8) for t in texts]
+        rows = [squeezed(self.alphabet.classes(t)) if t else np.zeros(0, self.alphabet.table.dtype) for t in texts]
         letters = np.array([int((r > 0).sum()) for r in rows], dtype=np.int64)
         counts = np.zeros((len(texts), len(self.languages)), dtype=np.int64)
         sizes = np.array([len(r) for r in rows], dtype=np.int64)
@@ -143,12 +166,13 @@ class CrossParser:
             live = np.searchsorted(-ends, -np.arange(1, ends[0] + 1), side="right")  # blocks longer than each step
             # One step's symbols stand together.
             grid = flat[np.minimum(starts[some][None, :] + np.arange(ends[0])[:, None], len(flat) - 1)].astype(np.int32)
-            for k, table in enumerate(self.tables):
+            whole = (grid < self.alphabet.size).all(axis=1)
+            for k, automaton in enumerate(self.tables):
                 state = np.zeros(len(some), dtype=np.int32)
                 met = np.ones(len(some), dtype=np.int32)  # the last phrase, which the end of the block ends
                 for step in range(int(ends[0])):
                     n = live[step]
-                    to = table[state[:n] * self.alphabet.size + grid[step, :n]]
+                    to = self._step(automaton, state[:n], grid[step, :n], whole[step])
                     met[:n] += to >> 30
                     state[:n] = to & (END - 1)
                 np.add.at(counts[:, k], owner[some], met)
