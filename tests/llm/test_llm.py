@@ -202,6 +202,25 @@ def test_windows_cover_every_word():
         assert {w for s in mine for w in range(s, s + toxicity.WINDOW)} >= set(range(n))
 
 
+def test_half_a_window_stands_whole_in_one():
+    half = toxicity.WINDOW // 2
+    for n in (8, 16, 17, 23, 24, 25, 100):
+        _, start = toxicity.windows(np.array([n]))
+        assert all(any(s <= k and k + half <= s + toxicity.WINDOW for s in start) for k in range(n - half + 1))
+
+
+def test_training_texts_are_whole_within_their_bound(spark, monkeypatch):
+    texts = ["word " * 6_000 + f"the end {k}" for k in range(12)]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, toxic int")
+    found, marks = toxicity.labelled_sample(docs, labels, "doc_id", "text", "toxic")
+    learned = [k for k in range(12) if zlib.crc32(str(k).encode()) % 3 != 1]
+    assert sorted(zip(found, marks, strict=True)) == sorted((texts[k], k % 2) for k in learned)
+    monkeypatch.setattr(toxicity, "TRAIN_CHARS", 65_000 // toxicity.TRAIN_DOCS)
+    found, marks = toxicity.labelled_sample(docs, labels, "doc_id", "text", "toxic")
+    assert set(found) <= set(texts) and marks == [0, 0, 1, 1]
+
+
 def test_toxic_words_are_learned_in_new_forms(spark):
     rng = random.Random(6)
     texts = mixed(400, 8)

@@ -12,8 +12,8 @@ windows of clean documents; then the network scores all training windows and the
 it takes for toxic are learned in further rounds. A logistic curve fitted to documents turns the worst
 window's logit into a probability. All of it is numpy; the network is some 2.5 MB.
 
-Fitting uses a bounded sample of labelled documents (``TRAIN_DOCS`` for each label, of each the first
-``TRAIN_CHARS`` characters). Scoring covers the whole of every text.
+Fitting uses a bounded sample of labelled documents (of each label ``TRAIN_DOCS`` whole texts at most, which together
+have at most ``TRAIN_DOCS * TRAIN_CHARS`` characters). Scoring covers the whole of every text.
 """
 
 from __future__ import annotations
@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WINDOW = 16
-#: Words from the start of a window to that of the next: they overlap by the rest.
-STRIDE = 12
+#: Words from the start of a window to that of the next: any half of a window's words in a row stands whole in one.
+STRIDE = WINDOW // 2
 HIDDEN = 8
 WORD_DIM, WORD_BUCKETS = 8, 1 << 13
 CHAR_DIM, CHAR_BUCKETS = 16, 1 << 15
 GRAMS = (3, 4)
-#: Labelled documents of each label that are learned from, at most, and characters of each.
+#: Labelled documents of each label that are learned from, at most, and characters for each on average, at most.
 TRAIN_DOCS = 1_500
 TRAIN_CHARS = 20_000
 #: Windows of each kind in a round of training, at most.
@@ -475,13 +475,24 @@ def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> tuple[list[str], list[int]]:
-    """At most ``TRAIN_DOCS`` texts of each label, one for each slot of a hash of the id."""
+    """At most ``TRAIN_DOCS`` texts of each label, one for each slot of a hash of the id.
+
+    A label goes for its whole text, so none is cut: in the order of their hashes those are taken that still fit
+    into ``TRAIN_DOCS * TRAIN_CHARS`` characters.
+    """
     marked = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id))).groupBy(doc_id).agg(F.max(label).alias("label"))
     h = F.xxhash64(F.col(doc_id).cast("string"))
     # First the ids are chosen, so that texts move only for those.
     slot = F.pmod(h, F.lit(TRAIN_DOCS)).alias("slot")
-    ids = marked.select(doc_id, "label", slot, h.alias("h")).groupBy("label", "slot").agg(F.min(F.struct("h", doc_id)).alias("row")).select(F.col(f"row.{doc_id}").alias(doc_id), "label")
-    rows = docs.select(F.col(doc_id), F.substring(F.coalesce(F.col(text), F.lit("")), 1, TRAIN_CHARS).alias("text")).join(F.broadcast(ids), doc_id)
+    ids = marked.select(doc_id, "label", slot, h.alias("h")).groupBy("label", "slot").agg(F.min(F.struct("h", doc_id)).alias("row")).select(F.col(f"row.{doc_id}").alias(doc_id), "label", "row.h")
+    sizes = docs.select(F.col(doc_id), F.length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n")).join(F.broadcast(ids), doc_id).groupBy("label", "h", doc_id).agg(F.sum("n").alias("n"))
+    chosen, have = [], {0: 0, 1: 0}
+    for r in sorted(sizes.collect(), key=lambda r: (r["label"], r["h"])):
+        if have[r["label"]] + r["n"] <= TRAIN_DOCS * TRAIN_CHARS:
+            have[r["label"]] += r["n"]
+            chosen.append((r[doc_id], r["label"]))
+    picked = docs.sparkSession.createDataFrame(chosen, T.StructType([docs.schema[doc_id], T.StructField("label", T.IntegerType())]))
+    rows = docs.select(F.col(doc_id), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(picked), doc_id)
     found = sorted((r["label"], str(r[doc_id]), r["text"]) for r in rows.select(doc_id, "label", "text").collect())
     return [x[2] for x in found], [x[0] for x in found]
 
