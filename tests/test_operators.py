@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import payloads, text
-from tracewright.operators import admission, catalogues, corpus, design, grading, journeys, reconcile, traces
+from tracewright.operators import admission, catalogues, contracts, corpus, design, grading, journeys, reconcile, traces
 
 
 def values(df, *columns):
@@ -95,6 +95,12 @@ def test_a_large_catalogue_is_refused(spark):
         catalogues.pair_with(spark.range(1), spark.range(20).toDF("x"), most=10)
 
 
+def test_contracts_have_any_number_of_journey_assertions(spark):
+    assertions = spark.range(6_000).select(F.col("id").cast("string").alias("assertion_id"), F.lit("journey").alias("scope"), F.lit("s").alias("subject"), F.array(F.lit("e")).alias("expected"))
+    scopes = spark.createDataFrame([(1, "e"), (2, "x")], "binding_id int, entity string")
+    assert values(contracts.narrow(assertions, scopes).groupBy("binding_id").count(), "binding_id", "count") == [(1, 6_000), (2, 6_000)]
+
+
 def test_graders_on_no_evidence(spark):
     evidence = spark.createDataFrame([], "conversation_id long, seq long, entity string, entity_type string")
     claims = spark.createDataFrame([("a", ["b"])], "subject string, expected array<string>")

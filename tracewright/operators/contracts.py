@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions.text import digest
-from tracewright.operators.catalogues import pair_with
 
 
 def compile_assertions(triples: DataFrame, rules: DataFrame) -> DataFrame:
@@ -36,6 +35,6 @@ def narrow(assertions: DataFrame, scopes: DataFrame) -> DataFrame:
 
     ``scopes``: ``binding_id, entity``.
     """
-    whole = pair_with(scopes.select("binding_id").distinct(), assertions.filter("scope = 'journey'").select("assertion_id"))
+    whole = scopes.select("binding_id").distinct().crossJoin(assertions.filter("scope = 'journey'").select("assertion_id"))
     about = assertions.select("assertion_id", F.explode(F.array_union(F.array("subject"), "expected")).alias("entity")).join(scopes, "entity").select("binding_id", "assertion_id")
     return whole.unionByName(about).distinct()
