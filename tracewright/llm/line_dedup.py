@@ -1,20 +1,24 @@
 """Line deduplication over the corpus, fuzzy lines included.
 
-1. *Normalise.* A line's normal form is its words in lower case with every digit as 0. Lines of fewer
-   than ``MIN_CHARS`` characters in that form are never dropped. Lines with one form are one *line class*,
-   which keeps its first occurrence, by document and place.
-2. *SimHash.* Each class gets a 64-bit SimHash of its words, weighed by their length (short words are
-   common and tell little).
-3. *Pigeonhole.* The bits are cut into ``PARTS`` blocks. Two hashes at most ``DISTANCE`` bits apart agree on
-   ``PARTS - DISTANCE`` of them, so each class goes to a cell for every such choice of blocks, and all
-   pairs within the distance meet in a cell. One changed word moves more bits than that in most lines, so a
-   ``wide`` search also deals each class to ``BANDS`` cells by ``ROWS`` minima (MinHash) of its words, and a short
-   line to as many by those of its 4-grams. Pairs that meet there are verified whatever their SimHashes are.
-4. *Verify.* In each cell all are compared with one pivot first, the most frequent line; those that reach the edit similarity
+1. *Normalise.* A line's normal form is its words in lower case, one space apart. Lines with one form are one *line
+   class*. A line without words always stays.
+2. *SimHash.* The features of a form are its 4-grams of characters, and its SimHash has ``BLOCKS`` blocks of 40 bits. In a
+   plain SimHash one changed word moves bits all over the hash, and hardly a block of a useful size stays whole. Here every
+   gram votes in one block, and the weights of a block's grams are powers of two in the order of their hashes, so the
+   heaviest outvotes all others together: a block's bits are those of its heaviest gram (which makes it a minwise hash), and
+   what two forms differ in moves few blocks, as wholes. A block that no gram fell to is voted on by all grams.
+3. *Pigeonhole.* A form goes to ``CELLS`` cells, each of which is named by ``BLOCKS / CELLS`` blocks: SimHashes that
+   differ in fewer than ``CELLS`` blocks share a cell for certain, and others often do. Forms of fewer than ``SHORT_CHARS``
+   characters have as many cells again by 3-grams, of which an edit changes fewer.
+4. *Verify.* In each cell all are compared with one pivot first; those that reach the edit similarity
    are linked, and groups of links are found. What is left are pairs from different groups: in each cell,
-   those outside the pivot's group are compared with all others. So large families of variants cost
+   those outside the pivot's group are compared with all others, tile by tile. So large families of variants cost
    a comparison for each member rather than each pair, and no link between groups is lost.
 5. *Keep one.* Of the occurrences of each connected group the first stays; the others are dropped.
+
+Two forms are linked if they share a cell, at least ``NEAR`` of their blocks have the same last byte (unless one is short), and
+their edit similarity is reached. The cells of a line family that very many lines share are found in a sample beforehand and
+dealt to several tasks each, with a pivot that is known to all of them.
 """
 
 from __future__ import annotations
@@ -24,33 +28,45 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm.components import connected_components
-from tracewright.llm.membership import bitmap, contains, slot
+from tracewright.llm.membership import bitmap, contains
+from tracewright.llm.skew import join_heavy
 from tracewright.storage import stash
 
-MIN_CHARS = 12
-DISTANCE, PARTS = 3, 6
 SIMILARITY = 0.85
-#: Cells by minima, and minima that must agree in each.
-BANDS, ROWS = 16, 5
-#: Lines of fewer characters also have cells by their 4-grams.
-SHORT_CHARS = 48
+#: Blocks of a SimHash, and cells, each of BLOCKS / CELLS blocks.
+BLOCKS, CELLS = 36, 12
+#: Blocks of which two forms that aren't short must share the last byte to be verified.
+NEAR = 8
+#: Forms of fewer characters also have cells by 3-grams; no two different forms of fewer than LEAST_CHARS reach the similarity.
+SHORT_CHARS, LEAST_CHARS = 48, 7
 #: Characters that are read at a time.
 STEP_CHARS = 400_000
+#: Characters whose grams are hashed at a time, so that they stay in the processor's cache.
+GRAM_STEP = 1 << 15
+#: Line classes that a task keeps in mind, so as not to deal a repeated line again.
+KEPT_LINES = 1_000_000
+#: One of so many texts is looked at for cells that many lines share; at most HOT_CELLS are then dealt to SALTS tasks each.
+SAMPLE, HOT_ROWS, HOT_CELLS, SALTS = 64, 50, 10_000, 64
+#: Forms of a cell in one task.
+TILE = 1_000
 _BASE = 0x5851F42D4C957F2D
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
+_LOW = np.uint64((1 << 40) - 1)
 
 
 def _folding() -> np.ndarray:
-    """For each code point what it counts as: itself in lower case, 0 for a digit; nothing (zero) if it is part of no word."""
+    """For each code point what it counts as: itself in lower case; nothing (zero) if it is part of no word."""
     out = np.zeros(0x110000, dtype=np.uint32)
     for code in range(0x110000):
         char = chr(code)
         if char.isalnum() or char == "_":
             low = char.lower()
-            out[code] = ord("0") if char.isdecimal() else ord(low) if len(low) == 1 else code
+            out[code] = ord(low) if len(low) == 1 else code
     return out
 
 
@@ -63,15 +79,18 @@ def _table(name: str, make: Callable[[], np.ndarray]) -> np.ndarray:
     return _tables[name]
 
 
-def normal_words(line: str) -> list[str]:
-    fold = _table("fold", _folding)
-    codes = fold[np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def normal_form(line: str) -> str:
+    codes = _table("fold", _folding)[_codes(line)]
     codes[codes == 0] = 32
-    return codes.tobytes().decode("utf-32-le", "surrogatepass").split()
+    return " ".join(codes.tobytes().decode("utf-32-le", "surrogatepass").split())
 
 
-def _powers(base: int) -> np.ndarray:
-    out = np.full(STEP_CHARS + 1, base, dtype=np.uint64)
+def _powers(base: int, n: int = STEP_CHARS) -> np.ndarray:
+    out = np.full(n + 1, base, dtype=np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
@@ -82,117 +101,138 @@ def _mixed(h: np.ndarray, turn: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def read_lines(text: str, min_chars: int = MIN_CHARS, wide: bool = False) -> tuple[np.ndarray, ...]:
-    """Of the lines of ``text`` whose normal form is long enough: numbers, digests (two 64-bit halves) and SimHashes.
-
-    If ``wide``, also their lengths and bands (see ``_bands``).
+class Lines:
+    """The lines with words of a text: numbers, digests (two 64-bit halves) and lengths of their forms, and the forms.
 
     A word's hash is a difference of running sums over all characters, and a line's digest a sum over its
-    words, so nothing is done word by word. The text is read in parts of whole lines.
+    words, so nothing is done word by word.
     """
-    parts, at, no = [], 0, 0
-    while at <= len(text):
-        # Whole lines up to STEP_CHARS; a longer line goes alone.
-        end = len(text) if len(text) - at <= STEP_CHARS else text.rfind("\n", at, at + STEP_CHARS)
-        if end < at:
-            end = text.find("\n", at)
-            end = len(text) if end < 0 else end
-        part = text[at:end]
-        numbers, *others = _read_part(part, min_chars, wide)
-        parts.append((numbers + no, *others))
-        no += part.count("\n") + 1
-        at = end + 1
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-
-
-def _read_part(text: str, min_chars: int, wide: bool) -> tuple[np.ndarray, ...]:
-    none = np.zeros(0, np.int64), np.zeros((0, 2), np.uint64), np.zeros(0, np.int64), *((np.zeros(0, np.int64), np.zeros(0, object)) if wide else ())
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    folded = _table("fold", _folding)[codes]
-    inside = np.concatenate([[False], folded != 0, [False]])
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return none
-    power, back = (_table("power", lambda: _powers(_BASE)), _table("back", lambda: _powers(pow(_BASE, -1, 1 << 64)))) if len(codes) <= STEP_CHARS else (_long_powers(_BASE, len(codes)), _long_powers(pow(_BASE, -1, 1 << 64), len(codes)))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(folded.astype(np.uint64) * power[: len(codes)], dtype=np.uint64)])
-    sizes = ends - starts
-    words = _mixed((sums[ends] - sums[starts]) * back[starts] + sizes.astype(np.uint64), 0)
-    lines = np.searchsorted(np.flatnonzero(codes == 10), starts)
-    first = np.flatnonzero(np.diff(lines, prepend=-1))
-    counts = np.diff(np.append(first, len(lines)))
-    chars = np.add.reduceat(sizes, first) + counts - 1
-    place = (np.arange(len(lines)) - np.repeat(first, counts)).astype(np.uint64)
-    halves = [_mixed(np.add.reduceat(_mixed(words + place * np.uint64(0x9E3779B97F4A7C15), turn), first), turn) for turn in (1, 2)]
-    long = chars >= min_chars
-    more = (chars[long], _bands(folded, starts, ends, words, first, counts, chars)[long]) if wide else ()
-    return lines[first][long].astype(np.int64), np.stack(halves, axis=1)[long], _simhashes(words, np.minimum(sizes, 12), first, counts)[long], *more
-
-
-def _minima(hashes: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """``BANDS`` numbers for each group of ``hashes``, each of ``ROWS`` minima."""
-    turns = _table("turns", lambda: _mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64), 3) | np.uint64(1))
-    out = np.zeros((BANDS, len(first)), dtype=np.uint64)
-    a = 0
-    while a < len(first):
-        b = max(a + 1, int(np.searchsorted(first, first[a] + 4_000)))
-        some = hashes[first[a] : first[b - 1] + counts[b - 1]]
-        for k in range(BANDS):
-            for turn in turns[k * ROWS : (k + 1) * ROWS]:
-                out[k, a:b] = _mixed(out[k, a:b] + np.minimum.reduceat((some ^ turn) * turn, first[a:b] - first[a]), 4)
-        a = b
-    return (out >> np.uint64(32)).astype(np.uint32).view(np.int32).T
-
-
-def _bands(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray, first: np.ndarray, counts: np.ndarray, chars: np.ndarray) -> np.ndarray:
-    """For each line the bands of its words and, if it is short, those of its normal form's 4-grams."""
-    out = np.empty(len(first), dtype=object)
-    out[:] = list(_minima(words, first, counts))
-    short = np.flatnonzero((chars < SHORT_CHARS) & (chars >= 4))
-    if len(short):
-        # The normal forms, each word with a space behind it.
-        form = np.append(folded, 0).astype(np.uint64)
-        form[ends] = 32
-        kept = form != 0
-        form, at = form[kept], (np.cumsum(kept) - 1)[starts[first[short]]]
-        n = chars[short] - 3
-        begin = np.cumsum(n) - n
-        places = np.arange(n.sum()) + np.repeat(at - begin, n)
-        grams = np.zeros(len(places), dtype=np.uint64)
-        for k in range(4):
-            grams = _mixed(grams + form[places + k], 5)
-        for k, band in zip(short, _minima(grams, begin, n), strict=True):
-            out[k] = np.concatenate([out[k], band])
-    return out
-
 
-def _long_powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def _simhashes(words: np.ndarray, weights: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """For each line the bits that most of its words' weight is for."""
-    out = np.zeros((len(first), 64), dtype=bool)
+    def __init__(self, text: str) -> None:
+        codes = _codes(text)
+        folded = _table("fold", _folding)[codes]
+        inside = np.concatenate([[False], folded != 0, [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        lines = np.searchsorted(np.flatnonzero(codes == 10), starts)
+        first = np.flatnonzero(np.diff(lines, prepend=-1))
+        self.number = lines[first].astype(np.int64)
+        if not len(starts):
+            self.digest, self.chars = np.zeros((0, 2), np.uint64), np.zeros(0, np.int64)
+            return
+        power, back = (_table("power", lambda: _powers(_BASE)), _table("back", lambda: _powers(pow(_BASE, -1, 1 << 64))))
+        if len(codes) > STEP_CHARS:
+            power, back = _powers(_BASE, len(codes)), _powers(pow(_BASE, -1, 1 << 64), len(codes))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(folded.astype(np.uint64) * power[: len(codes)], dtype=np.uint64)])
+        sizes = ends - starts
+        words = _mixed((sums[ends] - sums[starts]) * back[starts] + sizes.astype(np.uint64), 0)
+        counts = np.diff(np.append(first, len(lines)))
+        self.chars = np.add.reduceat(sizes, first) + counts - 1
+        place = (np.arange(len(lines)) - np.repeat(first, counts)).astype(np.uint64)
+        self.digest = np.stack([_mixed(np.add.reduceat(_mixed(words + place * _PRIME, turn), first), turn) for turn in (1, 2)], axis=1)
+        # The forms, end to end, each word with a space behind it.
+        stream = np.append(folded, np.uint32(0))
+        stream[ends] = 32
+        kept = stream != 0
+        self.stream, self.at = stream[kept], (np.cumsum(kept) - 1)[starts[first]]
+
+    def form(self, k: int) -> str:
+        return self.stream[self.at[k] : self.at[k] + self.chars[k]].tobytes().decode("utf-32-le", "surrogatepass")
+
+    def blocks(self, some: np.ndarray, n: int) -> np.ndarray:
+        """The SimHashes of ``some`` lines by their ``n``-grams: 40 bits for each block."""
+        at, grams = self.at[some], self.chars[some] + 2 - n
+        ends = np.cumsum(grams)
+        out, a = np.zeros((len(some), BLOCKS), dtype=np.uint64), 0
+        while a < len(some):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] - grams[a] + GRAM_STEP)))
+            out[a:b] = self._blocks(at[a:b], grams[a:b], n)
+            a = b
+        return out
+
+    def _blocks(self, at: np.ndarray, grams: np.ndarray, n: int) -> np.ndarray:
+        begin = np.cumsum(grams) - grams
+        places = np.arange(grams.sum()) + np.repeat(at - begin, grams)
+        h = np.zeros(len(places), dtype=np.uint64)
+        for k in range(n):
+            h = h * np.uint64(_BASE) + self.stream[places + k]
+        h = _mixed(h, 5)
+        # A gram's block, its line's number before that, and its hash behind: the first of each is the heaviest.
+        vote = (np.repeat(np.arange(len(at), dtype=np.uint64), grams) * np.uint64(BLOCKS) + (((h >> np.uint64(40)) * np.uint64(BLOCKS)) >> np.uint64(24))) << np.uint64(40)
+        vote |= h & _LOW
+        vote.sort()
+        block = (vote >> np.uint64(40)).astype(np.int64)
+        heaviest = np.flatnonzero(np.diff(block, prepend=-1))
+        out, have = np.zeros(len(at) * BLOCKS, dtype=np.uint64), np.zeros(len(at) * BLOCKS, dtype=bool)
+        out[block[heaviest]], have[block[heaviest]] = vote[heaviest] & _LOW, True
+        empty = np.flatnonzero(~have)
+        if len(empty):
+            size = grams[empty // BLOCKS]
+            first = np.cumsum(size) - size
+            all_grams = h[np.arange(size.sum()) + np.repeat(begin[empty // BLOCKS] - first, size)]
+            turned = _mixed(all_grams ^ np.repeat((empty % BLOCKS + 1).astype(np.uint64) * _PRIME, size), 6)
+            out[empty] = np.minimum.reduceat(turned, first) & _LOW
+        return out.reshape(len(at), BLOCKS)
+
+    def cells(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cells of ``some`` lines, and the line of each."""
+        chars = self.chars[some]
+        names, owners = [], []
+        for n, mine in ((4, some[chars >= LEAST_CHARS]), (3, some[(chars >= LEAST_CHARS) & (chars < SHORT_CHARS)])):
+            if len(mine):
+                blocks = self.blocks(mine, n).reshape(len(mine), CELLS, BLOCKS // CELLS)
+                h = np.broadcast_to(np.arange(CELLS, dtype=np.uint64) + np.uint64(n * CELLS), blocks.shape[:2])
+                for k in range(BLOCKS // CELLS):
+                    h = _mixed(h * _PRIME + blocks[:, :, k], 4)
+                names.append(h.view(np.int64).ravel())
+                owners.append(np.repeat(mine, CELLS))
+        return np.concatenate(names) if names else np.zeros(0, np.int64), np.concatenate(owners) if owners else np.zeros(0, np.int64)
+
+
+def parts(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, Lines]]:
+    """The texts' lines, some texts or a part of a long one at a time: for each line its text's place and its number there."""
     a = 0
-    while a < len(first):  # some 4,000 words at a time stay in the processor's cache
-        b = max(a + 1, int(np.searchsorted(first, first[a] + 4_000)))
-        some = slice(first[a], first[b - 1] + counts[b - 1])
-        kind = np.int16 if some.stop - some.start < 2_700 or counts[a:b].max() < 2_700 else np.int32
-        weigh = weights[some].astype(kind)
-        bits = np.unpackbits(words[some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits * weigh[:, None], first[a:b] - first[a], axis=0)
-        out[a:b] = 2 * ones.astype(np.int32) > np.add.reduceat(weigh.astype(np.int32), first[a:b] - first[a])[:, None]
+    while a < len(texts):
+        b, have = a, 0
+        while b < len(texts) and (b == a or have + len(texts[b] or "") < STEP_CHARS):
+            have += len(texts[b] or "") + 1
+            b += 1
+        if b > a + 1 or have <= STEP_CHARS:
+            some = [t or "" for t in texts[a:b]]
+            before = np.cumsum([0, *(t.count("\n") + 1 for t in some)])
+            lines = Lines("\n".join(some))
+            owner = np.searchsorted(before, lines.number, side="right") - 1
+            yield a + owner, lines.number - before[owner], lines
+        else:  # whole lines up to STEP_CHARS; a longer line goes alone
+            text, at, no = texts[a] or "", 0, 0
+            while at <= len(text):
+                end = len(text) if len(text) - at <= STEP_CHARS else text.rfind("\n", at, at + STEP_CHARS)
+                if end < at:
+                    end = text.find("\n", at)
+                    end = len(text) if end < 0 else end
+                lines = Lines(text[at:end])
+                yield np.full(len(lines.number), a), lines.number + no, lines
+                no += text.count("\n", at, end) + 1
+                at = end + 1
         a = b
-    return np.packbits(out, axis=1, bitorder="little").view("<i8").ravel()
 
 
-class Simhasher:
-    """SimHashes of lists of words."""
+class _Unseen:
+    """Leaves out lines that the task has had (or has had too long ago to know)."""
 
-    def hashes(self, lines: list[list[str]]) -> np.ndarray:
-        return np.concatenate([read_lines(" ".join(words), 0)[2] for words in lines])
+    def __init__(self) -> None:
+        self.seen: set[int] = set()
+
+    def __call__(self, lines: Lines, among: np.ndarray | None = None) -> np.ndarray:
+        names, at = np.unique(lines.digest[:, 0], return_index=True)
+        out = []
+        for name, k in zip(names.tolist(), at.tolist(), strict=True):
+            if name not in self.seen and (among is None or among[k]):
+                self.seen.add(name)
+                out.append(k)
+        if len(self.seen) > KEPT_LINES:
+            self.seen.clear()
+        return np.array(sorted(out), dtype=np.int64)
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -229,155 +269,209 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     return abs(len(a) - len(b)) <= (1 - least) * longer and 1 - edit_distance(a, b) / longer >= least
 
 
-def cells(simhash: Column, distance: int = DISTANCE, parts: int = PARTS) -> Column:
-    """An array of cells: for each choice of ``parts - distance`` blocks, their bits and the choice's number."""
-    cuts = [round(64 * k / parts) for k in range(parts + 1)]
-    blocks = [F.shiftrightunsigned(simhash, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:], strict=False)]
-    return F.array(*[F.xxhash64(F.lit(k), *[blocks[c] for c in choice]) for k, choice in enumerate(itertools.combinations(range(parts), parts - distance))])
+def _keys(digest: np.ndarray) -> list[bytes]:
+    raw = np.ascontiguousarray(digest).tobytes()
+    return [raw[k : k + 16] for k in range(0, len(raw), 16)]
 
 
-def _lines(rows: DataFrame, kind: str, min_chars: int, wide: bool) -> DataFrame:
-    """``doc_id, line_no, line, simhash`` of every line that is long enough; ``line`` is the normal form's digest.
+def _lines(rows: DataFrame) -> DataFrame:
+    """``doc_id, body, line_no, key`` of every line with words; ``key`` is the form's digest."""
 
-    If ``wide``, also ``chars`` and ``bands``.
-    """
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for owner, number, lines in parts(batch.column("text").to_pylist()):
+                # Taken in Arrow, so that ids of any type keep their values and nulls.
+                own = [batch.column(c).take(pa.array(owner)) for c in ("doc_id", "body")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(number.astype(np.int32)), pa.array(_keys(lines.digest), pa.binary())], ["doc_id", "body", "line_no", "key"])
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(split, f"doc_id {kind}, body long, line_no int, key binary")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``cell, line`` of every form; ``line`` is the first half of its digest. A task deals a repeated line once."""
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unseen = _Unseen()
         for batch in batches:
-            names, texts = batch["doc_id"].to_numpy(), batch["text"].fillna("")
-            a = 0
-            while a < len(texts):
-                # Texts are read as one, and lines numbered anew in each.
-                b, have = a, 0
-                while b < len(texts) and (b == a or have + len(texts.iloc[b]) < STEP_CHARS):
-                    have += len(texts.iloc[b]) + 1
-                    b += 1
-                some = texts.iloc[a:b]
-                before = np.cumsum([0, *(t.count("\n") + 1 for t in some)])
-                numbers, digests, hashes, *more = read_lines("\n".join(some), min_chars, wide)
-                owner = np.searchsorted(before, numbers, side="right") - 1
-                raw = digests.tobytes()
-                found = {"doc_id": names[a:b][owner], "line_no": numbers - before[owner], "line": [raw[k : k + 16] for k in range(0, len(raw), 16)], "simhash": hashes}
-                yield pd.DataFrame(found | dict(zip(("chars", "bands"), more, strict=False)))
-                a = b
+            for _, _, lines in parts(list(batch["text"])):
+                cell, owner = lines.cells(unseen(lines))
+                yield pd.DataFrame({"cell": cell, "line": lines.digest[owner, 0].view(np.int64)})
 
-    return rows.mapInPandas(split, f"doc_id {kind}, line_no int, line binary, simhash long" + (", chars int, bands array<int>" if wide else ""))
+    return rows.select("text").mapInPandas(deal, "cell long, line long")
 
 
-def _texts(rows: DataFrame, kind: str, pairs: DataFrame, places: DataFrame) -> DataFrame:
-    """``line, form``: the normal forms of the lines in ``pairs`` (``a, b``), found at their ``places`` (``line, doc_id, line_no``).
+def _met(rows: DataFrame) -> DataFrame:
+    """``cell, line, pivot`` of the cells that several lines have.
 
-    A broadcast bitmap leaves out most documents that have none of these lines before the join.
+    There is one exchange of all cells. Those that many lines of the sample have are dealt to several tasks, and their pivot comes
+    from the sample; a cell that the sample does not show as large is complete in one task.
     """
-    wanted = stash(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct().join(places, "line"), "wanted")
-    has = bitmap(wanted.select(F.col("doc_id").cast("string").alias("key")), "key")
+    shown = _dealt(rows.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)).groupBy("cell").agg(F.count("*").alias("n"), F.min("line").alias("known"))
+    hot = stash(shown.filter(F.col("n") >= HOT_ROWS).orderBy(F.desc("n"), "cell").limit(HOT_CELLS).select("cell", "known"), "hot-cells")
+    salt = F.when(F.col("known").isNull(), 0).otherwise(F.pmod(F.col("line"), F.lit(SALTS)))
+    dealt = _dealt(rows).join(F.broadcast(hot), "cell", "left").withColumn("salt", salt)
+    own = Window.partitionBy("cell", "salt")
+    met = dealt.withColumns({"low": F.min("line").over(own), "high": F.max("line").over(own)})
+    return met.filter("known IS NOT NULL OR low <> high").select("cell", "line", F.coalesce("known", "low").alias("pivot")).distinct()
+
+
+def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``line, key, chars, blocks, form`` of the lines in ``wanted``. A broadcast bitmap leaves out most others before the join."""
+    has = bitmap(wanted, "line", hashed=True)
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unseen = _Unseen()
         for batch in batches:
-            out = []
-            some = batch[contains(has.value, batch["slot"].to_numpy())]
-            for name, text in zip(some["doc_id"], some["text"], strict=True):
-                out += [(name, k, line) for k, line in enumerate((text or "").split("\n"))]
-            yield pd.DataFrame(out, columns=["doc_id", "line_no", "raw"])
+            for _, _, lines in parts(list(batch["text"])):
+                some = unseen(lines, contains(has.value, (lines.digest[:, 0] & np.uint64(len(has.value) * 8 - 1)).astype(np.int64)))
+                last = (lines.blocks(some, 4) & np.uint64(255)).astype(np.uint8) if len(some) else np.zeros((0, BLOCKS), np.uint8)
+                yield pd.DataFrame({"line": lines.digest[some, 0].view(np.int64), "key": _keys(lines.digest[some]), "chars": lines.chars[some], "blocks": [x.tobytes() for x in last], "form": pd.Series([lines.form(k) for k in some], dtype=object)})
 
-    slotted = rows.select("doc_id", slot(F.col("doc_id").cast("string")).alias("slot"), "text")
-    lines = slotted.mapInPandas(pick, f"doc_id {kind}, line_no int, raw string")
-    found = lines.join(wanted, ["doc_id", "line_no"])
+    found = rows.select("text").mapInPandas(pick, "line long, key binary, chars int, blocks binary, form string")
+    return found.join(wanted, "line", "left_semi").dropDuplicates(["line", "key"])
+
+
+def _near(x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs of last bytes ``x, y`` and lengths ``m, n`` are to be verified."""
+    fits = np.abs(m - n) <= (1 - least) * np.maximum(m, n)
+    return fits & ((np.minimum(m, n) < SHORT_CHARS) | ((x == y).sum(axis=-1) >= NEAR))
 
-    def normalise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"line": batch["line"], "form": [" ".join(normal_words(x)) for x in batch["raw"]]})
 
-    return stash(found.select("line", "raw").mapInPandas(normalise, "line long, form string").dropDuplicates(["line"]), "line-texts")
+def _block_array(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(-1, BLOCKS)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """``a, b`` of the pairs whose forms reach the edit similarity."""
-    rows = pairs.join(texts.select(F.col("line").alias("a"), F.col("form").alias("x")), "a")
-    rows = rows.join(texts.select(F.col("line").alias("b"), F.col("form").alias("y")), "b")
-    rows = rows.filter(F.abs(F.length("x") - F.length("y")) <= (1 - least) * F.greatest(F.length("x"), F.length("y")))
+def _verified(pairs: DataFrame, texts: DataFrame, on: str, least: float) -> DataFrame:
+    """``a, b``: keys of the pairs (of keys or of their halves, as ``on`` says) whose forms reach the edit similarity."""
+    x, y = (texts.select(F.col(on).alias(k), F.col("key").alias(f"key_{k}"), F.col("chars").alias(f"chars_{k}"), F.col("blocks").alias(f"blocks_{k}"), F.col("form").alias(f"form_{k}")) for k in "ab")
+    few = ["key", "chars", "blocks"]
+    rows = pairs.join(x.select("a", *[f"{c}_a" for c in few]), "a").join(y.select("b", *[f"{c}_b" for c in few]), "b")
+    rows = rows.filter(F.abs(F.col("chars_a") - F.col("chars_b")) <= (1 - least) * F.greatest("chars_a", "chars_b"))
+
+    def comparable(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ok = _near(_block_array(batch["blocks_a"]), _block_array(batch["blocks_b"]), batch["chars_a"].to_numpy(), batch["chars_b"].to_numpy(), least)
+            yield batch.loc[ok, ["key_a", "key_b"]]
+
+    near = stash(rows.select(*[f"{c}_{k}" for k in "ab" for c in few]).mapInPandas(comparable, "key_a binary, key_b binary"), "near-lines")
+    rows = near.join(x.select("key_a", "form_a"), "key_a").join(y.select("key_b", "form_b"), "key_b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ok = [similar(x, y, least) for x, y in zip(batch["x"], batch["y"], strict=True)]
-            yield batch.loc[ok, ["a", "b"]]
+            ok = [similar(x, y, least) for x, y in zip(batch["form_a"], batch["form_b"], strict=True)]
+            yield pd.DataFrame({"a": batch["key_a"][ok], "b": batch["key_b"][ok]})
 
-    return rows.select("a", "b", "x", "y").mapInPandas(verify, "a long, b long")
+    return rows.mapInPandas(verify, "a binary, b binary")
 
 
-def line_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY, distance: int = DISTANCE, parts: int = PARTS, min_chars: int = MIN_CHARS, wide: bool = False) -> DataFrame:
-    """``doc_id, line_no, group_id, kept`` of every line that is long enough and has others like it.
+def _search_cells(left: DataFrame, least: float) -> DataFrame:
+    """``a, b`` (a < b): pairs of different components that meet in a cell and are to be verified.
 
-    ``group_id`` is a number for the connected group, the same within one call. Lines are compared if their SimHashes are
-    within ``distance``; if ``wide``, also if they share a cell by minima.
+    ``left`` has ``cell, key, chars, blocks, component`` and the number ``n`` of the cell's forms.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    lines = stash(_lines(rows, kind, min_chars, wide), "lines")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
-    traits = ["simhash", "chars", "bands"] if wide else ["simhash"]
-    carried = [c for c in traits if c != "bands"]
-    classes = lines.groupBy(F.col("line").alias("digest")).agg(*[F.first(c).alias(c) for c in traits], F.min(place).alias("place"), F.count("*").alias("n"))
-    classes = stash(classes.withColumn("line", F.monotonically_increasing_id()), "line-classes")
-    dealt_to = cells(F.col("simhash"), distance, parts)
-    if wide:  # a cell's last bit says whether it is one by minima
-        banded = F.transform("bands", lambda band, k: F.xxhash64(F.lit("band"), k, band).bitwiseOR(F.lit(1)))
-        dealt_to = F.concat(F.transform(dealt_to, lambda c: c.bitwiseAND(F.lit(-2))), banded)
-
-    def comparable(x: str, y: str, cell: str) -> Column:
-        near = F.bit_count(F.col(f"{x}simhash").bitwiseXOR(F.col(f"{y}simhash"))) <= distance
-        if not wide:
-            return near
-        m, n = F.col(f"{x}chars"), F.col(f"{y}chars")
-        # No pair whose lengths differ by more reaches the edit similarity.
-        return (near | (F.col(cell).bitwiseAND(F.lit(1)) == 1)) & (F.abs(m - n) <= (1 - least) * F.greatest(m, n))
-
-    dealt = classes.select("line", F.explode(dealt_to).alias("cell"))
-    several = dealt.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").select("cell")
-    met = dealt.join(several, "cell")
-    met = stash(met.join(classes.select("line", *carried, (-F.col("n")).alias("rare")), "line"), "line-cells")
-    # The pivot of a cell is its most frequent line: others are mostly variants of it. Its hash comes along.
-    pivots = met.groupBy("cell").agg(F.min(F.struct("rare", "line", *carried)).alias("pivot"))
-    met = met.join(pivots, "cell")
-    spanning = met.filter(comparable("", "pivot.", "cell") & (F.col("line") != F.col("pivot.line"))).select(F.least("pivot.line", "line").alias("a"), F.greatest("pivot.line", "line").alias("b")).distinct()
-    spanning = stash(spanning, "spanning")
-    places = classes.select("line", "place.doc_id", "place.line_no")
-    links = stash(_verified(spanning, _texts(rows, kind, spanning, places), least), "line-links")
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    own = F.pmod(F.xxhash64("key"), tiles).cast("int")
+    # Of a cell in k tiles, a form goes to the k pairs of its own tile with each.
+    dealt = left.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    dealt = dealt.select("cell", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "key", "chars", "blocks", "component")
+
+    def search(tile: pd.DataFrame, i: int, j: int) -> list[tuple[bytes, bytes]]:
+        x, y = (np.flatnonzero(tile["own"] == k) for k in (i, j))
+        chars, blocks, out = tile["chars"].to_numpy(), _block_array(tile["blocks"]), []
+        component, key = pd.factorize(tile["component"])[0], tile["key"].to_numpy()
+        y = y[np.argsort(chars[y], kind="stable")]
+        for k in x:  # against those of a fitting length
+            some = y[np.searchsorted(chars[y], chars[k] * least) : np.searchsorted(chars[y], chars[k] / least + 1, side="right")]
+            some = some[component[some] != component[k]]
+            some = some[_near(blocks[some], blocks[k], chars[some], chars[k], least)]
+            out += [(min(key[k], key[m]), max(key[k], key[m])) for m in some if i != j or key[k] < key[m]]
+        return out
+
+    def search_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by tile; one may go on in the next batch, and has 2 TILE rows or so."""
+        waiting: pd.DataFrame | None = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                waiting = batch if waiting is None else pd.concat([waiting, batch], ignore_index=True)
+            if waiting is None or not len(waiting):
+                continue
+            tile = waiting[["cell", "i", "j"]].to_numpy()
+            ends = np.append(np.flatnonzero((tile[1:] != tile[:-1]).any(axis=1)) + 1, len(tile))
+            out, a = [], 0
+            for b in ends if batch is None else ends[:-1]:
+                out += search(waiting.iloc[a:b], tile[a, 1], tile[a, 2])
+                a = b
+            waiting = waiting.iloc[a:].reset_index(drop=True)
+            yield pd.DataFrame(out, columns=["a", "b"])
+
+    count = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(count, "cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInPandas(search_tiles, "a binary, b binary").distinct()
+
+
+def line_links(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """``a, b``: keys of linked forms, enough of them that all linked forms are connected. ``rows`` has the ``text``."""
+    met = stash(_met(rows), "line-cells")
+    texts = stash(_texts(rows, met.select("line").distinct()), "line-texts")
+    spanning = met.filter("line <> pivot").select(F.col("pivot").alias("a"), F.col("line").alias("b")).distinct()
+    links = stash(_verified(spanning, texts, "line", least), "line-links")
     groups = connected_components(links)
     # Everything has been compared with the pivots, so the others are left, where there are two at least.
-    named = met.filter("line <> pivot.line").select("cell", "line", *carried).join(groups.withColumnRenamed("node", "line"), "line", "left").select("cell", "line", *carried, F.coalesce("component", "line").alias("component"))
-    mixed = named.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("cell", "low")
-    left = stash(named.join(mixed, "cell"), "mixed-line-cells")
-    x, y = left.filter("component <> low").alias("x"), left.alias("y")
-    apart = (F.col("x.component") != F.col("y.component")) & comparable("x.", "y.", "x.cell")
-    pairs = x.join(y, (F.col("x.cell") == F.col("y.cell")) & apart)
-    pairs = pairs.select(F.least("x.line", "y.line").alias("a"), F.greatest("x.line", "y.line").alias("b")).distinct()
-    pairs = stash(pairs.join(spanning, ["a", "b"], "left_anti"), "line-pairs")
-    more = _verified(pairs, _texts(rows, kind, pairs, places), least)
-    groups = connected_components(stash(links.unionByName(more), "line-links"))
-    found = classes.join(groups.select(F.col("node").alias("line"), "component"), "line", "left").filter("n > 1 OR component IS NOT NULL")
-    found = found.select("digest", F.coalesce("component", "line").alias("group_id"), "place")
-    first = found.groupBy("group_id").agg(F.min("place").alias("first"))
-    found = found.join(first, "group_id").select(F.col("digest").alias("line"), "group_id", "first")
-    return lines.select("doc_id", "line_no", "line").join(found, "line").select("doc_id", "line_no", "group_id", (place == F.col("first")).alias("kept"))
-
-
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY, distance: int = DISTANCE, parts: int = PARTS, min_chars: int = MIN_CHARS, wide: bool = False) -> DataFrame:
+    traits = texts.select("line", "key", "chars", "blocks").join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    named = met.filter("line <> pivot").select("cell", "line").join(traits.select("line", "component"), "line")
+    mixed = stash(named.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low <> high").select("cell", "n"), "mixed-line-cells")
+    if mixed.isEmpty():
+        return links
+    left = met.filter("line <> pivot").select("cell", "line").join(mixed, "cell").join(traits, "line")
+    pairs = stash(_search_cells(left, least), "line-pairs")
+    return stash(links.unionByName(_verified(pairs, texts, "key", least)), "line-links")
+
+
+def line_groups(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """``doc_id, body, line_no, group_id, kept`` of every line that has others like it; ``rows`` has ``doc_id, text`` and the text's hash ``body``."""
+    lines = stash(_lines(rows), "lines")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body", "line_no")
+    classes = lines.groupBy("key").agg(F.min(place).alias("place"), F.count("*").alias("n"))
+    groups = connected_components(line_links(rows, least)).withColumnRenamed("node", "key")
+    found = classes.join(groups, "key", "left").filter("n > 1 OR component IS NOT NULL").withColumn("group_id", F.coalesce("component", "key"))
+    found = stash(found.select("key", "group_id", "place", "n"), "line-classes")
+    first = found.groupBy("group_id").agg(F.min("place").alias("first"), F.count("*").alias("members"))
+    found = stash(join_heavy(found.select("key", "group_id", "n"), first, "group_id", "members").select("key", "group_id", "first", "n"), "line-groups")
+    return join_heavy(lines, found, "key", "n").select("doc_id", "body", "line_no", "group_id", (place == F.col("first")).alias("kept"))
+
+
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """All rows of ``docs``, with the dropped lines taken out of their texts, and ``n_lines, n_dropped``.
 
     Of each group of alike lines the occurrence in the smallest ``doc_id`` (a null one is the largest),
     and there the first, stays. Lines are what newlines part; those kept are joined by newlines
-    again. A null text stays null with 0 lines, an empty text is one line; rows that repeat a
-    ``doc_id`` are taken for one document, of which each line goes from all of them or from none.
-    Other columns stay as they are, but ``n_lines`` and ``n_dropped`` are replaced.
+    again. A null text stays null with 0 lines, an empty text is one line; lines without words stay. Rows that repeat a
+    ``doc_id`` with another text are ordered by the text's hash; those that repeat both are taken for one
+    document, and none of its lines goes on account of the repetition. An empty table stays empty.
+    Other columns stay as they are, whatever their names, but ``n_lines`` and ``n_dropped`` are replaced.
     """
-    groups = line_groups(docs, doc_id, text, least, distance, parts, min_chars, wide)
-    gone = groups.groupBy(F.col("doc_id").alias("_id"), "line_no").agg(F.bool_or("kept").alias("kept")).filter("NOT kept").groupBy("_id").agg(F.collect_list("line_no").alias("_gone"))
+    # One column holds a whole row, so that no inner name can clash with one of its own.
     docs = docs.drop("n_lines", "n_dropped")
-    found = docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_id")), "left")
-    lines = F.split(F.col(text), "\n", -1)
-    none = F.array().cast("array<int>")
-    stays = F.filter(lines, lambda _, k: ~F.array_contains(F.coalesce("_gone", none), k))
-    out = {c: F.col(f"`{c}`") for c in docs.columns} | {text: F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(stays, "\n"))}
-    counts = {"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
-    return found.select(*[c.alias(k) for k, c in out.items()], *[c.alias(k) for k, c in counts.items()])
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    own_id, own_text = F.col("row").getField(doc_id), F.col("row").getField(text)
+    rows = packed.select(own_id.alias("doc_id"), own_text.alias("text"), F.xxhash64(own_text).alias("body"))
+    gone = line_groups(rows, least).filter("NOT kept").groupBy(F.col("doc_id").alias("id"), "body").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
+    found = packed.withColumn("body", F.xxhash64(own_text)).join(gone.withColumnRenamed("body", "of"), own_id.eqNullSafe(F.col("id")) & (F.col("body") == F.col("of")), "left")
+
+    @F.pandas_udf("string")
+    def without(texts: pd.Series, numbers: pd.Series) -> pd.Series:
+        out = []
+        for t, some in zip(texts, numbers, strict=True):
+            if some is None:
+                out.append(None)
+                continue
+            drop = set(some.tolist())
+            out.append("\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop))
+        return pd.Series(out, dtype=object)
+
+    shorter = without(F.when(F.col("gone").isNotNull(), own_text), F.col("gone"))
+    found = found.withColumn("shorter", shorter)
+    out = {c: F.col("row").getField(c) for c in docs.columns} | {text: F.coalesce("shorter", own_text)}
+    n_lines = F.coalesce(F.length(own_text) - F.length(F.replace(own_text, F.lit("\n"), F.lit(""))) + 1, F.lit(0))
+    n_dropped = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
+    return found.select(*[c.alias(k) for k, c in out.items()], n_lines.cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped"))

@@ -21,9 +21,12 @@ def slot(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(1 << BITS))
 
 
-def bitmap(keys: DataFrame, key: str) -> Broadcast:
-    """The bitmap of all keys, in bytes of eight. At most 64 pieces of 128 kB reach the driver."""
-    words = keys.select(slot(F.col(key)).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+def bitmap(keys: DataFrame, key: str, hashed: bool = False) -> Broadcast:
+    """The bitmap of all keys, in bytes of eight. At most 64 pieces of 128 kB reach the driver.
+
+    Keys that are hashes themselves (``hashed``, long integers) have their last ``BITS`` bits as their place.
+    """
+    words = keys.select((F.col(key).bitwiseAND(F.lit((1 << BITS) - 1)) if hashed else slot(F.col(key))).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
     size = 1 << (BITS - 12)  # words in a piece
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
