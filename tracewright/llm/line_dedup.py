@@ -2,14 +2,15 @@
 
 1. *Normalise.* A line's normal form is its words in lower case, one space apart. Lines with one form are one *line
    class*. A line without words always stays.
-2. *SimHash.* The features of a form are its 4-grams of characters, and its SimHash has ``BLOCKS`` blocks of 40 bits. In a
+2. *SimHash.* The features of a form are its 8-grams of characters (5-grams if it is short), and its SimHash has ``BLOCKS`` blocks of 40 bits. In a
    plain SimHash one changed word moves bits all over the hash, and hardly a block of a useful size stays whole. Here every
    gram votes in one block, and the weights of a block's grams are powers of two in the order of their hashes, so the
    heaviest outvotes all others together: a block's bits are those of its heaviest gram (which makes it a minwise hash), and
    what two forms differ in moves few blocks, as wholes. A block that no gram fell to is voted on by all grams.
 3. *Pigeonhole.* A form goes to ``CELLS`` cells, each of which is named by ``BLOCKS / CELLS`` blocks: SimHashes that
-   differ in fewer than ``CELLS`` blocks share a cell for certain, and others often do. Forms of fewer than ``SHORT_CHARS``
-   characters have as many cells again by 3-grams, of which an edit changes fewer.
+   differ in fewer than ``CELLS`` blocks share a cell for certain, and others often do. Long grams keep unlike lines
+   apart however many there are; short forms, of which an edit changes too many of these, go by 5-grams, and those of
+   lengths between go to both kinds of cells.
 4. *Verify.* In each cell all are compared with one pivot first; those that reach the edit similarity
    are linked, and groups of links are found. What is left are pairs from different groups: in each cell,
    those outside the pivot's group are compared with all others, tile by tile. So large families of variants cost
@@ -17,7 +18,7 @@
 5. *Keep one.* Of the occurrences of each connected group the first stays; the others are dropped.
 
 Two forms are linked if they share a cell, at least ``NEAR`` of their blocks have the same last byte (unless one is short), and
-their edit similarity is reached. The cells of a line family that very many lines share are found in a sample beforehand and
+their edit similarity is reached. Tests measure which part of all pairs that reach it is found. The cells of a line family that very many lines share are found in a sample beforehand and
 dealt to several tasks each, with a pivot that is known to all of them.
 """
 
@@ -41,8 +42,10 @@ SIMILARITY = 0.85
 #: Blocks of a SimHash, and cells, each of BLOCKS / CELLS blocks.
 BLOCKS, CELLS = 36, 12
 #: Blocks of which two forms that aren't short must share the last byte to be verified.
-NEAR = 8
-#: Forms of fewer characters also have cells by 3-grams; no two different forms of fewer than LEAST_CHARS reach the similarity.
+NEAR = 6
+#: Characters of a gram, and of one in short forms.
+GRAM, SHORT_GRAM = 8, 5
+#: Forms of fewer characters are short; no two different forms of fewer than LEAST_CHARS reach the similarity.
 SHORT_CHARS, LEAST_CHARS = 48, 7
 #: Characters that are read at a time.
 STEP_CHARS = 400_000
@@ -178,7 +181,9 @@ class Lines:
         """Cells of ``some`` lines, and the line of each."""
         chars = self.chars[some]
         names, owners = [], []
-        for n, mine in ((4, some[chars >= LEAST_CHARS]), (3, some[(chars >= LEAST_CHARS) & (chars < SHORT_CHARS)])):
+        # A short form's partners have at most this many characters, so they are in its cells as well.
+        both = (chars >= LEAST_CHARS) & (chars < SHORT_CHARS / SIMILARITY)
+        for n, mine in ((GRAM, some[chars >= SHORT_CHARS]), (SHORT_GRAM, some[both])):
             if len(mine):
                 blocks = self.blocks(mine, n).reshape(len(mine), CELLS, BLOCKS // CELLS)
                 h = np.broadcast_to(np.arange(CELLS, dtype=np.uint64) + np.uint64(n * CELLS), blocks.shape[:2])
@@ -325,7 +330,9 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             for _, _, lines in parts(list(batch["text"])):
                 some = unseen(lines, contains(has.value, (lines.digest[:, 0] & np.uint64(len(has.value) * 8 - 1)).astype(np.int64)))
-                last = (lines.blocks(some, 4) & np.uint64(255)).astype(np.uint8) if len(some) else np.zeros((0, BLOCKS), np.uint8)
+                last, long = np.zeros((len(some), BLOCKS), np.uint8), np.flatnonzero(lines.chars[some] >= SHORT_CHARS)
+                if len(long):
+                    last[long] = (lines.blocks(some[long], GRAM) & np.uint64(255)).astype(np.uint8)
                 yield pd.DataFrame({"line": lines.digest[some, 0].view(np.int64), "key": _keys(lines.digest[some]), "chars": lines.chars[some], "blocks": [x.tobytes() for x in last], "form": pd.Series([lines.form(k) for k in some], dtype=object)})
 
     found = rows.select("text").mapInPandas(pick, "line long, key binary, chars int, blocks binary, form string")
