@@ -276,12 +276,12 @@ def test_training_texts_are_whole_within_their_bound(spark, monkeypatch):
     texts = ["word " * 6_000 + f"the end {k}" for k in range(12)]
     docs = documents(spark, texts)
     labels = spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, toxic int")
-    found, marks = toxicity.labelled_sample(docs, labels, "doc_id", "text", "toxic")
+    found, marks = zip(*toxicity.labelled_sample(docs, labels, "doc_id", "text", "toxic"), strict=True)
     learned = [k for k in range(12) if zlib.crc32(str(k).encode()) % 3 != 1]
     assert sorted(zip(found, marks, strict=True)) == sorted((texts[k], k % 2) for k in learned)
     monkeypatch.setattr(toxicity, "TRAIN_CHARS", 65_000 // toxicity.TRAIN_DOCS)
-    found, marks = toxicity.labelled_sample(docs, labels, "doc_id", "text", "toxic")
-    assert set(found) <= set(texts) and marks == [0, 0, 1, 1]
+    found, marks = zip(*toxicity.labelled_sample(docs, labels, "doc_id", "text", "toxic"), strict=True)
+    assert set(found) <= set(texts) and marks == (0, 0, 1, 1)
 
 
 def test_toxic_words_are_learned_in_new_forms(spark):
@@ -293,7 +293,7 @@ def test_toxic_words_are_learned_in_new_forms(spark):
             words = texts[k].split(" ")
             words.insert(rng.randrange(len(words) + 1), "zzyx" + rng.choice(["ing", "ed", "s", "er", ""]))
             texts[k] = " ".join(words)
-    net = toxicity.train(texts[:300], [int(x) for x in labels[:300]], rounds=2, epochs=3)
+    net = toxicity.train(zip(texts[:300], [int(x) for x in labels[:300]], strict=True), rounds=2, epochs=3)
     docs = documents(spark, texts[300:] + ODD)
     got = as_dict(toxicity.score_texts(docs, net))
     right = sum((got[k]["score"] >= 0.7) == labels[300 + k] for k in range(100))
@@ -311,7 +311,7 @@ def test_toxic_words_are_learned_in_new_forms(spark):
 
 def test_one_label_or_none_scores_all_alike():
     for labels in ([], [0, 0], [1]):
-        scores, _ = toxicity.Runner(toxicity.train(["a b"] * len(labels), labels)).score(["x", ""])
+        scores, _ = toxicity.Runner(toxicity.train(("a b", x) for x in labels)).score(["x", ""])
         assert scores[0] == scores[1]
 
 

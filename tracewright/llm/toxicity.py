@@ -18,11 +18,12 @@ have at most ``TRAIN_DOCS * TRAIN_CHARS`` characters). Scoring covers the whole
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,6 +46,8 @@ TELLING_BITS = 23
 #: Windows that are run in step, and words that a worker keeps the inputs of.
 STEP_WINDOWS = 4096
 KEPT_WORDS = 250_000
+#: Words of the training vocabulary that go through arrays at a time.
+STEP_WORDS = 20_000
 
 
 def words(text: str) -> list[str]:
@@ -126,10 +129,14 @@ class Network:
         return cls({k: v.astype(np.float32) for k, v in p.items()})
 
     def inputs(self, word: np.ndarray, gram: np.ndarray, first: np.ndarray) -> np.ndarray:
-        if not len(word):
-            return np.zeros((0, WORD_DIM + CHAR_DIM), dtype=np.float32)
-        n = np.diff(np.append(first, len(gram)))[:, None].astype(np.float32)
-        return np.concatenate([self.p["word"][word], np.add.reduceat(self.p["char"][gram], first, axis=0) / n], axis=1)
+        out = np.empty((len(word), WORD_DIM + CHAR_DIM), dtype=self.p["word"].dtype)
+        ends = np.append(first, len(gram))
+        for a in range(0, len(word), STEP_WORDS):
+            b = min(a + STEP_WORDS, len(word))
+            out[a:b, :WORD_DIM] = self.p["word"][word[a:b]]
+            sums = np.add.reduceat(self.p["char"][gram[ends[a] : ends[b]]], ends[a:b] - ends[a], axis=0)
+            out[a:b, WORD_DIM:] = sums / np.diff(ends[a : b + 1])[:, None].astype(np.float32)
+        return out
 
     def forward(self, x: np.ndarray) -> tuple[np.ndarray, dict]:
         """Logits of windows x (time, window, input), and what ``backward`` needs."""
@@ -203,21 +210,63 @@ def _gathered(rows: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Vocabulary:
-    """Inputs of the distinct words of the training texts."""
+    """Inputs of the distinct words of the training texts.
 
-    def __init__(self, texts: list[list[str]]) -> None:
-        self.index = {w: k + 1 for k, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
-        self.word, self.gram, self.first = features(["", *self.index])
-        self.rows = [np.array([self.index[w] for w in t] or [0], dtype=np.int32) for t in texts]
+    Each text (a list of words) is turned into word numbers as it comes, so none need be kept; what goes through arrays goes
+    ``STEP_WORDS`` words at a time.
+    """
+
+    def __init__(self, texts: Iterable[list[str]]) -> None:
+        self.index: dict[str, int] = {}
+        self.rows = [np.fromiter((self.index.setdefault(w, len(self.index) + 1) for w in t), dtype=np.int32) if t else np.zeros(1, np.int32) for t in texts]
+        parts = [features(some) for some in self._steps()]
+        self.word = np.concatenate([p[0] for p in parts]).astype(np.int32)
+        self.gram = np.concatenate([p[1] for p in parts]).astype(np.int32)
+        before = np.cumsum([0, *(len(p[1]) for p in parts)])
+        self.first = np.concatenate([p[2] + at for p, at in zip(parts, before, strict=False)]).astype(np.int32)
+
+    def _steps(self) -> Iterator[list[str]]:
+        """The empty word and all others, in the order of their numbers."""
+        every = itertools.chain([""], self.index)
+        while some := list(itertools.islice(every, STEP_WORDS)):
+            yield some
 
     def window_ids(self) -> tuple[np.ndarray, np.ndarray]:
         """(windows x WINDOW) word numbers, padded with 0 (the empty word), and the text of each window."""
-        sizes = np.array([len(r) for r in self.rows])
+        sizes = np.array([len(r) for r in self.rows], dtype=np.int64)
         owner, start = windows(sizes)
-        flat, first = np.concatenate(self.rows), np.cumsum(sizes) - sizes
-        at = start[:, None] + np.arange(WINDOW)[None, :]
-        inside = at < sizes[owner][:, None]
-        return np.where(inside, flat[np.minimum(first[owner][:, None] + at, len(flat) - 1)], 0), owner
+        out = np.zeros((len(owner), WINDOW), dtype=np.int32)
+        begins = np.searchsorted(owner, np.arange(len(sizes) + 1))
+        for k, row in enumerate(self.rows):
+            mine = slice(begins[k], begins[k + 1])
+            at = start[mine, None] + np.arange(WINDOW)[None, :]
+            out[mine] = np.where(at < len(row), row[np.minimum(at, len(row) - 1)], 0)
+        return out, owner.astype(np.int32)
+
+    def telling_grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of each word's n-grams of 4 and 5 and its own bucket, end to end, and where each word's begin and end."""
+        prime, grams, counts, done = np.uint64(0x9E3779B97F4A7C15), [], [], 0
+        for some in self._steps():
+            marked = [f"\x02{c}\x03" for c in _cores(some)]
+            sizes = np.array([len(m) for m in marked], dtype=np.int64)
+            codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+            first = np.cumsum(sizes) - sizes
+            left = np.repeat(sizes, sizes) - (np.arange(len(codes)) - np.repeat(first, sizes))
+            # Every word has a bucket of its own, behind those of the n-grams.
+            own, owners = [(1 << TELLING_BITS) + done + np.arange(len(marked))], [np.arange(len(marked))]
+            for n in (4, 5):
+                at = np.flatnonzero(left >= n)
+                h = np.full(len(at), n, dtype=np.uint64)
+                for k in range(n):
+                    h = (h ^ codes[at + k]) * prime
+                    h ^= h >> np.uint64(32)
+                own.append((h * prime >> np.uint64(64 - TELLING_BITS)).astype(np.int64))
+                owners.append(np.searchsorted(first, at, side="right") - 1)
+            owner = np.concatenate(owners)
+            grams.append(np.concatenate(own)[np.argsort(owner, kind="stable")].astype(np.int32))
+            counts.append(np.bincount(owner, minlength=len(marked)))
+            done += len(marked)
+        return np.concatenate(grams), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
 
 
 def telling(labels: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
@@ -225,52 +274,43 @@ def telling(labels: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
 
     Counted in documents, by hash; what stands in fewer than three toxic ones tells nothing.
     """
-    marked = ["\x02\x03", *(f"\x02{c}\x03" for c in _cores(list(vocabulary.index)))]
-    sizes = np.array([len(m) for m in marked], dtype=np.int64)
-    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    first = np.cumsum(sizes) - sizes
-    place = (np.arange(len(codes)) - np.repeat(first, sizes)).astype(np.int32)
-    left = np.repeat(sizes, sizes).astype(np.int32) - place
-    prime, owners, grams = np.uint64(0x9E3779B97F4A7C15), [], []
-    for n in (4, 5):
-        at = np.flatnonzero(left >= n)
-        h = np.full(len(at), n, dtype=np.uint64)
-        for k in range(n):
-            h = (h ^ codes[at + k]) * prime
-            h ^= h >> np.uint64(32)
-        grams.append((h * prime >> np.uint64(64 - TELLING_BITS)).astype(np.int32))
-        owners.append((np.searchsorted(first, at, side="right") - 1).astype(np.int32))
-    # Every word has a bucket of its own, behind those of the n-grams.
-    grams.append((1 << TELLING_BITS) + np.arange(len(marked), dtype=np.int32))
-    owners.append(np.arange(len(marked), dtype=np.int32))
-    owner, gram = np.concatenate(owners), np.concatenate(grams)
-    order = np.argsort(owner, kind="stable")
-    owner, gram = owner[order], gram[order]
-    starts = np.searchsorted(owner, np.arange(len(marked) + 1))
-    seen = np.zeros((2, (1 << TELLING_BITS) + len(marked)), dtype=np.int16)
+    gram, starts = vocabulary.telling_grams()
+    seen = np.zeros((2, (1 << TELLING_BITS) + len(starts) - 1), dtype=np.int16)
     for rows, label in zip(vocabulary.rows, labels, strict=True):
         some = np.unique(rows)
         counts = starts[some + 1] - starts[some]
         at = np.repeat(starts[some] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
         seen[int(label)][np.unique(gram[at])] += 1
     n1, n0 = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
-    toxic, clean = seen[1][gram].astype(float), seen[0][gram].astype(float)
-    odds = np.where(toxic >= 3, np.log(np.maximum(toxic - 1, 1) / n1) - np.log((clean + 1.0) / n0), -9.0)
-    return np.maximum.reduceat(odds, starts[:-1])
-
-
-def train(texts: list[str], labels: list[int], seed: int = 0, rounds: int = 3, epochs: int = 4) -> Network:
-    """Fit a network to labelled texts. Without texts of both labels it scores all alike, low."""
-    net, y = Network.fresh(seed), np.array(labels, dtype=np.int64)
+    out = np.empty(len(starts) - 1)
+    for a in range(0, len(out), STEP_WORDS):
+        b = min(a + STEP_WORDS, len(out))
+        some = gram[starts[a] : starts[b]]
+        toxic, clean = seen[1][some].astype(float), seen[0][some].astype(float)
+        odds = np.where(toxic >= 3, np.log(np.maximum(toxic - 1, 1) / n1) - np.log((clean + 1.0) / n0), -9.0)
+        out[a:b] = np.maximum.reduceat(odds, starts[a:b] - starts[a])
+    return out
+
+
+def train(labelled: Iterable[tuple[str, int]], seed: int = 0, rounds: int = 3, epochs: int = 4) -> Network:
+    """Fit a network to labelled texts, which may be a generator: no text is kept. Without texts of both labels it scores all alike, low."""
+    net, labels = Network.fresh(seed), []
+
+    def split() -> Iterator[list[str]]:
+        for text, label in labelled:
+            labels.append(label)
+            yield words(text)
+
+    vocabulary = Vocabulary(split())
+    y = np.array(labels, dtype=np.int64)
     if not len(y) or y.min() == y.max():
         net.slope, net.bias = 0.0, -4.0 if not len(y) or not y.max() else 4.0
         return net
-    split = [words(t) for t in texts]
-    vocabulary = Vocabulary(split)
     ids, owner = vocabulary.window_ids()
-    odds = telling(y, vocabulary)
+    odds = telling(y, vocabulary).astype(np.float32)
+    vocabulary.index, vocabulary.rows = {}, []  # the strings have served
     # Words count as telling from odds that few words of clean texts reach.
-    strong = odds[ids].max(axis=1)
+    strong = np.concatenate([odds[ids[a : a + STEP_WORDS]].max(axis=1) for a in range(0, len(ids), STEP_WORDS)])
     bar = max(2.0, float(np.quantile(strong[y[owner] == 0], 0.995)) + 0.5)
     seeds = np.flatnonzero((y[owner] == 1) & (strong >= bar))
     if not len(seeds):
@@ -283,8 +323,9 @@ def train(texts: list[str], labels: list[int], seed: int = 0, rounds: int = 3, e
     hard = np.zeros(0, dtype=np.int64)
     # Clean texts of one word over and over are rare in the sample; so some are made of its words.
     some = rng.choice(others, min(TRAIN_WINDOWS // 8, len(others)), replace=False)
-    alike = len(ids) + np.arange(len(some))
-    shown = np.concatenate([ids, np.repeat(ids[some, :1], WINDOW, axis=1)])
+    n_ids = len(ids)
+    alike = n_ids + np.arange(len(some))
+    ids = np.concatenate([ids, np.repeat(ids[some, :1], WINDOW, axis=1)])
     t = 0
     for turn in range(rounds):
         good = rng.choice(seeds, min(TRAIN_WINDOWS, len(seeds)), replace=False)
@@ -297,8 +338,8 @@ def train(texts: list[str], labels: list[int], seed: int = 0, rounds: int = 3, e
             for a in range(0, len(order), 256):
                 some = order[a : a + 256]
                 t += 1
-                _learn(net, vocabulary, shown[rows[some]], want[some], weigh[some], t, 0.01 / (1 + turn + epoch / epochs))
-        logits = score_windows(net, vocabulary, ids)
+                _learn(net, vocabulary, ids[rows[some]], want[some], weigh[some], t, 0.01 / (1 + turn + epoch / epochs))
+        logits = score_windows(net, vocabulary, ids[:n_ids])
         wrong = others[logits[others] > -2.0]
         hard = np.union1d(hard, wrong[np.argsort(-logits[wrong])][: TRAIN_WINDOWS // 2])
         # Windows of toxic texts that the network is sure of are seeds as well.
@@ -474,27 +515,30 @@ def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> tuple[list[str], list[int]]:
-    """At most ``TRAIN_DOCS`` texts of each label, one for each slot of a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> Iterator[tuple[str, int]]:
+    """At most ``TRAIN_DOCS`` texts of each label, one for each slot of a hash of the id, with their labels.
 
     A label goes for its whole text, so none is cut: in the order of their hashes those are taken that still fit
-    into ``TRAIN_DOCS * TRAIN_CHARS`` characters.
+    into ``TRAIN_DOCS * TRAIN_CHARS`` characters. Texts come one after another, so that the driver holds few at a time.
     """
-    marked = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id))).groupBy(doc_id).agg(F.max(label).alias("label"))
-    h = F.xxhash64(F.col(doc_id).cast("string"))
+    # Own names, so that no other column of either table can clash.
+    docs = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    labels = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label"))
+    marked = labels.filter(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
+    h = F.xxhash64(F.col("id").cast("string"))
     # First the ids are chosen, so that texts move only for those.
     slot = F.pmod(h, F.lit(TRAIN_DOCS)).alias("slot")
-    ids = marked.select(doc_id, "label", slot, h.alias("h")).groupBy("label", "slot").agg(F.min(F.struct("h", doc_id)).alias("row")).select(F.col(f"row.{doc_id}").alias(doc_id), "label", "row.h")
-    sizes = docs.select(F.col(doc_id), F.length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n")).join(F.broadcast(ids), doc_id).groupBy("label", "h", doc_id).agg(F.sum("n").alias("n"))
+    ids = marked.select("id", "label", slot, h.alias("h")).groupBy("label", "slot").agg(F.min(F.struct("h", "id")).alias("row")).select("row.id", "label", "row.h")
+    sizes = docs.select("id", F.length("text").cast("long").alias("n")).join(F.broadcast(ids), "id").groupBy("label", "h", "id").agg(F.sum("n").alias("n"))
     chosen, have = [], {0: 0, 1: 0}
     for r in sorted(sizes.collect(), key=lambda r: (r["label"], r["h"])):
         if have[r["label"]] + r["n"] <= TRAIN_DOCS * TRAIN_CHARS:
             have[r["label"]] += r["n"]
-            chosen.append((r[doc_id], r["label"]))
-    picked = docs.sparkSession.createDataFrame(chosen, T.StructType([docs.schema[doc_id], T.StructField("label", T.IntegerType())]))
-    rows = docs.select(F.col(doc_id), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(picked), doc_id)
-    found = sorted((r["label"], str(r[doc_id]), r["text"]) for r in rows.select(doc_id, "label", "text").collect())
-    return [x[2] for x in found], [x[0] for x in found]
+            chosen.append((r["id"], r["label"]))
+    picked = docs.sparkSession.createDataFrame(chosen, T.StructType([docs.schema["id"], T.StructField("label", T.IntegerType())]))
+    rows = docs.join(F.broadcast(picked), "id").select("label", F.col("id").cast("string").alias("name"), "text")
+    for r in rows.orderBy("label", "name", "text").toLocalIterator():
+        yield r["text"], r["label"]
 
 
 def score_texts(docs: DataFrame, net: Network, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -506,19 +550,21 @@ def score_texts(docs: DataFrame, net: Network, text: str = "text", keep: list[st
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
-    kept = keep or [c for c in docs.columns if c not in ("score", "worst_word")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("_text"))
+    kept = [c for c in keep or docs.columns if c not in ("score", "worst_word")]
+    # The text has a longer name than any column that is kept, so none can clash with it.
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(max(["text", *kept], key=len) + "_"))
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runner = Runner(shared.value)
         for batch in batches:
-            scores, places = runner.score([t or "" for t in batch.pop("_text")])
-            yield batch.assign(score=scores, worst_word=places)
+            scores, places = runner.score([t or "" for t in batch.column(len(kept)).to_pylist()])
+            columns = [batch.column(k) for k in range(len(kept))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores), pa.array(places)], [*kept, "score", "worst_word"])
 
-    fields = [f for f in rows.schema if f.name != "_text"]
-    return rows.mapInPandas(scored, T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("worst_word", T.LongType())]))
+    fields = [docs.schema[c] for c in kept]
+    return rows.mapInArrow(scored, T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("worst_word", T.LongType())]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Network:
     """A network fitted to the sample of ``labels`` (columns ``doc_id`` and ``label``) that isn't held out."""
-    return train(*labelled_sample(docs, labels, doc_id, text, label))
+    return train(labelled_sample(docs, labels, doc_id, text, label))
