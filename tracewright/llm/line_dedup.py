@@ -30,7 +30,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm.components import connected_components
@@ -48,15 +48,21 @@ GRAM, SHORT_GRAM = 8, 5
 #: Forms of fewer characters are short; no two different forms of fewer than LEAST_CHARS reach the similarity.
 SHORT_CHARS, LEAST_CHARS = 48, 7
 #: Characters that are read at a time.
-STEP_CHARS = 400_000
+STEP_CHARS = 100_000
+#: Words of masks that the edit distances of a step hold, roughly.
+STEP_CELLS = 1 << 20
+#: Pairs of one size, for each word that they fill, from which on they go in step.
+FEW_PAIRS = 40
 #: Characters whose grams are hashed at a time, so that they stay in the processor's cache.
 GRAM_STEP = 1 << 15
 #: Line classes that a task keeps in mind, so as not to deal a repeated line again.
 KEPT_LINES = 1_000_000
 #: One of so many texts is looked at for cells that many lines share; at most HOT_CELLS are then dealt to SALTS tasks each.
 SAMPLE, HOT_ROWS, HOT_CELLS, SALTS = 64, 50, 10_000, 64
-#: Forms of a cell in one task.
-TILE = 1_000
+#: Forms of a cell in one task, and of a cell all pairs of which are listed by one row.
+TILE, SMALL_CELL = 1_000, 16
+#: Rounds of comparisons: with a line's main pivot, with the pivots of all its cells, and of all pairs left in cells of several groups.
+ROUNDS = 2
 _BASE = 0x5851F42D4C957F2D
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 40) - 1)
@@ -104,6 +110,18 @@ def _mixed(h: np.ndarray, turn: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _rolling(codes: np.ndarray, n: int) -> np.ndarray:
+    """Polynomial hashes of all runs of ``n`` codes: those of twice the length come from two of half, a code more from one of them."""
+    h, size = codes, 1
+    for bit in bin(n)[3:]:
+        h = h[: len(h) - size] * np.uint64(pow(_BASE, size, 1 << 64)) + h[size:]
+        size *= 2
+        if bit == "1":
+            h = h[: len(codes) - size] * np.uint64(_BASE) + codes[size:]
+            size += 1
+    return h
+
+
 class Lines:
     """The lines with words of a text: numbers, digests (two 64-bit halves) and lengths of their forms, and the forms.
 
@@ -154,12 +172,10 @@ class Lines:
         return out
 
     def _blocks(self, at: np.ndarray, grams: np.ndarray, n: int) -> np.ndarray:
-        begin = np.cumsum(grams) - grams
-        places = np.arange(grams.sum()) + np.repeat(at - begin, grams)
-        h = np.zeros(len(places), dtype=np.uint64)
-        for k in range(n):
-            h = h * np.uint64(_BASE) + self.stream[places + k]
-        h = _mixed(h, 5)
+        begin, symbols = np.cumsum(grams) - grams, grams + n - 1
+        first = np.cumsum(symbols) - symbols
+        h = _rolling(self.stream[np.arange(symbols.sum()) + np.repeat(at - first, symbols)].astype(np.uint64), n)
+        h = _mixed(h[np.arange(grams.sum()) + np.repeat(first - begin, grams)], 5)
         # A gram's block, its line's number before that, and its hash behind: the first of each is the heaviest.
         vote = (np.repeat(np.arange(len(at), dtype=np.uint64), grams) * np.uint64(BLOCKS) + (((h >> np.uint64(40)) * np.uint64(BLOCKS)) >> np.uint64(24))) << np.uint64(40)
         vote |= h & _LOW
@@ -240,23 +256,46 @@ class _Unseen:
         return np.array(sorted(out), dtype=np.int64)
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance, a column of the table at a time in the bits of whole numbers."""
-    n = min(len(a), len(b))
-    k = next((k for k in range(n) if a[k] != b[k]), n)
+def _trimmed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two texts (code points) without what they have in common at their ends, the shorter one first."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    n = len(a)
+    differ = np.flatnonzero(a != b[:n])
+    k = int(differ[0]) if len(differ) else n
     a, b, n = a[k:], b[k:], n - k
-    k = next((k for k in range(n) if a[-1 - k] != b[-1 - k]), n)
-    a, b = (a[: len(a) - k], b[: len(b) - k]) if k else (a, b)
-    if not a or not b:
-        return len(a) + len(b)
-    if len(a) < len(b):
-        a, b = b, a
-    masks: dict[str, int] = {}
-    for k, c in enumerate(b):
+    differ = np.flatnonzero(a[::-1] != b[::-1][:n]) if n else differ
+    k = int(differ[0]) if n and len(differ) else n
+    return a[: n - k], b[: len(b) - k]
+
+
+def edit_distances(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """Levenshtein distances of many pairs in step: of each pair a column of its table at a time, in the bits of 64-bit words."""
+    short, long = zip(*(_trimmed(_codes(a), _codes(b)) for a, b in pairs), strict=True) if pairs else ((), ())
+    out = np.array([len(x) for x in long], dtype=np.int64)
+    words = np.array([-(-len(x) // 64) for x in short], dtype=np.int64)
+    order = np.lexsort((-out, words))
+    order = order[words[order] > 0]
+    at = 0
+    while at < len(order):
+        w = words[order[at]]
+        end = min(int(np.searchsorted(words[order], w, side="right")), at + max(1, STEP_CELLS // (int(w) * 256)))
+        some = order[at:end]
+        if len(some) >= FEW_PAIRS * w:
+            out[some] = _in_step([short[k] for k in some], [long[k] for k in some], int(w))
+        else:
+            out[some] = [_in_whole_numbers(short[k], long[k]) for k in some]
+        at = end
+    return out
+
+
+def _in_whole_numbers(short: np.ndarray, long: np.ndarray) -> int:
+    """The distance of one pair, a column in one whole number of any size; faster where few pairs are of one size."""
+    masks: dict[int, int] = {}
+    for k, c in enumerate(short.tolist()):
         masks[c] = masks.get(c, 0) | 1 << k
-    full, last, score = (1 << len(b)) - 1, 1 << (len(b) - 1), len(b)
-    up, down = full, 0  # where a column rises or falls from one row to the next
-    for c in a:
+    full, last, score = (1 << len(short)) - 1, 1 << (len(short) - 1), len(short)
+    up, down = full, 0
+    for c in long.tolist():
         match = masks.get(c, 0)
         flat = (((match & up) + up) ^ up) | match | down
         rise, fall = down | (full & ~(flat | up)), up & flat
@@ -266,12 +305,64 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
+def _in_step(short: list[np.ndarray], long: list[np.ndarray], w: int) -> np.ndarray:
+    """Distances of pairs whose short texts fill ``w`` words each; the long texts come in falling order of length."""
+    n, sizes = len(short), np.array([len(x) for x in short])
+    # The letters of the short texts get classes; all others have one whose mask is empty.
+    letters = np.unique(np.concatenate(short))
+    masks = np.zeros((len(letters) + 1, w, n), dtype=np.uint64)
+    owner = np.repeat(np.arange(n), sizes)
+    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    np.bitwise_or.at(masks, (np.searchsorted(letters, np.concatenate(short)), place >> 6, owner), np.uint64(1) << (place & 63).astype(np.uint64))
+    lengths = np.array([len(x) for x in long])
+    flat = np.concatenate(long)
+    found = np.minimum(np.searchsorted(letters, flat), len(letters) - 1)
+    classes = np.full((int(lengths[0]), n), len(letters), dtype=np.int32)
+    classes[np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths), np.repeat(np.arange(n), lengths)] = np.where(letters[found] == flat, found, len(letters))
+    live = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
+    score, last, lane = sizes.astype(np.int64), np.uint64(1) << ((sizes - 1) & 63).astype(np.uint64), np.arange(n)
+    one, top = np.uint64(1), np.uint64(63)
+    # Where a column rises or falls from one row to the next.
+    up, down = np.full((w, n), np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros((w, n), dtype=np.uint64)
+    for step, m in enumerate(live):
+        carry, grown, shrunk = np.zeros(m, np.uint64), np.ones(m, np.uint64), np.zeros(m, np.uint64)
+        mine = classes[step, :m]
+        for k in range(w):
+            u, d, match = up[k, :m], down[k, :m], masks[mine, k, lane[:m]]
+            part = match & u
+            total = part + u
+            over = total < part
+            total += carry
+            over |= total < carry
+            flat_way = (total ^ u) | match | d
+            carry = over.astype(np.uint64)
+            rise, fall = d | ~(flat_way | u), u & flat_way
+            if k == w - 1:
+                score[:m] += ((rise & last[:m]) != 0).astype(np.int64) - ((fall & last[:m]) != 0)
+            next_rise, next_fall = rise >> top, fall >> top
+            rise, fall = (rise << one) | grown, (fall << one) | shrunk
+            grown, shrunk = next_rise, next_fall
+            match = match | d
+            up[k, :m], down[k, :m] = fall | ~(match | rise), rise & match
+    return score
+
+
+def edit_distance(a: str, b: str) -> int:
+    return int(edit_distances([(a, b)])[0])
+
+
+def similar_pairs(pairs: list[tuple[str, str]], least: float = SIMILARITY) -> np.ndarray:
+    """Which pairs have 1 - distance / longer length of at least ``least``; two empty texts are equal."""
+    longer = np.array([max(len(a), len(b), 1) for a, b in pairs], dtype=np.int64)
+    fits = np.array([abs(len(a) - len(b)) for a, b in pairs], dtype=np.int64) <= (1 - least) * longer
+    out = np.zeros(len(pairs), dtype=bool)
+    some = np.flatnonzero(fits)
+    out[some] = 1 - edit_distances([pairs[k] for k in some]) / longer[some] >= least
+    return out
+
+
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
-    """Whether 1 - distance / longer length reaches ``least``; two empty texts are equal."""
-    longer = max(len(a), len(b))
-    if not longer or a == b:
-        return True
-    return abs(len(a) - len(b)) <= (1 - least) * longer and 1 - edit_distance(a, b) / longer >= least
+    return bool(similar_pairs([(a, b)], least)[0])
 
 
 def _keys(digest: np.ndarray) -> list[bytes]:
@@ -312,13 +403,16 @@ def _met(rows: DataFrame) -> DataFrame:
     There is one exchange of all cells. Those that many lines of the sample have are dealt to several tasks, and their pivot comes
     from the sample; a cell that the sample does not show as large is complete in one task.
     """
-    shown = _dealt(rows.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)).groupBy("cell").agg(F.count("*").alias("n"), F.min("line").alias("known"))
+    shown = _dealt(rows.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)).groupBy("cell", "line").agg(F.count("*").alias("n"))
+    shown = shown.groupBy("cell").agg(F.sum("n").alias("n"), F.max_by("line", F.struct("n", "line")).alias("known"))
     hot = stash(shown.filter(F.col("n") >= HOT_ROWS).orderBy(F.desc("n"), "cell").limit(HOT_CELLS).select("cell", "known"), "hot-cells")
     salt = F.when(F.col("known").isNull(), 0).otherwise(F.pmod(F.col("line"), F.lit(SALTS)))
     dealt = _dealt(rows).join(F.broadcast(hot), "cell", "left").withColumn("salt", salt)
     own = Window.partitionBy("cell", "salt")
-    met = dealt.withColumns({"low": F.min("line").over(own), "high": F.max("line").over(own)})
-    return met.filter("known IS NOT NULL OR low <> high").select("cell", "line", F.coalesce("known", "low").alias("pivot")).distinct()
+    met = dealt.withColumns({"low": F.min("line").over(own), "high": F.max("line").over(own)}).filter("known IS NOT NULL OR low <> high")
+    # The pivot is the line that most tasks have: variants are mostly of a frequent line, and nearer to it than to each other.
+    met = met.withColumn("often", F.count("*").over(Window.partitionBy("cell", "salt", "line")))
+    return met.select("cell", "line", F.coalesce("known", F.max(F.struct("often", "line")).over(own)["line"]).alias("pivot"))
 
 
 def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -366,12 +460,23 @@ def _verified(pairs: DataFrame, texts: DataFrame, on: str, least: float) -> Data
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ok = [similar(x, y, least) for x, y in zip(batch["form_a"], batch["form_b"], strict=True)]
+            ok = similar_pairs(list(zip(batch["form_a"], batch["form_b"], strict=True)), least)
             yield pd.DataFrame({"a": batch["key_a"][ok], "b": batch["key_b"][ok]})
 
     return rows.mapInPandas(verify, "a binary, b binary")
 
 
+def _small_cell_pairs(left: DataFrame, least: float) -> DataFrame:
+    """``a, b``: pairs of keys from different components and of fitting lengths, in cells of up to ``SMALL_CELL`` forms."""
+    members = left.groupBy("cell").agg(F.array_sort(F.collect_set(F.struct("chars", "key", "component"))).alias("m"))
+
+    def partners(x: Column, k: Column) -> Column:
+        later = F.filter("m", lambda y, j: (j > k) & (y["component"] != x["component"]) & (x["chars"] >= least * y["chars"]))
+        return F.transform(later, lambda y: F.struct(F.least(x["key"], y["key"]).alias("a"), F.greatest(x["key"], y["key"]).alias("b")))
+
+    return members.select(F.explode(F.flatten(F.transform("m", partners))).alias("p")).select("p.*")
+
+
 def _search_cells(left: DataFrame, least: float) -> DataFrame:
     """``a, b`` (a < b): pairs of different components that meet in a cell and are to be verified.
 
@@ -413,25 +518,38 @@ def _search_cells(left: DataFrame, least: float) -> DataFrame:
             yield pd.DataFrame(out, columns=["a", "b"])
 
     count = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(count, "cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInPandas(search_tiles, "a binary, b binary").distinct()
+    return dealt.repartition(count, "cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInPandas(search_tiles, "a binary, b binary")
 
 
 def line_links(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``a, b``: keys of linked forms, enough of them that all linked forms are connected. ``rows`` has the ``text``."""
     met = stash(_met(rows), "line-cells")
     texts = stash(_texts(rows, met.select("line").distinct()), "line-texts")
-    spanning = met.filter("line <> pivot").select(F.col("pivot").alias("a"), F.col("line").alias("b")).distinct()
+    traits = texts.select("line", "key", "chars", "blocks")
+    # Each line is first compared with the pivot that it meets in most cells.
+    by_pivot = met.filter("line <> pivot").groupBy("line", "pivot").agg(F.count("*").alias("cells"))
+    spanning = by_pivot.groupBy("line").agg(F.max_by("pivot", F.struct("cells", "pivot")).alias("a")).select("a", F.col("line").alias("b"))
     links = stash(_verified(spanning, texts, "line", least), "line-links")
-    groups = connected_components(links)
-    # Everything has been compared with the pivots, so the others are left, where there are two at least.
-    traits = texts.select("line", "key", "chars", "blocks").join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    named = met.filter("line <> pivot").select("cell", "line").join(traits.select("line", "component"), "line")
-    mixed = stash(named.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low <> high").select("cell", "n"), "mixed-line-cells")
-    if mixed.isEmpty():
-        return links
-    left = met.filter("line <> pivot").select("cell", "line").join(mixed, "cell").join(traits, "line")
-    pairs = stash(_search_cells(left, least), "line-pairs")
-    return stash(links.unionByName(_verified(pairs, texts, "key", least)), "line-links")
+    for turn in range(ROUNDS):
+        groups = connected_components(links).withColumnRenamed("node", "key")
+        # Where all forms of a cell are in one group, nothing more can be learned from it.
+        grouped = stash(traits.join(groups, "key", "left").withColumn("component", F.coalesce("component", "key")), "line-traits")
+        named = met.select("cell", "line").distinct().join(grouped.select("line", "component"), "line")
+        mixed = named.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low <> high").select("cell", "n")
+        left = stash(met.select("cell", "line", "pivot").distinct().join(mixed, "cell"), "mixed-line-cells")
+        if left.isEmpty():
+            return links
+        if turn < ROUNDS - 1:  # large families of variants come together by the pivots of all their cells
+            ends = [grouped.select(F.col("line").alias(c), F.col("component").alias(f"{c}_component")) for c in ("pivot", "line")]
+            pairs = left.select("line", "pivot").distinct().join(ends[0], "pivot").join(ends[1], "line").filter("pivot_component <> line_component").select(F.col("pivot").alias("a"), F.col("line").alias("b"))
+            more = _verified(pairs, texts, "line", least)
+        else:
+            left = left.drop("pivot").distinct()
+            small = left.filter(F.col("n") <= SMALL_CELL).join(grouped.select("line", "key", "chars", "component"), "line")
+            pairs = _small_cell_pairs(small, least).unionByName(_search_cells(left.filter(F.col("n") > SMALL_CELL).join(grouped, "line"), least)).distinct()
+            more = _verified(pairs, texts, "key", least)
+        links = stash(links.unionByName(more), "line-links")
+    return links
 
 
 def line_groups(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -463,7 +581,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     own_id, own_text = F.col("row").getField(doc_id), F.col("row").getField(text)
     rows = packed.select(own_id.alias("doc_id"), own_text.alias("text"), F.xxhash64(own_text).alias("body"))
     gone = line_groups(rows, least).filter("NOT kept").groupBy(F.col("doc_id").alias("id"), "body").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
-    found = packed.withColumn("body", F.xxhash64(own_text)).join(gone.withColumnRenamed("body", "of"), own_id.eqNullSafe(F.col("id")) & (F.col("body") == F.col("of")), "left")
+    found = packed.withColumn("body", F.xxhash64(own_text)).join(gone.withColumnRenamed("body", "of").hint("shuffle_hash"), own_id.eqNullSafe(F.col("id")) & (F.col("body") == F.col("of")), "left")
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, numbers: pd.Series) -> pd.Series:
