@@ -67,9 +67,13 @@ def brute_components(sets):
     return [find(k) for k in range(len(sets))]
 
 
-@pytest.mark.parametrize("tile", [ngram_join.TILE, 3])
-def test_ngram_join_finds_what_all_pairs_find(spark, monkeypatch, tile):
-    monkeypatch.setattr(ngram_join, "TILE", tile)
+@pytest.mark.parametrize("hot", [False, True])
+def test_ngram_join_finds_what_all_pairs_find(spark, monkeypatch, hot):
+    if hot:  # every cell is dealt to several tasks, and searched tile by tile
+        monkeypatch.setattr(ngram_join, "TILE", 3)
+        monkeypatch.setattr(ngram_join, "FAN_OUT", 2)
+        monkeypatch.setattr(ngram_join, "SAMPLE", 1)
+        monkeypatch.setattr(ngram_join, "HOT_ROWS", 2)
     rng = random.Random(5)
     base = [f"w{k}" for k in range(60)]
     # A chain of edits, so that most links are not to the pivot of a cell.
@@ -89,6 +93,22 @@ def test_ngram_join_of_nothing(spark):
     assert ngram_join.near_duplicates(documents(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_ngram_join_of_repeated_and_null_ids(spark):
+    rng = random.Random(15)
+    a, b = (" ".join(f"{c}{rng.randrange(10**6)}" for _ in range(40)) for c in "ab")
+    rows = [(1, a), (1, b), (2, b + " more"), (3, a + " more"), (4, "apart from them all"), (4, "apart from them all"), (None, a), (5, None), (2**60 + 1, "by itself"), (2**60 + 3, "BY itself"), (6, " ".join("x" * 90)), (7, " ".join("x" * 4))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("v") for c in ("cell", "n", "key", "class_id", "component")})
+    got = sorted(((r["doc_id"] or 0, r["n_shingles"], r["class_id"], r["component_id"]) for r in ngram_join.near_duplicates(docs).collect()), key=str)
+    want = [(0, 36, None, None), (1, 36, 1, 1), (1, 36, 1, 1), (2, 37, 2, 1), (3, 37, 3, 1), (4, 1, 4, 4), (4, 1, 4, 4), (5, 0, 5, 5), (2**60 + 1, 1, 2**60 + 1, 2**60 + 1), (2**60 + 3, 1, 2**60 + 1, 2**60 + 1), (6, 1, 6, 6), (7, 1, 7, 7)]
+    assert got == sorted(want, key=str)
+
+
+def test_points_of_very_long_texts_are_whole():
+    s = np.arange(80_000, dtype=np.uint64) << np.uint64(27)
+    point = np.frombuffer(ngram_join._point(s), dtype=np.uint32)
+    assert point.sum() == 80_000 == point.max()
+
+
 def test_tree_search_keeps_every_pair_within_the_bound():
     rng = np.random.default_rng(2)
     points = rng.poisson(1.0, (300, ngram_join.GROUPS)).astype(np.uint16)

@@ -3,21 +3,24 @@
 A document's set is its distinct word n-grams (hashed). Two documents link when the Jaccard similarity of
 their sets reaches a threshold. No link between different sets is lost:
 
-1. *Sets.* Documents with one and the same set form a class with one representative.
-2. *Cells.* The tree's top level deals representatives to cells, in which every linked pair meets: the
+1. *Sets.* Documents with one and the same set form a class; one of them is dealt.
+2. *Cells.* The tree's top level deals sets to cells, in which every linked pair meets: the
    n-grams of all documents are put in one order, and a set of n n-grams goes to the cells of its first
    n - ceil(t n) + 1. Two sets that share none of these can't reach the threshold t. The order
    puts n-grams that many documents have last (by counts of hashed n-grams over all documents), so
-   passages that everybody quotes make no cells.
-3. *Spanning links.* In each cell every set is compared with one pivot. This finds the components
-   of most groups of copies, however large, with a comparison for each member and not each pair.
+   passages that everybody quotes make no cells. Sizes of linked sets differ by less than 1 / t, and the first n-gram that
+   they share stands early in the smaller one; a set without such a mate in a cell leaves it.
+3. *Spanning links.* Every set is first compared with one other, the pivot that it meets in most cells. This finds
+   most groups of copies, however large, with a comparison for each member and not each pair.
 4. *Trees.* Cells whose sets lie in several components are searched for the links that are left. A set
    is a point: its n-grams are hashed into ``GROUPS`` groups, and the coordinates are the groups' counts.
-   Points are packed into an R-tree. The overlap of two sets is at most the sum of the smaller
+   Points are packed into an R-tree; a cell of up to ``FAN_OUT`` points is one leaf. The overlap of two sets is at most the sum of the smaller
    coordinates, which also bounds the overlap of a set with all sets below a node, from the largest
    coordinates there. Branches below the threshold are cut off. Large cells are split into
    tiles, each pair of which is a task of its own.
 5. *Verification.* Surviving pairs are verified by their sets. Components of all links follow.
+
+Cells that very many sets have are found in a sample beforehand and dealt to several tasks each, with a pivot known to all of them.
 """
 
 from __future__ import annotations
@@ -28,12 +31,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm.components import connected_components
 from tracewright.llm.membership import bitmap, contains, slot
+from tracewright.llm.skew import join_heavy
 from tracewright.storage import stash
 
 #: Buckets of the counts that give the order of n-grams, as a power of two (16 MB where all are needed).
@@ -48,6 +54,10 @@ CELL_BITS = 48
 FAN_OUT = 16
 #: Points of a cell in one task.
 TILE = 1_000
+#: One of so many texts is looked at for cells that many sets have; at most HOT_CELLS are then dealt to SALTS tasks each.
+SAMPLE, HOT_ROWS, HOT_CELLS, SALTS = 64, 50, 10_000, 64
+#: Sets that a task keeps in mind, so as not to deal a repeated one again.
+KEPT_SETS = 1_000_000
 #: Bytes that a task works on at a time.
 STEP_BYTES = 1 << 20
 _BASE = 0x5851F42D4C957F2D
@@ -117,7 +127,15 @@ class Shingler:
 
 
 def _point(s: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS), 65535).astype(np.uint16).tobytes()
+    return np.bincount((s >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.uint32).tobytes()
+
+
+def _points(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=np.uint32).reshape(-1, GROUPS)
+
+
+def _key(s: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(s.tobytes())
 
 
 def _counts(rows: DataFrame, n: int) -> np.ndarray:
@@ -175,7 +193,7 @@ def search(queries: np.ndarray, q_sizes: np.ndarray, points: np.ndarray, sizes:
     q, node = (x.ravel() for x in np.meshgrid(np.arange(len(queries)), np.arange(len(levels[-1])), indexing="ij"))
     for depth in range(len(levels) - 1, -2, -1):
         keep_q, keep_n = [], []
-        for a in range(0, len(q), 20_000):
+        for a in range(0, max(1, len(q)), 20_000):
             qs, ns = q[a : a + 20_000], node[a : a + 20_000]
             corner = levels[depth][ns] if depth >= 0 else points[order[ns]]
             bound = np.minimum(queries[qs], corner).sum(axis=1, dtype=np.int64)
@@ -191,41 +209,47 @@ def search(queries: np.ndarray, q_sizes: np.ndarray, points: np.ndarray, sizes:
     return q, order[node]
 
 
-def _bounded(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
-    """``a, b`` of the pairs whose bound on the overlap allows num/den."""
-    x, y = (points.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("point").alias(f"p_{k}")) for k in "ab")
-    rows = pairs.join(x, "a").join(y, "b")
+def _bounded(pairs: DataFrame, points: DataFrame, on: str, num: int, den: int) -> DataFrame:
+    """``a, b``: keys (a < b) of the pairs (of ids or keys, as ``on`` says) whose bound on the overlap allows num/den."""
+    x, y = (points.select(F.col(on).alias(k), F.col("key").alias(f"key_{k}"), F.col("n").alias(f"n_{k}"), F.col("point").alias(f"point_{k}")) for k in "ab")
+    rows = pairs.join(x, "a").join(y, "b").filter("key_a <> key_b AND point_a IS NOT NULL AND point_b IS NOT NULL")
 
     def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                p, q = (np.frombuffer(b"".join(batch[c]), dtype=np.uint16).reshape(-1, GROUPS) for c in ("p_a", "p_b"))
-                most = np.minimum(p, q).sum(axis=1, dtype=np.int64)
-                yield batch.loc[most * (num + den) >= num * (batch["n_a"] + batch["n_b"]).to_numpy(), ["a", "b"]]
+                most = np.minimum(_points(batch["point_a"]), _points(batch["point_b"])).sum(axis=1, dtype=np.int64)
+                yield batch.loc[most * (num + den) >= num * (batch["n_a"] + batch["n_b"]).to_numpy(), ["key_a", "key_b"]]
 
-    return rows.mapInPandas(bound, "a long, b long")
+    return rows.mapInPandas(bound, "key_a binary, key_b binary").select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
 
 
 def _sets(rows: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """``doc_id, grams``: the sets of the documents in ``pairs``. A broadcast bitmap leaves out most others before the join."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    has = bitmap(wanted, "doc_id")
+    """``key, grams``: the sets in ``pairs`` (of keys). A broadcast bitmap leaves out most others before the join."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    # A key is a hash itself: its last bits are its place.
+    has = bitmap(wanted.select(F.conv(F.hex(F.substring("key", 13, 4)), 16, 10).cast("long").alias("last")), "last", hashed=True)
 
     def with_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler = Shingler(n)
+        shingler, seen = Shingler(n), set()
         for batch in batches:
-            batch = batch[contains(has.value, batch["slot"].to_numpy())]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "grams": [s.tobytes() for s in shingler.sets(list(batch["text"]))]})
+            out = {}
+            for s in shingler.sets(list(batch["text"])):
+                key = _key(s)
+                if key not in seen and contains(has.value, np.array([int.from_bytes(key[12:], "big") % (8 * len(has.value))]))[0]:
+                    seen.add(key)
+                    out[key] = s.tobytes()
+            if len(seen) > KEPT_SETS:
+                seen.clear()
+            yield pd.DataFrame({"key": list(out), "grams": list(out.values())}, dtype=object)
 
-    slotted = rows.filter("doc_id IS NOT NULL").select("doc_id", slot(F.col("doc_id")).alias("slot"), "text")
-    found = slotted.mapInPandas(with_sets, "doc_id long, grams binary")
-    return stash(found.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sets")
+    found = rows.select("text").mapInPandas(with_sets, "key binary, grams binary")
+    return stash(found.join(wanted, "key", "left_semi").dropDuplicates(["key"]), "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """``a, b`` of the pairs whose sets reach num/den."""
-    rows = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a")
-    rows = rows.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
+    rows = pairs.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a")
+    rows = rows.join(sets.select(F.col("key").alias("b"), F.col("grams").alias("y")), "b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -236,109 +260,144 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                 ok.append(den * both >= num * (len(x) + len(y) - both))
             yield batch.loc[ok, ["a", "b"]]
 
-    return rows.mapInPandas(verify, "a long, b long")
+    return rows.mapInPandas(verify, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, num: int = 3, den: int = 4) -> DataFrame:
-    """``doc_id, n_shingles, class_id, component_id`` for every document.
+def _described(rows: DataFrame, n: int) -> DataFrame:
+    """``doc_id, n, key, point`` of every document; a document without n-grams has neither key nor point."""
 
-    Words are runs of anything but ASCII white space, with A-Z lower-cased. ``class_id`` is the smallest
-    id among documents with the same set, ``component_id`` the smallest that links reach. A null, empty
-    or blank text has no n-grams and links with nothing. Ids are taken as long integers; rows with
-    a null id get no links (each its own null component), and rows that repeat an id and text
-    are one document listed repeatedly. An empty table gives an empty result; other columns are
-    left out. The threshold is num/den, compared in integers.
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(n)
+        for batch in batches:
+            sets = [(len(s), _key(s), _point(s)) if len(s) else (0, None, None) for s in shingler.sets(batch.column("text").to_pylist())]
+            size, key, point = zip(*sets, strict=True) if sets else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int32()), pa.array(key, pa.binary()), pa.array(point, pa.binary())], ["doc_id", "n", "key", "point"])
+
+    return rows.mapInArrow(describe, "doc_id long, n int, key binary, point binary")
+
+
+def _dealt(rows: DataFrame, rank: Broadcast, has: Broadcast, n: int, num: int, den: int) -> DataFrame:
+    """``cell, doc_id, n`` of the documents in the bitmap ``has``; a task deals a repeated set once.
+
+    ``n`` is negative where an n-gram stands too late in the set for it to be the smaller one of a linked pair that shares none before.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rank = spark.sparkContext.broadcast(_counts(rows, n))
 
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, mask = Shingler(n), np.uint64((1 << CELL_BITS) - 1)
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler, mask, seen = Shingler(n), np.uint64((1 << CELL_BITS) - 1), set()
         for batch in batches:
-            out = []
-            for name, s in zip(batch["doc_id"], shingler.sets(list(batch["text"])), strict=True):
-                if not len(s):
-                    out.append((name, 0, None, None, None))
+            batch = batch[contains(has.value, batch["slot"].to_numpy())]
+            cells, names, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+            for name, s in zip(batch["doc_id"].to_numpy(), shingler.sets(list(batch["text"])), strict=True):
+                key = _key(s)
+                if not len(s) or key in seen:
                     continue
-                size = prefix_size(len(s), num, den)
+                seen.add(key)
                 often = rank.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 # Sets are sorted by hash, and the sort is stable: one order of all n-grams.
-                first = s[np.argsort(often, kind="stable")[:size]] & mask
-                cells = first.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : CELL_BITS // 8].tobytes()
-                out.append((name, len(s), xxhash.xxh3_128_digest(s.tobytes()), cells, _point(s)))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "digest", "cells", "point"], dtype=object)
+                first = s[np.argsort(often, kind="stable")[: prefix_size(len(s), num, den)]] & mask
+                early = np.arange(len(first)) * (num + den) <= len(s) * (den - num)
+                cells.append(first)
+                names.append(np.full(len(first), name, dtype=np.int64))
+                sizes.append(np.where(early, len(s), -len(s)).astype(np.int32))
+            if len(seen) > KEPT_SETS:
+                seen.clear()
+            yield pd.DataFrame({"cell": np.concatenate(cells).view(np.int64), "doc_id": np.concatenate(names), "n": np.concatenate(sizes)})
 
-    described = stash(rows.mapInPandas(describe, "doc_id long, n_shingles long, digest binary, cells binary, point binary"), "described")
-    first = F.min_by(F.struct("doc_id", "cells"), "doc_id").alias("first")
-    chosen = described.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(first)
-    classes = stash(chosen.select("digest", F.col("first.doc_id").alias("class_id"), "first.cells"), "classes")
+    return rows.filter("doc_id IS NOT NULL").select("doc_id", slot(F.col("doc_id")).alias("slot"), "text").mapInPandas(deal, "cell long, doc_id long, n int")
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        width = CELL_BITS // 8
-        for batch in batches:
-            cells = [np.frombuffer(c, dtype=np.uint8).reshape(-1, width) for c in batch["cells"]]
-            full = np.zeros((sum(map(len, cells)), 8), dtype=np.uint8)
-            full[:, :width] = np.concatenate(cells) if cells else 0
-            yield pd.DataFrame({"cell": full.view("<i8").ravel(), "doc_id": np.repeat(batch["doc_id"].to_numpy(dtype=np.int64), [len(c) for c in cells])})
-
-    dealt = classes.select(F.col("class_id").alias("doc_id"), "cells").mapInPandas(deal, "cell long, doc_id long")
-    # Cells of one set alone are most of them. The smallest id is the pivot of a cell.
-    several = dealt.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").select("cell")
-    met = stash(dealt.join(several, "cell").distinct(), "cells")
-    met = met.join(met.groupBy("cell").agg(F.min("doc_id").alias("pivot")), "cell")
-    involved = met.select("doc_id").distinct()
-    described_points = described.select("doc_id", "n_shingles", "point", "digest").filter("digest IS NOT NULL")
-    points = stash(described_points.drop("digest").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "points")
-    spanning = stash(_bounded(met.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct(), points, num, den), "spanning")
+
+def _met(rows: DataFrame, rank: Broadcast, has: Broadcast, n: int, num: int, den: int) -> DataFrame:
+    """``cell, doc_id, n, pivot`` of the sets that have a mate of a fitting size in a cell.
+
+    There is one exchange of all cells. Those that many sets of the sample have are dealt to several tasks, and their pivot comes
+    from the sample; a cell that the sample does not show as large is complete in one task.
+    """
+    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
+    shown = _dealt(sample, rank, has, n, num, den).groupBy("cell").agg(F.count("*").alias("shown"), F.min("doc_id").alias("known"))
+    hot = stash(shown.filter(F.col("shown") >= HOT_ROWS).orderBy(F.desc("shown"), "cell").limit(HOT_CELLS).select("cell", "known"), "hot-cells")
+    salt = F.when(F.col("known").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    dealt = _dealt(rows, rank, has, n, num, den).join(F.broadcast(hot), "cell", "left").withColumn("salt", salt)
+    size = F.abs("n")
+    own = Window.partitionBy("cell", "salt")
+    by_size = own.orderBy(size)
+    smaller = F.last(F.when(F.col("n") > 0, size), ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, -1))
+    dealt = dealt.withColumns({"larger": F.lead(size).over(by_size), "smaller": smaller})
+    mate = ((F.col("n") > 0) & (F.col("larger") * num <= size * den)) | (F.col("smaller") * den >= size * num)
+    met = dealt.filter(F.col("known").isNotNull() | mate)
+    return met.select("cell", "doc_id", size.alias("n"), F.coalesce("known", F.min("doc_id").over(own)).alias("pivot"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, num: int = 3, den: int = 4) -> DataFrame:
+    """``doc_id, n_shingles, class_id, component_id`` for every row.
+
+    Words are runs of anything but ASCII white space, with A-Z lower-cased. ``class_id`` is the smallest
+    id among documents with the same set, ``component_id`` the smallest that links reach. A null, empty
+    or blank text has no n-grams and links with nothing. Ids are taken as long integers; rows with
+    a null id get no links (each its own null component). Rows that repeat an id are rows like any other: each is linked by
+    its own text. An empty table gives an empty result; other columns are
+    left out. The threshold is num/den, compared in integers.
+    """
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    described = stash(_described(rows, n), "described")
+    classes = stash(described.filter("doc_id IS NOT NULL AND key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members")), "classes")
+    spark = docs.sparkSession
+    met = stash(_met(rows, spark.sparkContext.broadcast(_counts(rows, n)), bitmap(classes, "class_id"), n, num, den), "cells")
+
+    points = described.join(met.select("doc_id").distinct(), "doc_id", "left_semi").filter("key IS NOT NULL")
+    points = stash(points.dropDuplicates(["doc_id", "key"]), "points")
+    by_pivot = met.filter("doc_id <> pivot").groupBy("doc_id", "pivot").agg(F.count("*").alias("cells"))
+    spanning = by_pivot.groupBy("doc_id").agg(F.max_by("pivot", F.struct("cells", "pivot")).alias("a")).select("a", F.col("doc_id").alias("b"))
+    spanning = stash(_bounded(spanning, points, "doc_id", num, den), "spanning")
     links = stash(_verified(spanning, _sets(rows, spanning, n), num, den), "links")
     components = connected_components(links)
 
-    # Everything has been compared with the pivots, so the others are left, where there are two at least.
-    named = met.filter("doc_id <> pivot").join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("cell", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = named.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low <> high")
-    left = stash(named.join(mixed.select("cell", "n"), "cell"), "mixed-cells")
-    # What was compared with a pivot is known already.
-    found = stash(_search_cells(spark, left, points, num, den).join(spanning, ["a", "b"], "left_anti"), "pairs")
+    # Where all sets of a cell are in one component, nothing more can be learned from it.
+    traits = points.join(components.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    named = met.select("cell", "doc_id").join(traits.select("doc_id", "component"), "doc_id")
+    mixed = named.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low <> high")
+    left = stash(met.select("cell", "doc_id").join(mixed.select("cell", "size"), "cell"), "mixed-cells")
+    small = left.filter(F.col("size") <= FAN_OUT).join(traits.select("doc_id", "key", "n", "component"), "doc_id")
+    found = _leaf_pairs(small, num, den).unionByName(_search_cells(left.filter(F.col("size") > FAN_OUT).join(traits, "doc_id"), num, den)).distinct()
+    found = stash(_bounded(found, points.dropDuplicates(["key"]), "key", num, den).join(spanning, ["a", "b"], "left_anti"), "pairs")
     more = _verified(found, _sets(rows, found, n), num, den)
-    links = stash(links.unionByName(more), "links")
-    components = connected_components(links)
-    out = described.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "class_id"), "digest", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
-    out = out.join(components.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
-    return out.select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    components = connected_components(stash(links.unionByName(more), "links"))
+    named = classes.join(components.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    lowest = named.groupBy("component").agg(F.min("class_id").alias("component_id"), F.count("*").alias("sets"))
+    named = stash(join_heavy(named, stash(lowest, "components"), "component", "sets").select("key", "class_id", "component_id", "members"), "classes")
+    known, others = described.filter("doc_id IS NOT NULL AND key IS NOT NULL"), described.filter("doc_id IS NULL OR key IS NULL")
+    out = join_heavy(known.select("key", "doc_id", "n"), named, "key", "members").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "class_id", "component_id")
+    return out.unionByName(others.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id")))
 
 
-def _search_cells(spark: SparkSession, left: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
-    """``a, b`` (a < b): pairs of different components that meet in a cell and pass the bound."""
-    # A pair that meets in several cells is reported by the smallest of them.
-    cells = left.groupBy("doc_id").agg(F.array_sort(F.collect_list("cell")).alias("cells"))
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), tiles).cast("int")
+def _leaf_pairs(left: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b``: pairs of keys from different components and of fitting sizes in cells of up to ``FAN_OUT`` sets."""
+    members = left.groupBy("cell").agg(F.array_sort(F.collect_set(F.struct("n", "key", "component"))).alias("m"))
+
+    def partners(x: Column, k: Column) -> Column:
+        later = F.filter("m", lambda y, j: (j > k) & (y["component"] != x["component"]) & (y["n"] * num <= x["n"] * den))
+        return F.transform(later, lambda y: F.struct(F.least(x["key"], y["key"]).alias("a"), F.greatest(x["key"], y["key"]).alias("b")))
+
+    return members.select(F.explode(F.flatten(F.transform("m", partners))).alias("p")).select("p.*").distinct()
+
+
+def _search_cells(left: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b``: pairs of keys from different components that meet in a cell and pass the bound. ``left``: ``cell, size, key, n, point, component``."""
+    tiles = F.ceil(F.col("size") / TILE).cast("int")
+    own = F.pmod(F.xxhash64("key"), tiles).cast("int")
     # Of a cell in k tiles, a point goes to the k pairs of its own tile with each.
     rows = left.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    rows = rows.select("cell", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "doc_id", "component")
-    rows = rows.join(points, "doc_id").join(cells, "doc_id")
+    rows = rows.select("cell", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "key", "n", "point", "component")
 
-    def search_tile(key: tuple, own: np.ndarray, ids: np.ndarray, component: np.ndarray, sizes: np.ndarray, at: np.ndarray, cells: list) -> list[tuple[int, int]]:
-        cell, i, j = key
-        x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    def search_tile(tile: pd.DataFrame, i: int, j: int) -> list[tuple[bytes, bytes]]:
+        x, y = (np.flatnonzero(tile["own"] == k) for k in (i, j))
         if not len(x) or not len(y):
             return []
-        if len(x) * len(y) <= FAN_OUT * FAN_OUT:
-            p, q = (v.ravel() for v in np.meshgrid(x, y, indexing="ij"))
-            fits = np.minimum(at[p], at[q]).sum(axis=1, dtype=np.int64) * (num + den) >= num * (sizes[p] + sizes[q])
-            p, q = p[fits], q[fits]
-        else:
-            p, q = search(at[x], sizes[x], at[y], sizes[y], num, den)
-            p, q = x[p], y[q]
+        at, sizes, key = _points(tile["point"]), tile["n"].to_numpy(dtype=np.int64), tile["key"].to_numpy()
+        component = pd.factorize(tile["component"])[0]
+        p, q = search(at[x], sizes[x], at[y], sizes[y], num, den)
+        p, q = x[p], y[q]
         ok = component[p] != component[q]
-        if i == j:
-            ok &= ids[p] < ids[q]
-        out = []
-        for k, m in zip(p[ok], q[ok], strict=True):
-            if np.intersect1d(cells[k], cells[m], assume_unique=True)[0] == cell:
-                out.append((min(ids[k], ids[m]), max(ids[k], ids[m])))
-        return out
+        return list({(min(key[k], key[m]), max(key[k], key[m])) for k, m in zip(p[ok], q[ok], strict=True)})
 
     def search_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by tile; one may go on in the next batch, and has 2 TILE rows or so."""
@@ -350,16 +409,13 @@ def _search_cells(spark: SparkSession, left: DataFrame, points: DataFrame, num:
                 continue
             tile = waiting[["cell", "i", "j"]].to_numpy()
             ends = np.append(np.flatnonzero((tile[1:] != tile[:-1]).any(axis=1)) + 1, len(tile))
-            whole = len(ends) if batch is None else len(ends) - 1
-            own, ids, component, sizes = (waiting[c].to_numpy() for c in ("own", "doc_id", "component", "n_shingles"))
-            at = np.frombuffer(b"".join(waiting["point"]), dtype=np.uint16).reshape(-1, GROUPS)
-            cells, out, a = list(waiting["cells"]), [], 0
-            for b in ends[:whole]:
-                out += search_tile(tuple(tile[a].tolist()), own[a:b], ids[a:b], component[a:b], sizes[a:b], at[a:b], cells[a:b])
+            out, a = [], 0
+            for b in ends if batch is None else ends[:-1]:
+                out += search_tile(waiting.iloc[a:b], tile[a, 1], tile[a, 2])
                 a = b
-            waiting = waiting.iloc[a:]
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+            waiting = waiting.iloc[a:].reset_index(drop=True)
+            yield pd.DataFrame(out, columns=["a", "b"])
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tiles_sorted = rows.repartition(parts, "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    return tiles_sorted.mapInPandas(search_tiles, "a long, b long")
+    return tiles_sorted.mapInPandas(search_tiles, "a binary, b binary").distinct()
