@@ -22,8 +22,8 @@ def test_canonical_names_fold_accents_and_may_be_empty(spark):
 def test_numbers_and_values(spark):
     df = spark.createDataFrame([("three",), (" 12 ",), ("1_0",), ("many",), (None,)], "s string")
     assert [r[0] for r in df.select(text.as_number(F.col("s"))).collect()] == [3, 12, None, None, None]
-    df = spark.createDataFrame([("3 business days",), ("two glass",), ("x days",)], "s string")
-    assert [r[0] for r in df.select(text.canonical_value(F.col("s"))).collect()] == ["3_day", "2_glass", None]
+    df = spark.createDataFrame([(" 3 business days ",), ("two glass",), ("x Days",), ("2.5 hours",), ("3 --",), ("7",), (None,)], "s string")
+    assert [r[0] for r in df.select(text.canonical_value(F.col("s"))).collect()] == ["3_day", "two_glass", "x_days", "2_5_hour", "3", "7", None]
 
 
 def test_batches_restart_after_a_long_block(spark):
@@ -65,19 +65,122 @@ def test_latest_date_wins_unless_tied(spark):
     assert [x[2] for x in got] == ["superseded", "admitted", "conflicted", "conflicted", "conflicted", "conflicted"]
 
 
+def graph(spark, *edges):
+    rows = [(a, *(rest or ("", "")), b) for a, b, *rest in edges]  # a step has neither decision nor outcome
+    return spark.createDataFrame(rows, "state string, decision string, outcome string, next_state string")
+
+
+def named(spark, *states):
+    return spark.createDataFrame([(s,) for s in states], "state string")
+
+
 def test_paths_respect_visits_and_depth(spark):
-    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c")], "state string, next_state string")
-    start, end = (spark.createDataFrame([(s,)], "state string") for s in "ac")
+    edges = graph(spark, ("a", "b"), ("b", "a"), ("b", "c", "d1", "yes"))
     none = spark.createDataFrame([], "state string, n int")
-    found = journeys.enumerate_paths(edges, start, end, none, default_limit=2, max_depth=6)
-    assert values(found.select(F.array_join("path", "").alias("p")), "p") == [("ababc",), ("abc",)]
+    found = journeys.enumerate_paths(edges, named(spark, "a"), named(spark, "c"), none, default_limit=2, max_depth=6)
+    assert values(found.select(F.array_join("path", "").alias("p"), "complete", "truncated"), "p", "complete", "truncated") == [("ababc", True, False), ("abc", True, False)]
+    assert [tuple(x) for x in found.filter("depth = 2").first()["steps"]] == [("", "", "b"), ("d1", "yes", "c")]
+    short = journeys.enumerate_paths(edges, named(spark, "a"), named(spark, "c"), none, max_depth=1)
+    assert values(short, "path", "complete", "truncated") == [(["a", "b"], False, True)]
+    assert journeys.enumerate_paths(edges, named(spark).limit(0), named(spark, "c"), none).count() == 0
+
+
+def test_a_budget_keeps_the_first_paths_and_gaps_get_their_own(spark):
+    edges = graph(spark, *[("s", f"m{k}") for k in range(6)], *[(f"m{k}", "t") for k in range(6)], ("lost", "t"))
+    none = spark.createDataFrame([], "state string, n int")
+    paths = journeys.enumerate_paths(edges, named(spark, "s"), named(spark, "t"), none, max_paths=2)
+    assert values(paths, "path", "truncated") == [(["s", "m0", "t"], True), (["s", "m1", "t"], True)]
+    gaps = {(r["state"], r["next_state"]): r["steps"] and "".join(x["next_state"] for x in r["steps"]) for r in journeys.edge_gaps(edges, paths, named(spark, "s")).collect()}
+    assert gaps == {**{("s", f"m{k}"): f"m{k}" for k in range(2, 6)}, **{(f"m{k}", "t"): f"m{k}t" for k in range(2, 6)}, ("lost", "t"): None}
+    assert values(journeys.unreachable_states(edges, paths), "state") == [("lost",), ("m2",), ("m3",), ("m4",), ("m5",)]
+
+
+def test_layers_take_the_longest_way_forward(spark):
+    edges = graph(spark, ("a", "b"), ("a", "c"), ("b", "c"), ("c", "a"), ("c", "d"), ("a", "d"), ("d", "d"))
+    assert values(journeys.layers(edges, named(spark, "a")), "state", "depth") == [("a", 0), ("b", 1), ("c", 2), ("d", 3)]
+
+
+def test_a_threshold_bounds_the_states_that_offer_its_decision(spark):
+    edges = graph(spark, ("retry", "ask", "again", "yes"), ("ask", "retry", "other", "no"), ("end", "end"))
+    heads = spark.createDataFrame([("again", "v3"), ("retry", "v5"), ("other", "v0"), ("gone", "v3"), ("end", "vx")], "head string, value string")
+    literals = spark.createDataFrame([("v3", "three"), ("v5", "5"), ("v0", "0"), ("vx", "many")], "value string, literal string")
+    assert values(journeys.revisit_limits(heads, literals, edges), "state", "n") == [("retry", 3)]
 
 
 def test_placement_carries_and_prefers_what_is_near(spark):
-    turns = spark.createDataFrame([(1, 0, None, []), (1, 1, "s", []), (1, 2, None, ["x", "y"]), (1, 3, None, []), (2, 0, None, ["y", "x"])], "conversation_id int, turn int, checkpoint string, candidates array<string>")
-    graph = spark.createDataFrame([("s", ["x"])], "state string, reach array<string>")
-    got = values(traces.place_turns(turns, graph), "conversation_id", "turn", "method", "state")
-    assert got == [(1, 0, "none", None), (1, 1, "checkpoint", "s"), (1, 2, "inferred", "x"), (1, 3, "carried", "x"), (2, 0, "ambiguous", "x")]
+    rows = [(1, 0, None, []), (1, 1, ["t", "s"], ["y"]), (1, 2, None, ["x", "y"]), (1, 3, None, []), (1, 4, None, ["p", "q", None]), (2, 0, None, ["y", "x"]), (None, 0, None, None)]
+    turns = spark.createDataFrame(rows, "conversation_id int, turn int, visits array<string>, candidates array<string>")
+    reach = spark.createDataFrame([("s", ["x"]), ("t", ["y"])], "state string, reach array<string>")
+    got = traces.place_turns(turns, reach)
+    assert values(got, "conversation_id", "turn", "method", "state", "exit_state", "confidence") == [
+        (1, 0, "none", None, None, 0.0), (1, 1, "checkpoint", "t", "s", 1.0), (1, 2, "inferred", "x", "x", 0.8), (1, 3, "carried", "x", "x", 0.6), (1, 4, "ambiguous", "p", "p", 0.2), (2, 0, "ambiguous", "x", "x", 0.2), (None, 0, "none", None, None, 0.0),
+    ]
+    assert values(traces.hops(got), "turn", "source", "target") == [(1, "s", "x"), (1, "t", "s"), (3, "x", "p")]
+    assert traces.place_turns(turns.limit(0), reach).count() == 0
+
+
+def test_states_are_visited_once_for_a_run(spark):
+    writes = spark.createDataFrame([(1, 0, 3, "b"), (1, 0, 1, "a"), (1, 0, 2, "a"), (1, 0, 4, None), (1, 0, 5, "a"), (1, 1, 6, "a")], "conversation_id int, turn int, seq int, state string")
+    assert values(traces.visited(writes), "turn", "states") == [(0, ["a", "b", "a"]), (1, ["a"])]
+
+
+def test_names_bind_as_they_are_folded(spark):
+    seen = spark.createDataFrame([("Tool", "Card Check"), ("Tool", "Réglage"), ("Tool", "日本"), ("State", "card_check"), ("Tool", None)], "entity_type string, token string")
+    declared = spark.createDataFrame([("Tool", "card_check", "T1"), ("Tool", "!", "T9")], "entity_type string, wire string, entity string")
+    lexicon = spark.createDataFrame([("Tool", "reglage", "T2"), ("Tool", "CARD check", "T3")], "entity_type string, label string, entity string")
+    assert values(traces.bind(seen, declared, lexicon), "entity_type", "token", "entity", "method") == [("State", "card_check", None, "none"), ("Tool", "Card Check", "T1", "declared"), ("Tool", "Réglage", "T2", "lexical"), ("Tool", "日本", None, "none"), ("Tool", None, None, "none")]
+
+
+def test_batches_end_where_a_section_does(spark):
+    rows = [(1, 0, "x" * 3, "a"), (1, 1, "x" * 3, "b"), (1, 2, "x" * 2, "b"), (1, 3, "x", "c"), (2, 0, "", None)]
+    blocks = spark.createDataFrame(rows, "doc_id long, block_no int, text string, section string")
+    got = corpus.batch_context(corpus.greedy_batches(blocks, 100, min_chars=5))
+    assert values(got, "doc_id", "batch_no", "n_chars", "first_block", "last_block", "before", "after") == [(1, 0, 8, 0, 2, None, 3), (1, 1, 1, 3, 3, 2, None), (2, 0, 0, 0, 0, None, None)]
+
+
+def test_limits_and_modals(spark):
+    docs = spark.createDataFrame([(1, "Make at most three login attempts, and No More Than 12 calls. See 4 boxes within reach; within 5 days."), (2, "up to many things"), (3, None)], "doc_id int, text string")
+    assert values(corpus.limits(docs), "doc_id", "place", "name", "number", "quote") == [(1, 0, "3 login attempts", 3, "at most three login attempts"), (1, 1, "12 calls", 12, "No More Than 12 calls"), (1, 2, "5 days", 5, "within 5 days")]
+    said = spark.createDataFrame([("You MUST NOT go.",), ("You must go.",), ("You ought not go.",), ("You should.",), ("One may.",), ("Musty.",)], "s string")
+    assert [r[0] for r in said.select(corpus.modal_severity(F.col("s"))).collect()] == ["error", "error", "warning", "warning", "info", None]
+
+
+def test_folded_quotes_are_located_in_the_source(spark):
+    quotes = spark.createDataFrame([(1, "it's  “Fine” – really"), (2, "now then"), (3, "not here at all"), (4, " \t      ")], "item_id int, quote string")
+    texts = spark.createDataFrame([(7, "  Well,\nIT’S\n\n\"fine\" -  really so. Now\tthen."), (8, ""), (9, None)], "doc_id int, text string")
+    got = {r["item_id"]: r for r in corpus.locate_spans(quotes, texts).collect()}
+    source = texts.filter("doc_id = 7").first()["text"]
+    assert {k: source[r["start"] : r["end"]] for k, r in got.items()} == {1: "IT’S\n\n\"fine\" -  really", 2: "Now\tthen"} and not got[1]["exact"]
+
+
+def test_denials_of_every_form(spark):
+    said = ["You must never go.", "It is prohibited to go.", "They do not go.", "Don't go.", "Going is forbidden.", "Please refrain.", "You will not go.", "All notes go."]
+    got = spark.createDataFrame([(x,) for x in said], "s string").select(F.col("s").rlike(admission.MODAL_DENIAL), F.col("s").rlike(admission.ANY_DENIAL)).collect()
+    assert [tuple(r) for r in got] == [(True, True), (True, True), (True, True), (False, True), (True, True), (False, True), (False, True), (False, False)]
+
+
+def test_python_literals_are_payloads(spark):
+    df = spark.createDataFrame([("{'b': True, 'a': None, 'c': {'d': [1, 'x']}}",), ('{"a": 1}',), ("None",), ("nothing {",), (None,)], "p string")
+    got = [r[0] and [tuple(x) for x in r[0]] for r in df.select(payloads.arguments(payloads.as_json(F.col("p")))).collect()]
+    assert got == [[("a", ""), ("b", "true"), ("c", '{"d":[1,"x"]}')], [("a", "1")], None, None, None]
+
+
+def test_unbound_outcomes_and_spelled_limits(spark):
+    evidence = spark.createDataFrame([(1, 1, "T", "Tool"), (1, 2, None, "Outcome"), (2, 1, "T", "Tool"), (2, 2, "O", "Outcome")], "conversation_id int, seq int, entity string, entity_type string")
+    claims = spark.createDataFrame([("T", ["O"])], "subject string, expected array<string>")
+    assert values(grading.outcome_allowed(claims, evidence), "conversation_id", "outcome") == [(1, "fail"), (2, "pass")]
+    limits = spark.createDataFrame([("T", "One", "k"), ("O", "several", "k")], "subject string, limit_text string, variable string")
+    peaks = spark.createDataFrame([(2, "k", 2)], "conversation_id int, name string, peak long")
+    assert values(grading.count_limit(limits, evidence, peaks), "conversation_id", "subject", "outcome") == [(1, "O", "undecided"), (1, "T", "pass"), (2, "O", "undecided"), (2, "T", "fail")]
+
+
+def test_levels_and_severities_of_assertions(spark):
+    facts = [("a", "R", "x", ["deterministic", "model"], "normal", "admitted"), ("b", "R", "x", ["model"], "high", "admitted"), ("c", "R", "x", ["telemetry"], "high", "admitted"), ("d", "R", "x", ["deterministic"], "high", "review"), ("e", "R", "x", ["model"], "high", "admitted"), ("f", "R", "x", ["model"], "normal", "rejected"), ("g", "IS_TERMINAL", "false", ["model"], "high", "admitted"), ("h", "IS_TERMINAL", "True ", ["model"], "high", "admitted")]
+    triples = spark.createDataFrame(facts, "head string, relation string, tail string, methods array<string>, materiality string, status string")
+    rules = spark.createDataFrame([("R", "tool_called", "tool", "state", "per_head"), ("IS_TERMINAL", "terminal_expected", "outcome", "journey", "all")], "relation string, kind string, dimension string, scope string, grouping string")
+    own, with_condition = spark.createDataFrame([("e", "Info"), ("b", "dire")], "head string, severity string"), spark.createDataFrame([("b",)], "head string")
+    got = contracts.compile_assertions(triples, rules, own, with_condition)
+    assert values(got, "subject", "expected", "severity", "level") == [("a", ["x"], "warning", "L1"), ("b", ["x"], "warning", "L3"), ("c", ["x"], "advisory", "L2"), ("d", ["x"], "advisory", "L1"), ("e", ["x"], "info", "L2"), ("journey", ["h"], "error", "L2")]
 
 
 def test_covering_rows_cover_all_pairs():
@@ -98,7 +201,9 @@ def test_a_large_catalogue_is_refused(spark):
 def test_contracts_have_any_number_of_journey_assertions(spark):
     assertions = spark.range(6_000).select(F.col("id").cast("string").alias("assertion_id"), F.lit("journey").alias("scope"), F.lit("s").alias("subject"), F.array(F.lit("e")).alias("expected"))
     scopes = spark.createDataFrame([(1, "e"), (2, "x")], "binding_id int, entity string")
-    assert values(contracts.narrow(assertions, scopes).groupBy("binding_id").count(), "binding_id", "count") == [(1, 6_000), (2, 6_000)]
+    assert values(contracts.narrow(assertions, scopes).groupBy("binding_id").count(), "binding_id", "count") == [(None, 6_000)]
+    near = assertions.withColumn("scope", F.lit("state"))
+    assert values(contracts.narrow(near, scopes).groupBy("binding_id").count(), "binding_id", "count") == [(1, 6_000)]
 
 
 def test_graders_on_no_evidence(spark):

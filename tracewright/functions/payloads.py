@@ -2,16 +2,51 @@
 
 from __future__ import annotations
 
+import ast
+import json
+import re
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Fields that may name an outcome, in the order in which they are tried, and what a name looks like.
 OUTCOME_FIELDS = ("match", "status", "action", "result", "outcome")
 SYMBOL = "^[A-Z][A-Z0-9]*(_[A-Z0-9]+)*$"
 
 
+def _parsed(payload: str | None) -> Any:
+    """What a payload says as JSON or else as a Python literal; null for anything else, and for the literal ``None``."""
+    if payload is None or payload == "None":
+        return None
+    try:
+        return json.loads(payload)
+    except ValueError:
+        pass
+    try:
+        return ast.literal_eval(payload)
+    except (ValueError, SyntaxError, MemoryError, RecursionError):
+        return None
+
+
+@F.pandas_udf(StringType())
+def _literal_as_json(payloads: pd.Series) -> pd.Series:
+    return pd.Series([None if (v := _parsed(p)) is None else json.dumps(v, ensure_ascii=False, default=str) for p in payloads], dtype=object)
+
+
+def as_json(payload: Column) -> Column:
+    """The payload as JSON: one that is a Python literal (as some exporters write dictionaries) is rewritten, JSON stays as it is.
+
+    JSON is recognised in the JVM; only other payloads go through Python.
+    """
+    valid = F.get_json_object(payload, "$").isNotNull()
+    return F.when(valid, payload).otherwise(_literal_as_json(F.when(~valid, payload)))
+
+
 def arguments(payload: Column) -> Column:
-    """Sorted ``(key, value)`` pairs of a JSON object; nulls as empty text; null for anything else."""
+    """Sorted ``(key, value)`` pairs of a JSON object; nulls as empty text; null for anything else (see ``as_json`` for Python literals)."""
     entries = F.map_entries(F.from_json(payload, "map<string,string>"))
     return F.array_sort(F.transform(entries, lambda e: F.struct(e["key"].alias("key"), F.coalesce(e["value"], F.lit("")).alias("value"))))
 
@@ -21,11 +56,28 @@ def _named(fields: Column) -> Column:
     return F.coalesce(*[F.when(v.rlike(SYMBOL), v) for v in values])
 
 
+def _inner_outcome(value: Any) -> str | None:
+    if not isinstance(value, dict):
+        return None
+    for name in OUTCOME_FIELDS:
+        if isinstance(value.get(name), str) and re.match(SYMBOL, value[name]):
+            return value[name]
+    return next((found for inner in value.values() if (found := _inner_outcome(inner)) is not None), None)
+
+
+@F.pandas_udf(StringType())
+def _nested_outcome(payloads: pd.Series) -> pd.Series:
+    return pd.Series([_inner_outcome(_parsed(p)) for p in payloads], dtype=object)
+
+
 def symbolic_outcome(payload: Column) -> Column:
-    """The first field that names an outcome, of the object or else of the objects right inside it, by key."""
-    top = F.from_json(payload, "map<string,string>")
-    inner = F.transform(F.filter(F.array_sort(F.map_entries(top)), lambda e: e["value"].startswith("{")), lambda e: _named(F.from_json(e["value"], "map<string,string>")))
-    return F.coalesce(_named(top), F.try_element_at(F.filter(inner, lambda x: x.isNotNull()), F.lit(1)))
+    """The first field that names an outcome, of the object or else of the objects inside it, in their order and at any depth.
+
+    Outcomes of the outermost object of JSON, as most are, are found in the JVM; only other payloads with an object inside go through Python.
+    """
+    top = _named(F.from_json(payload, "map<string,string>"))
+    deeper = _nested_outcome(F.when(top.isNull() & payload.rlike(r"^\s*\{"), payload))
+    return F.coalesce(top, deeper)
 
 
 def state_write(payload: Column) -> Column:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.text import NUMBER_WORDS, folded
 
-#: Words that make a quote a denial.
-MODAL_DENIAL = r"(?i)\b(must|shall|should|may|can|will) not\b|\bcannot\b"
-ANY_DENIAL = r"(?i)\b(not|never|no|cannot|without)\b"
+#: Phrases that make a quote a prohibition, and words that make it a denial of any kind.
+MODAL_DENIAL = r"(?i)\b(?:must not|may not|shall not|should not|cannot|can not|must never|may never|is not permitted|are not permitted|is prohibited|are prohibited|is forbidden|are forbidden|do not|does not|never)\b"
+ANY_DENIAL = r"(?i)\b(?:no|not|never|without|prohibit(?:s|ed)?|forbid(?:s|den)?|disallow(?:s|ed)?|refrain|avoid|decline|refuse)\b|n't\b"
 #: Criteria in the order in which they are tried.
 CRITERIA = ("schema", "empty", "citation", "quote", "polarity", "value")
 

@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.functions.text import collapsed, digest
+from tracewright.functions.text import NUMBER_WORDS, as_number, collapsed, digest, folded, source_span
+
+#: Where sentences end.
+SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z])"
+#: Phrases that introduce a limit, before its number and a unit of one to three words.
+LIMIT = r"(?i)\b(maximum of|minimum of|no more than|no fewer than|at most|at least|up to|within)\s+(\d+|" + "|".join(NUMBER_WORDS) + r")\s+((?:[A-Za-z][A-Za-z-]*\s+){0,2}[A-Za-z][A-Za-z-]*)"
+#: Modal verbs and how hard a rule with them bites, in the order in which they are tried.
+MODALS = (
+    (r"(?i)\b(must not|may not|shall not|cannot|do not|does not|never)\b", "error"),
+    (r"(?i)\b(must|shall|is required to|are required to)\b", "error"),
+    (r"(?i)\b(should not|ought not)\b", "warning"),
+    (r"(?i)\b(should|ought to)\b", "warning"),
+    (r"(?i)\b(may|can|is permitted to|are permitted to)\b", "info"),
+)
 
 
 def line_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -47,29 +63,47 @@ def passages(blocks: DataFrame, location: Column) -> DataFrame:
     return first.select("passage_id", "doc_id", "b.block_no", "b.text")
 
 
-def greedy_batches(blocks: DataFrame, budget: int = 6000) -> DataFrame:
-    """``doc_id, batch_no, n_blocks, n_chars, first_block``: consecutive blocks up to ``budget`` characters.
+def greedy_batches(blocks: DataFrame, budget: int = 6000, min_chars: int = 1500) -> DataFrame:
+    """``doc_id, batch_no, n_blocks, n_chars, first_block, last_block``: consecutive blocks up to ``budget`` characters.
 
-    Where a batch begins depends on where the last one did, so the blocks of a document are folded in
-    order; a block over the budget is a batch of its own.
+    ``blocks``: ``doc_id, block_no, text`` and, if a batch of ``min_chars`` or more is to end where one does, ``section``. A block over the budget
+    is a batch of its own. Where a batch begins depends on where the last one did, so the blocks of a document are
+    sorted within a partition and folded as they pass; only the open batch is kept. No text moves.
     """
-    ordered = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_no", F.length("text").alias("n")))).alias("blocks"))
-    start = F.expr("named_struct('no', 0, 'size', 0, 'out', cast(array() as array<struct<batch_no: int, block_no: int, n: int>>))")
-
-    def step(acc: Column, b: Column) -> Column:
-        fits = (acc["size"] == 0) | (acc["size"] + b["n"] <= budget)
-        no = F.when(fits, acc["no"]).otherwise(acc["no"] + 1)
-        size = F.when(fits, acc["size"] + b["n"]).otherwise(b["n"])
-        return F.struct(no.alias("no"), size.alias("size"), F.concat(acc["out"], F.array(F.struct(no.alias("batch_no"), b["block_no"].alias("block_no"), b["n"].alias("n")))).alias("out"))
-
-    dealt = ordered.select("doc_id", F.explode(F.aggregate("blocks", start, step, lambda acc: acc["out"])).alias("b"))
-    return dealt.groupBy("doc_id", F.col("b.batch_no").alias("batch_no")).agg(F.count("*").alias("n_blocks"), F.sum("b.n").alias("n_chars"), F.min("b.block_no").alias("first_block"))
+    kinds = {f.name: f.dataType.simpleString() for f in blocks.schema}
+    section = F.col("section").cast("string") if "section" in kinds else F.lit(None).cast("string")
+    rows = blocks.select("doc_id", "block_no", F.length("text").alias("n"), section.alias("section"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_batch: list | None = None  # document, batch, blocks, characters, first and last block, section of the last
+
+        def closed(done: list, kind: pa.DataType) -> pa.RecordBatch:
+            columns = [pa.array([r[0] for r in done], kind), *(pa.array([r[k] for r in done], pa.int64()) for k in range(1, 6))]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "batch_no", "n_blocks", "n_chars", "first_block", "last_block"])
+
+        kind = None
+        for batch in batches:
+            kind, done = batch.column("doc_id").type, []
+            for name, block, n, part in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "block_no", "n", "section")), strict=True):
+                if open_batch is None or name != open_batch[0]:
+                    done += [open_batch] if open_batch else []
+                    open_batch = [name, 0, 0, 0, block, block, part]
+                elif open_batch[3] + n > budget or (part != open_batch[6] and open_batch[3] >= min_chars):
+                    done.append(open_batch)
+                    open_batch = [name, open_batch[1] + 1, 0, 0, block, block, part]
+                open_batch[2:] = [open_batch[2] + 1, open_batch[3] + n, open_batch[4], block, part]
+            yield closed(done, kind)
+        if open_batch:
+            yield closed([open_batch], kind)
+
+    ordered = rows.repartition("doc_id").sortWithinPartitions("doc_id", "block_no")
+    return ordered.mapInArrow(fold, f"doc_id {kinds['doc_id']}, batch_no long, n_blocks long, n_chars long, first_block long, last_block long")
 
 
 def batch_context(batches: DataFrame) -> DataFrame:
-    """Each batch with the first block of the next batch and of the one before."""
+    """Each batch with the last block of the batch before and the first block of the next."""
     order = Window.partitionBy("doc_id").orderBy("batch_no")
-    return batches.withColumns({"before": F.lag("first_block").over(order), "after": F.lead("first_block").over(order)})
+    return batches.withColumns({"before": F.lag("last_block").over(order), "after": F.lead("first_block").over(order)})
 
 
 def section_changes(rows: DataFrame, group: str, order: str, section: str) -> DataFrame:
@@ -80,7 +114,7 @@ def section_changes(rows: DataFrame, group: str, order: str, section: str) -> Da
 
 def sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, sentence_no, sentence``: split after . ! ? before white space and a capital."""
-    parts = F.split(F.col(text), r"(?<=[.!?])\s+(?=[A-Z])")
+    parts = F.split(F.col(text), SENTENCE_END)
     return docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(parts).alias("sentence_no", "sentence"))
 
 
@@ -90,7 +124,19 @@ def quantities(docs: DataFrame, pattern: str, doc_id: str = "doc_id", text: str
     return docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(found).alias("place", "quantity"))
 
 
-def modal_severity(sentence: Column, words: list[tuple[str, str]], default: str) -> Column:
+def limits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, place, name, number, quote``: quantities of one to three words that a limiting phrase introduces.
+
+    A number in digits or words counts; quote and name are without punctuation at their ends.
+    """
+    found = F.arrays_zip(*[F.regexp_extract_all(F.col(text), F.lit(LIMIT), F.lit(k)).alias(c) for k, c in ((0, "quote"), (2, "figure"), (3, "unit"))])
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(found).alias("place", "m")).select("doc_id", "place", "m.*")
+    ends = r"^[ \t.,;:]+|[ \t.,;:]+$"
+    rows = rows.select("doc_id", "place", as_number(F.col("figure")).alias("number"), F.regexp_replace("unit", ends, "").alias("unit"), F.regexp_replace("quote", ends, "").alias("quote"))
+    return rows.filter("number IS NOT NULL AND unit <> ''").select("doc_id", "place", F.concat_ws(" ", F.col("number").cast("string"), "unit").alias("name"), "number", "quote")
+
+
+def modal_severity(sentence: Column, words: Sequence[tuple[str, str]] = MODALS, default: str | None = None) -> Column:
     """The severity of the first pattern, in their order, that a sentence matches."""
     out = F.lit(default)
     for pattern, severity in reversed(words):
@@ -122,3 +168,17 @@ def locate_quotes(quotes: DataFrame, texts: DataFrame, grams: int = 3, min_chars
         pairs = pairs.unionByName(cut.join(short.select("gram", "item_id"), "gram").select("doc_id", "item_id")).distinct()
     found = pairs.join(quotes.select("item_id", "quote"), "item_id").join(texts, "doc_id")
     return found.select("item_id", "doc_id", (F.expr("instr(text, quote)") - 1).alias("start")).filter("start >= 0")
+
+
+def locate_spans(quotes: DataFrame, texts: DataFrame, min_chars: int = 8) -> DataFrame:
+    """``item_id, doc_id, start, end, exact``: where each quote stands in each text that holds it, as places in the source text.
+
+    A quote is sought as it is and, where a text lacks it so, with typography, case and white space folded. Only texts that hold
+    a quote are gone through for their offsets. ``quotes``: ``item_id, quote``; ``texts``: ``doc_id, text``.
+    """
+    plain = locate_quotes(quotes, texts, min_chars=min_chars)
+    loose = locate_quotes(quotes.filter(F.length(F.trim("quote")) >= min_chars).select("item_id", folded(F.col("quote")).alias("quote")), texts.select("doc_id", folded(F.col("text")).alias("text")), min_chars=1)
+    hits = loose.select("item_id", "doc_id").unionByName(plain.select("item_id", "doc_id")).distinct()
+    rows = hits.join(quotes.select("item_id", "quote"), "item_id").join(texts.select("doc_id", "text"), "doc_id")
+    span = source_span(F.col("quote"), F.col("text"))
+    return rows.select("item_id", "doc_id", span.alias("s")).select("item_id", "doc_id", "s.start", "s.end", "s.exact").filter("start IS NOT NULL")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.functions.text import as_number
 from tracewright.operators.catalogues import pair_with
 
 BLOCKING = ("blocker", "error")
@@ -56,13 +57,13 @@ def action_forbidden(assertions: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def outcome_allowed(assertions: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Outcomes of the subject (a tool) are all expected; not applicable without outcomes.
+    """Outcomes of the subject (a tool) are all expected; one that is bound to nothing isn't. Not applicable without outcomes.
 
     An outcome belongs to the last tool before it.
     """
     order = Window.partitionBy("conversation_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     tool = F.last(F.when(F.col("entity_type") == "Tool", F.col("entity")), ignorenulls=True).over(order)
-    results = evidence.withColumn("subject", tool).filter("entity_type = 'Outcome' AND entity IS NOT NULL AND subject IS NOT NULL").groupBy("conversation_id", "subject").agg(F.collect_set("entity").alias("got"))
+    results = evidence.withColumn("subject", tool).filter("entity_type = 'Outcome' AND subject IS NOT NULL").groupBy("conversation_id", "subject").agg(F.collect_set(F.coalesce("entity", F.lit(""))).alias("got"))
     rows = _runs(evidence, assertions).join(results, ["conversation_id", "subject"], "left")
     return _verdict(rows, F.when(F.col("got").isNull(), "not_applicable").when(F.size(F.array_except("got", "expected")) > 0, "fail").otherwise("pass"))
 
@@ -110,12 +111,12 @@ def order_expected(assertions: DataFrame, evidence: DataFrame) -> DataFrame:
 def count_limit(limits: DataFrame, evidence: DataFrame, peaks: DataFrame) -> DataFrame:
     """Calls, or the peak of a counter, stay within a limit.
 
-    ``limits``: ``subject, limit_text, variable``. A limit that is no number is undecided; a subject that never occurs and
+    ``limits``: ``subject, limit_text, variable``. A limit that is neither a number nor a cardinal word is undecided; a subject that never occurs and
     whose counter was never set is not applicable.
     """
     rows = _runs(evidence, limits).join(_seen(evidence).select("conversation_id", "subject", "calls"), ["conversation_id", "subject"], "left")
     rows = rows.join(peaks.select("conversation_id", F.col("name").alias("variable"), "peak"), ["conversation_id", "variable"], "left")
-    calls, limit = F.coalesce("calls", F.lit(0)), F.col("limit_text").try_cast("bigint")
+    calls, limit = F.coalesce("calls", F.lit(0)), as_number(F.col("limit_text"))
     observed = F.greatest(calls, F.coalesce("peak", F.lit(0)))
     outcome = F.when(limit.isNull(), "undecided").when((calls == 0) & F.col("peak").isNull(), "not_applicable").when(observed <= limit, "pass").otherwise("fail")
     return rows.select("conversation_id", "subject", limit.alias("limit_value"), observed.alias("observed"), outcome.alias("outcome"))

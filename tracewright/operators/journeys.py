@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tracewright.functions.text import as_number
 from tracewright.storage import stash
 
-MAX_DEPTH = 12
+#: Steps of a path, and paths of a graph, at most.
+MAX_DEPTH, MAX_PATHS = 12, 500
 
 
 def journey_edges(offers: DataFrame, outcomes: DataFrame, leads: DataFrame, steps: DataFrame) -> DataFrame:
@@ -29,46 +32,116 @@ def entries(edges: DataFrame, declared: DataFrame) -> DataFrame:
     return options.join(F.broadcast(best), F.col("rank") == F.col("best")).select("state").distinct()
 
 
-def enumerate_paths(edges: DataFrame, starts: DataFrame, terminals: DataFrame, limits: DataFrame, default_limit: int = 3, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """``path, last, depth, ended``: paths from every start until a terminal, a state without successors, or ``max_depth`` steps.
+def revisit_limits(thresholds: DataFrame, values: DataFrame, edges: DataFrame) -> DataFrame:
+    """``state, n``: how often a state may recur, where a threshold says so.
 
-    A state may be visited as often as ``limits`` (``state, n``) says, else ``default_limit`` times; a start is a first
-    visit. Each depth is a join with the edges, written before the next, so work is spread over the
-    paths, and none is lost with an executor. A path that all its successors' limits stop is left out.
+    ``thresholds``: ``head, value`` (a state or a decision); ``values``: ``value, literal``. A literal that is no positive number or cardinal word
+    limits nothing; of a value's literals the first by name counts, of a head's values the last. A threshold on a
+    decision bounds the states that offer it, and the smallest of a state's bounds holds.
+    """
+    read = values.groupBy("value").agg(F.min("literal").alias("literal")).select("value", as_number(F.col("literal")).alias("number"))
+    declared = thresholds.join(read, "value").filter("number > 0").groupBy("head").agg(F.max_by("number", "value").alias("n"))
+    own = edges.select("state").distinct().join(declared.withColumnRenamed("head", "state"), "state")
+    offered = edges.filter("decision <> ''").select("state", "decision").distinct().join(declared.withColumnRenamed("head", "decision"), "decision").select("state", "n")
+    return own.select("state", "n").unionByName(offered).groupBy("state").agg(F.min("n").alias("n"))
+
+
+def _steps(edges: DataFrame) -> DataFrame:
+    """Distinct edges as ``last`` (where one is) and ``step``; steps are ordered by decision, outcome and next state."""
+    step = F.struct("decision", "outcome", "next_state")
+    return edges.select(F.col("state").alias("last"), step.alias("step")).distinct()
+
+
+def enumerate_paths(edges: DataFrame, starts: DataFrame, terminals: DataFrame, limits: DataFrame, default_limit: int = 3, max_depth: int = MAX_DEPTH, max_paths: int = MAX_PATHS) -> DataFrame:
+    """``entry, steps, path, depth, complete, truncated``: paths from every start until a terminal, a state without successors, or ``max_depth`` steps.
+
+    ``edges``: ``state, decision, outcome, next_state``; ``steps`` has the decision, outcome and next state of each step. A state may be visited as often as ``limits`` (``state, n``) says, else ``default_limit`` times; a start is a first
+    visit. Of all paths the first ``max_paths`` are the result, in the order of their starts and steps: a budget, as their number
+    grows with the power of the depth. ``complete`` says whether a path ended at a terminal, ``truncated`` (the same in all rows)
+    whether paths were left out or cut off by the depth; ``edge_gaps`` finds a path to each edge that is then missing. A path that all its
+    successors' limits stop is no scenario. Each depth is a join with the edges, written before the next.
     """
     goes_on = edges.select(F.col("state").alias("last")).distinct().withColumn("more", F.lit(True))
     ends = terminals.select(F.col("state").alias("last")).distinct().withColumn("terminal", F.lit(True))
-    hops = edges.select("state", "next_state").distinct().join(limits.select(F.col("state").alias("next_state"), "n"), "next_state", "left").select(F.col("state").alias("last"), "next_state", F.coalesce("n", F.lit(default_limit)).alias("n"))
-    front = starts.select(F.array("state").alias("path"), F.col("state").alias("last"))
-    done = None
+    hops = _steps(edges).join(limits.select(F.col("state").alias("to"), "n"), F.col("step.next_state") == F.col("to"), "left").select("last", "step", F.coalesce("n", F.lit(default_limit)).alias("n"))
+    none = F.array().cast(T.ArrayType(edges.select(F.struct("decision", "outcome", "next_state").alias("s")).schema["s"].dataType))
+    front = starts.select(F.col("state").alias("entry"), none.alias("steps"), F.col("state").alias("last")).distinct()
+    done, cut = None, False
     for depth in range(max_depth + 1):
-        marked = stash(front.join(goes_on, "last", "left").join(ends, "last", "left").select("path", "last", (F.col("terminal").isNotNull() | F.col("more").isNull()).alias("ended")), "paths")
-        stopped = marked.filter("ended" if depth < max_depth else "true").select("path", "last", F.lit(depth).alias("depth"), "ended")
+        # Every open path comes to an end behind it in the order, so those beyond the budget can't be among the first.
+        kept = stash(front.orderBy("entry", "steps").limit(max_paths + 1), "paths")
+        cut = cut or kept.count() > max_paths
+        marked = kept.orderBy("entry", "steps").limit(max_paths).join(goes_on, "last", "left").join(ends, "last", "left")
+        marked = stash(marked.select("entry", "steps", "last", F.col("terminal").isNotNull().alias("complete"), (F.col("terminal").isNotNull() | F.col("more").isNull()).alias("ended")), "paths")
+        stopped = marked.filter("ended" if depth < max_depth else "true").select("entry", "steps", F.lit(depth).alias("depth"), "complete")
         done = stopped if done is None else done.unionByName(stopped)
         open_paths = marked.filter("NOT ended")
-        if depth == max_depth or open_paths.isEmpty():
+        if open_paths.isEmpty():
             break
-        onward = open_paths.join(hops, "last")
-        visits = F.size("path") - F.size(F.array_remove("path", F.col("next_state")))
-        front = onward.filter(visits < F.col("n")).select(F.concat("path", F.array("next_state")).alias("path"), F.col("next_state").alias("last"))
-    return done
+        if depth == max_depth:
+            cut = True
+            break
+        onward = open_paths.drop("complete").join(hops, "last")
+        way = F.concat(F.array("entry"), F.transform("steps", lambda x: x["next_state"]))
+        visits = F.size(way) - F.size(F.array_remove(way, F.col("step.next_state")))
+        front = onward.filter(visits < F.col("n")).select("entry", F.concat("steps", F.array("step")).alias("steps"), F.col("step.next_state").alias("last"))
+    cut = cut or done.count() > max_paths
+    way = F.concat(F.array("entry"), F.transform("steps", lambda x: x["next_state"]))
+    return done.orderBy("entry", "steps").limit(max_paths).select("entry", "steps", way.alias("path"), "depth", "complete", F.lit(cut).alias("truncated"))
 
 
 def covered_edges(paths: DataFrame) -> DataFrame:
-    """``state, next_state`` that some path goes along."""
-    k = F.explode(F.sequence(F.lit(1), F.size("path") - 1)).alias("k")
-    return paths.filter(F.size("path") > 1).select("path", k).select(F.element_at("path", F.col("k")).alias("state"), F.element_at("path", F.col("k") + 1).alias("next_state")).distinct()
-
-
-def shortest_depths(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """``state, depth``: fewest steps from a start, a level at a time until no new state is met."""
-    hops = stash(edges.select("state", "next_state").distinct(), "hops")
-    seen = stash(starts.select("state", F.lit(0).alias("depth")).distinct(), "depths")
-    depth = 0
-    while True:
-        depth += 1
-        new = seen.filter(F.col("depth") == depth - 1).join(hops, "state").select(F.col("next_state").alias("state")).distinct().join(seen, "state", "left_anti")
-        new = stash(new.withColumn("depth", F.lit(depth)), "depths")
+    """``state, decision, outcome, next_state`` that some path goes along."""
+    along = F.arrays_zip(F.slice("path", 1, F.size("steps")).alias("state"), F.col("steps").alias("step"))
+    return paths.select(F.explode(along).alias("e")).select("e.state", "e.step.decision", "e.step.outcome", "e.step.next_state").distinct()
+
+
+def unreachable_states(edges: DataFrame, paths: DataFrame) -> DataFrame:
+    """``state``: states of the graph that no path visits."""
+    states = edges.select("state").union(edges.select("next_state")).distinct()
+    return states.join(paths.select(F.explode("path").alias("state")).distinct(), "state", "left_anti")
+
+
+def shortest_paths(edges: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """``state, entry, steps``: of each state that a start reaches in at most ``max_depth`` steps the shortest path, the first in order among those.
+
+    A level at a time, until no new state is met; starts and successors are taken in order, as a breadth-first search would.
+    """
+    hops = stash(_steps(edges), "hops")
+    none = F.array().cast(T.ArrayType(hops.schema["step"].dataType))
+    seen = stash(starts.select("state", F.col("state").alias("entry"), none.alias("steps")).distinct(), "shortest")
+    for depth in range(max_depth):
+        onward = seen.filter(F.size("steps") == depth).withColumnRenamed("state", "last").join(hops, "last")
+        new = onward.select(F.col("step.next_state").alias("state"), F.struct("entry", F.concat("steps", F.array("step")).alias("steps")).alias("p")).groupBy("state").agg(F.min("p").alias("p"))
+        new = stash(new.join(seen, "state", "left_anti").select("state", "p.*"), "shortest")
         if new.isEmpty():
-            return seen
+            break
         seen = seen.unionByName(new)
+    return seen
+
+
+def edge_gaps(edges: DataFrame, paths: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """``state, decision, outcome, next_state, entry, steps``: for each edge that no path goes along, the shortest path that ends with it.
+
+    ``entry`` and ``steps`` are null for edges that no start reaches: they stay uncovered.
+    """
+    missed = edges.select("state", "decision", "outcome", "next_state").distinct().join(covered_edges(paths), ["state", "decision", "outcome", "next_state"], "left_anti")
+    found = missed.join(shortest_paths(edges, starts, max_depth), "state", "left")
+    return found.select("state", "decision", "outcome", "next_state", "entry", F.concat("steps", F.array(F.struct("decision", "outcome", "next_state"))).alias("steps"))
+
+
+def layers(edges: DataFrame, starts: DataFrame, max_depth: int = 1_000) -> DataFrame:
+    """``state, depth``: the longest way forward to each state that a start reaches.
+
+    An edge leads forward if a breadth-first search meets its end after its beginning; so no edge joins two states of one layer.
+    """
+    met = stash(shortest_paths(edges, starts, max_depth).select("state", F.struct(F.size("steps").alias("n"), "entry", "steps").alias("place")), "met")
+    ends = edges.select("state", "next_state").distinct().join(met, "state").join(met.select(F.col("state").alias("next_state"), F.col("place").alias("next_place")), "next_state")
+    forward = stash(ends.filter("next_place > place").select("state", "next_state"), "forward")
+    depths = front = stash(met.select("state", F.lit(0).alias("depth")), "depths")
+    for depth in range(1, max_depth + 1):
+        front = stash(front.join(forward, "state").select(F.col("next_state").alias("state")).distinct().withColumn("depth", F.lit(depth)), "depths")
+        if front.isEmpty():
+            break
+        depths = depths.unionByName(front)
+    return depths.groupBy("state").agg(F.max("depth").alias("depth"))

@@ -6,12 +6,17 @@ what a name in the graph is sought for.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.functions.text import canonical_name
+
 #: How sure a binding or a placement by each method is.
 BINDING_CONFIDENCE = {"declared": 1.0, "lexical": 0.75, "none": 0.0}
-PLACEMENT_CONFIDENCE = {"checkpoint": 1.0, "inferred": 0.8, "ambiguous": 0.6, "carried": 0.4, "none": 0.0}
+PLACEMENT_CONFIDENCE = {"checkpoint": 1.0, "inferred": 0.8, "carried": 0.6, "ambiguous": 0.4, "none": 0.0}
 
 MOST_STATES = 2_000
 
@@ -20,12 +25,15 @@ def bind(observations: DataFrame, declared: DataFrame, lexicon: DataFrame) -> Da
     """Observations with ``entity`` and ``method``: declared names first, then labels, else none.
 
     ``declared``: ``entity_type, wire, entity``; the last of several names (by entity) wins. ``lexicon``:
-    ``entity_type, label, entity``; the first wins. Keys are compared in lower case, and observations
-    carry the ``entity_type`` they are sought as.
+    ``entity_type, label, entity``; the first wins. Keys are canonical names ("Card Check" finds ``card_check``), those that come out
+    empty bind nothing, and observations carry the ``entity_type`` they are sought as. Each distinct token is folded once.
     """
-    d = declared.groupBy("entity_type", F.lower("wire").alias("key")).agg(F.max("entity").alias("by_name"))
-    x = lexicon.groupBy("entity_type", F.lower("label").alias("key")).agg(F.min("entity").alias("by_label"))
-    keyed = observations.withColumn("key", F.lower("token"))
+    d = declared.groupBy("entity_type", canonical_name(F.col("wire")).alias("key")).agg(F.max("entity").alias("by_name")).filter("key <> ''")
+    x = lexicon.groupBy("entity_type", canonical_name(F.col("label")).alias("key")).agg(F.min("entity").alias("by_label")).filter("key <> ''")
+    # What is ASCII, as nearly all tokens are, is folded in the JVM; the others go through one decomposition for each distinct token.
+    plain = canonical_name(F.col("token"), ascii_only=True)
+    odd = observations.filter(F.col("token").rlike(r"[^\x00-\x7F]")).select("token").distinct().select("token", canonical_name(F.col("token")).alias("odd_key"))
+    keyed = observations.join(odd, "token", "left").withColumn("key", F.coalesce("odd_key", plain)).drop("odd_key").select(*observations.columns, "key")
     found = keyed.join(d, ["entity_type", "key"], "left").join(x, ["entity_type", "key"], "left")
     method = F.when(F.col("by_name").isNotNull(), "declared").when(F.col("by_label").isNotNull(), "lexical").otherwise("none")
     return found.withColumns({"entity": F.coalesce("by_name", "by_label"), "method": method}).drop("key", "by_name", "by_label")
@@ -62,47 +70,77 @@ def standing_state(observations: DataFrame, state: Column) -> DataFrame:
     return observations.withColumn("standing", F.last(state, ignorenulls=True).over(order))
 
 
-def place_turns(turns: DataFrame, successors: DataFrame) -> DataFrame:
-    """``conversation_id, turn, states, method, state, confidence`` of every turn.
+def visited(writes: DataFrame) -> DataFrame:
+    """``conversation_id, turn, states``: the states that a turn wrote, in order, each once for a run of the same.
 
-    ``turns``: ``conversation_id, turn, checkpoint, candidates`` (a state or null; an array of states that the turn's tools and
-    outcomes allow). A checkpoint places a turn. Else candidates that the previous state reaches (or it itself) are
-    preferred: one is inferred, several are ambiguous (the first by name counts). Else the previous state is carried;
-    without one there is none. As each turn depends on the one before, the turns of a conversation are
-    folded in order. ``successors``: ``state, reach`` (array), a catalogue of the graph.
+    ``writes``: ``conversation_id, turn, seq, state``.
     """
-    # The graph is a catalogue of checked size: as a map it is part of the plan.
-    found = successors.select("state", F.array_sort("reach").alias("reach")).limit(MOST_STATES + 1).collect()
-    if len(found) > MOST_STATES:
-        raise ValueError(f"a graph may have {MOST_STATES} states at most")
-    entries = [x for r in sorted(found) for x in (F.lit(r["state"]), F.array(*[F.lit(v) for v in r["reach"]]).cast("array<string>"))]
-    graph = F.create_map(*entries) if entries else F.lit(None).cast("map<string, array<string>>")
-    ordered = turns.groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct("turn", "checkpoint", F.array_sort("candidates").alias("candidates")))).alias("turns"))
-    out_type = "array<struct<turn: bigint, states: array<string>, method: string, state: string>>"
-    start = F.expr(f"named_struct('before', cast(null as string), 'out', cast(array() as {out_type}))")
+    order = Window.partitionBy("conversation_id", "turn").orderBy("seq")
+    changed = writes.filter("state IS NOT NULL").withColumn("before", F.lag("state").over(order)).filter(~F.col("before").eqNullSafe(F.col("state")))
+    listed = changed.groupBy("conversation_id", "turn").agg(F.array_sort(F.collect_list(F.struct("seq", "state"))).alias("w"))
+    return listed.select("conversation_id", "turn", F.transform("w", lambda x: x["state"]).alias("states"))
 
-    def step(acc: Column, t: Column) -> Column:
-        near = F.when(acc["before"].isNull(), t["candidates"]).otherwise(F.array_intersect(t["candidates"], F.array_union(F.array(acc["before"]), F.coalesce(F.try_element_at(graph, acc["before"]), F.array().cast("array<string>")))))
-        some = F.when(F.size(near) > 0, near).otherwise(t["candidates"])
-        method = F.when(t["checkpoint"].isNotNull(), "checkpoint").when(F.size(some) == 1, "inferred").when(F.size(some) > 1, "ambiguous").when(acc["before"].isNotNull(), "carried").otherwise("none")
-        states = F.when(method == "checkpoint", F.array(t["checkpoint"])).when(method.isin("inferred", "ambiguous"), some).when(method == "carried", F.array(acc["before"])).otherwise(F.array().cast("array<string>"))
-        now = F.try_element_at(states, F.lit(1))
-        placed = F.struct(t["turn"].cast("bigint").alias("turn"), states.alias("states"), method.alias("method"), now.alias("state"))
-        return F.struct(F.coalesce(now, acc["before"]).alias("before"), F.concat(acc["out"], F.array(placed)).alias("out"))
 
-    placed = ordered.select("conversation_id", F.explode(F.aggregate("turns", start, step, lambda acc: acc["out"])).alias("p")).select("conversation_id", "p.*")
-    return placed.withColumn("confidence", confidence(F.col("method"), PLACEMENT_CONFIDENCE, F.size("states")))
+def place_turns(turns: DataFrame, successors: DataFrame) -> DataFrame:
+    """``conversation_id, turn, states, alternatives, method, state, exit_state, confidence`` of every turn.
+
+    ``turns``: ``conversation_id, turn, visits, candidates`` (arrays: the states that the turn wrote to its checkpoint, in order, and
+    those that its tools and outcomes allow). Visits place a turn, in all of them. Else candidates that the previous turn's exit
+    state reaches (or it itself) are preferred: one is inferred; of several, the first by name counts, all are ``alternatives``, and they share the confidence.
+    Else the previous exit state is carried; without one there is none. ``state`` is where a turn began, ``exit_state`` where it ended.
+    ``successors``: ``state, reach`` (array), a catalogue of the graph. As each turn depends on the one before, the turns of a conversation are
+    sorted within a partition and folded as they pass; the previous state is all that is kept.
+    """
+    found = successors.select("state", "reach").limit(MOST_STATES + 1).collect()
+    if len(found) > MOST_STATES:
+        raise ValueError(f"a graph may have {MOST_STATES} states at most")
+    reach = {r["state"]: {r["state"], *(r["reach"] or ())} for r in found}
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, before = None, None
+        for batch in batches:
+            out = []
+            for name, visits, candidates in zip(*(batch.column(c).to_pylist() for c in ("conversation_id", "visits", "candidates")), strict=True):
+                if run is None or name != run[0]:
+                    run, before = (name,), None
+                some = sorted({c for c in candidates or () if c is not None})
+                near = [c for c in some if c in reach.get(before, {before})] if before is not None else []
+                some = near or some
+                if visits:
+                    row = visits, [], "checkpoint"
+                elif len(some) == 1:
+                    row = some, [], "inferred"
+                elif some:
+                    row = some[:1], some, "ambiguous"
+                elif before is not None:
+                    row = [before], [], "carried"
+                else:
+                    row = [], [], "none"
+                before = row[0][-1] if row[0] else before
+                out.append(row)
+            texts = pa.list_(pa.string())
+            columns = [pa.array([r[0] for r in out], texts), pa.array([r[1] for r in out], texts), pa.array([r[2] for r in out], pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column("conversation_id"), batch.column("turn"), *columns], ["conversation_id", "turn", "states", "alternatives", "method"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in turns.schema}
+    ordered = turns.select("conversation_id", "turn", "visits", "candidates").repartition("conversation_id").sortWithinPartitions("conversation_id", "turn")
+    placed = ordered.mapInArrow(fold, f"conversation_id {kinds['conversation_id']}, turn {kinds['turn']}, states array<string>, alternatives array<string>, method string")
+    placed = placed.withColumns({"state": F.try_element_at("states", F.lit(1)), "exit_state": F.try_element_at("states", F.lit(-1))})
+    return placed.withColumn("confidence", confidence(F.col("method"), PLACEMENT_CONFIDENCE, F.size("alternatives")))
 
 
 def following_state(placed: DataFrame) -> DataFrame:
-    """Turns with ``following``: the next turn's state that there is."""
+    """Turns with ``following``: the next turn's first state that there is."""
     after = Window.partitionBy("conversation_id").orderBy("turn").rowsBetween(1, Window.unboundedFollowing)
     return placed.withColumn("following", F.first("state", ignorenulls=True).over(after))
 
 
 def hops(placed: DataFrame) -> DataFrame:
-    """``conversation_id, turn, source, target``: changes of state from a turn to the next placed one."""
-    return following_state(placed).filter("state <> following").select("conversation_id", "turn", F.col("state").alias("source"), F.col("following").alias("target"))
+    """``conversation_id, turn, source, target``: changes of state within a turn, and from its exit state to the next placed turn."""
+    rows = following_state(placed).withColumn("way", F.when(F.col("following").isNull(), F.col("states")).otherwise(F.concat("states", F.array("following"))))
+    pairs = F.transform("way", lambda x, k: F.struct(F.get("way", k - 1).alias("source"), x.alias("target")))
+    moved = rows.select("conversation_id", "turn", F.explode(F.slice(pairs, 2, F.greatest(F.size("way"), F.lit(1)))).alias("h")).select("conversation_id", "turn", "h.source", "h.target")
+    return moved.filter("source <> target")
 
 
 def transitions(observations: DataFrame, value: str) -> DataFrame:
@@ -115,9 +153,14 @@ def transitions(observations: DataFrame, value: str) -> DataFrame:
 def checkpoint_candidates(writes: DataFrame) -> DataFrame:
     """``name, n_values, rank``: variables whose values are all symbols, most values first.
 
-    A symbol is no number, no truth value and not empty.
+    A symbol is no number, no truth value and not empty. Ranks are counted over the distinct numbers of values, of which there are
+    few: names with the same one are ranked apart from others.
     """
     v = F.lower(F.trim("value"))
     symbol = (v != "") & ~v.isin("true", "false") & v.try_cast("double").isNull()
     found = writes.groupBy("name").agg(F.bool_and(symbol).alias("symbolic"), F.count_distinct("value").alias("n_values")).filter("symbolic")
-    return found.select("name", "n_values", F.row_number().over(Window.orderBy(F.desc("n_values"), "name")).alias("rank"))
+    # How many names have more values comes from one row for each number of values; only names with the same number are ordered among themselves.
+    sizes = found.groupBy("n_values").agg(F.count("*").alias("n"))
+    more = sizes.alias("x").join(sizes.select(F.col("n_values").alias("larger"), F.col("n").alias("m")), F.col("larger") > F.col("x.n_values"), "left").groupBy("x.n_values").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("n_values").orderBy("name"))
+    return found.join(more, "n_values").select("name", "n_values", (F.col("before") + own).alias("rank"))

@@ -26,12 +26,17 @@ def state_facts(uses: DataFrame, returns: DataFrame, steps: DataFrame, terminals
 def findings(placed: DataFrame, observed: DataFrame, facts: DataFrame) -> DataFrame:
     """``conversation_id, turn, finding, detail``: one row for each thing that a turn did against the graph.
 
-    ``placed``: ``conversation_id, turn, state, method``; ``observed``: ``conversation_id, turn, tools, outcomes`` (arrays), ``silent``. Outcomes are stray
+    ``placed``: ``conversation_id, turn, states, state, exit_state``; ``observed``: ``conversation_id, turn, tools, outcomes`` (arrays), ``silent``. A turn may use what
+    any of its states uses; where it may go and whether it is at an end its exit state says. Outcomes are stray
     only where some are expected, hops are illegal only from states with successors.
     """
-    rows = following_state(placed).join(observed, ["conversation_id", "turn"]).join(facts.withColumnRenamed("tools", "may_use").withColumnRenamed("outcomes", "may_return"), "state", "left")
+    turns = following_state(placed)
+    through = turns.select("conversation_id", "turn", F.explode(F.array_distinct("states")).alias("state")).join(facts, "state")
+    may = through.groupBy("conversation_id", "turn").agg(F.array_distinct(F.flatten(F.collect_list("tools"))).alias("may_use"), F.array_distinct(F.flatten(F.collect_list("outcomes"))).alias("may_return"))
+    ends = facts.select(F.col("state").alias("exit_state"), "next_states", "terminal")
+    rows = turns.join(observed, ["conversation_id", "turn"]).join(may, ["conversation_id", "turn"], "left").join(ends, "exit_state", "left")
     known = F.col("may_use").isNotNull()
-    hops = (F.col("following") != F.col("state")) & known
+    hops = (F.col("following") != F.col("exit_state")) & F.col("next_states").isNotNull()
     none = F.array().cast("array<string>")
 
     def when(condition: Column, values: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewright.functions.text import canonical_name
 from tracewright.operators import admission as A
 from tracewright.operators import reconcile as R
-from tracewright.storage import table
+from tracewright.storage import stash, table
 
 RELATIONS = [("STATUS", ["Order"], [], "enum", ["F", "O"], "positive"), ("PRIORITY", ["Order", "Rush"], [], "str", [], "positive"), ("COUNT", ["Order"], [], "int", [], "neutral"), ("PLACED_BY", ["Order"], ["Customer"], None, [], "neutral"), ("DENIES", ["Order"], ["Customer"], None, [], "negative")]
 SCHEMA = "name string, domain array<string>, range array<string>, literal_type string, enum array<string>, polarity string"
@@ -76,7 +76,8 @@ def merge_restatements(spark: SparkSession, d: str) -> DataFrame:
 
 def barred(spark: SparkSession, d: str) -> DataFrame:
     """Decisions are labels: the part with a document's number is approved if clean and rejected if toxic."""
-    merged = R.merge(triples(spark, d))
+    # Merged facts are needed twice, so they are written once.
+    merged = stash(R.merge(triples(spark, d)), "merged")
     answers = table(spark, d, "labels").select(F.concat(F.lit("P"), F.col("doc_id").cast("string")).alias("head"), F.when(F.col("toxic") == 1, "reject").when(F.col("quality") == 1, "approve").alias("answer")).dropDuplicates(["head"])
     decisions = merged.select(*R.KEY).join(answers, "head").select(*R.KEY, "answer")
     return R.witness_bar(merged, decisions)
@@ -114,8 +115,8 @@ def conflict_deontic(spark: SparkSession, d: str) -> DataFrame:
 
 
 def precedence_resolve(spark: SparkSession, d: str) -> DataFrame:
-    """A customer's statuses disagree; each is dated by its orders of the highest priority."""
-    o = table(spark, d, "orders").filter("o_orderpriority LIKE '1%'")
+    """A customer's statuses disagree; each is dated by its orders."""
+    o = table(spark, d, "orders")
     sides = o.groupBy(F.col("o_custkey").alias("conflict_id"), F.col("o_orderstatus").alias("side")).agg(F.array_sort(F.collect_set(F.date_format("o_orderdate", "yyyy-MM"))).alias("dates"))
     return R.resolve_by_date(sides)
 
@@ -165,6 +166,16 @@ def graph_touching(spark: SparkSession, d: str) -> DataFrame:
     return R.touching(barred(spark, d))
 
 
+def graph_live(spark: SparkSession, d: str) -> DataFrame:
+    live = barred(spark, d).filter(F.col("status").isin(*R.LIVE))
+    return live.groupBy("relation").agg(F.count("*").alias("n"), F.count_distinct("head").alias("heads"))
+
+
+def glossary_contested(spark: SparkSession, d: str) -> DataFrame:
+    """Names that are of several types."""
+    return entity_surfaces(spark, d).filter("contested").groupBy("canonical").agg(F.array_join(F.array_sort(F.collect_set("entity_type")), "|").alias("types"))
+
+
 def graph_neighbourhood(spark: SparkSession, d: str) -> DataFrame:
     """What live triples say of one supplier, from either end."""
     live = barred(spark, d).filter(F.col("status").isin(*R.LIVE))
@@ -224,7 +235,7 @@ SELECT entity_type, canonical, string_agg(DISTINCT surface, '|' ORDER BY surface
     "conflict_deontic": (conflict_deontic, f"WITH {FACTS} SELECT tail, count(DISTINCT head) FILTER (relation = 'REQUIRES') AS n_requiring, count(DISTINCT head) FILTER (relation = 'FORBIDS') AS n_forbidding FROM f WHERE relation IN ('REQUIRES', 'FORBIDS') GROUP BY 1 HAVING n_requiring > 0 AND n_forbidding > 0"),
     "precedence_resolve": (
         precedence_resolve,
-        """WITH s AS (SELECT o_custkey AS conflict_id, o_orderstatus AS side, list(DISTINCT strftime(o_orderdate, '%Y-%m')) AS dates FROM orders WHERE o_orderpriority LIKE '1%' GROUP BY 1, 2),
+        """WITH s AS (SELECT o_custkey AS conflict_id, o_orderstatus AS side, list(DISTINCT strftime(o_orderdate, '%Y-%m')) AS dates FROM orders GROUP BY 1, 2),
 v AS (SELECT *, len(dates) = 1 AS valid, list_sort(dates)[1] AS date FROM s), w AS (SELECT *, bool_and(valid) OVER c AS ok, max(date) OVER c AS latest FROM v WINDOW c AS (PARTITION BY conflict_id)),
 x AS (SELECT *, count(*) FILTER (date = latest) OVER (PARTITION BY conflict_id) AS n FROM w)
 SELECT conflict_id, side, CASE WHEN NOT (ok AND n = 1) THEN 'conflicted' WHEN date = latest THEN 'admitted' ELSE 'superseded' END AS status FROM x""",
@@ -238,6 +249,12 @@ SELECT conflict_id, side, CASE WHEN NOT (ok AND n = 1) THEN 'conflicted' WHEN da
     "integrity_governed": (integrity_governed, "SELECT c_custkey AS o_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%')"),
     "evidence_top4": (evidence_top4, f"WITH {TRIPLES} SELECT head, relation, seq, row_number() OVER (PARTITION BY head, relation ORDER BY seq, tail) AS place FROM (SELECT DISTINCT head, relation, tail, seq FROM t) QUALIFY place <= 4"),
     "graph_touching": (graph_touching, BARRED + ", e AS (SELECT head AS entity, 1 AS o, 0 AS i FROM b WHERE status IN ('admitted', 'review') UNION ALL SELECT tail, 0, 1 FROM b WHERE status IN ('admitted', 'review') AND tail_kind = 'entity') SELECT entity, sum(o)::BIGINT AS n_out, sum(i)::BIGINT AS n_in FROM e GROUP BY 1"),
+    "graph_live": (graph_live, BARRED + "SELECT relation, count(*) AS n, count(DISTINCT head) AS heads FROM b WHERE status IN ('admitted', 'review') GROUP BY 1"),
+    "glossary_contested": (
+        glossary_contested,
+        """WITH r AS (SELECT 'Type' AS entity_type, p_type AS surface FROM part UNION ALL SELECT 'Name', upper(p_name) FROM part UNION ALL SELECT 'Name', p_type FROM part WHERE p_type LIKE 'S%')
+SELECT regexp_replace(regexp_replace(lower(surface), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS canonical, string_agg(DISTINCT entity_type, '|' ORDER BY entity_type) AS types FROM r GROUP BY 1 HAVING count(DISTINCT entity_type) > 1""",
+    ),
     "graph_neighbourhood": (graph_neighbourhood, BARRED + "SELECT head, relation, tail, status FROM b WHERE status IN ('admitted', 'review') AND (head = 'S7' OR tail = 'S7')"),
     "review_outstanding": (
         review_outstanding,

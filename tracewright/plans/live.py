@@ -27,7 +27,19 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.date_format("starts", "yyyy-MM-dd").alias("day"), "token", "n")
 
 
+def stream_session_silence(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions of users that two days of silence have closed."""
+    found = live.closed_sessions(_observations(spark, d), "ts", "2 days", "1 day")
+    return found.select("conversation_id", F.date_format("starts", "yyyy-MM-dd HH:mm:ss").alias("starts"), F.date_format("ends", "yyyy-MM-dd HH:mm:ss").alias("ends"), "n")
+
+
 QUERIES = {
+    "stream_session_silence": (
+        stream_session_silence,
+        """WITH e AS (SELECT user_id, ts, event_id, coalesce(ts - lag(ts) OVER w >= INTERVAL 2 DAYS, true) AS begins FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, count(*) FILTER (begins) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS no FROM e)
+SELECT user_id AS conversation_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS starts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ends, count(*) AS n FROM s GROUP BY user_id, no HAVING max(ts) + INTERVAL 2 DAYS <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""",
+    ),
     "stream_counts": (stream_counts, "SELECT user_id AS conversation_id, event_type AS token, count(*) AS n, max(event_id) AS last_seq FROM events GROUP BY 1, 2"),
     "stream_transitions": (stream_transitions, "WITH m AS (SELECT lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS source, event_type AS target FROM events) SELECT source, target, count(*) AS n FROM m WHERE source <> target GROUP BY 1, 2"),
     "stream_windows": (stream_windows, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS token, count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2"),

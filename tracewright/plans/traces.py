@@ -12,9 +12,9 @@ from tracewright.operators import truth
 from tracewright.storage import table
 
 #: The profile: wire names declared for entities, and labels that the graph's entities have.
-DECLARED = [("Tool", "view", "Tool:browse"), ("Outcome", "purchase", "Outcome:paid"), ("State", "signup", "State:member")]
+DECLARED = [("Tool", " VIEW!", "Tool:browse"), ("Outcome", "purchase", "Outcome:paid"), ("State", "signup", "State:member")]
 LEXICON = [("Tool", "Click", "Tool:select"), ("State", "SIGNUP", "State:by_label")]
-LIMITS = [("Tool:browse", "15", "k"), ("Tool:select", "70", "none"), ("Outcome:paid", "several", "none"), ("Tool:absent", "3", "none")]
+LIMITS = [("Tool:browse", "15", "k"), ("Tool:select", "70", "none"), ("Outcome:paid", "Seven", "none"), ("State:member", "several", "none"), ("Tool:absent", "3", "none")]
 #: States stand for kinds of events where a query needs many of them.
 STATES = ("click", "error", "purchase", "signup", "view")
 
@@ -126,6 +126,21 @@ def all_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def verdict_summary(spark: SparkSession, d: str) -> DataFrame:
+    return G.summary(all_verdicts(spark, d))
+
+
+def hop_counts(spark: SparkSession, d: str) -> DataFrame:
+    """All changes of state, within days and between them."""
+    return X.hops(placed(spark, d)).groupBy("source", "target").agg(F.count("*").alias("n"))
+
+
+def discover_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Which tools an outcome came from: the last one before it."""
+    rows = X.standing_state(observations(spark, d), F.when(F.col("entity_type") == "Tool", F.col("token"))).filter("entity_type = 'Outcome'")
+    return rows.groupBy("token").agg(F.array_join(F.array_sort(F.collect_set("standing")), "|").alias("tools"), F.count("standing").alias("n"))
+
+
 def dimension_matrix(spark: SparkSession, d: str) -> DataFrame:
     return G.summary(all_verdicts(spark, d), "dimension")
 
@@ -135,10 +150,11 @@ def blocked_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def turn_inputs(spark: SparkSession, d: str) -> DataFrame:
-    """Days as turns: the last sign-up of a day is a checkpoint; purchases and errors allow states."""
-    t = F.col("token")
-    checkpoint = F.max_by(F.when(t == "signup", t), F.when(t == "signup", F.col("seq")))
-    return observations(spark, d).groupBy("conversation_id", "turn").agg(checkpoint.alias("checkpoint"), F.array_sort(F.collect_set(F.when(t.isin("purchase", "error"), t))).alias("candidates"))
+    """Days as turns: sign-ups, and views with an even number, write a state; purchases and errors allow states."""
+    t, rows = F.col("token"), observations(spark, d)
+    writes = rows.filter((t == "signup") | (t == "view") & (F.col("value").cast("int") % 2 == 0)).select("conversation_id", "turn", "seq", t.alias("state"))
+    allowed = rows.groupBy("conversation_id", "turn").agg(F.array_sort(F.collect_set(F.when(t.isin("purchase", "error"), t))).alias("candidates"))
+    return allowed.join(X.visited(writes).withColumnRenamed("states", "visits"), ["conversation_id", "turn"], "left")
 
 
 def placed(spark: SparkSession, d: str) -> DataFrame:
@@ -147,7 +163,7 @@ def placed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def place_turns(spark: SparkSession, d: str) -> DataFrame:
-    return placed(spark, d).select("conversation_id", "turn", F.array_join("states", "|").alias("states"), "method", "confidence")
+    return placed(spark, d).select("conversation_id", "turn", F.array_join("states", "|").alias("states"), F.array_join("alternatives", "|").alias("alternatives"), "method", "exit_state", "confidence")
 
 
 def standing_states(spark: SparkSession, d: str) -> DataFrame:
@@ -165,7 +181,9 @@ def illegal_hops(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gradable_turns(spark: SparkSession, d: str) -> DataFrame:
-    return placed(spark, d).groupBy("method").agg(F.count("*").alias("turns"), F.count_if(F.col("state").isNotNull()).alias("placed"))
+    """Only a checkpoint is certain enough to be graded by."""
+    certain = (F.col("method") == "checkpoint") & (F.size("states") > 0)
+    return placed(spark, d).groupBy("method").agg(F.count("*").alias("turns"), F.count_if(F.col("state").isNotNull()).alias("placed"), F.count_if(certain).alias("gradable"))
 
 
 def silence_turns(spark: SparkSession, d: str) -> DataFrame:
@@ -224,7 +242,7 @@ BOUND = f"""{OBS}, bound AS (SELECT *, CASE token WHEN 'view' THEN 'Tool:browse'
 RUNS = "runs AS (SELECT conversation_id, bool_or(entity_type = 'State') AS has_states FROM ev GROUP BY 1), seen AS (SELECT conversation_id, entity AS subject, count(*) AS calls, min(seq) AS first_seq FROM ev WHERE entity IS NOT NULL GROUP BY 1, 2)"
 EV = f"WITH {BOUND}, ev AS (SELECT * FROM bound), {RUNS}"
 MANY = f"WITH {OBS}, ev AS (SELECT conversation_id, seq, token AS entity, CASE token WHEN 'view' THEN 'Tool' WHEN 'click' THEN 'Outcome' ELSE 'State' END AS entity_type FROM obs), {RUNS}"
-COUNT_LIMIT = EV + """, limits(subject, limit_text, variable) AS (VALUES ('Tool:browse', '15', 'k'), ('Tool:select', '70', 'none'), ('Outcome:paid', 'several', 'none'), ('Tool:absent', '3', 'none')),
+COUNT_LIMIT = EV + """, limits(subject, limit_text, variable) AS (VALUES ('Tool:browse', '15', 'k'), ('Tool:select', '70', 'none'), ('Outcome:paid', '7', 'none'), ('State:member', 'several', 'none'), ('Tool:absent', '3', 'none')),
 peaks AS (SELECT conversation_id, name, max(try_cast(value AS BIGINT)) AS peak FROM obs WHERE trim(value) <> '' GROUP BY 1, 2),
 v AS (SELECT r.conversation_id, l.subject, try_cast(limit_text AS BIGINT) AS limit_value, greatest(coalesce(calls, 0), coalesce(peak, 0)) AS observed,
     CASE WHEN try_cast(limit_text AS BIGINT) IS NULL THEN 'undecided' WHEN coalesce(calls, 0) = 0 AND peak IS NULL THEN 'not_applicable'
@@ -252,24 +270,26 @@ VERDICTS = "WITH " + ", ".join(
     f"v{k} AS (SELECT conversation_id, outcome, '{dim}' AS dimension, '{sev}' AS severity FROM ({sql}))"
     for k, (sql, dim, sev) in enumerate([(TOOL_CALLED, "tool", "error"), (REQUIRED, "policy", "blocker"), (FORBIDDEN, "policy", "warning"), (ALLOWED, "trajectory", "error"), (TERMINAL, "outcome", "warning")])
 ) + ", v AS (FROM v0 UNION ALL FROM v1 UNION ALL FROM v2 UNION ALL FROM v3 UNION ALL FROM v4) "
-PLACED = f"""WITH RECURSIVE {OBS}, turns AS (
-    SELECT conversation_id, turn, arg_max(token, seq) FILTER (token = 'signup') AS checkpoint,
-        coalesce(list_sort(list_distinct(list(token) FILTER (token IN ('purchase', 'error')))), []) AS candidates, row_number() OVER (PARTITION BY conversation_id ORDER BY turn) AS k
-    FROM obs GROUP BY 1, 2
+NEAR = "lambda x: x = f.before OR (f.before = 'signup' AND x = 'purchase') OR (f.before = 'purchase' AND x = 'error') OR (f.before = 'error' AND x IN ('error', 'signup'))"
+PLACED = f"""WITH RECURSIVE {OBS}, writes AS (
+    SELECT conversation_id, turn, seq, token, lag(token) OVER (PARTITION BY conversation_id, turn ORDER BY seq) AS prior FROM obs WHERE token = 'signup' OR token = 'view' AND value::INT % 2 = 0
+), visits AS (SELECT conversation_id, turn, list(token ORDER BY seq) AS visits FROM writes WHERE token IS DISTINCT FROM prior GROUP BY 1, 2
+), turns AS (
+    SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY turn) AS k FROM (
+        SELECT conversation_id, turn, visits, coalesce(list_sort(list_distinct(list(token) FILTER (token IN ('purchase', 'error')))), []) AS candidates FROM obs LEFT JOIN visits USING (conversation_id, turn) GROUP BY 1, 2, 3)
 ), fold AS (
-    SELECT conversation_id, turn, k, CASE WHEN checkpoint IS NOT NULL THEN [checkpoint] ELSE candidates END AS states,
-        CASE WHEN checkpoint IS NOT NULL THEN 'checkpoint' WHEN len(candidates) = 1 THEN 'inferred' WHEN len(candidates) > 1 THEN 'ambiguous' ELSE 'none' END AS method,
-        CASE WHEN checkpoint IS NOT NULL THEN checkpoint ELSE candidates[1] END AS state, CASE WHEN checkpoint IS NOT NULL THEN checkpoint ELSE candidates[1] END AS before
+    SELECT conversation_id, turn, k, CASE WHEN visits IS NOT NULL THEN visits ELSE candidates[1:1] END AS states, CASE WHEN visits IS NULL AND len(candidates) > 1 THEN candidates ELSE [] END AS alternatives,
+        CASE WHEN visits IS NOT NULL THEN 'checkpoint' WHEN len(candidates) = 1 THEN 'inferred' WHEN len(candidates) > 1 THEN 'ambiguous' ELSE 'none' END AS method,
+        CASE WHEN visits IS NOT NULL THEN visits[-1] ELSE candidates[1] END AS before
     FROM turns WHERE k = 1
     UNION ALL
-    SELECT conversation_id, turn, k, states, method, states[1], coalesce(states[1], before) FROM (
-        SELECT *, CASE method WHEN 'checkpoint' THEN [checkpoint] WHEN 'inferred' THEN choice WHEN 'ambiguous' THEN choice WHEN 'carried' THEN [before] ELSE []::VARCHAR[] END AS states FROM (
-            SELECT *, CASE WHEN checkpoint IS NOT NULL THEN 'checkpoint' WHEN len(choice) = 1 THEN 'inferred' WHEN len(choice) > 1 THEN 'ambiguous' WHEN before IS NOT NULL THEN 'carried' ELSE 'none' END AS method FROM (
-                SELECT t.*, f.before, CASE WHEN len(list_filter(t.candidates, lambda x: x = f.before OR (f.before = 'signup' AND x = 'purchase') OR (f.before = 'purchase' AND x = 'error') OR (f.before = 'error' AND x IN ('error', 'signup')))) > 0 AND f.before IS NOT NULL
-                    THEN list_filter(t.candidates, lambda x: x = f.before OR (f.before = 'signup' AND x = 'purchase') OR (f.before = 'purchase' AND x = 'error') OR (f.before = 'error' AND x IN ('error', 'signup'))) ELSE t.candidates END AS choice
+    SELECT conversation_id, turn, k, states, CASE WHEN method = 'ambiguous' THEN choice ELSE [] END, method, coalesce(states[-1], before) FROM (
+        SELECT *, CASE method WHEN 'checkpoint' THEN visits WHEN 'inferred' THEN choice WHEN 'ambiguous' THEN choice[1:1] WHEN 'carried' THEN [before] ELSE []::VARCHAR[] END AS states FROM (
+            SELECT *, CASE WHEN visits IS NOT NULL THEN 'checkpoint' WHEN len(choice) = 1 THEN 'inferred' WHEN len(choice) > 1 THEN 'ambiguous' WHEN before IS NOT NULL THEN 'carried' ELSE 'none' END AS method FROM (
+                SELECT t.*, f.before, CASE WHEN f.before IS NOT NULL AND len(list_filter(t.candidates, {NEAR})) > 0 THEN list_filter(t.candidates, {NEAR}) ELSE t.candidates END AS choice
                 FROM fold f JOIN turns t ON t.conversation_id = f.conversation_id AND t.k = f.k + 1)))
-), placed AS (SELECT conversation_id, turn::BIGINT AS turn, states, method, state,
-    first_value(state IGNORE NULLS) OVER (PARTITION BY conversation_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS following FROM fold)
+), placed AS (SELECT conversation_id, turn::BIGINT AS turn, states, alternatives, method, states[1] AS state, states[-1] AS exit_state,
+    first_value(states[1] IGNORE NULLS) OVER (PARTITION BY conversation_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS following FROM fold)
 """
 
 QUERIES = {
@@ -286,7 +306,7 @@ QUERIES = {
     "grade_outcome_allowed": (
         grade_outcome_allowed,
         EV + _expected("('Tool:browse', ['Outcome:paid']), ('Tool:select', ['Outcome:failed']), ('Tool:absent', ['Outcome:paid'])") + """, w AS (SELECT *, last_value(CASE WHEN entity_type = 'Tool' THEN entity END IGNORE NULLS) OVER (PARTITION BY conversation_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS tool FROM ev),
-got AS (SELECT conversation_id, tool AS subject, list(DISTINCT entity) AS got FROM w WHERE entity_type = 'Outcome' AND entity IS NOT NULL AND tool IS NOT NULL GROUP BY 1, 2)
+got AS (SELECT conversation_id, tool AS subject, list(DISTINCT coalesce(entity, '')) AS got FROM w WHERE entity_type = 'Outcome' AND tool IS NOT NULL GROUP BY 1, 2)
 SELECT rows.conversation_id, rows.subject, CASE WHEN got IS NULL THEN 'not_applicable' WHEN len(list_filter(got, lambda x: NOT list_contains(expected, x))) > 0 THEN 'fail' ELSE 'pass' END AS outcome FROM rows LEFT JOIN got ON got.conversation_id = rows.conversation_id AND got.subject = rows.subject""",
     ),
     "grade_transition_expected": (grade_transition_expected, MANY + _expected("('click', ['purchase']), ('view', ['error', 'signup'])") + NEXT + "SELECT conversation_id, subject, CASE WHEN first_seq IS NULL THEN 'not_applicable' WHEN NOT has_states OR next_state IS NULL THEN 'undecided' WHEN list_contains(expected, next_state) THEN 'pass' ELSE 'fail' END AS outcome FROM nxt"),
@@ -302,26 +322,32 @@ SELECT rows.conversation_id, rows.subject, CASE WHEN got IS NULL THEN 'not_appli
 said AS (SELECT conv_id AS conversation_id, trim(regexp_replace(lower(text), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS said FROM conversations WHERE role = 'assistant'), r AS (SELECT DISTINCT conv_id AS conversation_id FROM conversations)
 SELECT r.conversation_id, a.subject, CASE WHEN bool_or(contains(said, a.text)) IS NULL THEN 'undecided' WHEN bool_or(contains(said, a.text)) THEN 'pass' ELSE 'fail' END AS outcome FROM r CROSS JOIN a LEFT JOIN said USING (conversation_id) GROUP BY 1, 2""",
     ),
+    "verdict_summary": (verdict_summary, VERDICTS + "SELECT count(*) FILTER (outcome = 'pass') AS pass, count(*) FILTER (outcome = 'fail') AS fail, count(*) FILTER (outcome = 'undecided') AS undecided, count(*) FILTER (outcome = 'not_applicable') AS not_applicable FROM v"),
+    "hops": (hop_counts, PLACED + "SELECT source, target, count(*) AS n FROM (SELECT exit_state AS source, following AS target FROM placed UNION ALL SELECT states[k] AS source, states[k + 1] AS target FROM (SELECT states, unnest(range(1, len(states))) AS k FROM placed)) WHERE source <> target GROUP BY 1, 2"),
+    "discover_outcomes": (discover_outcomes, f"WITH {OBS}, w AS (SELECT *, last_value(CASE WHEN entity_type = 'Tool' THEN token END IGNORE NULLS) OVER (PARTITION BY conversation_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tool FROM obs) SELECT token, string_agg(DISTINCT tool, '|' ORDER BY tool) AS tools, count(tool) AS n FROM w WHERE entity_type = 'Outcome' GROUP BY 1"),
     "dimension_matrix": (dimension_matrix, VERDICTS + "SELECT dimension, count(*) FILTER (outcome = 'pass') AS pass, count(*) FILTER (outcome = 'fail') AS fail, count(*) FILTER (outcome = 'undecided') AS undecided, count(*) FILTER (outcome = 'not_applicable') AS not_applicable FROM v GROUP BY 1"),
     "blocked_runs": (blocked_runs, VERDICTS + "SELECT conversation_id, bool_or(outcome = 'fail' AND severity IN ('blocker', 'error')) AS blocked FROM v GROUP BY 1"),
-    "place_turns": (place_turns, PLACED + "SELECT conversation_id, turn, array_to_string(states, '|') AS states, method, round(CASE method WHEN 'checkpoint' THEN 1.0 WHEN 'inferred' THEN 0.8 WHEN 'ambiguous' THEN 0.6 WHEN 'carried' THEN 0.4 ELSE 0.0 END::DOUBLE / greatest(len(states), 1), 3) AS confidence FROM placed"),
+    "place_turns": (place_turns, PLACED + "SELECT conversation_id, turn, array_to_string(states, '|') AS states, array_to_string(alternatives, '|') AS alternatives, method, exit_state, round(CASE method WHEN 'checkpoint' THEN 1.0 WHEN 'inferred' THEN 0.8 WHEN 'carried' THEN 0.6 WHEN 'ambiguous' THEN 0.4 ELSE 0.0 END::DOUBLE / greatest(len(alternatives), 1), 3) AS confidence FROM placed"),
     "standing_states": (standing_states, f"WITH {OBS}, w AS (SELECT *, last_value(CASE WHEN entity_type = 'State' THEN token END IGNORE NULLS) OVER (PARTITION BY conversation_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS standing FROM obs) SELECT token, standing, count(*) AS n FROM w WHERE entity_type = 'Tool' GROUP BY 1, 2"),
     "following_states": (following_states, PLACED + "SELECT conversation_id, turn, state, following FROM placed"),
-    "illegal_hops": (illegal_hops, PLACED + "SELECT state AS source, following AS target, count(*) AS n FROM placed WHERE state <> following AND (state, following) NOT IN (('signup', 'purchase'), ('purchase', 'error'), ('error', 'signup')) GROUP BY 1, 2"),
-    "gradable_turns": (gradable_turns, PLACED + "SELECT method, count(*) AS turns, count(state) AS placed FROM placed GROUP BY 1"),
+    "illegal_hops": (
+        illegal_hops,
+        PLACED + "SELECT source, target, count(*) AS n FROM (SELECT exit_state AS source, following AS target FROM placed UNION ALL SELECT states[k] AS source, states[k + 1] AS target FROM (SELECT states, unnest(range(1, len(states))) AS k FROM placed)) WHERE source <> target AND (source, target) NOT IN (('signup', 'purchase'), ('purchase', 'error'), ('error', 'signup')) GROUP BY 1, 2",
+    ),
+    "gradable_turns": (gradable_turns, PLACED + "SELECT method, count(*) AS turns, count(state) AS placed, count(*) FILTER (method = 'checkpoint') AS gradable FROM placed GROUP BY 1"),
     "turn_findings": (
         turn_findings,
         PLACED + """, o AS (SELECT conversation_id, turn::BIGINT AS turn, list_distinct(list(token)) AS toks, count(*) FILTER (token IN ('view', 'click')) = 0 AS silent FROM obs GROUP BY 1, 2),
 j AS (SELECT placed.*, toks, silent FROM placed JOIN o USING (conversation_id, turn)),
 f AS (SELECT 'unplaced' AS finding, '' AS detail FROM j WHERE state IS NULL
-    UNION ALL SELECT 'undeclared_tool', t FROM (SELECT state, unnest(toks) AS t FROM j) WHERE t IN ('view', 'click') AND (state = 'signup' AND t = 'click' OR state = 'error')
-    UNION ALL SELECT 'stray_outcome', t FROM (SELECT state, unnest(toks) AS t FROM j) WHERE t = 'error' AND state = 'purchase'
-    UNION ALL SELECT 'illegal_hop', following FROM j WHERE state <> following AND (state = 'signup' AND following <> 'purchase' OR state = 'purchase' AND following <> 'error')
-    UNION ALL SELECT 'continues_after_terminal', following FROM j WHERE state = 'error' AND following IS NOT NULL
-    UNION ALL SELECT 'silent', '' FROM j WHERE silent AND state <> 'error')
+    UNION ALL SELECT 'undeclared_tool', t FROM (SELECT states, unnest(toks) AS t FROM j WHERE list_has_any(states, ['signup', 'purchase', 'error'])) WHERE t IN ('view', 'click') AND NOT (list_contains(states, 'purchase') OR t = 'view' AND list_contains(states, 'signup'))
+    UNION ALL SELECT 'stray_outcome', t FROM (SELECT states, unnest(toks) AS t FROM j) WHERE t = 'error' AND list_contains(states, 'purchase')
+    UNION ALL SELECT 'illegal_hop', following FROM j WHERE exit_state <> following AND (exit_state = 'signup' AND following <> 'purchase' OR exit_state = 'purchase' AND following <> 'error')
+    UNION ALL SELECT 'continues_after_terminal', following FROM j WHERE exit_state = 'error' AND following IS NOT NULL
+    UNION ALL SELECT 'silent', '' FROM j WHERE silent AND exit_state <> 'error')
 SELECT finding, detail, count(*) AS n FROM f GROUP BY 1, 2""",
     ),
-    "profile_gaps": (profile_gaps, f"WITH {BOUND}, h AS (SELECT DISTINCT entity FROM bound), p(t, w, e) AS (VALUES ('Tool', 'view', 'Tool:browse'), ('Outcome', 'purchase', 'Outcome:paid'), ('State', 'signup', 'State:member'), ('Tool', 'lost', 'Tool:absent')) SELECT e AS head, CASE WHEN e IN (SELECT entity FROM h) THEN 'EMITTED_AS_' || upper(t) ELSE 'UNHEARD' END AS relation, w AS tail FROM p"),
+    "profile_gaps": (profile_gaps, f"WITH {BOUND}, h AS (SELECT DISTINCT entity FROM bound), p(t, w, e) AS (VALUES ('Tool', ' VIEW!', 'Tool:browse'), ('Outcome', 'purchase', 'Outcome:paid'), ('State', 'signup', 'State:member'), ('Tool', 'lost', 'Tool:absent')) SELECT e AS head, CASE WHEN e IN (SELECT entity FROM h) THEN 'EMITTED_AS_' || upper(t) ELSE 'UNHEARD' END AS relation, w AS tail FROM p"),
     "silence_turns": (silence_turns, f"WITH {OBS} SELECT conversation_id, turn::BIGINT AS turn, count(*) AS n FROM obs GROUP BY 1, 2 HAVING count(*) FILTER (entity_type = 'Tool') = 0"),
     "turn_observed": (turn_observed, "SELECT conv_id, string_agg(role, '|' ORDER BY turn, role) AS roles, count(*) FILTER (role = 'assistant') AS said FROM conversations GROUP BY 1"),
     "discover_transitions": (discover_transitions, f"WITH {OBS}, m AS (SELECT lag(token) OVER (PARTITION BY conversation_id ORDER BY seq) AS source, token AS target FROM obs) SELECT source, target, count(*) AS n FROM m WHERE source <> target GROUP BY 1, 2"),

@@ -65,6 +65,15 @@ def late_counts(observations: DataFrame, time: str, width: str, delay: str) -> D
     return run_to_log(windowed.select(F.col("w.start").alias("starts"), "token", "n"), "append", "windows").drop("batch")
 
 
+def closed_sessions(observations: DataFrame, time: str, gap: str, delay: str) -> DataFrame:
+    """``conversation_id, starts, ends, n``: runs of observations after which a conversation fell silent for ``gap``.
+
+    A session counts as closed once the watermark, ``delay`` behind the newest time, has passed its silence; an empty stream has none.
+    """
+    runs = observations.withWatermark(time, delay).groupBy(F.session_window(time, gap).alias("w"), "conversation_id").agg(F.max(time).alias("ends"), F.count("*").alias("n"))
+    return run_to_log(runs.select("conversation_id", F.col("w.start").alias("starts"), "ends", "n"), "append", "sessions").drop("batch")
+
+
 def live_transitions(observations: DataFrame) -> DataFrame:
     """``source, target, n``: changes of token in each conversation, over micro-batches that come in its order.
 
