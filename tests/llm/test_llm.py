@@ -138,7 +138,7 @@ def test_join_with_heavy_keys(spark, monkeypatch):
     rows = spark.createDataFrame([(k % 5 if k > 20 else 7, k) for k in range(40)], "key int, v int")
     found = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("low")).filter("key <> 3")
     for how in ("inner", "left"):
-        got = skew.join_heavy(rows, found, "key", "n", how)
+        got = skew.join_heavy(rows, found, "key", "n", ["v"], how)
         assert got.columns == ["key", "v", "low"]
         assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, rows.join(found.drop("n"), "key", how).collect()), key=str)
 
@@ -320,6 +320,9 @@ def test_toxic_words_are_learned_in_new_forms(spark):
     assert right >= 92
     assert all(0 <= r["score"] <= 1 for r in got.values()) and len(got) == 100 + len(ODD)
     assert got[100]["score"] == got[101]["score"]  # null and empty
+    clash = docs.withColumns({"_text": F.lit("t"), "text_": F.lit(None).cast("long"), "worst_word": F.lit("w")})
+    odd = toxicity.score_texts(clash, net).collect()
+    assert {r["doc_id"]: r["score"] for r in odd} == {k: r["score"] for k, r in got.items()} and all(r["_text"] == "t" and r["text_"] is None for r in odd)
     runner = toxicity.Runner(net)
     split = [toxicity.words(t) for t in texts[300:320]]
     vocabulary = toxicity.Vocabulary(split)
@@ -444,6 +447,10 @@ def test_languages_are_told_apart(spark):
     assert [got[k]["lang_pred"] for k in (900, 901, 902)] == ["und"] * 3 and got[903]["lang_pred"] == "aa"
     assert all(got[k]["held_out"] == (zlib.crc32(str(k).encode()) % 5 == 0) for k in range(150))
     assert language_id.identify(docs.limit(0)).count() == 0
+    clash = docs.filter("doc_id < 3 OR doc_id > 899").withColumns({"_text": F.lit("t"), "text_": F.lit(1)}).unionByName(spark.createDataFrame([(None, "kato mito", None, "t", 1)], "doc_id long, text string, lang string, _text string, text_ int"))
+    found = language_id.identify(clash, keep=clash.columns).collect()
+    assert len(found) == 8 and all(r["_text"] == "t" and r["text_"] == 1 for r in found)
+    assert sorted((r["doc_id"] is None, r["text"] or "") for r in found) == sorted((r["doc_id"] is None, r["text"] or "") for r in clash.collect())
 
 
 def test_languages_of_many_letters_are_told_apart(spark):
@@ -487,6 +494,17 @@ def test_exact_dedup_checks_bytes(spark, tmp_path, bits):
             assert r["text_sha256"] == hashlib.sha256(t.encode()).hexdigest()
 
 
+def test_exact_dedup_of_awkward_tables(spark, tmp_path):
+    rows = [(1, "a  b", "x"), (1, "a b", "y"), (None, "a\tb", "x"), (None, "c", "y"), (2, None, "x"), (3, "", "z"), (4, "c", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string").withColumn("n", F.lit(1))
+    path = str(tmp_path / "parted")
+    docs.write.partitionBy("digest").parquet(path)
+    got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.deduplicate(spark, path).collect()), key=str)
+    assert got == sorted([(1, 1, 3, True), (1, 1, 3, False), (None, 1, 3, False), (None, 4, 2, False), (2, 2, 2, True), (3, 2, 2, False), (4, 4, 2, True)], key=str)
+    docs.limit(0).write.parquet(str(tmp_path / "empty"))
+    assert exact_dedup.deduplicate(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_the_state_goes_on_from_earlier_files(spark, tmp_path):
     path, state = str(tmp_path / "t.parquet"), str(tmp_path / "state")
     documents(spark, ["a", "b"], start=10).write.parquet(path)
@@ -535,6 +553,8 @@ def test_globs_fit_as_plain_matching_does(spark):
         fits = [r for r in rules if re.fullmatch(r"(.*\.)?" + glob(r.host), host) and re.match(glob(r.path), m[2])]
         best = max(fits, key=lambda r: len(r.name), default=None)
         assert (got[k]["host"], got[k]["path"], got[k]["rule"], got[k]["verdict"]) == (host, m[2], best and best.name, best.verdict if best else "allow")
+    clash = pages.withColumns({c: F.lit("kept") for c in ("_h", "_p", "_rule_at", "path_")})
+    assert all(r["_h"] == r["_p"] == r["_rule_at"] == r["path_"] == "kept" and r["host"] == got[r["page_id"]]["host"] for r in url_filters.filter_urls(clash, rules).collect())
     assert url_filters.filter_urls(pages, []).filter("verdict = 'allow' AND rule IS NULL").count() == len(urls)
     assert url_filters.filter_urls(pages.limit(0), rules).count() == 0
 

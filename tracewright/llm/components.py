@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.skew import SHARE, join_heavy
+from tracewright.llm.skew import SHARE
 from tracewright.storage import stash
 
 
@@ -14,8 +14,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Every node takes the smallest label among its neighbours', and then the label of its label, until
     nothing changes. Each round is written to the shared folder, so lost executors cost one round
-    at most. Nodes with over a thousandth of all links, and labels of as many nodes, are broadcast to the rows that
-    ask for them (fewer than ``SHARE`` of each), so they are no hot keys. Loops and repeated links change nothing; no links give
+    at most. Nodes with over a thousandth of all links are broadcast to the rows that
+    ask for them (fewer than ``SHARE``), so they are no hot keys. Loops and repeated links change nothing; no links give
     no nodes; links with a null end are left out. Nodes are of any type with an order.
     """
     pairs = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
@@ -28,8 +28,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         met = to_hubs.join(F.broadcast(known.join(F.broadcast(hubs), "v")), "v").unionByName(others.join(known, "v"))
         nearest = met.groupBy("u").agg(F.min("label").alias("near"))
         moved = labels.join(nearest.withColumnRenamed("u", "node"), "node").select("node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
-        jump = labels.groupBy("label").agg(F.count("*").alias("n")).join(labels.select(F.col("node").alias("label"), F.col("label").alias("next")), "label")
-        moved = join_heavy(moved, stash(jump, "jumps"), "label", "n", "left").select("node", "before", F.least("label", "next").alias("label"))
+        # One entry for each label there is, so the label of a large component costs rows of one side only, which Spark splits.
+        jump = labels.select("label").distinct().join(labels.select(F.col("node").alias("label"), F.col("label").alias("next")), "label")
+        moved = moved.join(jump, "label", "left").select("node", "before", F.least("label", "next").alias("label"))
         moved = stash(moved, "labels")
         labels = moved.select("node", "label")
         if moved.filter("label <> before").isEmpty():

@@ -11,7 +11,7 @@ text at the locator is fetched and compared with the row's byte by byte. Only ro
 differ (a collision) leave the group, and are grouped by their bytes.
 
 Counting is partial before the shuffle, so a text with a third of all rows is one row from each
-task; the look-ups are joins that Spark splits when one key is hot.
+task; in the look-ups the rows of such a digest are dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.llm.skew import join_heavy
 from tracewright.storage import fresh_path, stash
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
@@ -55,9 +56,11 @@ def remember(spark: SparkSession, path: str, doc_id: str = "doc_id", text: str =
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    where = F.struct(F.col(doc_id).alias("doc_id"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
-    # As a pattern the path may be one file as well as a folder; a stream takes only folders by name.
-    rows = reader.parquet(f"{path[:-1]}[{path[-1]}]").select(where.alias("at"), content_digest(normalised(F.col(text)), bits).alias("digest"))
+    where = F.struct(F.col(doc_id).alias("doc_id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    # A stream takes only folders by name; one file goes as a pattern. Folders may be parted by columns.
+    files = spark.read.parquet(path).inputFiles()
+    alone = len(files) == 1 and files[0].rstrip("/").endswith("/" + path.rstrip("/").rsplit("/", 1)[-1])
+    rows = reader.parquet(f"{path[:-1]}[{path[-1]}]" if alone else path).select(where.alias("at"), content_digest(normalised(F.col(text)), bits).alias("digest"))
     # Rows without an identifier come last, so that a known one is kept.
     order = F.struct(F.col("at.doc_id").isNull().alias("none"), F.col("at.doc_id").alias("doc_id"), F.col("at.file").alias("file"), F.col("at.row").alias("row"))
     entries = rows.groupBy("digest").agg(F.min(order).alias("keep"), F.count("*").alias("n"))
@@ -93,20 +96,20 @@ def deduplicate(spark: SparkSession, path: str, doc_id: str = "doc_id", text: st
     Texts are equal when identical after each run of ASCII white space became one space; null
     counts as empty. Of equal texts the row with the smallest ``doc_id`` stays (a null one is the
     largest); among rows that repeat a ``doc_id`` as well, the first by file and row. An empty table
-    gives an empty result, and other columns are left out.
+    gives an empty result, and other columns are left out. The table may be one file, a folder, or a folder parted by columns.
     """
-    known = remember(spark, path, doc_id, text, bits)
-    here = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    known = stash(remember(spark, path, doc_id, text, bits).withColumn("rows", F.col("n")), "dedup-entries")
+    here = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     rows = spark.read.parquet(path).select(F.col(doc_id).alias("doc_id"), here.alias("here"), normalised(F.col(text)).alias("bytes"))
     rows = rows.withColumns({"digest": content_digest(F.col("bytes"), bits), "text_sha256": content_digest(F.col("bytes"))})
     # A row that is alone in its group has nothing to be compared with, so its text is not kept.
-    found = rows.join(known, "digest").withColumn("bytes", F.when(F.col("n") > 1, F.col("bytes")))
+    found = join_heavy(rows, known, "digest", "rows", ["here"]).withColumn("bytes", F.when(F.col("n") > 1, F.col("bytes")))
     found = stash(found, "dedup-look-ups")
     first = (F.col("here.file") == F.col("keep.file")) & (F.col("here.row") == F.col("keep.row"))
     single = found.filter(F.col("n") == 1).select("doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     several = found.filter(F.col("n") > 1)
-    located = several.filter(first).select("digest", F.col("bytes").alias("kept_bytes"))
-    hits = several.join(located, "digest")
+    located = stash(several.filter(first).select("digest", F.col("bytes").alias("kept_bytes"), F.col("n").alias("rows")), "dedup-kept")
+    hits = join_heavy(several, located, "digest", "rows", ["here"])
     same = F.col("bytes") == F.col("kept_bytes")
     others = hits.filter(~same)
     less = others.groupBy("digest").agg(F.count("*").alias("less"))

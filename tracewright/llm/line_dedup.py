@@ -17,7 +17,7 @@
    a comparison for each member rather than each pair, and no link between groups is lost.
 5. *Keep one.* Of the occurrences of each connected group the first stays; the others are dropped.
 
-Two forms are linked if they share a cell, at least ``NEAR`` of their blocks have the same last byte (unless one is short), and
+Two forms are linked if they share a cell, at least ``NEAR`` of their blocks have the same last byte (unless just one is short), and
 their edit similarity is reached. Tests measure which part of all pairs that reach it is found. The cells of a line family that very many lines share are found in a sample beforehand and
 dealt to several tasks each, with a pivot that is known to all of them.
 """
@@ -41,8 +41,8 @@ from tracewright.storage import stash
 SIMILARITY = 0.85
 #: Blocks of a SimHash, and cells, each of BLOCKS / CELLS blocks.
 BLOCKS, CELLS = 36, 12
-#: Blocks of which two forms that aren't short must share the last byte to be verified.
-NEAR = 6
+#: Blocks of which two forms must share the last byte to be verified.
+NEAR = 14
 #: Characters of a gram, and of one in short forms.
 GRAM, SHORT_GRAM = 8, 5
 #: Forms of fewer characters are short; no two different forms of fewer than LEAST_CHARS reach the similarity.
@@ -424,9 +424,10 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             for _, _, lines in parts(list(batch["text"])):
                 some = unseen(lines, contains(has.value, (lines.digest[:, 0] & np.uint64(len(has.value) * 8 - 1)).astype(np.int64)))
-                last, long = np.zeros((len(some), BLOCKS), np.uint8), np.flatnonzero(lines.chars[some] >= SHORT_CHARS)
-                if len(long):
-                    last[long] = (lines.blocks(some[long], GRAM) & np.uint64(255)).astype(np.uint8)
+                last, chars = np.zeros((len(some), BLOCKS), np.uint8), lines.chars[some]
+                for n, mine in ((GRAM, np.flatnonzero(chars >= SHORT_CHARS)), (SHORT_GRAM, np.flatnonzero((chars >= LEAST_CHARS) & (chars < SHORT_CHARS)))):
+                    if len(mine):
+                        last[mine] = (lines.blocks(some[mine], n) & np.uint64(255)).astype(np.uint8)
                 yield pd.DataFrame({"line": lines.digest[some, 0].view(np.int64), "key": _keys(lines.digest[some]), "chars": lines.chars[some], "blocks": [x.tobytes() for x in last], "form": pd.Series([lines.form(k) for k in some], dtype=object)})
 
     found = rows.select("text").mapInPandas(pick, "line long, key binary, chars int, blocks binary, form string")
@@ -436,7 +437,8 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 def _near(x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.ndarray, least: float) -> np.ndarray:
     """Which pairs of last bytes ``x, y`` and lengths ``m, n`` are to be verified."""
     fits = np.abs(m - n) <= (1 - least) * np.maximum(m, n)
-    return fits & ((np.minimum(m, n) < SHORT_CHARS) | ((x == y).sum(axis=-1) >= NEAR))
+    # A short form and one that isn't have blocks of different grams.
+    return fits & (((m < SHORT_CHARS) != (n < SHORT_CHARS)) | ((x == y).sum(axis=-1) >= NEAR))
 
 
 def _block_array(column: pd.Series) -> np.ndarray:
@@ -561,8 +563,8 @@ def line_groups(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     found = classes.join(groups, "key", "left").filter("n > 1 OR component IS NOT NULL").withColumn("group_id", F.coalesce("component", "key"))
     found = stash(found.select("key", "group_id", "place", "n"), "line-classes")
     first = found.groupBy("group_id").agg(F.min("place").alias("first"), F.count("*").alias("members"))
-    found = stash(join_heavy(found.select("key", "group_id", "n"), first, "group_id", "members").select("key", "group_id", "first", "n"), "line-groups")
-    return join_heavy(lines, found, "key", "n").select("doc_id", "body", "line_no", "group_id", (place == F.col("first")).alias("kept"))
+    found = stash(join_heavy(found.select("key", "group_id", "n"), first, "group_id", "members", ["key"]).select("key", "group_id", "first", "n"), "line-groups")
+    return join_heavy(lines, found, "key", "n", ["doc_id", "body", "line_no"]).select("doc_id", "body", "line_no", "group_id", (place == F.col("first")).alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:

@@ -52,6 +52,10 @@ GROUPS = 128
 CELL_BITS = 48
 #: Points below a leaf or node of a tree.
 FAN_OUT = 16
+#: Rounds after the first: with the pivots of all cells of a set, and of all pairs left in cells of several components.
+ROUNDS = 2
+#: Cells of a set that its rows know of.
+KNOWN_CELLS = 16
 #: Points of a cell in one task.
 TILE = 1_000
 #: One of so many texts is looked at for cells that many sets have; at most HOT_CELLS are then dealt to SALTS tasks each.
@@ -210,7 +214,7 @@ def search(queries: np.ndarray, q_sizes: np.ndarray, points: np.ndarray, sizes:
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, on: str, num: int, den: int) -> DataFrame:
-    """``a, b``: keys (a < b) of the pairs (of ids or keys, as ``on`` says) whose bound on the overlap allows num/den."""
+    """``a, b``: keys of the pairs (of ids or keys, as ``on`` says) whose bound on the overlap allows num/den."""
     x, y = (points.select(F.col(on).alias(k), F.col("key").alias(f"key_{k}"), F.col("n").alias(f"n_{k}"), F.col("point").alias(f"point_{k}")) for k in "ab")
     rows = pairs.join(x, "a").join(y, "b").filter("key_a <> key_b AND point_a IS NOT NULL AND point_b IS NOT NULL")
 
@@ -220,11 +224,14 @@ def _bounded(pairs: DataFrame, points: DataFrame, on: str, num: int, den: int) -
                 most = np.minimum(_points(batch["point_a"]), _points(batch["point_b"])).sum(axis=1, dtype=np.int64)
                 yield batch.loc[most * (num + den) >= num * (batch["n_a"] + batch["n_b"]).to_numpy(), ["key_a", "key_b"]]
 
-    return rows.mapInPandas(bound, "key_a binary, key_b binary").select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
+    return rows.mapInPandas(bound, "key_a binary, key_b binary").toDF("a", "b").distinct()
 
 
 def _sets(rows: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """``key, grams``: the sets in ``pairs`` (of keys). A broadcast bitmap leaves out most others before the join."""
+    """``key, grams``: the sets in ``pairs`` (of keys), dealt by their keys. A broadcast bitmap leaves out most others; a few more do no harm.
+
+    They aren't written: both sides of a join read one and the same exchange.
+    """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     # A key is a hash itself: its last bits are its place.
     has = bitmap(wanted.select(F.conv(F.hex(F.substring("key", 13, 4)), 16, 10).cast("long").alias("last")), "last", hashed=True)
@@ -242,14 +249,14 @@ def _sets(rows: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
                 seen.clear()
             yield pd.DataFrame({"key": list(out), "grams": list(out.values())}, dtype=object)
 
-    found = rows.select("text").mapInPandas(with_sets, "key binary, grams binary")
-    return stash(found.join(wanted, "key", "left_semi").dropDuplicates(["key"]), "sets")
+    return rows.select("text").mapInPandas(with_sets, "key binary, grams binary").dropDuplicates(["key"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """``a, b`` of the pairs whose sets reach num/den."""
-    rows = pairs.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a")
-    rows = rows.join(sets.select(F.col("key").alias("b"), F.col("grams").alias("y")), "b")
+    # The second key of a pair stands in fewer pairs, so its set goes to the pivots' and not the other way round.
+    rows = pairs.join(sets.select(F.col("key").alias("b"), F.col("grams").alias("y")), "b")
+    rows = rows.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -307,7 +314,7 @@ def _dealt(rows: DataFrame, rank: Broadcast, has: Broadcast, n: int, num: int, d
 
 
 def _met(rows: DataFrame, rank: Broadcast, has: Broadcast, n: int, num: int, den: int) -> DataFrame:
-    """``cell, doc_id, n, pivot`` of the sets that have a mate of a fitting size in a cell.
+    """``cell, doc_id, early, pivot`` of the sets that have a mate of a fitting size in a cell; ``early`` ones may be the smaller of a pair.
 
     There is one exchange of all cells. Those that many sets of the sample have are dealt to several tasks, and their pivot comes
     from the sample; a cell that the sample does not show as large is complete in one task.
@@ -324,7 +331,7 @@ def _met(rows: DataFrame, rank: Broadcast, has: Broadcast, n: int, num: int, den
     dealt = dealt.withColumns({"larger": F.lead(size).over(by_size), "smaller": smaller})
     mate = ((F.col("n") > 0) & (F.col("larger") * num <= size * den)) | (F.col("smaller") * den >= size * num)
     met = dealt.filter(F.col("known").isNotNull() | mate)
-    return met.select("cell", "doc_id", size.alias("n"), F.coalesce("known", F.min("doc_id").over(own)).alias("pivot"))
+    return met.select("cell", "doc_id", (F.col("n") > 0).alias("early"), F.coalesce("known", F.min("doc_id").over(own)).alias("pivot"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, num: int = 3, den: int = 4) -> DataFrame:
@@ -351,44 +358,63 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = stash(_verified(spanning, _sets(rows, spanning, n), num, den), "links")
     components = connected_components(links)
 
-    # Where all sets of a cell are in one component, nothing more can be learned from it.
-    traits = points.join(components.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    named = met.select("cell", "doc_id").join(traits.select("doc_id", "component"), "doc_id")
-    mixed = named.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low <> high")
-    left = stash(met.select("cell", "doc_id").join(mixed.select("cell", "size"), "cell"), "mixed-cells")
-    small = left.filter(F.col("size") <= FAN_OUT).join(traits.select("doc_id", "key", "n", "component"), "doc_id")
-    found = _leaf_pairs(small, num, den).unionByName(_search_cells(left.filter(F.col("size") > FAN_OUT).join(traits, "doc_id"), num, den)).distinct()
-    found = stash(_bounded(found, points.dropDuplicates(["key"]), "key", num, den).join(spanning, ["a", "b"], "left_anti"), "pairs")
-    more = _verified(found, _sets(rows, found, n), num, den)
-    components = connected_components(stash(links.unionByName(more), "links"))
+    for turn in range(ROUNDS):
+        # Where all sets of a cell are in one component, nothing more can be learned from it.
+        traits = points.join(components.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+        traits = stash(traits, "traits")
+        named = met.select("cell", "doc_id").join(traits.select("doc_id", "component"), "doc_id")
+        mixed = named.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low <> high")
+        left = stash(met.join(mixed.select("cell", "size"), "cell"), "mixed-cells")
+        if left.isEmpty():
+            break
+        if turn < ROUNDS - 1:  # large groups of copies come together by the pivots of all their cells
+            ends = [traits.select(F.col("doc_id").alias(c), F.col("component").alias(f"{c}_component")) for c in ("pivot", "doc_id")]
+            pairs = left.select("doc_id", "pivot").distinct().join(ends[0], "pivot").join(ends[1], "doc_id").filter("pivot_component <> doc_id_component")
+            found = _bounded(pairs.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")), points, "doc_id", num, den)
+        else:
+            small = left.filter(F.col("size") <= FAN_OUT).join(traits.select("doc_id", "key", "n", "component"), "doc_id")
+            large = left.filter(F.col("size") > FAN_OUT)
+            first = large.filter("early").groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list("cell")), 1, KNOWN_CELLS).alias("first"))
+            found = _leaf_pairs(small, num, den).unionByName(_search_cells(large.join(traits, "doc_id").join(first, "doc_id", "left"), num, den)).distinct()
+            found = _bounded(found, points.dropDuplicates(["key"]), "key", num, den)
+        found = stash(found, "pairs")
+        if found.isEmpty():
+            continue
+        links = stash(links.unionByName(_verified(found, _sets(rows, found, n), num, den)), "links")
+        components = connected_components(links)
     named = classes.join(components.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     lowest = named.groupBy("component").agg(F.min("class_id").alias("component_id"), F.count("*").alias("sets"))
-    named = stash(join_heavy(named, stash(lowest, "components"), "component", "sets").select("key", "class_id", "component_id", "members"), "classes")
+    named = stash(join_heavy(named, stash(lowest, "components"), "component", "sets", ["key"]).select("key", "class_id", "component_id", "members"), "classes")
     known, others = described.filter("doc_id IS NOT NULL AND key IS NOT NULL"), described.filter("doc_id IS NULL OR key IS NULL")
-    out = join_heavy(known.select("key", "doc_id", "n"), named, "key", "members").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "class_id", "component_id")
+    out = join_heavy(known.select("key", "doc_id", "n"), named, "key", "members", ["doc_id"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "class_id", "component_id")
     return out.unionByName(others.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id")))
 
 
 def _leaf_pairs(left: DataFrame, num: int, den: int) -> DataFrame:
     """``a, b``: pairs of keys from different components and of fitting sizes in cells of up to ``FAN_OUT`` sets."""
-    members = left.groupBy("cell").agg(F.array_sort(F.collect_set(F.struct("n", "key", "component"))).alias("m"))
+    members = left.groupBy("cell").agg(F.array_sort(F.collect_set(F.struct("n", "key", "component", "early"))).alias("m"))
 
     def partners(x: Column, k: Column) -> Column:
-        later = F.filter("m", lambda y, j: (j > k) & (y["component"] != x["component"]) & (y["n"] * num <= x["n"] * den))
+        fits = lambda y, j: (j > k) & x["early"] & (y["component"] != x["component"]) & (y["n"] * num <= x["n"] * den) & (y["early"] | (y["n"] > x["n"]))
+        later = F.filter("m", fits)
         return F.transform(later, lambda y: F.struct(F.least(x["key"], y["key"]).alias("a"), F.greatest(x["key"], y["key"]).alias("b")))
 
     return members.select(F.explode(F.flatten(F.transform("m", partners))).alias("p")).select("p.*").distinct()
 
 
 def _search_cells(left: DataFrame, num: int, den: int) -> DataFrame:
-    """``a, b``: pairs of keys from different components that meet in a cell and pass the bound. ``left``: ``cell, size, key, n, point, component``."""
+    """``a, b``: pairs of keys from different components that meet in a cell and pass the bound.
+
+    ``left``: ``cell, size, key, n, early, point, component`` and the ``first`` cells in which a set is early. A pair that both have such a cell before
+    this one is found there, so copies that meet in very many cells aren't listed by each.
+    """
     tiles = F.ceil(F.col("size") / TILE).cast("int")
     own = F.pmod(F.xxhash64("key"), tiles).cast("int")
     # Of a cell in k tiles, a point goes to the k pairs of its own tile with each.
     rows = left.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    rows = rows.select("cell", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "key", "n", "point", "component")
+    rows = rows.select("cell", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "key", "n", "early", "point", "component", "first")
 
-    def search_tile(tile: pd.DataFrame, i: int, j: int) -> list[tuple[bytes, bytes]]:
+    def search_tile(tile: pd.DataFrame, cell: int, i: int, j: int) -> list[tuple[bytes, bytes]]:
         x, y = (np.flatnonzero(tile["own"] == k) for k in (i, j))
         if not len(x) or not len(y):
             return []
@@ -396,7 +422,17 @@ def _search_cells(left: DataFrame, num: int, den: int) -> DataFrame:
         component = pd.factorize(tile["component"])[0]
         p, q = search(at[x], sizes[x], at[y], sizes[y], num, den)
         p, q = x[p], y[q]
-        ok = component[p] != component[q]
+        early, less = tile["early"].to_numpy(dtype=bool), sizes[p] - sizes[q]
+        ok = (component[p] != component[q]) & (early[p] | (less > 0)) & (early[q] | (less < 0))
+        p, q = p[ok], q[ok]
+        known = np.full((len(tile), KNOWN_CELLS), cell, dtype=np.int64)
+        for k, cells in enumerate(tile["first"]):
+            if cells is not None:
+                known[k, : len(cells)] = cells
+        ok = np.ones(len(p), dtype=bool)
+        for a in range(0, len(p), 20_000):
+            x, y = known[p[a : a + 20_000], :, None], known[q[a : a + 20_000], None, :]
+            ok[a : a + 20_000] = ~((x == y) & (x < cell)).any(axis=(1, 2))
         return list({(min(key[k], key[m]), max(key[k], key[m])) for k, m in zip(p[ok], q[ok], strict=True)})
 
     def search_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -411,7 +447,7 @@ def _search_cells(left: DataFrame, num: int, den: int) -> DataFrame:
             ends = np.append(np.flatnonzero((tile[1:] != tile[:-1]).any(axis=1)) + 1, len(tile))
             out, a = [], 0
             for b in ends if batch is None else ends[:-1]:
-                out += search_tile(waiting.iloc[a:b], tile[a, 1], tile[a, 2])
+                out += search_tile(waiting.iloc[a:b], *tile[a])
                 a = b
             waiting = waiting.iloc[a:].reset_index(drop=True)
             yield pd.DataFrame(out, columns=["a", "b"])
