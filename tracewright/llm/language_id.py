@@ -24,7 +24,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -236,12 +236,16 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     spark = docs.sparkSession
     parser = spark.sparkContext.broadcast(CrossParser(training_sample(docs, doc_id, text, lang, chars)))
 
-    rows = docs.select(*([F.col(f"`{c}`") for c in keep if c not in ("held_out", "lang_pred", "score")] if keep else [F.col(doc_id).alias("doc_id")]), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("_text"))
+    kept = [c for c in keep if c not in ("held_out", "lang_pred", "score")] if keep else ["doc_id"]
+    own = [F.col(f"`{c}`") for c in kept] if keep else [F.col(doc_id).alias("doc_id")]
+    # The text has a longer name than any column that is kept, so none can clash with it.
+    rows = docs.select(*own, held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias(max(["held_out", *kept], key=len) + "_"))
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = parser.value.predict([t or "" for t in batch.pop("_text")])
-            yield batch.assign(lang_pred=names, score=scores)
+            names, scores = parser.value.predict([t or "" for t in batch.column(len(kept) + 1).to_pylist()])
+            columns = [batch.column(k) for k in range(len(kept) + 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept, "held_out", "lang_pred", "score"])
 
-    fields = [f for f in rows.schema if f.name != "_text"]
-    return rows.mapInPandas(predict, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    fields = rows.schema.fields[:-1]
+    return rows.mapInArrow(predict, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

@@ -131,9 +131,8 @@ def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", url
     rest = F.when(at > 0, F.expr(f"substring(`{url}`, instr(`{url}`, '://') + 3)")).otherwise(F.lit(""))
     raw = F.regexp_extract(rest, r"(?s)^([^/?#]*)([^?#]*)", 1)
     low = F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "_rule_at")]
-    split = pages.withColumns({"_h": low, "_p": F.regexp_extract(rest, r"(?s)^([^/?#]*)([^?#]*)", 2)})
-    split = split.select(*[F.col(f"`{c}`") for c in kept], F.col("_h").alias("host"), F.col("_p").alias("path"))
+    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    split = pages.select(*[F.col(f"`{c}`") for c in kept], low.alias("host"), F.regexp_extract(rest, r"(?s)^([^/?#]*)([^?#]*)", 2).alias("path"))
     machine = Automaton(rules)
 
     @F.pandas_udf("int")
@@ -143,10 +142,12 @@ def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", url
 
     names = F.array(*[F.lit(r.name) for r in machine.rules])
     verdicts = F.array(*[F.lit(r.verdict) for r in machine.rules])
-    judged = split.withColumn("_rule_at", fits("host", "path"))
-    none = F.col("_rule_at") < 0
+    # A longer name than any column's, so that none can clash with it.
+    at = max(["path", *kept], key=len) + "_"
+    judged = split.withColumn(at, fits("host", "path"))
+    place, none = F.col(f"`{at}`"), F.col(f"`{at}`") < 0
     if not rules:
         return split.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     return judged.withColumns(
-        {"rule": F.when(~none, F.element_at(names, F.greatest(F.col("_rule_at"), F.lit(0)) + 1)), "verdict": F.when(none, F.lit(default)).otherwise(F.element_at(verdicts, F.greatest(F.col("_rule_at"), F.lit(0)) + 1))}
-    ).drop("_rule_at")
+        {"rule": F.when(~none, F.element_at(names, F.greatest(place, F.lit(0)) + 1)), "verdict": F.when(none, F.lit(default)).otherwise(F.element_at(verdicts, F.greatest(place, F.lit(0)) + 1))}
+    ).drop(at)
