@@ -18,9 +18,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one is set only where none is (as in tests)."""
+    """The session's checkpoint folder. Where none is set, as in tests, a single-process session gets a temporary one; a cluster is refused."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-tracewright-"))
         place = spark.sparkContext.getCheckpointDir()
     return place.rstrip("/")
