@@ -432,6 +432,28 @@ def test_cross_parsing_counts_longest_matches():
     assert sizes.tolist() == [8, 4, 0] and letters.tolist() == [8, 4, 0]
 
 
+def test_phrases_are_the_longest_matches_of_whole_texts(monkeypatch):
+    rng = random.Random(17)
+    samples = {"a": ["".join(rng.choice("abc") for _ in range(200))], "b": ["abababababcb" * 5, "caab"], "c": ["日本語abc"]}
+    parser = language_id.CrossParser(samples)
+    texts = ["".join(rng.choice("abcd 本") for _ in range(n)) for n in (0, 1, 7, 8, 9, 40, 200)] + ["ab" * 70, "dd" * 9, "aab" * 30, "d" + "ab" * 20 + "d" * 3]
+
+    def plain(spoken, text):
+        spelled = "\0".join("".join(map(chr, language_id.squeezed(parser.alphabet.classes(t)) + 1)) for t in spoken).replace("\0", chr(1)) + chr(1)
+        rest, n = "".join(map(chr, language_id.squeezed(parser.alphabet.classes(text)) + 1)), 0
+        while rest:
+            k = 1
+            while k < len(rest) and rest[: k + 1] in spelled:
+                k += 1
+            rest, n = rest[k:], n + 1
+        return n
+
+    for block in (256, 8):
+        monkeypatch.setattr(language_id, "BLOCK", block)
+        counts = parser.phrases(texts)[0]
+        assert counts.tolist() == [[plain(samples[k], t) for k in parser.languages] for t in texts]
+
+
 def test_languages_are_told_apart(spark):
     rng = random.Random(11)
     syllables = {"aa": ["ka", "to", "mi"], "bb": ["str", "ung", "ein"], "cc": ["eau", "ou", "ré"]}
@@ -517,6 +539,31 @@ def test_the_state_goes_on_from_earlier_files(spark, tmp_path):
 # 8: fingerprints
 
 
+def test_fingerprints_are_quartiles_of_counted_triplets():
+    for text in [*ODD, *mixed(20)]:
+        data, counts = (text or "").encode(), [0] * fingerprints.BUCKETS
+        mix = fingerprints._MIX.tolist()
+        for k in range(len(data) - 2):
+            counts[mix[mix[mix[data[k]] ^ data[k + 1]] ^ data[k + 2]]] += 1
+        cuts = [sorted(counts)[k * fingerprints.BUCKETS // 4 - 1] for k in (1, 2, 3)]
+        quartiles = [sum(c > x for x in cuts) for c in counts]
+        mark = fingerprints.digest(text)
+        bits = "".join(f"{x:02b}" for x in quartiles)
+        assert int(mark[2:], 16) == int(bits, 2) and len(mark) == 2 + fingerprints.BUCKETS // 2
+        assert abs(1.1 ** int(mark[:2], 16) - (len(data) + 1)) <= 0.1 * (len(data) + 1) + 1
+    assert fingerprints.likeness(mark, mark) == 1.0
+
+
+def test_edited_neighbours_of_repeated_and_null_ids(spark):
+    rows = [(2**60 + 1, "b" * 8), (2**60 + 2, None), (None, "abcd" * 2), (7, "x" * 4), (7, "w" * 4), (7, "x" * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"range_no": F.lit("r"), "is_copy": F.lit(0)})
+    got = sorted(((r["doc_id"] or 0, r["n_chars"], r["edited_sha256"]) for r in fingerprints.edited_neighbours(docs).collect()))
+    follow = [(0, "abcd" * 2, "w" * 4), (7, "w" * 4, "x" * 4), (7, "x" * 4, "x" * 4), (7, "x" * 4, "b" * 8), (2**60 + 1, "b" * 8, ""), (2**60 + 2, "", "abcd" * 2)]
+    assert got == sorted((k, len(t), hashlib.sha256((t[: len(t) - len(t) // 4] + other[: len(t) // 4]).encode()).hexdigest()) for k, t, other in follow)
+    with pytest.raises(TypeError):
+        fingerprints.edited_neighbours(docs.withColumn("doc_id", F.lit("a")))
+
+
 def test_edited_neighbours(spark):
     texts = ODD + mixed(60)
     got = as_dict(fingerprints.edited_neighbours(documents(spark, texts)))
@@ -562,6 +609,44 @@ def test_globs_fit_as_plain_matching_does(spark):
 # The pipeline
 
 
+def test_pipeline_stages_do_what_brute_force_says(spark, tmp_path):
+    import corpus_pipeline
+    from tracewright.llm import catalog
+
+    rng = random.Random(31)
+    texts, toxic = mixed(260, 18), {}
+    for k in range(260):
+        words = texts[k].split(" ")
+        if k % 5 == 0:
+            words.insert(rng.randrange(len(words) + 1), "vrxqz" + rng.choice(["", "ing", "ed"]))
+        texts[k], toxic[k] = " ".join(words), int(k % 5 == 0)
+    texts += ["", "12 %", None]
+    folder = str(tmp_path)
+    docs = documents(spark, texts).select("doc_id", "text", F.lit("aa").alias("lang"), "source", F.lit(0).cast("long").alias("n_chars"))
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(k, 1, t) for k, t in toxic.items() if k < 200], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    now = spark.read.parquet(f"{folder}/documents.parquet")
+
+    def left(df):
+        return {r["doc_id"]: r["text"] for r in df.collect()}
+
+    scored = as_dict(catalog.op3_toxicity(spark, folder))
+    assert all(r["held_out"] == (zlib.crc32(str(k).encode()) % 3 == 1) and r["predicted"] == (r["score"] >= 0.7) for k, r in scored.items())
+    caught = [scored[k]["predicted"] for k in toxic if toxic[k]]
+    spared = [scored[k]["predicted"] for k in toxic if not toxic[k]]
+    assert sum(caught) >= 0.9 * len(caught) and sum(spared) <= 0.03 * len(spared)
+    clean = left(corpus_pipeline.drop_toxic(spark, now, folder))
+    assert set(clean) == {k for k, r in scored.items() if not r["predicted"]} and all(clean[k] == texts[k] for k in clean)
+    known = left(corpus_pipeline.drop_unidentified(spark, now, folder))
+    assert set(known) == set(range(260))
+    kept = left(corpus_pipeline.drop_repeated_lines(spark, now, folder))
+    want = brute_lines(texts)
+    assert kept == {k: t for k, t in enumerate(want) if t == texts[k] or (t or "").strip()}
+    some = left(corpus_pipeline.drop_near_copies(spark, now, folder))
+    assert set(some) == {k for k, c in enumerate(brute_components(brute_sets(texts))) if k == c}
+    assert {r["doc_id"] for r in corpus_pipeline.pack(spark, now, folder).collect()} == set(range(263))
+
+
 def test_pipeline_stages_keep_the_columns(spark, tmp_path):
     import corpus_pipeline
 

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,13 +78,18 @@ def with_next(docs: DataFrame, per_partition: int = 8) -> DataFrame:
     no task needs more than its ranges. The cuts are approximate quantiles (``per_partition`` of
     them for each shuffle partition): where they fall changes no result.
     """
-    spark = docs.sparkSession
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError("documents are ordered by whole numbers")
     parts = per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(docs.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.25 / parts)))
-    kind = docs.schema["doc_id"].dataType
-    below = F.array(*[F.lit(int(c)).cast(kind) for c in cuts])
-    no = F.coalesce(F.size(F.filter(below, lambda c: c < F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
-    rows = docs.select(no.alias("range_no"), F.lit(False).alias("is_copy"), "doc_id", "text")
+    bounds = np.array([int(c) for c in cuts])
+
+    @F.pandas_udf("int")
+    def ranges_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.where(ids.isna(), 0, np.searchsorted(bounds, ids.fillna(0).to_numpy())), dtype="int32")
+
+    rows = docs.select(ranges_of("doc_id").alias("range_no"), F.lit(False).alias("is_copy"), "doc_id", "text")
     first = F.when(~F.bool_or(F.col("doc_id").isNull()), F.min("doc_id"))
     found = sorted(map(tuple, rows.groupBy("range_no").agg(first.alias("first_id")).collect()), key=lambda r: r[0])
     ranges, firsts = [r[0] for r in found], [r[1] for r in found]
@@ -104,17 +110,17 @@ def edited_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     Returns ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next``. A null text counts as empty; equal texts have equal fingerprints; rows with a null
     ``doc_id`` come first, and rows with one ``doc_id`` follow each other by text; a single row is
-    its own next; an empty table gives an empty result, and other columns are left out.
+    its own next; an empty table gives an empty result, and other columns are left out. Ids are whole numbers; others are refused.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = with_next(rows).repartition(parts, "range_no").sortWithinPartitions("range_no", "is_copy", "doc_id", "text")
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
             out = []
-            for no, copy, name, value in zip(batch["range_no"], batch["is_copy"], batch["doc_id"], batch["text"], strict=True):
+            for no, copy, name, value in zip(*(batch.column(c).to_pylist() for c in ("range_no", "is_copy", "doc_id", "text")), strict=True):
                 mark = digest(value)
                 if last is not None and not last[1]:
                     n = len(last[3])
@@ -122,7 +128,8 @@ def edited_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
                     changed = digest(edited)
                     out.append((last[2], n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), last[4], changed, likeness(last[4], changed), likeness(last[4], mark)))
                 last = (no, copy, name, value, mark)
-            yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            kinds = {"doc_id": batch.column("doc_id").type, "n_chars": pa.int64()} | dict.fromkeys(("edited_sha256", "fingerprint", "edited_fingerprint"), pa.string()) | dict.fromkeys(("near_edited", "near_next"), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds.values())], list(kinds))
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return ordered.mapInPandas(compare, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return ordered.mapInArrow(compare, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -10,8 +10,9 @@ An automaton is kept as a table of (state, character class); where it does not g
 leads to where the character leads from the root and is marked as the end of a phrase. So all texts
 of a batch are parsed in step by table look-ups. The table has the most frequent letters; what the automaton
 does on each other letter of the sample is kept as sorted (state, class) keys, so that scripts with many letters
-are told apart as well. Texts are parsed in blocks of ``BLOCK`` characters
-(a phrase also ends at the end of a block), which bounds the work in step however long a text is.
+are told apart as well. Texts are parsed in blocks of ``BLOCK`` characters at once, which bounds the work in step however long
+a text is; then the phrase at the end of each block is followed into the next one, until a phrase begins at a place where one does there
+as well. So the phrases are those of the whole text.
 
 Training text is a bounded sample: ``TRAIN_CHARS`` characters over all languages, shared evenly, of
 the labelled documents that come first by a hash of their id. Everything else covers all rows.
@@ -158,27 +159,100 @@ class CrossParser:
         within = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         starts = first[owner] + within * BLOCK
         width = np.minimum(sizes[owner] - within * BLOCK, BLOCK)
-        flat = np.concatenate(rows)
+        flat = np.concatenate(rows).astype(np.int32)
         order = np.argsort(-width, kind="stable")  # so that those still being parsed are a prefix
-        for a in range(0, len(order), STEP_CHARS // BLOCK):
-            some = order[a : a + STEP_CHARS // BLOCK]
-            ends = width[some]
-            live = np.searchsorted(-ends, -np.arange(1, ends[0] + 1), side="right")  # blocks longer than each step
-            # One step's symbols stand together.
-            grid = flat[np.minimum(starts[some][None, :] + np.arange(ends[0])[:, None], len(flat) - 1)].astype(np.int32)
-            whole = (grid < self.alphabet.size).all(axis=1)
-            for k, automaton in enumerate(self.tables):
-                state = np.zeros(len(some), dtype=np.int32)
-                met = np.ones(len(some), dtype=np.int32)  # the last phrase, which the end of the block ends
-                for step in range(int(ends[0])):
-                    n = live[step]
-                    to = self._step(automaton, state[:n], grid[step, :n], whole[step])
-                    met[:n] += to >> 30
-                    state[:n] = to & (END - 1)
-                np.add.at(counts[:, k], owner[some], met)
+        for k, automaton in enumerate(self.tables):
+            begins, last = np.zeros((len(owner), BLOCK), dtype=bool), np.zeros(len(owner), dtype=np.int32)
+            for a in range(0, len(order), STEP_CHARS // BLOCK):
+                some = order[a : a + STEP_CHARS // BLOCK]
+                self._parse_blocks(automaton, flat, starts[some], width[some], some, begins, last)
+            found = begins.sum(axis=1, dtype=np.int64)
+            more = self._join_blocks(automaton, flat, starts, width, within, begins, last)
+            counts[:, k] = np.bincount(owner, weights=found + more, minlength=len(texts)).astype(np.int64)
         return counts, sizes, letters
 
+    def _parse_blocks(self, automaton: tuple, flat: np.ndarray, starts: np.ndarray, width: np.ndarray, some: np.ndarray, begins: np.ndarray, last: np.ndarray) -> None:
+        """Parse blocks from the root, the longest first: where phrases begin, and the last state."""
+        live = np.searchsorted(-width, -np.arange(1, width[0] + 1), side="right")  # blocks longer than each step
+        # One step's symbols stand together.
+        grid = flat[np.minimum(starts[None, :] + np.arange(width[0])[:, None], len(flat) - 1)]
+        whole = (grid < self.alphabet.size).all(axis=1)
+        state, new = np.zeros(len(some), dtype=np.int32), np.zeros((int(width[0]), len(some)), dtype=bool)
+        for step in range(int(width[0])):
+            n = live[step]
+            to = self._step(automaton, state[:n], grid[step, :n], whole[step])
+            # A phrase also begins at the root: at the start, and behind a letter that the language lacks.
+            new[step, :n] = (to >> 30).astype(bool) | (state[:n] == 0)
+            state[:n] = to & (END - 1)
+        begins[some, : width[0]] = new.T
+        last[some] = state
+
+    def _join_blocks(self, automaton: tuple, flat: np.ndarray, starts: np.ndarray, width: np.ndarray, within: np.ndarray, begins: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Parse on over the ends of blocks, until a phrase begins where one does in the next block's own parse; from there on both agree.
+
+        Returns what this adds to each block's number of phrases. Where the two never agree, as in texts of one word, the block after is
+        parsed from the carried parse's last state, one block of each text in a round, and the blocks behind are right again once they agree.
+        """
+        more, own = np.zeros(len(width), dtype=np.int64), begins.sum(axis=1, dtype=np.int64)
+
+        def carry(live: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Parse ``live`` blocks from ``state``; which of them don't come to agree, and their last states."""
+            carried, apart, behind = np.zeros(len(live), dtype=np.int64), [live[:0]], [state[:0]]
+            for step in range(BLOCK + 1):
+                ended = step >= width[live]
+                if ended.any():
+                    more[live[ended]] = carried[ended] - own[live[ended]]
+                    apart.append(live[ended])
+                    behind.append(state[ended])
+                    live, state, carried = live[~ended], state[~ended], carried[~ended]
+                if not len(live):
+                    break
+                symbols = flat[starts[live] + step]
+                to = self._step(automaton, state, symbols, bool((symbols < self.alphabet.size).all()))
+                new = (to >> 30).astype(bool) | (state == 0)
+                met = new & begins[live, step]
+                more[live[met]] = carried[met] - begins[live[met], :step].sum(axis=1)
+                live, state, carried = live[~met], (to & (END - 1))[~met], (carried + new)[~met]
+            apart, behind = np.concatenate(apart), np.concatenate(behind)
+            order = np.argsort(apart)
+            return apart[order], behind[order]
+
+        joined = np.flatnonzero(within > 0)
+        apart, behind = carry(joined, last[joined - 1])
+        # Behind a block that doesn't agree another one of the same text follows (else nothing depends on it).
+        inside = np.append(within[1:] > 0, False)
+        apart, behind = apart[inside[apart]], behind[inside[apart]]
+        text = np.cumsum(within == 0)
+        at = np.unique(text[apart], return_index=True)[1]
+        live, state = apart[at] + 1, behind[at]
+        while len(live):
+            still, states = carry(live, state)
+            done = np.setdiff1d(live, still)
+            # Those that agree go on at the next block of their text that didn't, if there is one.
+            next_at = np.searchsorted(apart, done, side="right")
+            there = next_at < len(apart)
+            done, next_at = done[there], next_at[there]
+            next_at = next_at[text[apart[next_at]] == text[done]]
+            goes_on = inside[still]
+            live = np.concatenate([still[goes_on] + 1, apart[next_at] + 1])
+            state = np.concatenate([states[goes_on], behind[next_at]])
+        return more
+
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        """Languages and scores; texts of together some ``STEP_CHARS`` characters (or one longer one) are parsed at a time."""
+        names, scores, a = [], [], 0
+        while a < len(texts):
+            b, have = a, 0
+            while b < len(texts) and (b == a or have + len(texts[b]) <= STEP_CHARS):
+                have += len(texts[b])
+                b += 1
+            some = self._predict(texts[a:b])
+            names += some[0]
+            scores += some[1]
+            a = b
+        return names, scores
+
+    def _predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         counts, sizes, letters = self.phrases(texts)
         if not self.languages:
             return ["und"] * len(texts), [0.0] * len(texts)
