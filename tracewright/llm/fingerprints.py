@@ -87,9 +87,11 @@ def with_next(docs: DataFrame, per_partition: int = 8) -> DataFrame:
 
     @F.pandas_udf("int")
     def ranges_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.isna(), 0, np.searchsorted(bounds, ids.fillna(0).to_numpy())), dtype="int32")
+        return pd.Series(np.searchsorted(bounds, ids.to_numpy()), dtype="int32")
 
-    rows = docs.select(ranges_of("doc_id").alias("range_no"), F.lit(False).alias("is_copy"), "doc_id", "text")
+    # Nulls, which would make a batch's ids decimal numbers, are in the first range.
+    no = F.when(F.col("doc_id").isNull(), 0).otherwise(ranges_of(F.coalesce("doc_id", F.lit(0).cast(kind))))
+    rows = docs.select(no.alias("range_no"), F.lit(False).alias("is_copy"), "doc_id", "text")
     first = F.when(~F.bool_or(F.col("doc_id").isNull()), F.min("doc_id"))
     found = sorted(map(tuple, rows.groupBy("range_no").agg(first.alias("first_id")).collect()), key=lambda r: r[0])
     ranges, firsts = [r[0] for r in found], [r[1] for r in found]
