@@ -211,3 +211,22 @@ def test_graders_on_no_evidence(spark):
     claims = spark.createDataFrame([("a", ["b"])], "subject string, expected array<string>")
     for grade in (grading.tool_called, grading.terminal_expected, grading.order_expected, grading.transition_allowed):
         assert grade(claims, evidence).count() == 0
+
+
+def test_actions_are_observed_by_what_they_invoke(spark):
+    claims = spark.createDataFrame([("a", ["T1", "A1"]), ("b", ["A2"]), ("c", [])], "subject string, expected array<string>")
+    tools, invokes = spark.createDataFrame([("T1",), ("T2",), ("T3",)], "tool string"), spark.createDataFrame([("A1", "T2"), ("A1", "T3"), ("T1", "T3")], "action string, tool string")
+    assert values(grading.observable(claims, tools, invokes), "subject", "expected") == [("a", ["T1", "T2", "T3"]), ("b", []), ("c", [])]
+
+
+def test_kinds_without_a_grader_are_undecided(spark):
+    evidence = spark.createDataFrame([(1, 1, "T1", "Tool"), (2, 1, None, "Tool")], "conversation_id int, seq int, entity string, entity_type string")
+    claims = spark.createDataFrame([("tool_called", "s", ["T1"]), ("odd", "s", ["T1"])], "kind string, subject string, expected array<string>")
+    none = spark.createDataFrame([], "tool string"), spark.createDataFrame([], "action string, tool string")
+    assert values(grading.grade(claims, evidence, *none), "conversation_id", "kind", "outcome") == [(1, "odd", "undecided"), (1, "tool_called", "pass"), (2, "odd", "undecided"), (2, "tool_called", "fail")]
+
+
+def test_batches_are_rendered_with_their_context(spark):
+    blocks = spark.createDataFrame([(1, 0, "aa"), (1, 2, "bb"), (1, 3, "cc"), (2, 0, "dd")], "doc_id int, block_no int, text string").withColumn("location", F.concat(F.lit("#"), "block_no"))
+    got = corpus.render_batches(blocks, corpus.greedy_batches(blocks, 4))
+    assert values(got, "doc_id", "batch_no", "core", "rendered") == [(1, 0, 2, "[P1] (#0)\naa\n\n[P2] (#2)\nbb\n\n[P3] (#3)\ncc"), (1, 1, 1, "[P1] (#2)\nbb\n\n[P2] (#3)\ncc"), (2, 0, 1, "[P1] (#0)\ndd")]

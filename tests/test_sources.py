@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from tracewright.sources import catalogues, documents, telemetry
+from tracewright.sources import builds, catalogues, documents, telemetry
 
 TEXT = """# Top
 
@@ -76,3 +76,27 @@ def test_catalogues_are_validated(spark):
     assert levels == {"a": ["1", "2"]} and adverse == {"a": "2"}
     with pytest.raises(catalogues.BadCatalogue):
         catalogues.factors("factors:\n- {name: a, levels: [1]}\n")
+
+
+def test_graphs_are_read_as_they_were_written(spark, tmp_path):
+    entities = spark.createDataFrame([("T:1", "Tool", "card_check", ["Card check", "card\ncheck"]), ("T:2", "Tool", "日本", None)], "entity_id string, entity_type string, canonical string, surfaces array<string>")
+    triples = spark.createDataFrame([("T:1", "USES", "T:2", ["model"], "admitted", 9), ("T:2", "IS", 'say "x"', None, "review", 9)], "head string, relation string, tail string, methods array<string>, status string, extra int")
+    path = str(tmp_path / "graph")
+    for _ in range(2):  # writing again replaces what was there
+        builds.write_graph(entities, triples, path)
+    found, facts = builds.read_graph(spark, path)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, entities.collect()))
+    assert sorted((r["head"], r["tail"], r["methods"], r["status"], r["spans"]) for r in facts.collect()) == [("T:1", "T:2", ["model"], "admitted", None), ("T:2", 'say "x"', None, "review", None)]
+    (tmp_path / "graph" / "triples" / "part-x.json").write_text("not json\n")
+    with pytest.raises(Exception, match="MALFORMED"):
+        builds.read_graph(spark, path)[1].collect()
+
+
+def test_quarantine_questions_and_manifest(spark, tmp_path):
+    rows = spark.createDataFrame([(1, None), (2, "schema"), (3, "quote")], "id int, criterion string")
+    builds.write_quarantine(rows, str(tmp_path / "q"))
+    assert sorted((r["criterion"], r["id"]) for r in spark.read.json(str(tmp_path / "q")).collect()) == [("quote", 3), ("schema", 2)]
+    builds.write_questions(rows.select("id"), rows.filter("id = 1"), str(tmp_path / "k"))
+    assert spark.read.json(str(tmp_path / "k" / "questions")).count() == 3 and spark.read.json(str(tmp_path / "k" / "resolved")).count() == 1
+    one, two = (builds.manifest(b=rows.repartition(k), a=rows.limit(0)).orderBy("name").collect() for k in (1, 3))
+    assert one == two and [(r["name"], r["rows"]) for r in one] == [("a", 0), ("b", 3)] and one[0]["digest"] == "0" != one[1]["digest"]

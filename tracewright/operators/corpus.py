@@ -106,6 +106,22 @@ def batch_context(batches: DataFrame) -> DataFrame:
     return batches.withColumns({"before": F.lag("last_block").over(order), "after": F.lead("first_block").over(order)})
 
 
+def render_batches(blocks: DataFrame, batches: DataFrame) -> DataFrame:
+    """``doc_id, batch_no, core, rendered``: each batch as text, a labelled paragraph for each passage, and how many are its own.
+
+    ``blocks``: ``doc_id, block_no, location, text``. The labels P1, P2, ... run through the last passage of the batch before, the batch's own
+    and the first of the next one. A batch has bounded characters, so a row has as well.
+    """
+    context = batch_context(batches)
+    mine = context.select("doc_id", "batch_no", "before", "after", "first_block", "last_block")
+    low, high = F.coalesce("before", "first_block"), F.coalesce("after", "last_block")
+    # Batches list the places that they cover, so that blocks are met by place and not by document alone.
+    rows = mine.withColumn("block_no", F.explode(F.sequence(low, high))).join(blocks.withColumn("block_no", F.col("block_no").cast("bigint")), ["doc_id", "block_no"])
+    listed = rows.groupBy("doc_id", "batch_no").agg(F.array_sort(F.collect_list(F.struct("block_no", "location", "text"))).alias("p"), F.count_if(F.col("block_no").between(F.col("first_block"), F.col("last_block"))).alias("core"))
+    paragraphs = F.transform("p", lambda x, k: F.concat(F.lit("[P"), (k + 1).cast("string"), F.lit("] ("), x["location"], F.lit(")\n"), x["text"]))
+    return listed.select("doc_id", "batch_no", "core", F.array_join(paragraphs, "\n\n").alias("rendered"))
+
+
 def section_changes(rows: DataFrame, group: str, order: str, section: str) -> DataFrame:
     """Rows with ``changes``: whether the section differs from the row before; the first always does."""
     w = Window.partitionBy(group).orderBy(order)

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.text import as_number
 from tracewright.operators.catalogues import pair_with
+from tracewright.storage import stash
 
 BLOCKING = ("blocker", "error")
+#: Severities, the hardest first.
+SEVERITY_ORDER = ("blocker", "error", "warning", "info", "advisory")
 
 
 def _runs(evidence: DataFrame, assertions: DataFrame) -> DataFrame:
@@ -133,6 +136,40 @@ def text_required(assertions: DataFrame, utterances: DataFrame, fold: object) ->
     return _verdict(spoke, F.when(F.col("hit").isNull(), "undecided").when(F.col("hit"), "pass").otherwise("fail"))
 
 
+def observable(assertions: DataFrame, tools: DataFrame, invokes: DataFrame) -> DataFrame:
+    """Assertions with ``expected`` reduced to what a trace can show: tools stay, an action becomes the tools that it invokes.
+
+    ``tools``: ``tool``; ``invokes``: ``action, tool``. What neither is a tool nor invokes one goes, so an assertion may be left with nothing.
+    """
+    rows = assertions.withColumn("target", F.explode_outer("expected"))
+    rows = rows.join(tools.select(F.col("tool").alias("target"), F.lit(True).alias("own")).distinct(), "target", "left").join(invokes.select(F.col("action").alias("target"), F.col("tool").alias("invoked")).distinct(), "target", "left")
+    kept = [c for c in assertions.columns if c != "expected"]
+    return rows.groupBy(*kept).agg(F.array_sort(F.collect_set(F.when(F.col("own"), F.col("target")).otherwise(F.col("invoked")))).alias("expected"))
+
+
+def grade(assertions: DataFrame, evidence: DataFrame, tools: DataFrame, invokes: DataFrame) -> DataFrame:
+    """``conversation_id, kind, subject, outcome`` of assertions of all kinds; a kind without a grader is undecided.
+
+    ``assertions``: ``kind, subject, expected``. What several graders need of the evidence is written once.
+    """
+    evidence = stash(evidence.select("conversation_id", "seq", "entity", "entity_type"), "evidence")
+    seen = observable(assertions.filter(F.col("kind").isin("action_required", "action_forbidden")), tools, invokes)
+    graders = {"tool_called": tool_called, "outcome_allowed": outcome_allowed, "transition_expected": transition_expected, "transition_allowed": transition_allowed, "terminal_expected": terminal_expected, "order_expected": order_expected, "action_required": action_required, "action_forbidden": action_forbidden}
+    others = assertions.filter(~F.col("kind").isin(*graders)).select("kind", "subject")
+    out = _runs(evidence, others).select("conversation_id", "kind", "subject", F.lit("undecided").alias("outcome"))
+    for kind in sorted({r["kind"] for r in assertions.select("kind").distinct().limit(1_000).collect()} & set(graders)):
+        mine = (seen if kind.startswith("action") else assertions).filter(F.col("kind") == kind).select("subject", "expected")
+        out = out.unionByName(graders[kind](mine, evidence).select("conversation_id", F.lit(kind).alias("kind"), "subject", "outcome"))
+    return out
+
+
+def failures(verdicts: DataFrame) -> DataFrame:
+    """Failed verdicts with their ``place`` in their conversation: the most severe first, then by kind and subject."""
+    rank = F.array_position(F.array(*[F.lit(x) for x in SEVERITY_ORDER]), F.col("severity"))
+    order = Window.partitionBy("conversation_id").orderBy(rank, "kind", "subject")
+    return verdicts.filter("outcome = 'fail'").withColumn("place", F.row_number().over(order))
+
+
 def summary(verdicts: DataFrame, *keys: str) -> DataFrame:
     """How many verdicts have each outcome."""
     counts = {o: F.count_if(F.col("outcome") == o).alias(o) for o in ("pass", "fail", "undecided", "not_applicable")}

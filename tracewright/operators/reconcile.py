@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.functions.text import SEPARATOR, digest, folded
+
 KEY = ("head", "relation", "tail")
 LIVE = ("admitted", "review")
 
@@ -74,6 +76,26 @@ def top_evidence(rows: DataFrame, group: list[str], order: list[str], most: int
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("place") <= most)
 
 
+def undeclared_relations(triples: DataFrame, relations: DataFrame) -> DataFrame:
+    """``relation, n``: relations that triples have and the schema lacks."""
+    return triples.groupBy("relation").agg(F.count("*").alias("n")).join(relations.select(F.col("name").alias("relation")), "relation", "left_anti")
+
+
+def review_questions(triples: DataFrame, quotes: DataFrame) -> DataFrame:
+    """``question_id, kind, heading, evidence_key``: one question for each triple that is held for review.
+
+    ``quotes``: ``head, relation, tail, quote``. The key names the text that an answer is about: its folded quotes in order.
+    """
+    held = triples.filter("status = 'review'").select(*KEY)
+    evidence = held.join(quotes, list(KEY), "left").groupBy(*KEY).agg(F.array_sort(F.collect_list(folded(F.col("quote")))).alias("q"))
+    return evidence.select(digest([F.lit("review"), *[F.col(c) for c in KEY]], 12).alias("question_id"), F.lit("review").alias("kind"), F.concat_ws(" ", *KEY).alias("heading"), digest([F.array_join("q", SEPARATOR)], 12).alias("evidence_key"))
+
+
+def resolved_decisions(questions: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Decisions (``question_id, evidence_key, answer``) that were answered and whose question is asked no more: they are kept."""
+    return decisions.filter("answer <> ''").join(questions.select("question_id"), "question_id", "left_anti")
+
+
 def touching(triples: DataFrame) -> DataFrame:
     """``entity, n_out, n_in`` over live triples: how many leave and reach each entity."""
     live = triples.filter(F.col("status").isin(*LIVE))

@@ -164,3 +164,14 @@ def checkpoint_candidates(writes: DataFrame) -> DataFrame:
     more = sizes.alias("x").join(sizes.select(F.col("n_values").alias("larger"), F.col("n").alias("m")), F.col("larger") > F.col("x.n_values"), "left").groupBy("x.n_values").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("before"))
     own = F.row_number().over(Window.partitionBy("n_values").orderBy("name"))
     return found.join(more, "n_values").select("name", "n_values", (F.col("before") + own).alias("rank"))
+
+
+def discovered_triples(moves: DataFrame, state_tools: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """``head, relation, tail, n``: what was observed, as facts that are known from traces only.
+
+    ``moves``: ``source, target, n``; ``state_tools``: ``state, tool, n``; ``outcomes``: ``tool, outcome, n``.
+    """
+    parts = [(moves, "source", "HAS_NEXT_STEP", "target"), (state_tools, "state", "USES_TOOL", "tool"), (outcomes, "tool", "RETURNS", "outcome")]
+    rows = [df.select(F.col(head).alias("head"), F.lit(relation).alias("relation"), F.col(tail).alias("tail"), "n") for df, head, relation, tail in parts]
+    found = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return found.groupBy("head", "relation", "tail").agg(F.sum("n").alias("n"))

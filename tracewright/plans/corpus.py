@@ -82,6 +82,12 @@ def batch_sections(spark: SparkSession, d: str) -> DataFrame:
     return C.greedy_batches(headed.withColumnRenamed("page_id", "doc_id"), budget=900, min_chars=300).withColumnRenamed("doc_id", "page_id")
 
 
+def batch_render(spark: SparkSession, d: str) -> DataFrame:
+    blocks = C.line_blocks(table(spark, d, "documents")).withColumn("location", F.concat(F.lit("line "), F.col("block_no").cast("string")))
+    found = C.render_batches(blocks, C.greedy_batches(blocks, budget=1500))
+    return found.select("doc_id", "batch_no", "core", F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
 def batch_context(spark: SparkSession, d: str) -> DataFrame:
     found = C.batch_context(C.greedy_batches(C.line_blocks(table(spark, d, "documents")), budget=1500))
     return found.select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in ("batch_no", "before", "after")])
@@ -230,6 +236,12 @@ FROM r WHERE {WS.format(x="regexp_replace(raw, '<[^>]*>', ' ', 'g')")} <> ''""",
     ),
     "batch_greedy": (batch_greedy, BATCHES + "SELECT * FROM batches"),
     "batch_context": (batch_context, BATCHES + "SELECT doc_id, batch_no, lag(last_block) OVER w AS before, lead(first_block) OVER w AS after FROM batches WINDOW w AS (PARTITION BY doc_id ORDER BY batch_no)"),
+    "batch_render": (
+        batch_render,
+        BATCHES + """, cx AS (SELECT *, coalesce(lag(last_block) OVER w, first_block) AS low, coalesce(lead(first_block) OVER w, last_block) AS high FROM batches WINDOW w AS (PARTITION BY doc_id ORDER BY batch_no)),
+r AS (SELECT c.doc_id, c.batch_no, b.block_no, b.text, b.block_no BETWEEN first_block AND last_block AS own, row_number() OVER (PARTITION BY c.doc_id, c.batch_no ORDER BY b.block_no) AS k FROM cx c JOIN blocks b ON b.doc_id = c.doc_id AND b.block_no BETWEEN low AND high)
+SELECT doc_id, batch_no, count(*) FILTER (own) AS core, sha256(string_agg('[P' || k || '] (line ' || block_no || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY k)) AS rendered_sha256 FROM r GROUP BY 1, 2""",
+    ),
     "batch_sections": (batch_sections, SECTIONS + "SELECT page_id, batch_no::BIGINT AS batch_no, count(*) AS n_blocks, sum(n)::BIGINT AS n_chars, min(block_no)::BIGINT AS first_block, max(block_no)::BIGINT AS last_block FROM fold GROUP BY 1, 2"),
     "section_change": (section_change, "SELECT conv_id, turn, role IS DISTINCT FROM lag(role) OVER w OR row_number() OVER w = 1 AS changes FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"),
     "sentence_split": (sentence_split, f"WITH {SENTENCES} SELECT doc_id, sentence_no, sha256(sentence) AS sentence_sha256 FROM sentences"),

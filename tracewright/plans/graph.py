@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tracewright.functions.text import canonical_name
 from tracewright.operators import admission as A
 from tracewright.operators import reconcile as R
-from tracewright.storage import stash, table
+from tracewright.sources import builds
+from tracewright.storage import fresh_path, stash, table
 
 RELATIONS = [("STATUS", ["Order"], [], "enum", ["F", "O"], "positive"), ("PRIORITY", ["Order", "Rush"], [], "str", [], "positive"), ("COUNT", ["Order"], [], "int", [], "neutral"), ("PLACED_BY", ["Order"], ["Customer"], None, [], "neutral"), ("DENIES", ["Order"], ["Customer"], None, [], "negative")]
 SCHEMA = "name string, domain array<string>, range array<string>, literal_type string, enum array<string>, polarity string"
@@ -171,6 +172,47 @@ def graph_live(spark: SparkSession, d: str) -> DataFrame:
     return live.groupBy("relation").agg(F.count("*").alias("n"), F.count_distinct("head").alias("heads"))
 
 
+def undeclared_relations(spark: SparkSession, d: str) -> DataFrame:
+    return R.undeclared_relations(barred(spark, d), spark.createDataFrame([("R_A",), ("R_X",)], "name string"))
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    """Questions on facts held for review; the quotes are the lines' ship months, in letters of either case."""
+    quotes = triples(spark, d).select(*R.KEY, "seq").join(table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.concat(F.lit("Shipped  in "), F.date_format("l_shipdate", "yyyy-MM")).alias("quote")), "seq")
+    return R.review_questions(barred(spark, d), quotes.select(*R.KEY, "quote"))
+
+
+def review_questions(spark: SparkSession, d: str) -> DataFrame:
+    return asked(spark, d)
+
+
+def questions_by_kind(spark: SparkSession, d: str) -> DataFrame:
+    """Questions of a build: on facts held for review, and of two integrity checks."""
+    parts = asked(spark, d).select("kind").unionByName(integrity_no_destination(spark, d).select(F.lit("no_destination").alias("kind"))).unionByName(integrity_dead_ends(spark, d).select(F.lit("dead_end").alias("kind")))
+    return parts.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def decision_carry(spark: SparkSession, d: str) -> DataFrame:
+    """Answers that were given to documents: which hold, which are out of date, and which are kept although nothing asks any more."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("question_id"), F.left(F.sha2("text", 256), F.lit(12)).alias("evidence_key"), "source")
+    old = table(spark, d, "labels").join(docs, F.col("doc_id") == F.col("question_id"))
+    answers = old.select("question_id", F.when(F.col("doc_id") % 4 == 0, F.lit("changed")).otherwise(F.col("evidence_key")).alias("evidence_key"), F.when(F.col("toxic") == 1, "reject").when(F.col("quality") == 1, "approve").otherwise("").alias("answer"))
+    questions = docs.filter("source <> 'src0'").select("question_id", "evidence_key")
+    queue = R.review_queue(questions, answers).select(F.when(F.col("answer").isNotNull(), "held").when(F.col("previous_answer").isNotNull(), "stale").otherwise("open").alias("state"))
+    kept = R.resolved_decisions(questions, answers).select(F.lit("kept").alias("state"))
+    return queue.unionByName(kept).groupBy("state").agg(F.count("*").alias("n"))
+
+
+def graph_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The graph written as JSON lines and read again."""
+    path = fresh_path(spark, "graph")
+    p = table(spark, d, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("entity_id"), F.lit("Part").alias("entity_type"), canonical_name(F.col("p_name"), ascii_only=True).alias("canonical"), F.array("p_name").alias("surfaces"))
+    builds.write_graph(p, barred(spark, d), path)
+    entities, found = builds.read_graph(spark, path)
+    named = found.join(entities.select(F.col("entity_id").alias("head"), "canonical"), "head", "left")
+    return named.select(*R.KEY, "canonical", "status", F.array_join("methods", "|").alias("methods"), F.size("spans").cast("bigint").alias("n_spans"))
+
+
 def glossary_contested(spark: SparkSession, d: str) -> DataFrame:
     """Names that are of several types."""
     return entity_surfaces(spark, d).filter("contested").groupBy("canonical").agg(F.array_join(F.array_sort(F.collect_set("entity_type")), "|").alias("types"))
@@ -217,6 +259,11 @@ FACTS = """f AS (SELECT 'C' || o_custkey AS head, 'IS_TERMINAL' AS relation, CAS
     UNION ALL SELECT 'C' || o_custkey, 'NEXT', 'C' || (o_custkey + 1) FROM orders WHERE o_orderkey % 3 = 0
     UNION ALL SELECT 'C' || o_custkey, CASE WHEN o_orderpriority LIKE '1%' THEN 'REQUIRES' WHEN o_orderpriority LIKE '5%' THEN 'FORBIDS' ELSE 'PERMITS' END, strftime(o_orderdate, '%Y-%m') FROM orders)"""
 
+QUESTIONS = """, asked AS (SELECT left(sha256('review' || chr(31) || head || chr(31) || relation || chr(31) || tail), 12) AS question_id, 'review' AS kind, head || ' ' || relation || ' ' || tail AS heading,
+    left(sha256(string_agg('shipped in ' || strftime(l_shipdate, '%Y-%m'), chr(31) ORDER BY strftime(l_shipdate, '%Y-%m'))), 12) AS evidence_key
+    FROM b JOIN t USING (head, relation, tail) JOIN lineitem ON l_orderkey * 10 + l_linenumber = t.seq WHERE b.status = 'review' GROUP BY head, relation, tail)
+"""
+
 QUERIES = {
     "schema_check": (schema_check, f"WITH {CAND} SELECT relation, problem, count(*) AS n FROM s GROUP BY 1, 2"),
     "admission_gate": (admission_gate, f"WITH {CAND} SELECT * FROM a"),
@@ -250,6 +297,18 @@ SELECT conflict_id, side, CASE WHEN NOT (ok AND n = 1) THEN 'conflicted' WHEN da
     "evidence_top4": (evidence_top4, f"WITH {TRIPLES} SELECT head, relation, seq, row_number() OVER (PARTITION BY head, relation ORDER BY seq, tail) AS place FROM (SELECT DISTINCT head, relation, tail, seq FROM t) QUALIFY place <= 4"),
     "graph_touching": (graph_touching, BARRED + ", e AS (SELECT head AS entity, 1 AS o, 0 AS i FROM b WHERE status IN ('admitted', 'review') UNION ALL SELECT tail, 0, 1 FROM b WHERE status IN ('admitted', 'review') AND tail_kind = 'entity') SELECT entity, sum(o)::BIGINT AS n_out, sum(i)::BIGINT AS n_in FROM e GROUP BY 1"),
     "graph_live": (graph_live, BARRED + "SELECT relation, count(*) AS n, count(DISTINCT head) AS heads FROM b WHERE status IN ('admitted', 'review') GROUP BY 1"),
+    "undeclared_relations": (undeclared_relations, BARRED + "SELECT relation, count(*) AS n FROM b WHERE relation NOT IN ('R_A', 'R_X') GROUP BY 1"),
+    "review_questions": (review_questions, BARRED + QUESTIONS + "SELECT * FROM asked"),
+    "questions_by_kind": (
+        questions_by_kind,
+        BARRED + QUESTIONS + f", {FACTS} SELECT 'review' AS kind, count(*) AS n FROM asked HAVING count(*) > 0 UNION ALL SELECT 'no_destination', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) HAVING count(*) > 0 UNION ALL SELECT 'dead_end', count(DISTINCT head) FROM f WHERE head NOT IN (SELECT head FROM f WHERE relation = 'NEXT' OR relation = 'IS_TERMINAL' AND lower(trim(tail)) = 'true') HAVING count(*) > 0",
+    ),
+    "decision_carry": (
+        decision_carry,
+        """WITH a AS (SELECT doc_id, source, doc_id % 4 = 0 AS changed, CASE WHEN toxic = 1 THEN 'reject' WHEN quality = 1 THEN 'approve' ELSE '' END AS answer FROM labels JOIN documents USING (doc_id))
+SELECT state, count(*) AS n FROM (SELECT CASE WHEN a.doc_id IS NULL THEN 'open' WHEN changed THEN 'stale' ELSE 'held' END AS state FROM documents d LEFT JOIN a USING (doc_id) WHERE d.source <> 'src0' UNION ALL SELECT 'kept' FROM a WHERE source = 'src0' AND answer <> '') GROUP BY 1""",
+    ),
+    "graph_round_trip": (graph_round_trip, BARRED + "SELECT head, relation, tail, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS canonical, status, methods, n_spans FROM b LEFT JOIN part ON head = 'P' || p_partkey"),
     "glossary_contested": (
         glossary_contested,
         """WITH r AS (SELECT 'Type' AS entity_type, p_type AS surface FROM part UNION ALL SELECT 'Name', upper(p_name) FROM part UNION ALL SELECT 'Name', p_type FROM part WHERE p_type LIKE 'S%')

@@ -126,6 +126,39 @@ def all_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def kinds_of_assertions(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Assertions of several kinds, tools, and what actions invoke."""
+    rows = [
+        ("tool_called", "State:member", ["Tool:browse"]), ("order_expected", "Tool:browse", ["Outcome:paid"]), ("terminal_expected", "journey", ["State:member"]), ("action_required", "Rule:act", ["Action:look", "Tool:select"]),
+        ("action_forbidden", "Rule:rest", ["Action:wish"]), ("action_forbidden", "Rule:stop", ["Action:look", "Action:wish"]), ("mood_expected", "Rule:smile", ["Mood:good"]),
+    ]
+    return spark.createDataFrame(rows, "kind string, subject string, expected array<string>"), spark.createDataFrame([("Tool:browse",), ("Tool:select",)], "tool string"), spark.createDataFrame([("Action:look", "Tool:browse")], "action string, tool string")
+
+
+def grade_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return G.grade(*(lambda a, t, i: (a, evidence(spark, d), t, i))(*kinds_of_assertions(spark)))
+
+
+def observable_targets(spark: SparkSession, d: str) -> DataFrame:
+    """What of each assertion traces can show, and how often users' events do."""
+    found = G.observable(*kinds_of_assertions(spark)).select("kind", "subject", F.explode_outer("expected").alias("target"))
+    calls = evidence(spark, d).groupBy(F.col("entity").alias("target")).agg(F.count("*").alias("n"))
+    return found.join(calls, "target", "left").groupBy("kind", "subject").agg(F.count("target").alias("targets"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+def failures_ranked(spark: SparkSession, d: str) -> DataFrame:
+    severity = F.when(F.col("kind") == "order_expected", "blocker").when(F.col("kind") == "terminal_expected", "advisory").otherwise("warning")
+    return G.failures(grade_kinds(spark, d).withColumn("severity", severity)).select("conversation_id", "kind", "subject", F.col("place").cast("bigint").alias("place"))
+
+
+def discover_triples(spark: SparkSession, d: str) -> DataFrame:
+    """Moves between kinds of events, tools after each outcome, and outcomes after each tool, as facts."""
+    rows = observations(spark, d)
+    after_outcome = X.standing_state(rows, F.when(F.col("entity_type") == "Outcome", F.col("token"))).filter("entity_type = 'Tool' AND standing IS NOT NULL").groupBy(F.col("standing").alias("state"), F.col("token").alias("tool")).agg(F.count("*").alias("n"))
+    after_tool = X.standing_state(rows, F.when(F.col("entity_type") == "Tool", F.col("token"))).filter("entity_type = 'Outcome' AND standing IS NOT NULL").groupBy(F.col("standing").alias("tool"), F.col("token").alias("outcome")).agg(F.count("*").alias("n"))
+    return X.discovered_triples(X.transitions(rows, "token"), after_outcome, after_tool)
+
+
 def verdict_summary(spark: SparkSession, d: str) -> DataFrame:
     return G.summary(all_verdicts(spark, d))
 
@@ -270,6 +303,16 @@ VERDICTS = "WITH " + ", ".join(
     f"v{k} AS (SELECT conversation_id, outcome, '{dim}' AS dimension, '{sev}' AS severity FROM ({sql}))"
     for k, (sql, dim, sev) in enumerate([(TOOL_CALLED, "tool", "error"), (REQUIRED, "policy", "blocker"), (FORBIDDEN, "policy", "warning"), (ALLOWED, "trajectory", "error"), (TERMINAL, "outcome", "warning")])
 ) + ", v AS (FROM v0 UNION ALL FROM v1 UNION ALL FROM v2 UNION ALL FROM v3 UNION ALL FROM v4) "
+GRADED = EV + """, o AS (SELECT r.conversation_id, has_states, b.first_seq AS browse, p.first_seq AS paid, m.first_seq AS member, s.first_seq AS selected FROM runs r LEFT JOIN seen b ON b.conversation_id = r.conversation_id AND b.subject = 'Tool:browse'
+    LEFT JOIN seen p ON p.conversation_id = r.conversation_id AND p.subject = 'Outcome:paid' LEFT JOIN seen m ON m.conversation_id = r.conversation_id AND m.subject = 'State:member' LEFT JOIN seen s ON s.conversation_id = r.conversation_id AND s.subject = 'Tool:select'),
+graded AS (SELECT conversation_id, 'tool_called' AS kind, 'State:member' AS subject, CASE WHEN browse IS NOT NULL THEN 'pass' WHEN has_states AND member IS NULL THEN 'not_applicable' ELSE 'fail' END AS outcome FROM o
+    UNION ALL SELECT conversation_id, 'order_expected', 'Tool:browse', CASE WHEN browse IS NULL OR paid IS NULL THEN 'not_applicable' WHEN browse < paid THEN 'pass' ELSE 'fail' END FROM o
+    UNION ALL SELECT conversation_id, 'terminal_expected', 'journey', CASE WHEN member IS NULL THEN 'undecided' ELSE 'pass' END FROM o
+    UNION ALL SELECT conversation_id, 'action_required', 'Rule:act', CASE WHEN browse IS NOT NULL AND selected IS NOT NULL THEN 'pass' ELSE 'fail' END FROM o
+    UNION ALL SELECT conversation_id, 'action_forbidden', 'Rule:rest', 'undecided' FROM o
+    UNION ALL SELECT conversation_id, 'action_forbidden', 'Rule:stop', CASE WHEN browse IS NOT NULL THEN 'fail' ELSE 'pass' END FROM o
+    UNION ALL SELECT conversation_id, 'mood_expected', 'Rule:smile', 'undecided' FROM o)
+"""
 NEAR = "lambda x: x = f.before OR (f.before = 'signup' AND x = 'purchase') OR (f.before = 'purchase' AND x = 'error') OR (f.before = 'error' AND x IN ('error', 'signup'))"
 PLACED = f"""WITH RECURSIVE {OBS}, writes AS (
     SELECT conversation_id, turn, seq, token, lag(token) OVER (PARTITION BY conversation_id, turn ORDER BY seq) AS prior FROM obs WHERE token = 'signup' OR token = 'view' AND value::INT % 2 = 0
@@ -322,6 +365,17 @@ SELECT rows.conversation_id, rows.subject, CASE WHEN got IS NULL THEN 'not_appli
 said AS (SELECT conv_id AS conversation_id, trim(regexp_replace(lower(text), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS said FROM conversations WHERE role = 'assistant'), r AS (SELECT DISTINCT conv_id AS conversation_id FROM conversations)
 SELECT r.conversation_id, a.subject, CASE WHEN bool_or(contains(said, a.text)) IS NULL THEN 'undecided' WHEN bool_or(contains(said, a.text)) THEN 'pass' ELSE 'fail' END AS outcome FROM r CROSS JOIN a LEFT JOIN said USING (conversation_id) GROUP BY 1, 2""",
     ),
+    "grade_kinds": (grade_kinds, GRADED + "SELECT conversation_id, kind, subject, outcome FROM graded"),
+    "failures_ranked": (failures_ranked, GRADED + "SELECT conversation_id, kind, subject, row_number() OVER (PARTITION BY conversation_id ORDER BY CASE kind WHEN 'order_expected' THEN 1 WHEN 'terminal_expected' THEN 5 ELSE 3 END, kind, subject) AS place FROM graded WHERE outcome = 'fail'"),
+    "observable_targets": (
+        observable_targets,
+        EV + """, w(kind, subject, target) AS (VALUES ('tool_called', 'State:member', 'Tool:browse'), ('order_expected', 'Tool:browse', NULL), ('terminal_expected', 'journey', NULL), ('action_required', 'Rule:act', 'Tool:browse'), ('action_required', 'Rule:act', 'Tool:select'), ('action_forbidden', 'Rule:rest', NULL), ('action_forbidden', 'Rule:stop', 'Tool:browse'), ('mood_expected', 'Rule:smile', NULL))
+SELECT kind, w.subject, count(target) AS targets, coalesce(sum(n), 0)::BIGINT AS n FROM w LEFT JOIN (SELECT entity AS target, count(*) AS n FROM ev GROUP BY 1) USING (target) GROUP BY 1, 2""",
+    ),
+    "discover_triples": (
+        discover_triples,
+        f"WITH {OBS}, w AS (SELECT *, last_value(CASE WHEN entity_type = 'Tool' THEN token END IGNORE NULLS) OVER o AS tool, last_value(CASE WHEN entity_type = 'Outcome' THEN token END IGNORE NULLS) OVER o AS outcome, lag(token) OVER (PARTITION BY conversation_id ORDER BY seq) AS prior FROM obs WINDOW o AS (PARTITION BY conversation_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT prior AS head, 'HAS_NEXT_STEP' AS relation, token AS tail, count(*) AS n FROM w WHERE prior <> token GROUP BY ALL UNION ALL SELECT outcome, 'USES_TOOL', token, count(*) FROM w WHERE entity_type = 'Tool' AND outcome IS NOT NULL GROUP BY ALL UNION ALL SELECT tool, 'RETURNS', token, count(*) FROM w WHERE entity_type = 'Outcome' AND tool IS NOT NULL GROUP BY ALL",
+    ),
     "verdict_summary": (verdict_summary, VERDICTS + "SELECT count(*) FILTER (outcome = 'pass') AS pass, count(*) FILTER (outcome = 'fail') AS fail, count(*) FILTER (outcome = 'undecided') AS undecided, count(*) FILTER (outcome = 'not_applicable') AS not_applicable FROM v"),
     "hops": (hop_counts, PLACED + "SELECT source, target, count(*) AS n FROM (SELECT exit_state AS source, following AS target FROM placed UNION ALL SELECT states[k] AS source, states[k + 1] AS target FROM (SELECT states, unnest(range(1, len(states))) AS k FROM placed)) WHERE source <> target GROUP BY 1, 2"),
     "discover_outcomes": (discover_outcomes, f"WITH {OBS}, w AS (SELECT *, last_value(CASE WHEN entity_type = 'Tool' THEN token END IGNORE NULLS) OVER (PARTITION BY conversation_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tool FROM obs) SELECT token, string_agg(DISTINCT tool, '|' ORDER BY tool) AS tools, count(tool) AS n FROM w WHERE entity_type = 'Outcome' GROUP BY 1"),
