@@ -45,7 +45,7 @@ CLEAN_WEIGHT = 3.0
 TELLING_BITS = 23
 #: Windows that are run in step, and words that a worker keeps the inputs of.
 STEP_WINDOWS = 4096
-KEPT_WORDS = 250_000
+KEPT_WORDS = 150_000
 #: Words of the training vocabulary that go through arrays at a time.
 STEP_WORDS = 20_000
 
