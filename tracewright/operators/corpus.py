@@ -170,9 +170,10 @@ def locate_quotes(quotes: DataFrame, texts: DataFrame, grams: int = 3, min_chars
     """
     quotes = quotes.filter(F.length(F.regexp_replace("quote", r"^\s+|\s+$", "")) >= min_chars)
     words = F.split("quote", " ")
-    keyed = quotes.withColumn("gram", F.when(F.size(words) >= grams + 2, F.array_join(F.slice(words, 2, grams), " "))).filter("gram IS NOT NULL")
+    # Runs meet by their hashes: a chance hit is found out when the text is searched.
+    keyed = quotes.withColumn("gram", F.when(F.size(words) >= grams + 2, F.xxhash64(F.slice(words, 2, grams)))).filter("gram IS NOT NULL")
     text_words = texts.withColumn("w", F.split("text", " "))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - grams + 1)), lambda k: F.array_join(F.slice("w", k, grams), " "))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - grams + 1)), lambda k: F.xxhash64(F.slice("w", k, grams)))
     met = text_words.select("doc_id", F.explode(F.array_distinct(runs)).alias("gram")).join(keyed.select("gram").distinct(), "gram", "left_semi")
     pairs = met.join(keyed.select("gram", "item_id"), "gram").select("doc_id", "item_id").distinct()
     short = quotes.filter(F.size(words) < grams + 2).withColumn("gram", F.substring("quote", 1, min_chars))

@@ -73,12 +73,12 @@ def outcome_allowed(assertions: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def _next_state(runs: DataFrame, evidence: DataFrame) -> DataFrame:
     """Assertions with the subject's first place and the state after it, where there are such."""
-    first = _seen(evidence).select("conversation_id", "subject", "first_seq")
-    states = evidence.filter("entity_type = 'State' AND entity IS NOT NULL").select("conversation_id", F.col("seq").alias("at"), "entity")
-    rows = runs.join(first, ["conversation_id", "subject"], "left")
-    after = rows.filter("first_seq IS NOT NULL").select("conversation_id", "subject", "first_seq").distinct().join(states, "conversation_id").filter("at > first_seq")
-    after = after.groupBy("conversation_id", "subject").agg(F.min_by("entity", "at").alias("next_state"))
-    return rows.join(after, ["conversation_id", "subject"], "left")
+    # One look ahead over each conversation serves all assertions.
+    ahead = Window.partitionBy("conversation_id").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    state = F.when(F.col("entity_type") == "State", F.col("entity"))
+    after = evidence.withColumn("next_state", F.first(state, ignorenulls=True).over(ahead)).filter("entity IS NOT NULL")
+    first = after.groupBy("conversation_id", F.col("entity").alias("subject")).agg(F.min("seq").alias("first_seq"), F.min_by("next_state", "seq").alias("next_state"))
+    return runs.join(first, ["conversation_id", "subject"], "left")
 
 
 def transition_expected(assertions: DataFrame, evidence: DataFrame) -> DataFrame:

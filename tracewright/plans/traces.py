@@ -9,12 +9,18 @@ from tracewright.functions.text import folded
 from tracewright.operators import grading as G
 from tracewright.operators import traces as X
 from tracewright.operators import truth
-from tracewright.storage import table
+from tracewright.storage import stash, table
 
 #: The profile: wire names declared for entities, and labels that the graph's entities have.
 DECLARED = [("Tool", " VIEW!", "Tool:browse"), ("Outcome", "purchase", "Outcome:paid"), ("State", "signup", "State:member")]
 LEXICON = [("Tool", "Click", "Tool:select"), ("State", "SIGNUP", "State:by_label")]
 LIMITS = [("Tool:browse", "15", "k"), ("Tool:select", "70", "none"), ("Outcome:paid", "Seven", "none"), ("State:member", "several", "none"), ("Tool:absent", "3", "none")]
+#: What is graded: subjects and what is expected of them.
+TOOL_CALLS = [("State:member", ["Tool:browse", "Tool:select"]), ("State:lost", ["Tool:absent"])]
+REQUIRED_ACTIONS = [("Rule:buy", ["Outcome:paid"]), ("Rule:none", []), ("Rule:both", ["Outcome:paid", "State:member"])]
+FORBIDDEN_ACTIONS = [("Rule:join", ["State:member"]), ("Rule:none", []), ("Rule:leave", ["Tool:absent"])]
+ALLOWED_MOVES = [("signup", ["purchase"]), ("error", ["error", "signup"])]
+ENDINGS = [("journey", ["purchase", "signup"])]
 #: States stand for kinds of events where a query needs many of them.
 STATES = ("click", "error", "purchase", "signup", "view")
 
@@ -80,15 +86,15 @@ def count_limit_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grade_tool_called(spark: SparkSession, d: str) -> DataFrame:
-    return G.tool_called(assertions(spark, [("State:member", ["Tool:browse", "Tool:select"]), ("State:lost", ["Tool:absent"])]), evidence(spark, d))
+    return G.tool_called(assertions(spark, TOOL_CALLS), evidence(spark, d))
 
 
 def grade_action_required(spark: SparkSession, d: str) -> DataFrame:
-    return G.action_required(assertions(spark, [("Rule:buy", ["Outcome:paid"]), ("Rule:none", []), ("Rule:both", ["Outcome:paid", "State:member"])]), evidence(spark, d))
+    return G.action_required(assertions(spark, REQUIRED_ACTIONS), evidence(spark, d))
 
 
 def grade_action_forbidden(spark: SparkSession, d: str) -> DataFrame:
-    return G.action_forbidden(assertions(spark, [("Rule:join", ["State:member"]), ("Rule:none", []), ("Rule:leave", ["Tool:absent"])]), evidence(spark, d))
+    return G.action_forbidden(assertions(spark, FORBIDDEN_ACTIONS), evidence(spark, d))
 
 
 def grade_outcome_allowed(spark: SparkSession, d: str) -> DataFrame:
@@ -100,11 +106,11 @@ def grade_transition_expected(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grade_transition_allowed(spark: SparkSession, d: str) -> DataFrame:
-    return G.transition_allowed(assertions(spark, [("signup", ["purchase"]), ("error", ["error", "signup"])]), many_states(spark, d))
+    return G.transition_allowed(assertions(spark, ALLOWED_MOVES), many_states(spark, d))
 
 
 def grade_terminal_expected(spark: SparkSession, d: str) -> DataFrame:
-    return G.terminal_expected(assertions(spark, [("journey", ["purchase", "signup"])]), many_states(spark, d))
+    return G.terminal_expected(assertions(spark, ENDINGS), many_states(spark, d))
 
 
 def grade_order_expected(spark: SparkSession, d: str) -> DataFrame:
@@ -118,10 +124,12 @@ def grade_text_required(spark: SparkSession, d: str) -> DataFrame:
 
 
 def all_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    parts = [(grade_tool_called, "tool", "error"), (grade_action_required, "policy", "blocker"), (grade_action_forbidden, "policy", "warning"), (grade_transition_allowed, "trajectory", "error"), (grade_terminal_expected, "outcome", "warning")]
+    # Five graders read two kinds of evidence, each of which is bound and written once.
+    seen, many = stash(evidence(spark, d), "evidence"), stash(many_states(spark, d), "evidence")
+    parts = [(G.tool_called, TOOL_CALLS, seen, "tool", "error"), (G.action_required, REQUIRED_ACTIONS, seen, "policy", "blocker"), (G.action_forbidden, FORBIDDEN_ACTIONS, seen, "policy", "warning"), (G.transition_allowed, ALLOWED_MOVES, many, "trajectory", "error"), (G.terminal_expected, ENDINGS, many, "outcome", "warning")]
     out = None
-    for query, dimension, severity in parts:
-        rows = query(spark, d).select("conversation_id", "outcome", F.lit(dimension).alias("dimension"), F.lit(severity).alias("severity"))
+    for grader, rows, known, dimension, severity in parts:
+        rows = grader(assertions(spark, rows), known).select("conversation_id", "outcome", F.lit(dimension).alias("dimension"), F.lit(severity).alias("severity"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
