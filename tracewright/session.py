@@ -24,7 +24,7 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g",
 
 
 #: Rows that go to a Python worker at a time: whole texts may be long, so these are fewer than Spark's default.
-ROWS_PER_BATCH = 2_000
+ROWS_PER_BATCH = 1_000
 
 
 def reach_workers(spark: SparkSession, root: str) -> None:
