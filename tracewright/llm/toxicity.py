@@ -45,7 +45,7 @@ CLEAN_WEIGHT = 3.0
 TELLING_BITS = 23
 #: Windows that are run in step, and words that a worker keeps the inputs of.
 STEP_WINDOWS = 4096
-KEPT_WORDS = 150_000
+KEPT_WORDS = 60_000
 #: Words of the training vocabulary that go through arrays at a time.
 STEP_WORDS = 20_000
 
@@ -420,7 +420,7 @@ class Runner:
             return
         need = self.size + len(tokens)
         if need > len(self.tables[0]):
-            grown = max(need, 2 * len(self.tables[0]))
+            grown = max(need, min(2 * len(self.tables[0]), KEPT_WORDS))
             self.tables = [np.concatenate([t[: self.size], np.zeros((grown - self.size, self.h), dtype=np.float32)]) for t in self.tables]
         for t, n in zip(self.tables, new, strict=True):
             t[self.size : need] = n
@@ -475,9 +475,9 @@ class Runner:
         scores, places = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
         a = 0
         while a < len(texts):
-            # As many texts at a time as hold some 200,000 words, one at least.
+            # As many texts at a time as hold some 50,000 words, one at least.
             b, have, split = a, 0, []
-            while b < len(texts) and (not split or have < 200_000):
+            while b < len(texts) and (not split or have < 50_000):
                 split.append(words(texts[b]))
                 have += len(split[-1])
                 b += 1
