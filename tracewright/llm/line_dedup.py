@@ -409,7 +409,9 @@ def _met(rows: DataFrame) -> DataFrame:
     shown = shown.groupBy("cell").agg(F.sum("n").alias("n"), F.max_by("line", F.struct("n", "line")).alias("known"))
     hot = stash(shown.filter(F.col("n") >= HOT_ROWS).orderBy(F.desc("n"), "cell").limit(HOT_CELLS).select("cell", "known"), "hot-cells")
     salt = F.when(F.col("known").isNull(), 0).otherwise(F.pmod(F.col("line"), F.lit(SALTS)))
-    dealt = _dealt(rows).join(F.broadcast(hot), "cell", "left").withColumn("salt", salt)
+    # As many tasks as the session deals rows to, not fewer larger ones: a task sorts all its cells.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _dealt(rows).join(F.broadcast(hot), "cell", "left").withColumn("salt", salt).repartition(parts, "cell", "salt")
     own = Window.partitionBy("cell", "salt")
     met = dealt.withColumns({"low": F.min("line").over(own), "high": F.max("line").over(own)}).filter("known IS NOT NULL OR low <> high")
     # The pivot is the line that most tasks have: variants are mostly of a frequent line, and nearer to it than to each other.

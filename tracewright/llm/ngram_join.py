@@ -323,7 +323,9 @@ def _met(rows: DataFrame, rank: Broadcast, has: Broadcast, n: int, num: int, den
     shown = _dealt(sample, rank, has, n, num, den).groupBy("cell").agg(F.count("*").alias("shown"), F.min("doc_id").alias("known"))
     hot = stash(shown.filter(F.col("shown") >= HOT_ROWS).orderBy(F.desc("shown"), "cell").limit(HOT_CELLS).select("cell", "known"), "hot-cells")
     salt = F.when(F.col("known").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-    dealt = _dealt(rows, rank, has, n, num, den).join(F.broadcast(hot), "cell", "left").withColumn("salt", salt)
+    # As many tasks as the session deals rows to, not fewer larger ones: a task sorts all its cells.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _dealt(rows, rank, has, n, num, den).join(F.broadcast(hot), "cell", "left").withColumn("salt", salt).repartition(parts, "cell", "salt")
     size = F.abs("n")
     own = Window.partitionBy("cell", "salt")
     by_size = own.orderBy(size)
