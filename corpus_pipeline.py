@@ -17,7 +17,7 @@ from tracewright.storage import stash, table
 
 #: Documents with at least this score are rejected as toxic.
 TOXIC = 0.7
-#: A language is taken as identified from this score on; no two languages can both reach it.
+#: A language is taken as identified from this score on; scores of all languages add up to 1.
 LANGUAGE = 0.4
 
 
