@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.llm.batches import joined
 from tracewright.llm.components import connected_components
 from tracewright.llm.membership import bitmap, contains
 from tracewright.llm.skew import join_heavy
@@ -449,18 +450,6 @@ def _block_array(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(-1, BLOCKS)
 
 
-def _joined(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
-    """Batches put together to some ``rows`` each."""
-    waiting: list[pd.DataFrame] = []
-    for batch in batches:
-        waiting.append(batch)
-        if sum(map(len, waiting)) >= rows:
-            yield pd.concat(waiting, ignore_index=True)
-            waiting = []
-    if waiting:
-        yield pd.concat(waiting, ignore_index=True)
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, on: str, least: float) -> DataFrame:
     """``a, b``: keys of the pairs (of keys or of their halves, as ``on`` says) whose forms reach the edit similarity."""
     x, y = (texts.select(F.col(on).alias(k), F.col("key").alias(f"key_{k}"), F.col("chars").alias(f"chars_{k}"), F.col("blocks").alias(f"blocks_{k}"), F.col("form").alias(f"form_{k}")) for k in "ab")
@@ -477,7 +466,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, on: str, least: float) -> Data
     rows = near.join(x.select("key_a", "form_a"), "key_a").join(y.select("key_b", "form_b"), "key_b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in _joined(batches, VERIFY_ROWS):
+        for batch in joined(batches, VERIFY_ROWS):
             ok = similar_pairs(list(zip(batch["form_a"], batch["form_b"], strict=True)), least)
             yield pd.DataFrame({"a": batch["key_a"][ok], "b": batch["key_b"][ok]})
 

@@ -27,6 +27,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.llm.batches import joined
 from tracewright.llm.encoding import worker_path
 from tracewright.storage import stash
 
@@ -36,6 +37,8 @@ HEAD = 1 << 19
 GATHERED = 300_000
 #: Postings that are summed at a time.
 SUMMED = 1_000_000
+#: Rows of postings that are summed at a time: fewer would leave more sums to the shuffle.
+SUMMED_ROWS = 10_000
 #: Bits of ``monotonically_increasing_id`` that number the rows of a partition.
 ROW_BITS = 33
 #: Longer pre-tokens are counted where they occur, so that no key grows without bound.
@@ -149,7 +152,7 @@ def count_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
     def total_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by pre-token: its pieces are counted when it first comes up."""
         last, last_pieces = None, 0
-        for batch in batches:
+        for batch in joined(batches, SUMMED_ROWS):
             is_doc = batch["rows"].isna()
             found = batch[is_doc]
             yield pd.DataFrame({"row_key": found["base"], "doc_id": found["doc_id"], "n_bytes": found["n_bytes"], "have": found["have"]})
