@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import bpe_chunks, exact_dedup, fingerprints, language_id, line_dedup, ngram_join, packing, token_counts, toxicity, url_filters
+from tracewright.llm import bpe_chunks, divergence, exact_dedup, fingerprints, language_id, line_dedup, ngram_join, open_windows, packing, token_counts, toxicity, url_filters, whitening
 from tracewright.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +88,51 @@ SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict FROM f
 """
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return open_windows.pack(table(spark, sf_dir, "documents"), capacity=4096, vocabulary="word_bpe_49k.json", end_id=2)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=4)
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), min_docs=10, top=10)
+
+
+DIVERGENCE_SQL = r"""
+WITH d AS (
+    SELECT doc_id, row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), words AS (
+    SELECT row_id, lang, source, unnest(regexp_extract_all(t, '[^\x{00}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+')) AS term FROM d
+), kept AS (
+    SELECT lang, term, count(*) AS total FROM words GROUP BY lang, term HAVING count(DISTINCT row_id) >= 10
+), groups AS (
+    SELECT DISTINCT lang, source FROM d
+), counts AS (
+    SELECT lang, source, term, count(*) AS n FROM words GROUP BY ALL
+), langs AS (
+    SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang
+), cells AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.total FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)
+), wholes AS (
+    SELECT c.lang, c.source, sum(c.n) + 2 * any_value(l.v) AS whole, any_value(l.n) + 2 * any_value(l.v) AS whole_lang FROM cells c JOIN langs l USING (lang) GROUP BY c.lang, c.source
+), shares AS (
+    SELECT lang, source, term, n, (1 + (1000000000::HUGEINT * (n + 2)) // whole)::BIGINT AS p, (1 + (1000000000::HUGEINT * (total + 2)) // whole_lang)::BIGINT AS q FROM cells JOIN wholes USING (lang, source)
+), pairs AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+    UNION ALL
+    SELECT a.lang, a.source, 'pair', b.source, 0 FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source WHERE a.lang NOT IN (SELECT lang FROM kept)
+), found AS (
+    SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -100,8 +145,11 @@ def queries() -> dict[str, Query]:
         "op8_fingerprints": op8_fingerprints,
         "op9_token_counts": op9_token_counts,
         "op10_url_filters": op10_url_filters,
+        "op11_packing": op11_packing,
+        "op12_whitening": op12_whitening,
+        "op13_divergence": op13_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": DEDUP_SQL, "op10_url_filters": URL_SQL}
+    return {"op7_exact_dedup": DEDUP_SQL, "op10_url_filters": URL_SQL, "op13_divergence": DIVERGENCE_SQL}
