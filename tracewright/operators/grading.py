@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.functions.text import as_number
+from tracewright.functions.text import as_number, folded
 from tracewright.operators.catalogues import pair_with
+from tracewright.operators.traces import look_ahead
 from tracewright.storage import stash
 
 BLOCKING = ("blocker", "error")
@@ -62,11 +63,20 @@ def action_forbidden(assertions: DataFrame, evidence: DataFrame) -> DataFrame:
 def outcome_allowed(assertions: DataFrame, evidence: DataFrame) -> DataFrame:
     """Outcomes of the subject (a tool) are all expected; one that is bound to nothing isn't. Not applicable without outcomes.
 
-    An outcome belongs to the last tool before it.
+    With a ``name`` (the span's) in the evidence, an outcome belongs to the tool whose call has its name; without, to the last tool before it.
     """
+    if "name" in evidence.columns:
+        spans = evidence.filter("entity_type = 'Tool' AND name <> ''").groupBy("conversation_id", "name").agg(F.max_by("entity", "seq").alias("subject")).filter("subject IS NOT NULL")
+        named = evidence.filter("entity_type = 'Outcome' AND name <> ''").select("conversation_id", "name", "entity").join(spans, ["conversation_id", "name"])
+        results = named.groupBy("conversation_id", "subject").agg(F.collect_set(F.coalesce("entity", F.lit(""))).alias("got"))
+        return _allowed(assertions, evidence, results)
     order = Window.partitionBy("conversation_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     tool = F.last(F.when(F.col("entity_type") == "Tool", F.col("entity")), ignorenulls=True).over(order)
     results = evidence.withColumn("subject", tool).filter("entity_type = 'Outcome' AND subject IS NOT NULL").groupBy("conversation_id", "subject").agg(F.collect_set(F.coalesce("entity", F.lit(""))).alias("got"))
+    return _allowed(assertions, evidence, results)
+
+
+def _allowed(assertions: DataFrame, evidence: DataFrame, results: DataFrame) -> DataFrame:
     rows = _runs(evidence, assertions).join(results, ["conversation_id", "subject"], "left")
     return _verdict(rows, F.when(F.col("got").isNull(), "not_applicable").when(F.size(F.array_except("got", "expected")) > 0, "fail").otherwise("pass"))
 
@@ -74,9 +84,8 @@ def outcome_allowed(assertions: DataFrame, evidence: DataFrame) -> DataFrame:
 def _next_state(runs: DataFrame, evidence: DataFrame) -> DataFrame:
     """Assertions with the subject's first place and the state after it, where there are such."""
     # One look ahead over each conversation serves all assertions.
-    ahead = Window.partitionBy("conversation_id").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
     state = F.when(F.col("entity_type") == "State", F.col("entity"))
-    after = evidence.withColumn("next_state", F.first(state, ignorenulls=True).over(ahead)).filter("entity IS NOT NULL")
+    after = evidence.withColumn("next_state", look_ahead(Window.partitionBy("conversation_id"), "seq", state)).filter("entity IS NOT NULL")
     first = after.groupBy("conversation_id", F.col("entity").alias("subject")).agg(F.min("seq").alias("first_seq"), F.min_by("next_state", "seq").alias("next_state"))
     return runs.join(first, ["conversation_id", "subject"], "left")
 
@@ -147,19 +156,30 @@ def observable(assertions: DataFrame, tools: DataFrame, invokes: DataFrame) -> D
     return rows.groupBy(*kept).agg(F.array_sort(F.collect_set(F.when(F.col("own"), F.col("target")).otherwise(F.col("invoked")))).alias("expected"))
 
 
-def grade(assertions: DataFrame, evidence: DataFrame, tools: DataFrame, invokes: DataFrame) -> DataFrame:
-    """``conversation_id, kind, subject, outcome`` of assertions of all kinds; a kind without a grader is undecided.
+def grade(assertions: DataFrame, evidence: DataFrame, tools: DataFrame, invokes: DataFrame, peaks: DataFrame | None = None, utterances: DataFrame | None = None) -> DataFrame:
+    """``conversation_id, kind, subject, outcome`` of assertions of all ten kinds; a kind without a grader is undecided.
 
-    ``assertions``: ``kind, subject, expected``. What several graders need of the evidence is written once.
+    ``assertions``: ``kind, subject, expected``. What several graders need of the evidence is written once. ``peaks`` (``conversation_id, name, peak``, with the subject
+    of a limit as ``name``): without them limits hold for calls alone. ``utterances`` (``conversation_id, role, text``): without them wording is undecided. See ``evaluate`` for contracts.
     """
-    evidence = stash(evidence.select("conversation_id", "seq", "entity", "entity_type"), "evidence")
+    spark = evidence.sparkSession
+    kept = [c for c in ("conversation_id", "seq", "entity", "entity_type", "name") if c in evidence.columns]
+    evidence = stash(evidence.select(*kept), "evidence")
+    kind = evidence.schema["conversation_id"].dataType.simpleString()
+    peaks = spark.createDataFrame([], f"conversation_id {kind}, name string, peak long") if peaks is None else peaks
     seen = observable(assertions.filter(F.col("kind").isin("action_required", "action_forbidden")), tools, invokes)
     graders = {"tool_called": tool_called, "outcome_allowed": outcome_allowed, "transition_expected": transition_expected, "transition_allowed": transition_allowed, "terminal_expected": terminal_expected, "order_expected": order_expected, "action_required": action_required, "action_forbidden": action_forbidden}
+    first = F.try_element_at("expected", F.lit(1))
+    graders["count_limit"] = lambda mine, known: count_limit(mine.select("subject", first.alias("limit_text"), F.col("subject").alias("variable")), known, peaks)
+    if utterances is not None:
+        # Conversations that nobody spoke in are graded as well, so they come with an empty row.
+        heard = evidence.select("conversation_id").distinct().select("conversation_id", F.lit("nobody").alias("role"), F.lit("").alias("text")).unionByName(utterances.select("conversation_id", "role", "text"))
+        graders["text_required"] = lambda mine, _: text_required(mine.select("subject", first.alias("text")), heard, folded)
     others = assertions.filter(~F.col("kind").isin(*graders)).select("kind", "subject")
     out = _runs(evidence, others).select("conversation_id", "kind", "subject", F.lit("undecided").alias("outcome"))
-    for kind in sorted({r["kind"] for r in assertions.select("kind").distinct().limit(1_000).collect()} & set(graders)):
-        mine = (seen if kind.startswith("action") else assertions).filter(F.col("kind") == kind).select("subject", "expected")
-        out = out.unionByName(graders[kind](mine, evidence).select("conversation_id", F.lit(kind).alias("kind"), "subject", "outcome"))
+    for name in sorted(r["kind"] for r in assertions.filter(F.col("kind").isin(*graders)).select("kind").distinct().collect()):
+        mine = (seen if name.startswith("action") else assertions).filter(F.col("kind") == name).select("subject", "expected")
+        out = out.unionByName(graders[name](mine, evidence).select("conversation_id", F.lit(name).alias("kind"), "subject", "outcome"))
     return out
 
 

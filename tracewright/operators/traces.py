@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tracewright.functions.text import canonical_name
@@ -81,6 +81,28 @@ def visited(writes: DataFrame) -> DataFrame:
     return listed.select("conversation_id", "turn", F.transform("w", lambda x: x["state"]).alias("states"))
 
 
+def place_one(visits: list[str] | None, candidates: list[str] | None, before: str | None, reach: dict[str, set[str]]) -> tuple[list[str], list[str], str]:
+    """States, alternatives and method of one turn (see ``place_turns``), ``before`` which stood the state ``before``."""
+    some = sorted({c for c in candidates or () if c is not None})
+    near = [c for c in some if c in reach.get(before, {before})] if before is not None else []
+    some = near or some
+    if visits:
+        return visits, [], "checkpoint"
+    if len(some) == 1:
+        return some, [], "inferred"
+    if some:
+        return some[:1], some, "ambiguous"
+    return ([before], [], "carried") if before is not None else ([], [], "none")
+
+
+def reach_of(successors: DataFrame) -> dict[str, set[str]]:
+    """Of each state, itself and the states that follow it. ``successors``: ``state, reach`` (array), a catalogue of the graph, whose size is checked."""
+    found = successors.select("state", "reach").limit(MOST_STATES + 1).collect()
+    if len(found) > MOST_STATES:
+        raise ValueError(f"a graph may have {MOST_STATES} states at most")
+    return {r["state"]: {r["state"], *(r["reach"] or ())} for r in found}
+
+
 def place_turns(turns: DataFrame, successors: DataFrame) -> DataFrame:
     """``conversation_id, turn, states, alternatives, method, state, exit_state, confidence`` of every turn.
 
@@ -91,10 +113,7 @@ def place_turns(turns: DataFrame, successors: DataFrame) -> DataFrame:
     ``successors``: ``state, reach`` (array), a catalogue of the graph. As each turn depends on the one before, the turns of a conversation are
     sorted within a partition and folded as they pass; the previous state is all that is kept.
     """
-    found = successors.select("state", "reach").limit(MOST_STATES + 1).collect()
-    if len(found) > MOST_STATES:
-        raise ValueError(f"a graph may have {MOST_STATES} states at most")
-    reach = {r["state"]: {r["state"], *(r["reach"] or ())} for r in found}
+    reach = reach_of(successors)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, before = None, None
@@ -103,19 +122,7 @@ def place_turns(turns: DataFrame, successors: DataFrame) -> DataFrame:
             for name, visits, candidates in zip(*(batch.column(c).to_pylist() for c in ("conversation_id", "visits", "candidates")), strict=True):
                 if run is None or name != run[0]:
                     run, before = (name,), None
-                some = sorted({c for c in candidates or () if c is not None})
-                near = [c for c in some if c in reach.get(before, {before})] if before is not None else []
-                some = near or some
-                if visits:
-                    row = visits, [], "checkpoint"
-                elif len(some) == 1:
-                    row = some, [], "inferred"
-                elif some:
-                    row = some[:1], some, "ambiguous"
-                elif before is not None:
-                    row = [before], [], "carried"
-                else:
-                    row = [], [], "none"
+                row = place_one(visits, candidates, before, reach)
                 before = row[0][-1] if row[0] else before
                 out.append(row)
             texts = pa.list_(pa.string())
@@ -129,10 +136,14 @@ def place_turns(turns: DataFrame, successors: DataFrame) -> DataFrame:
     return placed.withColumn("confidence", confidence(F.col("method"), PLACEMENT_CONFIDENCE, F.size("alternatives")))
 
 
+def look_ahead(partition: WindowSpec, order: str, value: Column) -> Column:
+    """The first value behind a row that isn't null. Rows are taken from the end, so each adds one step to the frame, however many follow it."""
+    return F.last(value, ignorenulls=True).over(partition.orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1))
+
+
 def following_state(placed: DataFrame) -> DataFrame:
     """Turns with ``following``: the next turn's first state that there is."""
-    after = Window.partitionBy("conversation_id").orderBy("turn").rowsBetween(1, Window.unboundedFollowing)
-    return placed.withColumn("following", F.first("state", ignorenulls=True).over(after))
+    return placed.withColumn("following", look_ahead(Window.partitionBy("conversation_id"), "turn", F.col("state")))
 
 
 def hops(placed: DataFrame) -> DataFrame:
@@ -159,9 +170,10 @@ def checkpoint_candidates(writes: DataFrame) -> DataFrame:
     v = F.lower(F.trim("value"))
     symbol = (v != "") & ~v.isin("true", "false") & v.try_cast("double").isNull()
     found = writes.groupBy("name").agg(F.bool_and(symbol).alias("symbolic"), F.count_distinct("value").alias("n_values")).filter("symbolic")
-    # How many names have more values comes from one row for each number of values; only names with the same number are ordered among themselves.
+    # How many names have more values: a running sum over one row for each number of values, of which there are few.
     sizes = found.groupBy("n_values").agg(F.count("*").alias("n"))
-    more = sizes.alias("x").join(sizes.select(F.col("n_values").alias("larger"), F.col("n").alias("m")), F.col("larger") > F.col("x.n_values"), "left").groupBy("x.n_values").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("before"))
+    larger = Window.orderBy(F.desc("n_values")).rowsBetween(Window.unboundedPreceding, -1)
+    more = sizes.select("n_values", F.coalesce(F.sum("n").over(larger), F.lit(0)).alias("before"))
     own = F.row_number().over(Window.partitionBy("n_values").orderBy("name"))
     return found.join(more, "n_values").select("name", "n_values", (F.col("before") + own).alias("rank"))
 
