@@ -203,7 +203,9 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     one_zero = pairs.join(alone, ["lang", "source"]).groupBy("lang", a, b).agg(F.sum(F.col("times") * (distance(F.col("p"), F.col("q0")) - nothing)).alias("value"))
     path = F.sort_array(F.collect_list(F.struct("source", "n", "p", "p0")))
     paths = shares.groupBy("lang", "term").agg(path.alias("path")).filter("size(path) > 1").groupBy("lang", "path").agg(F.count("*").alias("times"))
-    none_zero = stash(paths, "paths").repartitionByRange("lang", "path").sortWithinPartitions("lang", "path").mapInArrow(_corrected, "lang string, a string, b string, value long")
+    # Ranges are found by the first items alone: rows of a sample go to the driver, and whole paths would be long.
+    first = [F.get("path", F.lit(k))[c] for k in range(3) for c in ("source", "n")]
+    none_zero = stash(paths, "paths").repartitionByRange("lang", *first).sortWithinPartitions("lang", "path").mapInArrow(_corrected, "lang string, a string, b string, value long")
     value = both_zero.unionByName(one_zero).unionByName(none_zero).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     ways = F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item")), F.struct(F.col("b").alias("source"), F.col("a").alias("item"))))
     ranked = value.select("lang", ways.alias("way"), "value").select("lang", "way.source", F.lit("pair").alias("part"), "way.item", "value").withColumn("rank", F.row_number().over(best))
