@@ -23,7 +23,11 @@ SOUGHT = {"tool_call": "Tool", "outcome": "Outcome", "capability": "Capability",
 WIRE = {"EMITTED_AS_TOOL": "Tool", "EMITTED_AS_RESULT": "Outcome", "EMITTED_AS_WORKFLOW": "Capability", "EMITTED_AS_FIELD": "StateVariable", "EMITTED_AS_CHECKPOINT": "State"}
 #: Kinds of assertions whose expectation is reduced to what a trace can show.
 ACTIONS = ("action_required", "action_forbidden")
-NONE = F.array().cast("array<string>")
+
+
+def nothing() -> Column:
+    """An empty array of texts."""
+    return F.array().cast("array<string>")
 
 
 def tails(triples: DataFrame, relation: str, head: str, tail: str) -> DataFrame:
@@ -110,7 +114,7 @@ def state_facts(triples: DataFrame) -> DataFrame:
     wording = tails(triples, "HAS_TURN", "state", "step").join(tails(triples, "HAS_CANONICAL_TEXT", "step", "text"), "step")
     texts = wording.groupBy("state").agg(F.array_sort(F.collect_list("text")).alias("texts"))
     out = facts.join(rules, "state", "full").join(texts, "state", "full")
-    return out.select("state", *[F.coalesce(c, NONE).alias(c) for c in ("tools", "outcomes", "next_states")], F.coalesce("terminal", F.lit(False)).alias("terminal"), *[F.coalesce(c, NONE).alias(c) for c in ("rules", "texts")])
+    return out.select("state", *[F.coalesce(c, nothing()).alias(c) for c in ("tools", "outcomes", "next_states")], F.coalesce("terminal", F.lit(False)).alias("terminal"), *[F.coalesce(c, nothing()).alias(c) for c in ("rules", "texts")])
 
 
 def place(bound: DataFrame, index: DataFrame, facts: DataFrame) -> DataFrame:
@@ -132,7 +136,7 @@ def expected(placed: DataFrame, facts: DataFrame) -> DataFrame:
     gathered = each.groupBy("states").agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in lists], F.array_sort(F.flatten(F.collect_list("texts"))).alias("texts"))
     last = facts.select(F.col("state").alias("_last"), "next_states", "terminal")
     out = ways.join(gathered, "states", "left").join(last, F.element_at("states", -1) == F.col("_last"), "left").drop("_last")
-    return out.select("states", *[F.coalesce(c, NONE).alias(c) for c in (*lists, "next_states", "texts")], F.coalesce("terminal", F.lit(False)).alias("terminal"))
+    return out.select("states", *[F.coalesce(c, nothing()).alias(c) for c in (*lists, "next_states", "texts")], F.coalesce("terminal", F.lit(False)).alias("terminal"))
 
 
 def observed(bound: DataFrame) -> DataFrame:
@@ -158,7 +162,7 @@ def findings(placed: DataFrame, bound: DataFrame, facts: DataFrame) -> DataFrame
     known = F.size("states") > 0
 
     def when(condition: Column, values: Column) -> Column:
-        return F.when(F.coalesce(condition, F.lit(False)), values).otherwise(NONE)
+        return F.when(F.coalesce(condition, F.lit(False)), values).otherwise(nothing())
 
     def named(name: str, values: Column) -> Column:
         return F.transform(values, lambda v: F.struct(F.lit(name).alias("finding"), v.alias("detail")))

@@ -32,8 +32,12 @@ def bind(observations: DataFrame, declared: DataFrame, lexicon: DataFrame) -> Da
     x = lexicon.groupBy("entity_type", canonical_name(F.col("label")).alias("key")).agg(F.min("entity").alias("by_label")).filter("key <> ''")
     # What is ASCII, as nearly all tokens are, is folded in the JVM; the others go through one decomposition for each distinct token.
     plain = canonical_name(F.col("token"), ascii_only=True)
-    odd = observations.filter(F.col("token").rlike(r"[^\x00-\x7F]")).select("token").distinct().select("token", canonical_name(F.col("token")).alias("odd_key"))
-    keyed = observations.join(odd, "token", "left").withColumn("key", F.coalesce("odd_key", plain)).drop("odd_key").select(*observations.columns, "key")
+    is_odd = F.col("token").rlike(r"[^\x00-\x7F]")
+    if observations.isStreaming:  # distinct tokens can't be joined to their own stream
+        keyed = observations.withColumn("key", F.when(is_odd, canonical_name(F.when(is_odd, F.col("token")))).otherwise(plain))
+    else:
+        odd = observations.filter(is_odd).select("token").distinct().select("token", canonical_name(F.col("token")).alias("odd_key"))
+        keyed = observations.join(odd, "token", "left").withColumn("key", F.coalesce("odd_key", plain)).drop("odd_key").select(*observations.columns, "key")
     found = keyed.join(d, ["entity_type", "key"], "left").join(x, ["entity_type", "key"], "left")
     method = F.when(F.col("by_name").isNotNull(), "declared").when(F.col("by_label").isNotNull(), "lexical").otherwise("none")
     return found.withColumns({"entity": F.coalesce("by_name", "by_label"), "method": method}).drop("key", "by_name", "by_label")

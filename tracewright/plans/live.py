@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.streaming import live
+from tracewright.operators import evaluate, traces
+from tracewright.plans import evaluation
+from tracewright.storage import stash
+from tracewright.streaming import live, truths
 
 
 def _observations(spark: SparkSession, d: str) -> DataFrame:
@@ -33,7 +36,23 @@ def stream_session_silence(spark: SparkSession, d: str) -> DataFrame:
     return found.select("conversation_id", F.date_format("starts", "yyyy-MM-dd HH:mm:ss").alias("starts"), F.date_format("ends", "yyyy-MM-dd HH:mm:ss").alias("ends"), "n")
 
 
+def stream_truths(spark: SparkSession, d: str) -> DataFrame:
+    """All days of all users, placed and with their contracts, as a stream."""
+    triples, entities, assertions = evaluation.graph(spark)
+    rows = evaluate.sought(evaluation.observations(live.read_stream(spark, f"{d}/events.parquet")), "checkpoint")
+    bound = traces.bind(rows, *[stash(df, "names") for df in evaluate.names(triples, entities)])
+    found = truths.live_truths(bound, triples, evaluate.inverse_index(triples, entities), assertions)
+    return found.select("conversation_id", "turn", "states", "method", "assertions", "certain")
+
+
 QUERIES = {
+    "stream_truths": (
+        stream_truths,
+        evaluation.PLACED + f""", {evaluation.PAIRS}, scope AS (SELECT p.conversation_id, p.turn, method, states, list_concat(states, coalesce(m.tools, []), coalesce(m.outcomes, []), coalesce(m.rules, []), coalesce(x.nexts, [])) AS inside
+    FROM placed p LEFT JOIN may m USING (conversation_id, turn) LEFT JOIN facts x ON x.state = p.exit_state)
+SELECT conversation_id, turn, array_to_string(states, '|') AS states, method, coalesce(string_agg(assertion_id, '|' ORDER BY assertion_id) FILTER (len(states) > 0 AND (a.scope = 'journey' OR list_has_any(inside, about))), '') AS assertions, method = 'checkpoint' AS certain
+FROM scope, a GROUP BY conversation_id, turn, states, method""",
+    ),
     "stream_session_silence": (
         stream_session_silence,
         """WITH e AS (SELECT user_id, ts, event_id, coalesce(ts - lag(ts) OVER w >= INTERVAL 2 DAYS, true) AS begins FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
