@@ -39,7 +39,7 @@ def sought(observations: DataFrame, checkpoint: str = "") -> DataFrame:
     """Observations with ``entity_type`` and ``token``, what each is sought as; null for those that name nothing.
 
     Outcomes are sought by their value, others by their name. A write to the ``checkpoint`` variable gives a second row, whose value is sought as a state; each of the ``arguments`` of a
-    call gives a row of kind ``argument``.
+    call gives a row of kind ``argument``. Rows without a conversation or turn are left out.
     """
     kind = F.col("kind")
     what = F.lit(None).cast("string")
@@ -55,7 +55,7 @@ def sought(observations: DataFrame, checkpoint: str = "") -> DataFrame:
         none = F.array().cast("array<struct<key: string, value: string>>")
         parts.append(F.transform(F.coalesce("arguments", none), lambda a: F.struct(F.lit("argument").alias("kind"), a["key"].alias("name"), a["value"].alias("value"), F.lit("StateVariable").alias("entity_type"), a["key"].alias("token"))))
     kept = [c for c in observations.columns if c not in ("kind", "name", "value", "arguments", "entity_type", "token")]
-    return observations.select(*kept, F.explode(F.concat(*parts)).alias("_o")).select(*kept, "_o.*")
+    return observations.filter("conversation_id IS NOT NULL AND turn IS NOT NULL").select(*kept, F.explode(F.concat(*parts)).alias("_o")).select(*kept, "_o.*")
 
 
 def names(triples: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:

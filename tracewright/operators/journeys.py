@@ -57,37 +57,50 @@ def enumerate_paths(edges: DataFrame, starts: DataFrame, terminals: DataFrame, l
 
     ``edges``: ``state, decision, outcome, next_state``; ``steps`` has the decision, outcome and next state of each step. A state may be visited as often as ``limits`` (``state, n``) says, else ``default_limit`` times; a start is a first
     visit. Of all paths the first ``max_paths`` are the result, in the order of their starts and steps: a budget, as their number
+    visit. Of all paths the first ``max_paths`` are the result, in the order of their starts and steps: a budget, as their number
     grows with the power of the depth. ``complete`` says whether a path ended at a terminal, ``truncated`` (the same in all rows)
-    whether paths were left out or cut off by the depth; ``edge_gaps`` finds a path to each edge that is then missing. A path that all its
-    successors' limits stop is no scenario. Each depth is a join with the edges, written before the next.
+    whether the budget was used up or one of the paths was cut off by the depth; ``edge_gaps`` finds a path to each edge that is then missing. A path that all its
+    successors' limits stop is no scenario and uses no budget.
+
+    Each round takes the first open paths in that order a step further, as many as the budget has, and writes what is open and what has ended; paths behind
+    the last one of a full budget go. So no more is held than a few steps of as many paths, however many there are.
     """
     goes_on = edges.select(F.col("state").alias("last")).distinct().withColumn("more", F.lit(True))
     ends = terminals.select(F.col("state").alias("last")).distinct().withColumn("terminal", F.lit(True))
     hops = _steps(edges).join(limits.select(F.col("state").alias("to"), "n"), F.col("step.next_state") == F.col("to"), "left").select("last", "step", F.coalesce("n", F.lit(default_limit)).alias("n"))
     none = F.array().cast(T.ArrayType(edges.select(F.struct("decision", "outcome", "next_state").alias("s")).schema["s"].dataType))
-    front = starts.select(F.col("state").alias("entry"), none.alias("steps"), F.col("state").alias("last")).distinct()
-    done, cut = None, False
-    for depth in range(max_depth + 1):
-        # Every open path comes to an end behind it in the order, so those beyond the budget can't be among the first.
-        kept = stash(front.orderBy("entry", "steps").limit(max_paths + 1), "paths")
-        cut = cut or kept.count() > max_paths
-        marked = kept.orderBy("entry", "steps").limit(max_paths).join(goes_on, "last", "left").join(ends, "last", "left")
-        marked = stash(marked.select("entry", "steps", "last", F.col("terminal").isNotNull().alias("complete"), (F.col("terminal").isNotNull() | F.col("more").isNull()).alias("ended")), "paths")
-        stopped = marked.filter("ended" if depth < max_depth else "true").select("entry", "steps", F.lit(depth).alias("depth"), "complete")
-        done = stopped if done is None else done.unionByName(stopped)
-        open_paths = marked.filter("NOT ended")
-        if open_paths.isEmpty():
-            break
-        if depth == max_depth:
-            cut = True
+    key, columns = F.struct("entry", "steps"), ["entry", "steps", "last", "ended", "complete", "cut"]
+    way = F.concat(F.array("entry"), F.transform("steps", lambda x: x["next_state"]))
+
+    def marked(paths: DataFrame) -> DataFrame:
+        rows = paths.join(goes_on, "last", "left").join(ends, "last", "left")
+        complete, deep = F.col("terminal").isNotNull(), F.size("steps") >= max_depth
+        return rows.select("entry", "steps", "last", (complete | F.col("more").isNull() | deep).alias("ended"), complete.alias("complete"), (deep & ~complete & F.col("more").isNotNull()).alias("cut"))
+
+    def up_to(rows: DataFrame, n: int) -> DataFrame:
+        """One row: the last of the first n paths."""
+        return F.broadcast(rows.orderBy("entry", "steps").limit(n).agg(F.max(key).alias("bound")))
+
+    rows = stash(marked(starts.select(F.col("state").alias("entry"), none.alias("steps"), F.col("state").alias("last")).distinct()), "paths")
+    while True:
+        n = rows.agg(F.count_if("ended").alias("ended"), F.count_if(~F.col("ended")).alias("open")).first()
+        waiting, done = rows.filter("NOT ended"), rows.filter("ended")
+        if n["ended"] >= max_paths:
+            waiting = waiting.join(up_to(done, max_paths), key < F.col("bound")).select(columns)
+            done = done.orderBy("entry", "steps").limit(max_paths)
+        if not n["open"] or n["ended"] >= max_paths and waiting.isEmpty():
             break
-        onward = open_paths.drop("complete").join(hops, "last")
-        way = F.concat(F.array("entry"), F.transform("steps", lambda x: x["next_state"]))
+        later = None
+        if n["open"] > max_paths:
+            turn = up_to(waiting, max_paths)
+            waiting, later = waiting.join(turn, key <= F.col("bound")).select(columns), waiting.join(turn, key > F.col("bound")).select(columns)
         visits = F.size(way) - F.size(F.array_remove(way, F.col("step.next_state")))
-        front = onward.filter(visits < F.col("n")).select("entry", F.concat("steps", F.array("step")).alias("steps"), F.col("step.next_state").alias("last"))
-    cut = cut or done.count() > max_paths
-    way = F.concat(F.array("entry"), F.transform("steps", lambda x: x["next_state"]))
-    return done.orderBy("entry", "steps").limit(max_paths).select("entry", "steps", way.alias("path"), "depth", "complete", F.lit(cut).alias("truncated"))
+        onward = waiting.select("entry", "steps", "last").join(hops, "last").filter(visits < F.col("n"))
+        onward = marked(onward.select("entry", F.concat("steps", F.array("step")).alias("steps"), F.col("step.next_state").alias("last")))
+        rows = stash(done.unionByName(onward) if later is None else done.unionByName(onward).unionByName(later), "paths")
+    found = stash(done.orderBy("entry", "steps").limit(max_paths), "paths")
+    cut = n["ended"] >= max_paths or not found.filter("cut").isEmpty()
+    return found.select("entry", "steps", way.alias("path"), F.size("steps").alias("depth"), "complete", F.lit(cut).alias("truncated"))
 
 
 def covered_edges(paths: DataFrame) -> DataFrame:

@@ -63,6 +63,14 @@ def path_enumeration(spark: SparkSession, d: str) -> DataFrame:
     return mined(spark, d)[1].select(F.array_join("path", ">").alias("path"), F.col("depth").cast("bigint").alias("depth"), "complete", "truncated")
 
 
+def path_budget(spark: SparkSession, d: str) -> DataFrame:
+    """The first paths of a graph in which most ways die: each state may be met once, and only views lead to the end."""
+    edges = hops(spark, d).unionByName(states(spark, ["view"]).select("state", F.lit("").alias("decision"), F.lit("").alias("outcome"), F.lit("the end").alias("next_state")))
+    none = spark.createDataFrame([], "state string, n int")
+    found = journeys.enumerate_paths(stash(edges, "edges"), states(spark, ["error", "signup"]), states(spark, []), none, default_limit=1, max_paths=20)
+    return found.select(F.array_join("path", ">").alias("path"), F.col("depth").cast("bigint").alias("depth"), "complete", "truncated")
+
+
 def uncovered_edges(spark: SparkSession, d: str) -> DataFrame:
     edges, found = mined(spark, d)
     return edges.join(journeys.covered_edges(found), ["state", "decision", "outcome", "next_state"], "left_anti").select("state", "next_state")
@@ -224,6 +232,13 @@ t AS (SELECT n_nationkey::VARCHAR AS head, n FROM nation JOIN v ON value = 'V' |
 SELECT state, min(n)::BIGINT AS n FROM (SELECT state, n FROM e JOIN t ON head = state UNION ALL SELECT state, n FROM e JOIN t ON head = decision) GROUP BY 1""",
     ),
     "path_enumeration": (path_enumeration, PATHS + "SELECT array_to_string(path, '>') AS path, depth, complete, truncated FROM paths"),
+    "path_budget": (
+        path_budget,
+        f"""WITH RECURSIVE {HOPS}, g AS (SELECT state, next_state FROM hops UNION ALL SELECT 'view', 'the end'), w AS (SELECT [s] AS path FROM (VALUES ('error'), ('signup')) v(s)
+    UNION ALL SELECT list_append(path, next_state) FROM w JOIN g ON g.state = w.path[-1] WHERE NOT list_contains(path, next_state)),
+done AS (SELECT path FROM w WHERE path[-1] = 'the end')
+SELECT array_to_string(path, '>') AS path, (len(path) - 1)::BIGINT AS depth, false AS complete, (SELECT count(*) FROM done) >= 20 AS truncated FROM done ORDER BY done.path LIMIT 20""",
+    ),
     "uncovered_edges": (uncovered_edges, PATHS + "SELECT state, next_state FROM missed"),
     "shortest_edge_gap": (shortest_edge_gap, PATHS + f", g AS (FROM hops), begin AS (SELECT 'signup' AS state), {SHORTEST} SELECT m.state, m.next_state, coalesce(array_to_string(path, '>') || '>' || m.next_state, '') AS path FROM missed m LEFT JOIN shortest USING (state)"),
     "unreachable_states": (unreachable_states, f"WITH RECURSIVE {JEDGES}, g AS (SELECT DISTINCT state, next_state FROM e), begin AS (SELECT n_nationkey::VARCHAR AS state FROM nation WHERE n_nationkey < 10), w AS (SELECT state FROM begin UNION SELECT g.next_state FROM w JOIN g USING (state)) SELECT state FROM (SELECT state FROM g UNION SELECT next_state FROM g) WHERE state NOT IN (SELECT state FROM w)"),

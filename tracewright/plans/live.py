@@ -42,7 +42,7 @@ def stream_truths(spark: SparkSession, d: str) -> DataFrame:
     rows = evaluate.sought(evaluation.observations(live.read_stream(spark, f"{d}/events.parquet")), "checkpoint")
     bound = traces.bind(rows, *[stash(df, "names") for df in evaluate.names(triples, entities)])
     found = truths.live_truths(bound, triples, evaluate.inverse_index(triples, entities), assertions)
-    return found.select("conversation_id", "turn", "states", "method", "assertions", "certain")
+    return found.select("conversation_id", "turn", F.array_join("states", "|").alias("states"), "method", F.array_join("assertions", "|").alias("assertions"), "certain")
 
 
 QUERIES = {

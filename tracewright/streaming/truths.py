@@ -27,17 +27,17 @@ def _catalogue(df: DataFrame) -> list:
 class Placer(StatefulProcessor):
     """Folds one conversation. State: the turn that is open and the state before it, and what the open turn did, each entity and each write of a state once.
 
-    Turns close when a later one begins, or when a timer finds the conversation idle; rows of turns that are closed come too late and are left out.
+    Turns close when a later one begins; rows of turns that are closed come too late and are left out.
     """
 
-    def __init__(self, facts: dict, index: dict, assertions: list, idle_ms: int | None) -> None:
-        self.facts, self.index, self.assertions, self.idle_ms = facts, index, assertions, idle_ms
+    def __init__(self, facts: dict, index: dict, assertions: list) -> None:
+        self.facts, self.index, self.assertions = facts, index, assertions
         self.reach = {s: {s, *f[2]} for s, f in facts.items()}
-        self.contracts: dict[tuple, str] = {}
+        self.contracts: dict[tuple, list[str]] = {}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "turn long, before string, closed boolean")
+        self.last = handle.getValueState("last", "turn long, before string")
         self.open = handle.getListState("open", _OPEN)
 
     def place(self, did: list[tuple], before: str | None) -> tuple[list[str], str]:
@@ -50,73 +50,60 @@ class Placer(StatefulProcessor):
         states, _, method = place_one(visits, sorted(together or set().union(*seen)), before, self.reach)
         return states, method
 
-    def contract(self, states: list[str]) -> str:
+    def contract(self, states: list[str]) -> list[str]:
         """The assertions in force where a turn went through these states, worked out once for each sequence."""
         key = tuple(states)
         if key not in self.contracts:
             known = [self.facts[s] for s in states if s in self.facts]
             inside = {*states, *(x for f in known for part in (f[0], f[1], f[3]) for x in part), *(self.facts[states[-1]][2] if states and states[-1] in self.facts else ())}
-            self.contracts[key] = "|".join(i for i, scope, about in self.assertions if states and (scope == "journey" or inside & about))
+            self.contracts[key] = [i for i, scope, about in self.assertions if states and (scope == "journey" or inside & about)]
         return self.contracts[key]
 
     def row(self, key: tuple, turn: int, states: list[str], method: str, closed: bool) -> tuple:
-        return (*key, turn, "|".join(states), method, self.contract(states), method == "checkpoint", closed)
+        return (*key, turn, states, method, self.contract(states), method == "checkpoint", closed)
 
     def frame(self, rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=["conversation_id", "turn", "states", "method", "assertions", "certain", "closed"])
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802
-        turn, before, closed = self.last.get() if self.last.exists() else (None, None, False)
+        turn, before = self.last.get() if self.last.exists() else (None, None)
         turns: dict[int, set[tuple]] = {}
         for batch in rows:
             batch = batch[batch["entity"].notna() | ~batch["entity_type"].isin(["State"])]
             for t, seq, kind, entity in zip(batch["turn"], batch["seq"], batch["entity_type"], batch["entity"], strict=True):
-                if turn is not None and (t < turn or t == turn and closed):
+                if turn is not None and t < turn:
                     continue
                 did = turns.setdefault(int(t), set())
                 if isinstance(entity, str) and kind in ("State", "Tool", "Outcome"):
                     did.add((int(seq) if kind == "State" else 0, kind, entity))  # places matter for states alone
-        if turn is not None and not closed and turns:  # the open turn goes on, or is placed for the last time
+        if turn is not None and turns:  # the open turn goes on, or is placed for the last time
             turns.setdefault(int(turn), set()).update(tuple(r) for r in self.open.get())
         out: list[tuple] = []
         for no in sorted(turns):
             if out:  # the turn before is over
                 out[-1] = (*out[-1][:-1], True)
             # Where the turn before ended, or else what stood before that: kept, so that an open turn can be placed anew when more of it comes.
-            before = (out[-1][2].rsplit("|", 1)[-1] or before) if out else before
+            before = out[-1][2][-1] if out and out[-1][2] else before
             states, method = self.place(list(turns[no]), before)
             out.append(self.row(key, no, states, method, False))
         turn = out[-1][1] if out else turn
         if not out:
             return
-        self.last.update((turn, before, False))
-        self.open.put([*sorted(turns[turn])])
-        if self.idle_ms is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield self.frame(out)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if not self.last.exists():
-            return
-        turn, before, closed = self.last.get()
-        if closed:
-            return
-        states, method = self.place([tuple(r) for r in self.open.get()], before)
-        self.last.update((turn, states[-1] if states else before, True))
+        self.last.update((turn, before))
         self.open.clear()
-        yield self.frame([self.row(key, int(turn), states, method, True)])
+        if turns[turn]:  # an empty list is no state
+            self.open.put(sorted(turns[turn]))
+        yield self.frame(out)
 
     def close(self) -> None:
         pass
 
 
-def live_truths(bound: DataFrame, triples: DataFrame, index: DataFrame, assertions: DataFrame, idle_ms: int | None = None) -> DataFrame:
+def live_truths(bound: DataFrame, triples: DataFrame, index: DataFrame, assertions: DataFrame) -> DataFrame:
     """``conversation_id, turn, states, method, assertions, certain, closed`` of a stream of bound observations, as far as it has come: every turn placed, with the ids of its contract.
 
     ``bound``: ``conversation_id, turn, seq, entity_type, entity``; turns of a conversation come in order, a turn may come in several micro-batches. The
-    graph and its assertions are catalogues, whose size is checked. With ``idle_ms`` a turn is closed after so much processing time without a row of its conversation. Null turns are left out.
+    graph and its assertions are catalogues, whose size is checked. Null turns are left out.
     """
     facts = {r["state"]: (r["tools"], r["outcomes"], r["next_states"], r["rules"]) for r in _catalogue(state_facts(triples))}
     states: dict[str, set[str]] = {}
@@ -124,7 +111,7 @@ def live_truths(bound: DataFrame, triples: DataFrame, index: DataFrame, assertio
         states.setdefault(r["entity"], set()).add(r["state"])
     known = [(r["assertion_id"], r["scope"], {r["subject"], *r["expected"]}) for r in sorted(_catalogue(assertions.select("assertion_id", "scope", "subject", "expected")))]
     kind = bound.schema["conversation_id"].dataType.simpleString()
-    schema = f"conversation_id {kind}, turn long, states string, method string, assertions string, certain boolean, closed boolean"
+    schema = f"conversation_id {kind}, turn long, states array<string>, method string, assertions array<string>, certain boolean, closed boolean"
     rows = bound.filter("turn IS NOT NULL").select("conversation_id", "turn", "seq", "entity_type", "entity")
-    changes = rows.groupBy("conversation_id").transformWithStateInPandas(Placer(facts, states, known, idle_ms), schema, "Update", "ProcessingTime" if idle_ms is not None else "None")
+    changes = rows.groupBy("conversation_id").transformWithStateInPandas(Placer(facts, states, known), schema, "Update", "None")
     return newest(run_to_log(changes, "update", "truths"), ["conversation_id", "turn"])
