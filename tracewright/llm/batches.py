@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 
 
 def joined(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
@@ -17,3 +21,11 @@ def joined(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]
             waiting = []
     if waiting:
         yield pd.concat(waiting, ignore_index=True)
+
+
+def give_back() -> None:
+    """Return to the system what this worker's earlier tasks have freed: allocators keep it otherwise, and a worker outlives many stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

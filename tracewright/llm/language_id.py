@@ -14,7 +14,7 @@ are told apart as well. Texts are parsed in blocks of ``BLOCK`` characters at on
 a text is; then the phrase at the end of each block is followed into the next one, until a phrase begins at a place where one does there
 as well. So the phrases are those of the whole text.
 
-Training text is a bounded sample: ``TRAIN_CHARS`` characters over all languages, shared evenly, of
+Training text is a bounded sample: whole texts of at most ``TRAIN_CHARS`` characters over all languages, shared evenly, of
 the labelled documents that come first by a hash of their id. Everything else covers all rows.
 """
 
@@ -30,15 +30,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewright.llm.batches import give_back
+
 #: Characters of labelled text for all languages together.
 TRAIN_CHARS = 120_000
-#: At most this many characters of one document are used for training, so that many take part.
-TRAIN_PIECE = 2_000
+#: Texts of each language among which the training texts are sought.
+CANDIDATES = 200
 #: Character classes in an automaton's table: the most frequent letters of the sample; its other letters have classes from here on.
 CLASSES = 64
 BLOCK = 256
 #: Characters (of one language) that are parsed in step.
-STEP_CHARS = 1 << 21
+STEP_CHARS = 1 << 20
 END = np.int32(1 << 30)
 
 
@@ -271,31 +273,35 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 
 
 def training_sample(docs: DataFrame, doc_id: str, text: str, lang: str, chars: int = TRAIN_CHARS) -> dict[str, list[str]]:
-    """Labelled pieces of text by language, together at most ``chars`` characters and a piece for each language.
+    """Whole labelled texts by language, together at most ``chars`` characters; a language of which no text fits into its share has its shortest candidate.
 
-    The rows of each language are taken in order of a hash of their id. To find them without
-    ordering all rows, each task keeps the smallest hashes: an aggregate per (language, hash slot).
+    The rows of each language are taken in order of a hash of their id, and those that don't fit any more are passed over. To find them without
+    ordering all rows, each task keeps the smallest hashes: an aggregate per (language, hash slot). Only then the chosen texts are fetched.
     """
     rows = docs.filter(F.col(lang).isNotNull() & (F.length(F.col(text)) > 0) & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
-    need = -(-2 * chars // TRAIN_PIECE) + 50
-    h = F.xxhash64(F.col(doc_id).cast("string"))
-    slots = F.pmod(h, F.lit(need))
-    # One row for each language and slot: the smallest hash, with a piece from the middle of its text.
-    piece = F.expr(f"substring(`{text}`, cast(greatest(1, (length(`{text}`) - {TRAIN_PIECE}) div 2) as int), {TRAIN_PIECE})")
-    picked = rows.select(F.col(lang).alias("lang"), slots.alias("slot"), F.struct(h.alias("h"), piece.alias("piece")).alias("row"))
-    sample: dict[str, list[tuple[int, str]]] = {}
-    for r in picked.groupBy("lang", "slot").agg(F.min("row").alias("row")).collect():
-        sample.setdefault(r["lang"], []).append((r["row"]["h"], r["row"]["piece"]))
+    rows = rows.select(F.col(lang).alias("lang"), F.xxhash64(F.col(doc_id).cast("string")).alias("h"), F.col(text).alias("text"))
+    sizes = rows.select("lang", F.pmod("h", F.lit(CANDIDATES)).alias("slot"), F.struct("h", F.length("text").alias("n")).alias("row"))
+    sample: dict[str, list[tuple[int, int]]] = {}
+    for r in sizes.groupBy("lang", "slot").agg(F.min("row").alias("row")).collect():
+        sample.setdefault(r["lang"], []).append((r["row"]["h"], r["row"]["n"]))
     each = chars // max(1, len(sample))
-    out = {}
+    chosen = []
     for k, found in sample.items():
-        kept, have = [], 0
-        for _, part in sorted(found):
-            if have >= each:
-                break
-            kept.append(part[: each - have])
-            have += len(kept[-1])
-        out[k] = kept
+        have = 0
+        for h, n in sorted(found):
+            if have + n <= each:
+                chosen.append((k, h, n))
+                have += n
+        if not have:
+            n, h = min((n, h) for h, n in found)
+            chosen.append((k, h, n))
+    out: dict[str, list[str]] = {k: [] for k in sample}
+    if chosen:
+        picked = docs.sparkSession.createDataFrame(chosen, "lang string, h long, n int")
+        # Rows with the same id have the same hash; of those with the chosen length one is taken.
+        texts = rows.join(F.broadcast(picked), (rows["lang"] == picked["lang"]) & (rows["h"] == picked["h"]) & (F.length("text") == picked["n"]), "left_semi")
+        for r in texts.groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h").collect():
+            out[r["lang"]].append(r["text"])
     return out
 
 
@@ -316,6 +322,7 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     rows = docs.select(*own, held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias(max(["held_out", *kept], key=len) + "_"))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             names, scores = parser.value.predict([t or "" for t in batch.column(len(kept) + 1).to_pylist()])
             columns = [batch.column(k) for k in range(len(kept) + 1)]
