@@ -230,3 +230,24 @@ def test_batches_are_rendered_with_their_context(spark):
     blocks = spark.createDataFrame([(1, 0, "aa"), (1, 2, "bb"), (1, 3, "cc"), (2, 0, "dd")], "doc_id int, block_no int, text string").withColumn("location", F.concat(F.lit("#"), "block_no"))
     got = corpus.render_batches(blocks, corpus.greedy_batches(blocks, 4))
     assert values(got, "doc_id", "batch_no", "core", "rendered") == [(1, 0, 2, "[P1] (#0)\naa\n\n[P2] (#2)\nbb\n\n[P3] (#3)\ncc"), (1, 1, 1, "[P1] (#2)\nbb\n\n[P2] (#3)\ncc"), (2, 0, 1, "[P1] (#0)\ndd")]
+
+
+def test_outcomes_are_found_depth_first_and_only_in_objects(spark):
+    rows = ['{"a": {"x": {"status": "DEEP"}, "status": "no"}, "b": {"status": "LATER"}}', '{"s": "{\\"status\\": \\"TEXT\\"}"}', '{"status": 200, "r": [{"status": "LISTED"}]}', '{"z": {"q": 1}, "a": {"action": "GO", "match": "M_1"}}', "[1]", '{"result": "FIRST", "status": "SECOND"}']
+    got = [r[0] for r in spark.createDataFrame([(r,) for r in rows], "p string").select(payloads.symbolic_outcome(F.col("p"))).collect()]
+    assert got == ["DEEP", None, None, "M_1", None, "SECOND"]
+
+
+def test_arguments_have_sorted_keys_inside(spark):
+    got = spark.createDataFrame([('{"b": {"y": 1, "x": [{"d": 1.0, "c": null}]}, "a": 1.50, "c": null, "d": "{x"}',)], "p string").select(payloads.arguments(F.col("p"))).first()[0]
+    assert [tuple(x) for x in got] == [("a", "1.5"), ("b", '{"x":[{"c":null,"d":1}],"y":1}'), ("c", ""), ("d", "{x")]
+
+
+def test_folded_texts_keep_their_places():
+    rows = ["  Well,\nIT’S\n\n\"fine\" -  really ", "", " \t\n", "ΑΣ İx  y", "日本 “x” z", "a"]
+    for text_ in rows:
+        f = text.Folded(text_)
+        assert len(f.text) == len(f.places) and "  " not in f.text and f.text == f.text.strip()
+        for c, k in zip(f.text, f.places, strict=True):
+            assert c == " " if text_[k].isspace() else c in (text_[k].lower(), text.Folded(text_[k]).text, text_[k])
+    assert text.Folded("x  IT’S\n ok").span(text.Folded("it's ok")) == (3, 11) and text.Folded("").span(text.Folded("a")) is None

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import ast
+import contextlib
 import json
-import re
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,26 +13,22 @@ from pyspark.sql.types import StringType
 
 #: Fields that may name an outcome, in the order in which they are tried, and what a name looks like.
 OUTCOME_FIELDS = ("match", "status", "action", "result", "outcome")
+#: Levels of objects in which outcomes are sought.
+DEEPEST = 6
 SYMBOL = "^[A-Z][A-Z0-9]*(_[A-Z0-9]+)*$"
 
 
-def _parsed(payload: str | None) -> Any:
-    """What a payload says as JSON or else as a Python literal; null for anything else, and for the literal ``None``."""
-    if payload is None or payload == "None":
-        return None
-    try:
-        return json.loads(payload)
-    except ValueError:
-        pass
-    try:
-        return ast.literal_eval(payload)
-    except (ValueError, SyntaxError, MemoryError, RecursionError):
-        return None
-
-
 @F.pandas_udf(StringType())
-def _literal_as_json(payloads: pd.Series) -> pd.Series:
-    return pd.Series([None if (v := _parsed(p)) is None else json.dumps(v, ensure_ascii=False, default=str) for p in payloads], dtype=object)
+def literal_json(payloads: pd.Series) -> pd.Series:
+    """Python literals, as some exporters write dictionaries, as JSON; null for what is none, and for ``None``."""
+    out = payloads.astype(object).where(payloads.notna(), None)
+    for k, written in out.items():
+        value = None
+        if written is not None and written != "None":
+            with contextlib.suppress(ValueError, SyntaxError, MemoryError, RecursionError):
+                value = ast.literal_eval(written)
+        out[k] = None if value is None else json.dumps(value, ensure_ascii=False, default=str)
+    return out
 
 
 def as_json(payload: Column) -> Column:
@@ -42,42 +37,44 @@ def as_json(payload: Column) -> Column:
     JSON is recognised in the JVM; only other payloads go through Python.
     """
     valid = F.get_json_object(payload, "$").isNotNull()
-    return F.when(valid, payload).otherwise(_literal_as_json(F.when(~valid, payload)))
+    return F.when(valid, payload).otherwise(literal_json(F.when(~valid, payload)))
 
 
-def arguments(payload: Column) -> Column:
-    """Sorted ``(key, value)`` pairs of a JSON object; nulls as empty text; null for anything else (see ``as_json`` for Python literals)."""
-    entries = F.map_entries(F.from_json(payload, "map<string,string>"))
-    return F.array_sort(F.transform(entries, lambda e: F.struct(e["key"].alias("key"), F.coalesce(e["value"], F.lit("")).alias("value"))))
+def _fields(payload: Column) -> tuple[Column, Column]:
+    """The fields of a JSON object in their order: as they are written, and as variants, which know their types."""
+    return F.from_json(payload, "map<string,string>"), F.from_json(payload, "map<string,variant>")
 
 
-def _named(fields: Column) -> Column:
-    values = [F.try_element_at(fields, F.lit(f)) for f in OUTCOME_FIELDS]
-    return F.coalesce(*[F.when(v.rlike(SYMBOL), v) for v in values])
+def _is(kind: str, value: Column) -> Column:
+    return F.startswith(F.schema_of_variant(value), F.lit(kind))
 
 
-def _inner_outcome(value: Any) -> str | None:
-    if not isinstance(value, dict):
-        return None
-    for name in OUTCOME_FIELDS:
-        if isinstance(value.get(name), str) and re.match(SYMBOL, value[name]):
-            return value[name]
-    return next((found for inner in value.values() if (found := _inner_outcome(inner)) is not None), None)
+def arguments(payload: Column) -> Column:
+    """Sorted ``(key, value)`` pairs of a JSON object; nulls as empty text; objects and arrays inside with sorted keys; null for anything else (see ``as_json`` for Python literals)."""
+    written, typed = _fields(payload)
 
+    def pair(w: Column, t: Column) -> Column:
+        inner = F.coalesce(_is("OBJECT", t["value"]) | _is("ARRAY", t["value"]), F.lit(False))
+        return F.struct(w["key"].alias("key"), F.when(inner, F.to_json(t["value"])).otherwise(F.coalesce(w["value"], F.lit(""))).alias("value"))
 
-@F.pandas_udf(StringType())
-def _nested_outcome(payloads: pd.Series) -> pd.Series:
-    return pd.Series([_inner_outcome(_parsed(p)) for p in payloads], dtype=object)
+    return F.array_sort(F.zip_with(F.map_entries(written), F.map_entries(typed), pair))
 
 
-def symbolic_outcome(payload: Column) -> Column:
-    """The first field that names an outcome, of the object or else of the objects inside it, in their order and at any depth.
+def symbolic_outcome(payload: Column, deepest: int = DEEPEST) -> Column:
+    """The first field that names an outcome, of the object or else of the objects inside it, in their order; ``deepest``: levels of objects that are looked into.
 
-    Outcomes of the outermost object of JSON, as most are, are found in the JVM; only other payloads with an object inside go through Python.
+    One expression for each level: the fields that may name an outcome, in the order in which they are tried, else the first outcome among the values that are objects (texts that only look like
+    one aren't), each of which is read the same way.
     """
-    top = _named(F.from_json(payload, "map<string,string>"))
-    deeper = _nested_outcome(F.when(top.isNull() & payload.rlike(r"^\s*\{"), payload))
-    return F.coalesce(top, deeper)
+    written, typed = _fields(payload)
+    values = [F.try_element_at(written, F.lit(f)) for f in OUTCOME_FIELDS]
+    own = [F.when(v.rlike(SYMBOL), v) for v in values]
+    if deepest <= 1:
+        return F.coalesce(*own)
+    inside = F.zip_with(F.map_entries(written), F.map_entries(typed), lambda w, t: F.when(_is("OBJECT", t["value"]), w["value"]))
+    found = F.transform(F.filter(inside, lambda x: x.isNotNull()), lambda x: symbolic_outcome(x, deepest - 1))
+    deeper = F.when(payload.rlike(r"\{[^{]*\{"), F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0)))
+    return F.coalesce(*own, deeper)
 
 
 def state_write(payload: Column) -> Column:
