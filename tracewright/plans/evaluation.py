@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewright.operators import evaluate as E
 from tracewright.operators import traces as X
+from tracewright.sources import telemetry
 from tracewright.storage import stash, table
 
 STATES = ("start", "basket", "payment", "done")
@@ -114,6 +115,27 @@ def observed_turns(spark: SparkSession, d: str) -> DataFrame:
     return found.select("conversation_id", "turn", F.array_join("tools", "|").alias("tools"), F.array_join("outcomes", "|").alias("outcomes"), "said", "heard", "silent")
 
 
+def exports(spark: SparkSession, d: str) -> DataFrame:
+    """An export for each user: a day is a turn; views and clicks are tools whose payloads are JSON or Python's, purchases model spans, errors workflows, sign-ups writes of a variable."""
+    e = table(spark, d, "events").select("user_id", "event_id", F.date_diff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date")).alias("day"), F.col("event_type").alias("t"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+    k = F.col("k").cast("string")
+    given = F.when(F.col("t") == "view", F.format_string('{"b": {"y": 1, "x": %d}, "a": null}', "k")).when(F.col("t") == "click", F.format_string("{'level': %d, 'late': True}", "k")).when(F.col("t") == "signup", F.format_string('{"policy_input": ["tries", "%d"]}', "k"))
+    given = F.when(F.col("t") == "purchase", F.format_string("[{'role': 'user', 'content': 'I\\'d like %d'}, {'role': 'system', 'content': 'x'}]", "k")).when(F.col("t") == "error", F.lit("None")).otherwise(given)
+    result = F.when(F.col("t") == "view", F.format_string('{"status": 200, "response": {"status": "%s"}}', F.when(F.col("k") % 2 == 0, "IN_STOCK").otherwise("gone"))).when(F.col("t") == "purchase", F.format_string('{"role": "assistant", "content": "No. %d"}', "k")).otherwise(F.lit("None"))
+    kind = F.when(F.col("t") == "purchase", "llm").when(F.col("t") == "error", "workflow").otherwise("tool")
+    span = F.struct("event_id", (F.col("event_id") + 1).cast("string").alias("step"), kind.alias("type"), F.when(F.col("t") == "signup", "set_metadata").otherwise(F.col("t")).alias("name"), given.alias("input"), result.alias("output"), F.concat(F.lit("S"), k).alias("status_code"))
+    day = e.groupBy("user_id", "day").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    turn = F.struct(F.col("day").alias("day"), F.concat(F.col("user_id").cast("string"), F.lit(":"), F.col("day").cast("string")).alias("trace_name"), F.struct(F.col("day").cast("string").alias("galileo_turn_id")).alias("trace_attributes"), "spans")
+    return day.groupBy("user_id").agg(F.array_sort(F.collect_list(turn)).alias("turns")).select(F.to_json(F.struct(F.when(F.col("user_id") % 3 > 0, F.col("user_id").cast("string")).alias("session_external_id"), "turns")).alias("export"))
+
+
+def read_exports(spark: SparkSession, d: str) -> DataFrame:
+    """All observations of the users' exports, read back."""
+    found = telemetry.observations_of(exports(spark, d))
+    pairs = F.array_join(F.transform("arguments", lambda a: F.concat(a["key"], F.lit("="), a["value"])), "|")
+    return found.select("conversation_id", "seq", "turn", "step", "kind", "name", "value", "ref", pairs.alias("arguments"))
+
+
 OBS = """ev AS (SELECT user_id AS conversation_id, event_id, date_diff('day', DATE '1970-01-01', ts::DATE)::BIGINT AS turn, event_type AS t, json_extract_string(props, '$.k')::INT AS k FROM events),
 obs AS (SELECT conversation_id, event_id * 4 AS seq, turn, CASE WHEN t IN ('view', 'click') THEN 'tool_call' WHEN t IN ('purchase', 'error') THEN 'outcome' ELSE 'state_write' END AS kind,
     CASE WHEN t IN ('view', 'click') THEN t WHEN t IN ('purchase', 'error') THEN CASE WHEN k % 2 = 0 THEN 'view' ELSE 'click' END WHEN k % 5 = 0 THEN 'Attempts' ELSE 'CheckPoint' END AS name,
@@ -175,6 +197,18 @@ PLACED = f"""WITH RECURSIVE {OBS}, {CANDIDATES}, writes AS (
 """
 
 QUERIES = {
+    "read_exports": (
+        read_exports,
+        """WITH e AS (SELECT user_id::VARCHAR AS c, event_id, date_diff('day', DATE '1970-01-01', ts::DATE)::BIGINT AS turn, event_type AS t, json_extract_string(props, '$.k')::INT AS k FROM events),
+o AS (SELECT c, turn, event_id, 0 AS no, event_id + 1 AS step, 'tool_call' AS kind, t AS name, 'S' || k AS value, CASE t WHEN 'view' THEN 'a=|b={"x":' || k || ',"y":1}' ELSE 'late=true|level=' || k END AS arguments FROM e WHERE t IN ('view', 'click')
+    UNION ALL SELECT c, turn, event_id, 1, event_id + 1, 'outcome', t, 'IN_STOCK', '' FROM e WHERE t = 'view' AND k % 2 = 0
+    UNION ALL SELECT c, turn, event_id, 0, event_id + 1, 'state_write', 'tries', k::VARCHAR, '' FROM e WHERE t = 'signup'
+    UNION ALL SELECT c, turn, event_id, 0, event_id + 1, 'utterance', 'user', 'I''d like ' || k, '' FROM e WHERE t = 'purchase'
+    UNION ALL SELECT c, turn, event_id, 1, event_id + 1, 'assistant', 'assistant', 'No. ' || k, '' FROM e WHERE t = 'purchase'
+    UNION ALL SELECT c, turn, event_id, 0, event_id + 1, 'capability', t, '', '' FROM e WHERE t = 'error'
+    UNION ALL SELECT c, turn, 1000000000, 0, 0, 'silence', '', 'no tool call in this turn', '' FROM e GROUP BY 1, 2 HAVING count(*) FILTER (t IN ('view', 'click', 'signup')) = 0)
+SELECT c AS conversation_id, row_number() OVER (PARTITION BY c ORDER BY turn, event_id, no) AS seq, turn, step, kind, name, value, 'turn' || turn || CASE WHEN kind = 'silence' THEN '' ELSE '.step' || step END AS ref, arguments FROM o""",
+    ),
     "candidate_states": (candidate_states, f"WITH {OBS}, {CANDIDATES} SELECT conversation_id, turn, array_to_string(candidates, '|') AS candidates FROM candidates WHERE len(candidates) > 0"),
     "evaluate_trace": (evaluate_trace, f"WITH {OBS}, {PAIRS} SELECT * FROM verdicts"),
     "trace_summary": (
