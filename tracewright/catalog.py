@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.plans import corpus, evaluation, graph, journeys, live, traces
+from tracewright.plans import corpus, evaluation, extraction, graph, journeys, live, traces
 
 Query = Callable[[SparkSession, str], DataFrame]
-_GROUPS = (corpus.QUERIES, graph.QUERIES, journeys.QUERIES, traces.QUERIES, evaluation.QUERIES, live.QUERIES)
+_GROUPS = (corpus.QUERIES, graph.QUERIES, journeys.QUERIES, traces.QUERIES, evaluation.QUERIES, extraction.QUERIES, live.QUERIES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
