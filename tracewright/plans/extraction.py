@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewright.operators import corpus as C
 from tracewright.operators import extract as X
 from tracewright.plans.corpus import BATCHES
+from tracewright.sources import canonical
 from tracewright.storage import stash, table
 
 
@@ -49,6 +50,18 @@ def extract_coverage(spark: SparkSession, d: str) -> DataFrame:
     return X.extract(prompts, extractor, known)[1]
 
 
+def corpus_digest(spark: SparkSession, d: str) -> DataFrame:
+    """The hash of all documents as one corpus."""
+    docs = table(spark, d, "documents").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("name"))
+    return spark.createDataFrame([(canonical.corpus_hash(docs),)], "corpus_hash string")
+
+
+def canonical_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Orders in one total order, the dearest first in each status."""
+    rows = table(spark, d, "orders").select("o_orderstatus", "o_totalprice", "o_orderkey")
+    return canonical.numbered(rows, "o_orderstatus", "-o_totalprice", "o_orderkey").select("o_orderkey", "no")
+
+
 LABELLED = BATCHES + """, cx AS (SELECT *, coalesce(lag(last_block) OVER w, first_block) AS low, coalesce(lead(first_block) OVER w, last_block) AS high FROM batches WINDOW w AS (PARTITION BY doc_id ORDER BY batch_no)),
 r AS (SELECT c.doc_id, c.batch_no, row_number() OVER (PARTITION BY c.doc_id, c.batch_no ORDER BY b.block_no) AS k, '[P' || k || '] (line ' || b.block_no || ')' || chr(10) || b.text AS part FROM cx c JOIN blocks b ON b.doc_id = c.doc_id AND b.block_no BETWEEN low AND high),
 quotes AS (SELECT item_id * 2 AS item_id, array_to_string(string_split(text, ' ')[4:9], ' ') AS quote FROM benchmark UNION ALL SELECT item_id * 2 + 1, array_to_string(string_split(text, ' ')[2:3], ' ') FROM benchmark),
@@ -56,6 +69,8 @@ found AS (SELECT doc_id, batch_no, item_id, min(k)::INT AS label FROM r JOIN quo
 """
 
 QUERIES = {
+    "corpus_digest": (corpus_digest, "SELECT left(sha256(string_agg(e, chr(31) ORDER BY e)), 16) AS corpus_hash FROM (SELECT sha256(coalesce(text, '')) || ':' || source || '/' || doc_id AS e FROM documents)"),
+    "canonical_numbers": (canonical_numbers, "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey) - 1 AS no FROM orders"),
     "recorded_answers": (recorded_answers, LABELLED + "SELECT * FROM found"),
     "extract_coverage": (
         extract_coverage,
