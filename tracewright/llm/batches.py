@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,8 +24,19 @@ def joined(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]
         yield pd.concat(waiting, ignore_index=True)
 
 
-def give_back() -> None:
-    """Return to the system what this worker's earlier tasks have freed: allocators keep it otherwise, and a worker outlives many stages."""
+#: What workers keep from task to task, by module.
+_KEPT = {"encoding": "_encoders", "words": "_encoders", "token_counts": "_models", "line_dedup": "_tables"}
+
+
+def give_back(owner: str) -> None:
+    """At the start of a task of module ``owner``: let go of what this worker keeps for other modules' tasks, and return what is free to the system.
+
+    A worker outlives many stages, and what it keeps of one would lie beside the work of the next; allocators keep freed memory otherwise.
+    """
+    for name, table in _KEPT.items():
+        module = sys.modules.get(f"tracewright.llm.{name}")
+        if module is not None and name != owner:
+            getattr(module, table).clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc have no such call

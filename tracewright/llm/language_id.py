@@ -322,7 +322,7 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     rows = docs.select(*own, held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias(max(["held_out", *kept], key=len) + "_"))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
+        give_back("language_id")
         for batch in batches:
             names, scores = parser.value.predict([t or "" for t in batch.column(len(kept) + 1).to_pylist()])
             columns = [batch.column(k) for k in range(len(kept) + 1)]

@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewright.llm.batches import give_back
+
 WINDOW = 16
 #: Words from the start of a window to that of the next: any half of a window's words in a row stands whole in one.
 STRIDE = WINDOW // 2
@@ -555,6 +557,7 @@ def score_texts(docs: DataFrame, net: Network, text: str = "text", keep: list[st
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(max(["text", *kept], key=len) + "_"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back("toxicity")
         runner = Runner(shared.value)
         for batch in batches:
             scores, places = runner.score([t or "" for t in batch.column(len(kept)).to_pylist()])
