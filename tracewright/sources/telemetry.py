@@ -44,10 +44,9 @@ _PAIRS = "array<struct<key: string, value: string>>"
 _MESSAGES = "array<struct<role: string, content: string>>"
 
 
-def read_traces(spark: SparkSession, path: str, shortest: int = 1) -> DataFrame:
+def read_traces(spark: SparkSession, path: str) -> DataFrame:
     """Observations of exports, one conversation to a file (see ``observations_of``); files that are no JSON object have none."""
-    files = spark.read.option("wholetext", "true").text(path).filter(F.length("value") >= shortest)
-    return observations_of(files.withColumnRenamed("value", "export"))
+    return observations_of(spark.read.text(path, wholetext=True).withColumnRenamed("value", "export"))
 
 
 def _messages(payload: Column) -> Column:
