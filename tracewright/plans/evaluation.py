@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.functions.text import entity_id
+from tracewright.operators import discover as D
 from tracewright.operators import evaluate as E
 from tracewright.operators import traces as X
 from tracewright.sources import telemetry
@@ -115,6 +117,27 @@ def observed_turns(spark: SparkSession, d: str) -> DataFrame:
     return found.select("conversation_id", "turn", F.array_join("tools", "|").alias("tools"), F.array_join("outcomes", "|").alias("outcomes"), "said", "heard", "silent")
 
 
+def observed_facts(spark: SparkSession, d: str) -> DataFrame:
+    """What the users' days show of the shop: its departments are capabilities, a tenth of the calls belong to no state."""
+    events = table(spark, d, "events")
+    none = F.array().cast("array<struct<key: string, value: string>>")
+    rows = observations(events)
+    department = F.concat(F.lit("Dept "), (F.col("user_id") % 3).cast("string"))
+    more = events.filter("event_type = 'error'").select(F.col("user_id").alias("conversation_id"), (F.col("event_id") * 4 + 3).alias("seq"), F.lit(0).cast("bigint").alias("turn"), F.lit("capability").alias("kind"), department.alias("name"), F.lit("").alias("value"), none.alias("arguments"))
+    rows = rows.unionByName(more).withColumn("ref", F.concat_ws(".", "conversation_id", "seq"))
+    return D.observed_facts(rows, "Shop", "CheckPoint")
+
+
+def observed_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The shop's graph with what was observed: how many triples of each relation are known by which methods."""
+    entities = spark.createDataFrame([("Tool", "view"), ("State", "start"), ("Outcome", "refund")], "entity_type string, canonical string")
+    entities = entities.select(entity_id(F.col("entity_type"), F.col("canonical")).alias("entity"), "entity_type", "canonical", F.array("canonical").alias("surfaces"))
+    ids = {r["canonical"]: r["entity"] for r in entities.collect()}
+    triples = spark.createDataFrame([(ids["start"], "USES_TOOL", ids["view"], ["llm"], "review"), (ids["view"], "RETURNS", ids["refund"], ["llm"], "admitted")], "head string, relation string, tail string, methods array<string>, status string")
+    _, merged = D.apply_observations(entities, triples, observed_facts(spark, d))
+    return merged.groupBy("relation", F.array_join("methods", "|").alias("methods"), "status").agg(F.count("*").alias("n"))
+
+
 def exports(spark: SparkSession, d: str) -> DataFrame:
     """An export for each user: a day is a turn; views and clicks are tools whose payloads are JSON or Python's, purchases model spans, errors workflows, sign-ups writes of a variable."""
     e = table(spark, d, "events").select("user_id", "event_id", F.date_diff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date")).alias("day"), F.col("event_type").alias("t"), F.get_json_object("props", "$.k").cast("int").alias("k"))
@@ -175,6 +198,17 @@ verdicts AS (SELECT conversation_id, assertion_id, kind, severity, CASE assertio
     WHEN 'a10' THEN CASE WHEN views > 0 AND clicks > 0 THEN 'pass' ELSE 'fail' END
     WHEN 'a11' THEN 'undecided' WHEN 'a12' THEN 'pass' WHEN 'a13' THEN 'undecided'
     WHEN 'a14' THEN CASE WHEN spoke = 0 THEN 'undecided' WHEN thanked > 0 THEN 'pass' ELSE 'fail' END ELSE 'undecided' END AS outcome FROM f)"""
+FACTS = f"""WITH {OBS}, w AS (SELECT * FROM obs WHERE kind = 'state_write'), states AS (SELECT DISTINCT value AS state FROM w WHERE name = 'CheckPoint'),
+st AS (SELECT o.*, last_value(CASE WHEN kind = 'state_write' AND try_cast(value AS DOUBLE) IS NULL THEN value END IGNORE NULLS) OVER (PARTITION BY conversation_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS state FROM obs o),
+used AS (SELECT DISTINCT state, name AS tool FROM st WHERE kind = 'tool_call' AND state IS NOT NULL), lagged AS (SELECT lag(value) OVER (PARTITION BY conversation_id, name ORDER BY seq) AS source, value AS target FROM w),
+steps AS (SELECT DISTINCT source, target FROM lagged WHERE source <> target AND source IN (FROM states) AND target IN (FROM states)), caps AS (SELECT DISTINCT 'Dept ' || conversation_id % 3 AS c FROM ev WHERE t = 'error'),
+seen AS (SELECT name, arg_min(conversation_id || '.' || seq, (conversation_id, seq)) AS ref FROM (SELECT conversation_id, seq, name FROM obs UNION ALL SELECT conversation_id, seq, 'assistant' FROM said UNION ALL SELECT conversation_id, event_id * 4 + 3, 'Dept ' || conversation_id % 3 FROM ev WHERE t = 'error') GROUP BY 1),
+f AS (SELECT 'UseCase' AS head_type, 'Shop' AS head, 'HAS_CAPABILITY' AS relation, 'Capability' AS tail_type, c AS tail, c AS surface FROM caps
+    UNION ALL SELECT 'State', source, 'HAS_NEXT_STEP', 'State', target, source FROM steps UNION ALL SELECT 'UseCase', 'Shop', 'STARTS_AT', 'State', state, state FROM states WHERE state NOT IN (SELECT target FROM steps)
+    UNION ALL SELECT 'State', state, 'USES_TOOL', 'Tool', tool, tool FROM used UNION ALL SELECT 'Capability', (SELECT min(c) FROM caps), 'HAS_STATE', 'State', state, state FROM states
+    UNION ALL SELECT 'Capability', (SELECT min(c) FROM caps), 'USES_TOOL', 'Tool', name, name FROM (SELECT DISTINCT name FROM obs WHERE kind = 'tool_call') WHERE name NOT IN (SELECT tool FROM used)
+    UNION ALL SELECT 'Capability', (SELECT min(c) FROM caps), 'HAS_STATE_VARIABLE', 'StateVariable', name, name FROM (SELECT DISTINCT name FROM w WHERE name <> 'CheckPoint' UNION SELECT 'level' WHERE EXISTS (FROM obs WHERE kind = 'tool_call'))
+    UNION ALL SELECT DISTINCT 'Tool', name, 'RETURNS', 'Outcome', value, value FROM obs WHERE kind = 'outcome' AND name IN (SELECT name FROM obs WHERE kind = 'tool_call'))"""
 NEAR = "lambda x: x = f.before OR (f.before = 'State:start' AND x = 'State:basket') OR (f.before = 'State:basket' AND x = 'State:payment') OR (f.before = 'State:payment' AND x IN ('State:basket', 'State:done'))"
 PLACED = f"""WITH RECURSIVE {OBS}, {CANDIDATES}, writes AS (
     SELECT conversation_id, turn, seq, entity, lag(entity) OVER (PARTITION BY conversation_id, turn ORDER BY seq) AS prior FROM b WHERE entity_type = 'State' AND entity IS NOT NULL
@@ -197,6 +231,12 @@ PLACED = f"""WITH RECURSIVE {OBS}, {CANDIDATES}, writes AS (
 """
 
 QUERIES = {
+    "observed_facts": (observed_facts, FACTS + " SELECT head_type, head, relation, tail_type, tail, ref FROM f LEFT JOIN seen ON seen.name = surface"),
+    "observed_graph": (
+        observed_graph,
+        FACTS + """ SELECT relation, methods, status, count(*) AS n FROM (SELECT relation, CASE WHEN head = 'start' AND relation = 'USES_TOOL' AND tail = 'view' THEN 'llm|telemetry' ELSE 'telemetry' END AS methods, CASE WHEN head = 'start' AND relation = 'USES_TOOL' AND tail = 'view' THEN 'review' ELSE 'admitted' END AS status FROM f
+    UNION ALL SELECT 'RETURNS', 'llm', 'admitted' UNION ALL SELECT 'USES_TOOL', 'llm', 'review' WHERE NOT EXISTS (FROM f WHERE head = 'start' AND relation = 'USES_TOOL' AND tail = 'view')) GROUP BY 1, 2, 3""",
+    ),
     "read_exports": (
         read_exports,
         """WITH e AS (SELECT user_id::VARCHAR AS c, event_id, date_diff('day', DATE '1970-01-01', ts::DATE)::BIGINT AS turn, event_type AS t, json_extract_string(props, '$.k')::INT AS k FROM events),
