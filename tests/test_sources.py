@@ -53,6 +53,8 @@ def test_files_are_described_and_unknown_ones_refused(spark, tmp_path):
     (tmp_path / "a.md").write_text("# x")
     rows = documents.read_files(spark, str(tmp_path)).collect()
     assert [(r["suffix"], r["media_type"], len(r["sha256"])) for r in rows] == [("md", "text/markdown", 64)]
+    with pytest.raises(documents.UnsupportedFormat, match="over 2 bytes"):
+        documents.read_files(spark, str(tmp_path), most=2)
     (tmp_path / "b.pdf").write_text("x")
     with pytest.raises(documents.UnsupportedFormat, match="pdf"):
         documents.read_files(spark, str(tmp_path))

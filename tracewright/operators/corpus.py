@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tracewright.functions.text import NUMBER_WORDS, as_number, collapsed, digest, folded, source_span
 
+#: Characters of the quotes that one automaton has, about 100 bytes each; more quotes are sought in several passes.
+AUTOMATON_CHARS = 2_000_000
 #: Where sentences end.
 SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z])"
 #: Phrases that introduce a limit, before its number and a unit of one to three words.
@@ -160,13 +165,62 @@ def modal_severity(sentence: Column, words: Sequence[tuple[str, str]] = MODALS,
     return out
 
 
+def passes(quotes: DataFrame, chars: int) -> Iterator[list[tuple]]:
+    """``(item_id, quote)`` by passes: those of each, about ``chars`` characters, are all that the driver holds at a time."""
+    total = quotes.agg(F.sum(F.length("quote"))).first()[0] or 0
+    n = -(-total // chars)
+    slot = F.pmod(F.xxhash64("quote"), F.lit(max(1, n)))
+    for k in range(n):
+        yield [(r["item_id"], r["quote"]) for r in quotes.filter(slot == k).collect()]
+
+
+def scan_quotes(texts: DataFrame, quotes: DataFrame, chars: int = AUTOMATON_CHARS) -> DataFrame:
+    """``item_id, doc_id, start``: the first place of each quote in each text that holds it, from 0.
+
+    An automaton of all quotes goes over every text once, whatever their number; where they have more than ``chars`` characters, several do, one after the other. Nulls and empty quotes are in nothing.
+    """
+    spark, out = texts.sparkSession, None
+    kinds = {f.name: f.dataType for f in [*texts.schema, *quotes.schema]}
+    schema = f"item_id {kinds['item_id'].simpleString()}, doc_id {kinds['doc_id'].simpleString()}, start int"
+    rows = texts.select("doc_id", "text").filter("text IS NOT NULL")
+
+    def scan(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids: dict[str, list] = {}
+            for item, quote in shared.value:
+                ids.setdefault(quote, []).append(item)
+            seeker = ahocorasick.Automaton()
+            for quote in ids:
+                seeker.add_word(quote, quote)
+            seeker.make_automaton()
+            for batch in batches:
+                at, items, starts = [], [], []
+                for k, text in enumerate(batch.column(1)):
+                    first: dict[str, int] = {}
+                    for end, quote in seeker.iter(text.as_py()):
+                        first.setdefault(quote, end - len(quote) + 1)
+                    for quote, start in first.items():
+                        at += [k] * len(ids[quote])
+                        items += ids[quote]
+                        starts += [start] * len(ids[quote])
+                columns = [pa.array(items, to_arrow_type(kinds["item_id"])), batch.column(0).take(pa.array(at, pa.int64())), pa.array(starts, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["item_id", "doc_id", "start"])
+
+        return found
+
+    for some in passes(quotes.filter("quote <> ''").select("item_id", "quote"), chars):
+        part = rows.mapInArrow(scan(spark.sparkContext.broadcast(some)), schema)
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], schema) if out is None else out
+
+
 def locate_quotes(quotes: DataFrame, texts: DataFrame, grams: int = 3, min_chars: int = 8) -> DataFrame:
     """``item_id, doc_id, start``: where each quote begins in each text that holds it, from 0.
 
     A text that holds a quote holds the quote's second to ``grams + 1``st word as whole words, so
     texts and quotes meet by that run of words; the rest is verified. Quotes of fewer than
-    ``grams + 2`` words have no such run; they meet texts by their first ``min_chars`` characters. Quotes of fewer
-    characters than that, without blanks at their ends, are refused.
+    ``grams + 2`` words have no such run: an automaton of all of them goes over the texts (see ``scan_quotes``). Quotes of fewer than ``min_chars``
+    characters, without blanks at their ends, are refused.
     """
     quotes = quotes.filter(F.length(F.regexp_replace("quote", r"^\s+|\s+$", "")) >= min_chars)
     words = F.split("quote", " ")
@@ -176,15 +230,10 @@ def locate_quotes(quotes: DataFrame, texts: DataFrame, grams: int = 3, min_chars
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - grams + 1)), lambda k: F.xxhash64(F.slice("w", k, grams)))
     met = text_words.select("doc_id", F.explode(F.array_distinct(runs)).alias("gram")).join(keyed.select("gram").distinct(), "gram", "left_semi")
     pairs = met.join(keyed.select("gram", "item_id"), "gram").select("doc_id", "item_id").distinct()
-    short = quotes.filter(F.size(words) < grams + 2).withColumn("gram", F.substring("quote", 1, min_chars))
-    # Without a short quote no text is cut into characters.
-    if not short.isEmpty():
-        text_chars = texts.withColumn("c", F.split("text", ""))
-        heads = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("c") - min_chars + 1)), lambda k: F.array_join(F.slice("c", k, min_chars), ""))
-        cut = text_chars.select("doc_id", F.explode(F.array_distinct(heads)).alias("gram")).join(short.select("gram").distinct(), "gram", "left_semi")
-        pairs = pairs.unionByName(cut.join(short.select("gram", "item_id"), "gram").select("doc_id", "item_id")).distinct()
     found = pairs.join(quotes.select("item_id", "quote"), "item_id").join(texts, "doc_id")
-    return found.select("item_id", "doc_id", (F.expr("instr(text, quote)") - 1).alias("start")).filter("start >= 0")
+    found = found.select("item_id", "doc_id", (F.expr("instr(text, quote)") - 1).alias("start")).filter("start >= 0")
+    short = scan_quotes(texts, quotes.filter(F.size(words) < grams + 2))
+    return found.unionByName(short)
 
 
 def locate_spans(quotes: DataFrame, texts: DataFrame, min_chars: int = 8) -> DataFrame:

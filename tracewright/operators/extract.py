@@ -10,27 +10,17 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tracewright.operators.corpus import batch_context
+from tracewright.operators.corpus import AUTOMATON_CHARS, batch_context, passes
 from tracewright.storage import stash
 
-#: Characters of the quotes that one automaton has, about 100 bytes each; more quotes are sought in several passes.
-AUTOMATON_CHARS = 2_000_000
 #: What a batch that stayed silent is asked again with.
 REREAD_NOTE = "\n\nNothing was found in these passages at first. Read them once more."
 _MARK = re.compile(r"(?:\A|(?<=\n\n))\[P(\d+)\] \(")
 ANSWERS = "array<struct<head: string, head_type: string, relation: string, tail: string, tail_type: string, label: int, quote: string>>"
 
 
-def _passes(quotes: DataFrame, chars: int) -> list[list[tuple]]:
-    """Quotes by passes: those of each pass, about ``chars`` characters, are what the driver holds at a time."""
-    total = quotes.agg(F.sum(F.length("quote"))).first()[0] or 0
-    n = -(-total // chars)
-    slot = F.pmod(F.xxhash64("quote"), F.lit(max(1, n)))
-    for k in range(n):
-        yield [(r["item_id"], r["quote"]) for r in quotes.filter(slot == k).collect()]
-
-
 def recorded_answers(rendered: DataFrame, quotes: DataFrame, keys: tuple[str, ...] = ("doc_id", "batch_no"), chars: int = AUTOMATON_CHARS) -> DataFrame:
     """The batch's ``keys``, ``item_id, label``: every recorded quote in every rendered batch that has it, with the first labelled passage that it stands in as a whole.
 
@@ -39,6 +29,7 @@ def recorded_answers(rendered: DataFrame, quotes: DataFrame, keys: tuple[str, ..
     """
     fields = {f.name: f.dataType.simpleString() for f in rendered.schema} | {f.name: f.dataType.simpleString() for f in quotes.schema}
     schema = ", ".join(f"{c} {fields[c]}" for c in (*keys, "item_id")) + ", label int"
+    kinds = {f.name: to_arrow_type(f.dataType) for f in quotes.schema}
     spark, out = rendered.sparkSession, None
     rows = rendered.select(*keys, "rendered").filter("rendered IS NOT NULL")
 
@@ -66,20 +57,16 @@ def recorded_answers(rendered: DataFrame, quotes: DataFrame, keys: tuple[str, ..
                             items.append(item)
                             labels.append(int(marks[own].group(1)))
                 columns = [batch.column(c).take(pa.array(at, pa.int64())) for c in range(len(keys))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(items, _arrow(fields["item_id"])), pa.array(labels, pa.int32())], [*keys, "item_id", "label"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(items, kinds["item_id"]), pa.array(labels, pa.int32())], [*keys, "item_id", "label"])
 
         return found
 
-    for some in _passes(quotes.filter("quote <> ''").select("item_id", "quote"), chars):
+    for some in passes(quotes.filter("quote <> ''").select("item_id", "quote"), chars):
         part = rows.mapInArrow(scan(spark.sparkContext.broadcast(some)), schema)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def labels(blocks: DataFrame, batches: DataFrame) -> DataFrame:
     """``doc_id, batch_no, label, block_no``: which block each label of a batch stands for (see ``render_batches``)."""
     low, high = F.coalesce("before", "first_block"), F.coalesce("after", "last_block")

@@ -81,6 +81,15 @@ def undeclared_relations(triples: DataFrame, relations: DataFrame) -> DataFrame:
     return triples.groupBy("relation").agg(F.count("*").alias("n")).join(relations.select(F.col("name").alias("relation")), "relation", "left_anti")
 
 
+def unchecked_relations(triples: DataFrame, relations: DataFrame) -> DataFrame:
+    """``relation, n``: relations of live triples that the schema declares with neither a check nor a word that there can be none, so that nothing verifies them.
+
+    ``relations``: ``name, kind`` (of the check, else null)``, not_checkable``. Relations that the schema lacks are another matter (``undeclared_relations``).
+    """
+    silent = relations.filter(F.col("kind").isNull() & ~F.coalesce("not_checkable", F.lit(False))).select(F.col("name").alias("relation")).distinct()
+    return triples.filter(F.col("status").isin(*LIVE)).groupBy("relation").agg(F.count("*").alias("n")).join(silent, "relation", "left_semi")
+
+
 def review_questions(triples: DataFrame, quotes: DataFrame) -> DataFrame:
     """``question_id, kind, heading, evidence_key``: one question for each triple that is held for review.
 

@@ -172,6 +172,12 @@ def graph_live(spark: SparkSession, d: str) -> DataFrame:
     return live.groupBy("relation").agg(F.count("*").alias("n"), F.count_distinct("head").alias("heads"))
 
 
+def unchecked_relations(spark: SparkSession, d: str) -> DataFrame:
+    """Of the facts' three relations one has a check and one says that there is none; the third, like one that no fact has, says nothing."""
+    schema = spark.createDataFrame([("R_A", "tool_called", None), ("R_N", None, None), ("R_R", None, True), ("R_X", None, False)], "name string, kind string, not_checkable boolean")
+    return R.unchecked_relations(barred(spark, d), schema)
+
+
 def undeclared_relations(spark: SparkSession, d: str) -> DataFrame:
     return R.undeclared_relations(barred(spark, d), spark.createDataFrame([("R_A",), ("R_X",)], "name string"))
 
@@ -297,6 +303,7 @@ SELECT conflict_id, side, CASE WHEN NOT (ok AND n = 1) THEN 'conflicted' WHEN da
     "evidence_top4": (evidence_top4, f"WITH {TRIPLES} SELECT head, relation, seq, row_number() OVER (PARTITION BY head, relation ORDER BY seq, tail) AS place FROM (SELECT DISTINCT head, relation, tail, seq FROM t) QUALIFY place <= 4"),
     "graph_touching": (graph_touching, BARRED + ", e AS (SELECT head AS entity, 1 AS o, 0 AS i FROM b WHERE status IN ('admitted', 'review') UNION ALL SELECT tail, 0, 1 FROM b WHERE status IN ('admitted', 'review') AND tail_kind = 'entity') SELECT entity, sum(o)::BIGINT AS n_out, sum(i)::BIGINT AS n_in FROM e GROUP BY 1"),
     "graph_live": (graph_live, BARRED + "SELECT relation, count(*) AS n, count(DISTINCT head) AS heads FROM b WHERE status IN ('admitted', 'review') GROUP BY 1"),
+    "unchecked_relations": (unchecked_relations, BARRED + "SELECT relation, count(*) AS n FROM b WHERE relation = 'R_N' AND status IN ('admitted', 'review') GROUP BY 1"),
     "undeclared_relations": (undeclared_relations, BARRED + "SELECT relation, count(*) AS n FROM b WHERE relation NOT IN ('R_A', 'R_X') GROUP BY 1"),
     "review_questions": (review_questions, BARRED + QUESTIONS + "SELECT * FROM asked"),
     "questions_by_kind": (

@@ -21,9 +21,11 @@ class UnsupportedFormat(ValueError):
 def read_files(spark: SparkSession, path: str, most: int = 1 << 30) -> DataFrame:
     """``doc_id, path, suffix, media_type, sha256, content`` of the files below ``path``.
 
-    Suffixes that no reader knows are refused before any content is read, with how many files have them.
+    Suffixes that no reader knows, and files of over ``most`` bytes, which no row can hold, are refused before any content is read, with how many files have them.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(F.col("length") <= most)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    if large := files.filter(F.col("length") > most).select("path", "length").limit(5).collect():
+        raise UnsupportedFormat(f"files of over {most} bytes: {[(r['path'], r['length']) for r in large]}")
     named = files.withColumn("suffix", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)))
     unknown = {r["suffix"]: r["n"] for r in named.filter(~F.col("suffix").isin(*MEDIA_TYPES)).groupBy("suffix").agg(F.count("*").alias("n")).limit(100).collect()}
     if unknown:

@@ -7,12 +7,8 @@ replaces its own part of the log, so the newest entries are exact.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracewright.storage import fresh_path
 
@@ -77,17 +73,24 @@ def closed_sessions(observations: DataFrame, time: str, gap: str, delay: str) ->
 def live_transitions(observations: DataFrame) -> DataFrame:
     """``source, target, n``: changes of token in each conversation, over micro-batches that come in its order.
 
-    The state of a conversation is its last token; within a batch its rows are sorted.
+    The state of a conversation is its last token. A micro-batch is ordered by a window, which spills, so that no conversation is held as a whole however much of it comes at once; its
+    first rows meet the tokens that the batch before has left. Each batch writes its changes and the state behind it under its number, so one that runs again replaces its own part. Rows without a token change nothing.
     """
-
-    def moves(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("seq")
-        tokens = ([state.get[0]] if state.exists else []) + list(rows["token"])
-        state.update((tokens[-1],))
-        found = pd.DataFrame([(a, b) for a, b in zip(tokens, tokens[1:], strict=False) if a != b], columns=["source", "target"])
-        yield found.groupby(["source", "target"], as_index=False).size().rename(columns={"size": "n"})
-
-    changes = observations.groupBy("conversation_id").applyInPandasWithState(moves, "source string, target string, n long", "token string", "append", GroupStateTimeout.NoTimeout)
-    return run_to_log(changes, "append", "moves").groupBy("source", "target").agg(F.sum("n").alias("n"))
-
-
+    spark = observations.sparkSession
+    place = fresh_path(spark, "moves")
+    kind = observations.schema["conversation_id"].dataType.simpleString()
+
+    def step(rows: DataFrame, no: int) -> None:
+        rows = rows.filter("token IS NOT NULL").select("conversation_id", "seq", "token")
+        known = spark.read.parquet(f"{place}/last/batch={no - 1}") if no else spark.createDataFrame([], f"conversation_id {kind}, last string")
+        order = Window.partitionBy("conversation_id").orderBy("seq")
+        marked = rows.select("conversation_id", F.lag("token").over(order).alias("before"), "token")
+        inside = marked.filter("before IS NOT NULL").select(F.col("before").alias("source"), F.col("token").alias("target"))
+        ends = rows.groupBy("conversation_id").agg(F.min_by("token", "seq").alias("first"), F.max_by("token", "seq").alias("newest"))
+        across = ends.join(known, "conversation_id").select(F.col("last").alias("source"), F.col("first").alias("target"))
+        inside.unionByName(across).filter("source <> target").groupBy("source", "target").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{place}/log/batch={no}")
+        left = known.join(ends, "conversation_id", "full").select("conversation_id", F.coalesce("newest", "last").alias("last"))
+        left.write.mode("overwrite").parquet(f"{place}/last/batch={no}")
+
+    observations.writeStream.option("checkpointLocation", f"{place}/stream").trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
+    return spark.read.option("basePath", f"{place}/log").parquet(f"{place}/log").groupBy("source", "target").agg(F.sum("n").alias("n"))
