@@ -165,6 +165,22 @@ def modal_severity(sentence: Column, words: Sequence[tuple[str, str]] = MODALS,
     return out
 
 
+def harvest(passages: DataFrame) -> DataFrame:
+    """``head, head_type, relation, tail, tail_type, passage_id, quote, method``: candidates that patterns alone find, as ``admit`` takes them.
+
+    ``passages``: ``passage_id, text``, and perhaps ``kind``; images and null texts have none. Each limit is a value, named by its number and unit, with its number; each sentence with a modal verb
+    a rule, with its wording and how hard it bites. What a rule requires is not for patterns to say. The same limit or sentence twice in a passage is two candidates.
+    """
+    texts = passages.filter("kind IS NULL OR kind <> 'image'") if "kind" in passages.columns else passages
+    texts = texts.select(F.col("passage_id").alias("doc_id"), "text")
+    fixed = [F.lit("literal").alias("tail_type"), F.col("doc_id").alias("passage_id"), F.col("quote"), F.lit("deterministic").alias("method")]
+    values = limits(texts).select(F.col("name").alias("head"), F.lit("Value").alias("head_type"), F.lit("VALUE_IS").alias("relation"), F.col("number").cast("string").alias("tail"), *fixed)
+    said = sentences(texts).withColumn("quote", F.regexp_replace("sentence", r"^[ \t.,;:]+|[ \t.,;:]+$", "")).filter("quote <> ''").withColumn("severity", modal_severity(F.col("quote"))).filter("severity IS NOT NULL")
+    pair = F.explode(F.array(F.struct(F.lit("RULE_STATES").alias("relation"), F.col("quote").alias("tail")), F.struct(F.lit("HAS_SEVERITY").alias("relation"), F.col("severity").alias("tail"))))
+    rules = said.select("doc_id", "quote", pair.alias("p")).select(F.col("quote").alias("head"), F.lit("Rule").alias("head_type"), "p.relation", "p.tail", *fixed)
+    return values.unionByName(rules)
+
+
 def passes(quotes: DataFrame, chars: int) -> Iterator[list[tuple]]:
     """``(item_id, quote)`` by passes: those of each, about ``chars`` characters, are all that the driver holds at a time."""
     total = quotes.agg(F.sum(F.length("quote"))).first()[0] or 0

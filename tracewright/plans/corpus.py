@@ -119,6 +119,15 @@ def harvest_limits(spark: SparkSession, d: str) -> DataFrame:
     return C.limits(table(spark, d, "part").select(k.alias("doc_id"), text.alias("text"))).select("doc_id", F.col("place").cast("bigint").alias("place"), "name", "number", "quote")
 
 
+def harvest_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates out of two sentences about each part: a limit in one, a modal verb in the other."""
+    k = F.col("p_partkey")
+    verb = F.element_at(F.array(*[F.lit(x) for x in VERBS]), (k % len(VERBS) + 1).cast("int"))
+    text = F.concat(F.lit("Keep up to "), F.col("p_size"), F.lit(" boxes of it. "), F.lit("Clerks "), verb, F.lit(" sell "), "p_brand", F.lit("."))
+    kind = F.when(k % 9 == 0, "image").otherwise("prose")
+    return C.harvest(table(spark, d, "part").select(k.alias("passage_id"), kind.alias("kind"), text.alias("text")))
+
+
 def harvest_rules(spark: SparkSession, d: str) -> DataFrame:
     """Rules in sentences made of orders: how hard each bites."""
     verb = F.element_at(F.array(*[F.lit(x) for x in VERBS]), (F.col("o_orderkey") % len(VERBS) + 1).cast("int"))
@@ -266,6 +275,14 @@ m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{LIMIT_SQL}')) AS quote, g
 x AS (SELECT *, regexp_extract(quote, '{LIMIT_SQL}', 2) AS figure, regexp_extract(quote, '{LIMIT_SQL}', 3) AS unit FROM m),
 y AS (SELECT *, coalesce(try_cast(figure AS BIGINT), list_position(['one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten'], lower(figure))::BIGINT) AS number FROM x)
 SELECT doc_id, place, number || ' ' || unit AS name, number, quote FROM y""",
+    ),
+    "harvest_candidates": (
+        harvest_candidates,
+        """WITH p AS (SELECT *, p_partkey % 10 AS k, 'Clerks ' || ['must not', 'never', 'must', 'are required to', 'should not', 'ought to', 'may', 'can', 'like to', 'CANNOT'][p_partkey % 10 + 1] || ' sell ' || p_brand AS rule FROM part WHERE p_partkey % 9 > 0),
+c AS (SELECT p_size || ' boxes of it' AS head, 'Value' AS head_type, 'VALUE_IS' AS relation, p_size::VARCHAR AS tail, p_partkey AS passage_id, 'up to ' || p_size || ' boxes of it' AS quote FROM p
+    UNION ALL SELECT rule, 'Rule', 'RULE_STATES', rule, p_partkey, rule FROM p WHERE k <> 8
+    UNION ALL SELECT rule, 'Rule', 'HAS_SEVERITY', CASE WHEN k IN (0, 1, 2, 3, 9) THEN 'error' WHEN k IN (4, 5) THEN 'warning' ELSE 'info' END, p_partkey, rule FROM p WHERE k <> 8)
+SELECT *, 'literal' AS tail_type, 'deterministic' AS method FROM c""",
     ),
     "harvest_rules": (
         harvest_rules,

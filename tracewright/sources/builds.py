@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.sources.canonical import ORDERS, write_canonical
+
 #: The parts of a graph and their columns.
 GRAPH_SCHEMA = {
     "entities": "entity_id string, entity_type string, canonical string, surfaces array<string>",
@@ -13,11 +15,12 @@ GRAPH_SCHEMA = {
 
 
 def write_graph(entities: DataFrame, triples: DataFrame, path: str) -> None:
-    """Write both parts as JSON, a line for each entity and triple; columns that a part lacks are left empty."""
+    """Write both parts as JSON, a line for each entity and triple in canonical order, so that equal graphs are equal files; columns that a part lacks are left empty."""
     for name, df in (("entities", entities), ("triples", triples)):
         wanted = df.sparkSession.createDataFrame([], GRAPH_SCHEMA[name]).schema
         have = set(df.columns)
-        df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted]).write.mode("overwrite").json(f"{path}/{name}")
+        rows = df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted])
+        write_canonical(rows, f"{path}/{name}", *ORDERS[name])
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
