@@ -37,6 +37,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.llm.batches import give_back
 from tracewright.llm.components import connected_components
 from tracewright.llm.membership import bitmap, contains, slot
 from tracewright.llm.skew import join_heavy
@@ -147,6 +148,7 @@ def _counts(rows: DataFrame, n: int) -> np.ndarray:
     width = SKETCH // SKETCH_PARTS
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back("ngram_join")
         shingler, total = Shingler(n), np.zeros(SKETCH, dtype=np.int64)
         for batch in batches:
             for s in shingler.sets(list(batch["text"])):
@@ -274,6 +276,7 @@ def _described(rows: DataFrame, n: int) -> DataFrame:
     """``doc_id, n, key, point`` of every document; a document without n-grams has neither key nor point."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back("ngram_join")
         shingler = Shingler(n)
         for batch in batches:
             sets = [(len(s), _key(s), _point(s)) if len(s) else (0, None, None) for s in shingler.sets(batch.column("text").to_pylist())]
@@ -290,6 +293,7 @@ def _dealt(rows: DataFrame, rank: Broadcast, has: Broadcast, n: int, num: int, d
     """
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back("ngram_join")
         shingler, mask, seen = Shingler(n), np.uint64((1 << CELL_BITS) - 1), set()
         for batch in batches:
             batch = batch[contains(has.value, batch["slot"].to_numpy())]
