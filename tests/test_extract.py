@@ -29,6 +29,13 @@ def test_recorded_answers_are_those_of_a_naive_search(spark):
     assert extract.recorded_answers(df, spark.createDataFrame([], "item_id int, quote string")).count() == 0
 
 
+def test_the_note_of_a_second_reading_is_no_passage(spark):
+    texts = [(1, 0, "[P1] (line 0)\nnothing here" + extract.REREAD_NOTE), (2, 0, "[P1] (line 0)\nfirst\n\n[P2] (line 1)\nat last" + extract.REREAD_NOTE)]
+    quotes = spark.createDataFrame([(1, "at"), (2, "e"), (3, "Read them")], "item_id int, quote string")
+    found = extract.recorded_answers(spark.createDataFrame(texts, "doc_id long, batch_no long, rendered string"), quotes).collect()
+    assert {tuple(r) for r in found} == {(1, 0, 2, 1), (2, 0, 1, 2), (2, 0, 2, 1)}
+
+
 def test_silent_batches_are_read_once_more(spark):
     prompts = spark.createDataFrame([(k, 0, f"p{k}") for k in range(6)], "doc_id int, batch_no int, prompt string")
     known = spark.createDataFrame([(k, 0, 1, 10 + k) for k in range(6)], "doc_id int, batch_no int, label int, block_no int")

@@ -25,7 +25,8 @@ def recorded_answers(rendered: DataFrame, quotes: DataFrame, keys: tuple[str, ..
     """The batch's ``keys``, ``item_id, label``: every recorded quote in every rendered batch that has it, with the first labelled passage that it stands in as a whole.
 
     ``rendered``: ``keys, rendered`` (see ``render_batches``); ``quotes``: ``item_id, quote``. One automaton of all quotes runs over each text once, whatever their number; where they have more than ``chars``
-    characters, several do. Null and empty quotes are in nothing, repeated ones are found for each of their ids, a quote that runs over two passages in neither.
+    characters, several do. Null and empty quotes are in nothing, repeated ones are found for each of their ids, a quote that runs over two passages in neither. ``REREAD_NOTE`` at the end of a
+    text is part of no passage.
     """
     fields = {f.name: f.dataType.simpleString() for f in rendered.schema} | {f.name: f.dataType.simpleString() for f in quotes.schema}
     schema = ", ".join(f"{c} {fields[c]}" for c in (*keys, "item_id")) + ", label int"
@@ -45,6 +46,7 @@ def recorded_answers(rendered: DataFrame, quotes: DataFrame, keys: tuple[str, ..
             for batch in batches:
                 at, items, labels = [], [], []
                 for k, text in enumerate(batch.column(len(keys)).to_pylist()):
+                    text = text.removesuffix(REREAD_NOTE)
                     marks = list(_MARK.finditer(text))
                     starts, first = [m.start() for m in marks], {}
                     for end, quote in seeker.iter(text):
