@@ -1,5 +1,7 @@
 """Operators on small tables: edges that the queries' tables don't have."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,6 +185,24 @@ def test_levels_and_severities_of_assertions(spark):
     assert values(got, "subject", "expected", "severity", "level") == [("a", ["x"], "warning", "L1"), ("b", ["x"], "warning", "L3"), ("c", ["x"], "advisory", "L2"), ("d", ["x"], "advisory", "L1"), ("e", ["x"], "info", "L2"), ("journey", ["h"], "error", "L2")]
 
 
+def test_facts_are_not_dealt_by_their_few_relations(spark):
+    triples = spark.createDataFrame([("a", "R", "x", ["model"], "high", "admitted")], "head string, relation string, tail string, methods array<string>, materiality string, status string")
+    rules = spark.createDataFrame([("R", "tool_called", "tool", "state", "per_head")], "relation string, kind string, dimension string, scope string, grouping string")
+    made = contracts.compile_assertions(triples, rules, spark.createDataFrame([("a", "info")], "head string, severity string"), spark.createDataFrame([("b",)], "head string"))
+    assert not re.search(r"hashpartitioning\(relation#\d+, \d+\)", made._jdf.queryExecution().executedPlan().toString())
+    assert values(made, "subject", "severity", "level") == [("a", "info", "L2")]
+
+
+def test_answers_hold_for_all_that_a_head_says(spark):
+    kind = "head string, relation string, tail string, spans array<struct<passage_id: int>>, methods array<string>, materiality string, status string"
+    rows = [(h, "R", t, [(1,)], ["model"], "high", s) for h, t, s in (("a", "x", "admitted"), ("a", "y", "rejected"), ("b", "x", "admitted"), ("c", "x", "admitted"))]
+    merged, answers = spark.createDataFrame(rows, kind), spark.createDataFrame([("a", "approve"), ("b", "reject")], "head string, answer string")
+    want = [("a", "x", "admitted"), ("a", "y", "rejected"), ("b", "x", "rejected"), ("c", "x", "review")]
+    assert values(reconcile.barred(merged.join(answers, "head", "left")), "head", "tail", "status") == want
+    each = merged.select("head", "relation", "tail").join(answers, "head")
+    assert values(reconcile.witness_bar(merged, each), "head", "tail", "status") == want
+
+
 def test_covering_rows_cover_all_pairs():
     factors = {"a": ["1", "2", "3"], "b": ["1", "2"], "c": ["1", "2", "3"], "d": ["1", "2"]}
     rows = design.covering_rows(factors)

@@ -26,7 +26,8 @@ def compile_assertions(triples: DataFrame, rules: DataFrame, declared: DataFrame
     says = ~F.col("relation").isin(*boolean) | (F.lower(F.trim("tail")) == "true")
     level = F.lower(F.trim("severity"))
     own = declared.groupBy("head").agg(F.min(F.when(level.isin(*SEVERITIES), level).otherwise("warning")).alias("own"))
-    rows = triples.filter(F.col("status").isin("admitted", "review") & says).join(rules, "relation").join(own, "head", "left")
+    # Rules are a catalogue and relations are few: dealt by relation, each one's facts would be one task's.
+    rows = triples.filter(F.col("status").isin("admitted", "review") & says).join(F.broadcast(rules), "relation").join(own, "head", "left")
     group = F.when(F.col("grouping") == "per_triple", F.concat_ws("\x1f", "head", "tail")).when(F.col("grouping") == "per_head", F.col("head")).otherwise(F.lit(""))
     subject = F.when(F.col("grouping") == "all", F.lit("journey")).otherwise(F.col("head"))
     made = rows.withColumns({"part": group, "subject": subject}).groupBy("relation", "kind", "dimension", "scope", "part", "subject").agg(

@@ -29,10 +29,15 @@ def witness_bar(merged: DataFrame, decisions: DataFrame) -> DataFrame:
 
     ``decisions``: key, ``answer`` (``approve``, ``reject``). Only admitted triples change.
     """
+    return barred(merged.join(decisions, list(KEY), "left"))
+
+
+def barred(answered: DataFrame) -> DataFrame:
+    """Triples with the status that ``witness_bar`` gives them, of such as have their ``answer``, or null, already."""
     passages = F.size(F.array_distinct(F.transform("spans", lambda s: s["passage_id"])))
     weak = (F.col("materiality") == "high") & (F.array_join("methods", ",") == "model") & (passages <= 1)
     status = F.when(F.col("status") != "admitted", F.col("status")).when(F.col("answer") == "reject", "rejected").when(F.col("answer") == "approve", "admitted").when(weak, "review").otherwise(F.col("status"))
-    return merged.join(decisions, list(KEY), "left").withColumn("status", status).drop("answer")
+    return answered.withColumn("status", status).drop("answer")
 
 
 def cardinality_conflicts(triples: DataFrame, single: list[str]) -> DataFrame:
