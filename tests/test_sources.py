@@ -1,5 +1,6 @@
 """Readers on small files."""
 
+import gzip
 import hashlib
 import json
 import zipfile
@@ -171,6 +172,15 @@ def test_canonical_files_are_the_same_however_the_rows_lie(spark, tmp_path):
     assert canonical.write_canonical(rows.limit(0), str(tmp_path / "one"), "a") == 0 and not read("one")
 
 
+def test_compressed_files_have_the_same_lines(spark, tmp_path):
+    rows = spark.range(50).select((F.col("id") % 7).alias("a"), F.concat(F.lit("é"), "id").alias("b"))
+    for name, compressed in (("plain", False), ("small", True), ("again", True)):
+        assert canonical.write_canonical(rows.repartition(3 if compressed else 5), str(tmp_path / name), "a", rows_per_file=20, compressed=compressed) == 3
+    read = lambda name: {f.name: f.read_bytes() for f in (tmp_path / name).iterdir() if not f.name.startswith(".")}
+    assert read("small") == read("again")
+    assert {n: gzip.decompress(b) for n, b in read("small").items()} == {n + ".gz": b for n, b in read("plain").items()}
+
+
 def test_digests_of_sorted_lists_go_on_from_task_to_task(spark):
     values = ["", "b", "a" * 200, "é", "\U0001f600", "b", *(f"{k:04d}" for k in range(300))]
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v string").repartition(9)

@@ -14,13 +14,13 @@ GRAPH_SCHEMA = {
 }
 
 
-def write_graph(entities: DataFrame, triples: DataFrame, path: str) -> None:
-    """Write both parts as JSON, a line for each entity and triple in canonical order, so that equal graphs are equal files; columns that a part lacks are left empty."""
+def write_graph(entities: DataFrame, triples: DataFrame, path: str, compressed: bool = False) -> None:
+    """Write both parts as JSON, a line for each entity and triple in canonical order, so that equal graphs are equal files; columns that a part lacks are left empty. ``compressed``: as gzip files."""
     for name, df in (("entities", entities), ("triples", triples)):
         wanted = df.sparkSession.createDataFrame([], GRAPH_SCHEMA[name]).schema
         have = set(df.columns)
         rows = df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted])
-        write_canonical(rows, f"{path}/{name}", *ORDERS[name])
+        write_canonical(rows, f"{path}/{name}", *ORDERS[name], compressed=compressed)
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -38,8 +38,8 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
     return placed.join(F.broadcast(first), "part").withColumn("no", F.col("no").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)) + F.col("first")).drop("first")
 
 
-def write_canonical(rows: DataFrame, path: str, *order: str, rows_per_file: int = ROWS_PER_FILE) -> int:
-    """Write rows as JSON lines in order, ``rows_per_file`` to a file; files are named by their numbers. Returns how many there are.
+def write_canonical(rows: DataFrame, path: str, *order: str, rows_per_file: int = ROWS_PER_FILE, compressed: bool = False) -> int:
+    """Write rows as JSON lines in order, ``rows_per_file`` to a file; files are named by their numbers, and are gzip files if ``compressed``. Returns how many there are.
 
     What is at ``path`` is replaced. The bytes depend on the rows alone: rows with equal keys are ordered by all they have, nulls are written, and columns keep their order.
     """
@@ -51,17 +51,20 @@ def write_canonical(rows: DataFrame, path: str, *order: str, rows_per_file: int
     n = -(-((placed.agg(F.max("no")).first()[0] or -1) + 1) // rows_per_file) if not placed.isEmpty() else 0
     rough = fresh_path(spark, "canonical")
     # Each file is one task's, in order; Spark names it by the run, so it is renamed at last.
-    placed.repartition(max(1, n), "file").sortWithinPartitions("file", "no").select("file", "line").write.partitionBy("file").text(rough)
+    placed.repartition(max(1, n), "file").sortWithinPartitions("file", "no").select("file", "line").write.partitionBy("file").text(rough, compression="gzip" if compressed else "none")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
     files, target = at(rough).getFileSystem(conf), at(path)
     there = target.getFileSystem(conf)
     there.delete(target, True)
     there.mkdirs(target)
+    near = files.getUri().equals(there.getUri())
     for k in range(n):
         for status in files.listStatus(at(f"{rough}/file={k}")):
             if status.getPath().getName().startswith("part-"):
-                jvm.org.apache.hadoop.fs.FileUtil.copy(files, status.getPath(), there, at(f"{path}/part-{k:08d}.jsonl"), True, conf)
+                name = at(f"{path}/part-{k:08d}.jsonl" + (".gz" if compressed else ""))
+                if not (near and files.rename(status.getPath(), name)):
+                    jvm.org.apache.hadoop.fs.FileUtil.copy(files, status.getPath(), there, name, True, conf)
     return n
 
 
