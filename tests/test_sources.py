@@ -181,6 +181,20 @@ def test_compressed_files_have_the_same_lines(spark, tmp_path):
     assert {n: gzip.decompress(b) for n, b in read("small").items()} == {n + ".gz": b for n, b in read("plain").items()}
 
 
+def test_states_go_on_with_and_without_a_library(monkeypatch):
+    assert canonical._crypto() is not None  # a gigabyte would take hours without it
+    for n in (0, 1, 55, 56, 63, 64, 65, 200, 5_000):
+        data = bytes(k * 7 % 251 for k in range(n))
+        for library in (canonical._crypto, lambda: None):
+            with monkeypatch.context() as m:
+                m.setattr(canonical, "_crypto", library)
+                first = canonical.Sha256()
+                first.update(data[: n // 3])
+                second = canonical.Sha256(*first.state())
+                second.update(data[n // 3 :])
+                assert second.hexdigest() == hashlib.sha256(data).hexdigest()
+
+
 def test_digests_of_sorted_lists_go_on_from_task_to_task(spark):
     values = ["", "b", "a" * 200, "é", "\U0001f600", "b", *(f"{k:04d}" for k in range(300))]
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v string").repartition(9)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+import functools
+import hashlib
 import math
 import struct
 from collections.abc import Iterator
@@ -85,8 +89,27 @@ def _roots(n: int, power: int) -> list[int]:
 _ROUNDS, _START = _roots(64, 3), _roots(8, 2)
 
 
+
+class _Context(ctypes.Structure):
+    """A state as OpenSSL keeps it; only ``h`` is used, as whole blocks alone are handed over."""
+
+    _fields_ = [("h", ctypes.c_uint32 * 8), ("length", ctypes.c_uint32 * 2), ("data", ctypes.c_uint32 * 16), ("num", ctypes.c_uint), ("md_len", ctypes.c_uint), ("spare", ctypes.c_uint32 * 16)]
+
+
+@functools.cache
+def _crypto() -> ctypes.CDLL | None:
+    """OpenSSL's library, if there is one that hashes a block as it should; without it blocks take a thousand times as long."""
+    try:
+        library = ctypes.CDLL(ctypes.util.find_library("crypto") or "libcrypto.so.3")
+        context = _Context((ctypes.c_uint32 * 8)(*_START))
+        library.SHA256_Update(ctypes.byref(context), b"abc\x80" + bytes(59) + b"\x18", ctypes.c_size_t(64))
+    except (OSError, AttributeError):
+        return None
+    return library if struct.pack(">8I", *context.h) == hashlib.sha256(b"abc").digest() else None
+
+
 class Sha256:
-    """SHA-256 whose state can be handed on, which the standard library's can't: where one task ends, another goes on."""
+    """SHA-256 whose state can be handed on, which the standard library's can't: where one task ends, another goes on. Whole blocks are OpenSSL's work where it is installed."""
 
     def __init__(self, state: bytes = b"", rest: bytes = b"", length: int = 0) -> None:
         self.h = list(struct.unpack(">8I", state)) if state else list(_START)
@@ -99,8 +122,13 @@ class Sha256:
         self.length += len(data)
         data = self.rest + data
         whole = len(data) // 64 * 64
-        for k in range(0, whole, 64):
-            self._block(data[k : k + 64])
+        if whole and (crypto := _crypto()):
+            context = _Context((ctypes.c_uint32 * 8)(*self.h))
+            crypto.SHA256_Update(ctypes.byref(context), data, ctypes.c_size_t(whole))
+            self.h = list(context.h)
+        else:
+            for k in range(0, whole, 64):
+                self._block(data[k : k + 64])
         self.rest = data[whole:]
 
     def _block(self, block: bytes) -> None:
@@ -138,9 +166,10 @@ def ordered_digest(rows: DataFrame, column: str, separator: str = "\x1f") -> str
         def go_on(batches: Iterator[pa.RecordBatch], known: tuple = (state, rest, length), seen: int = seen) -> Iterator[pa.RecordBatch]:
             sha = Sha256(*known)
             for batch in batches:
-                for value in batch.column("v").to_pylist():
-                    sha.update(((separator if seen else "") + value).encode())
-                    seen += 1
+                values = batch.column("v").to_pylist()
+                if values:
+                    sha.update(((separator if seen else "") + separator.join(values)).encode())
+                    seen += len(values)
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*sha.state(), seen)], ["state", "rest", "length", "seen"])
 
         mine = placed.filter(F.col("part") == r["part"]).select("no", "v").coalesce(1).sortWithinPartitions("no")
