@@ -203,6 +203,21 @@ def test_answers_hold_for_all_that_a_head_says(spark):
     assert values(reconcile.witness_bar(merged, each), "head", "tail", "status") == want
 
 
+def last_plan(df):
+    """The plan that ran last, after ``collect``."""
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_only_names_beyond_ascii_go_through_python(spark):
+    names = ["3 Crème  brûlées", "7.5 Big  Boxes", "Ünits", "plain name", "", None, "7.5 Big  Boxes"]
+    rows = spark.createDataFrame([(n, k) for k, n in enumerate(names)], "name string, k int")
+    for fold in (text.canonical_name, text.canonical_value):
+        got = text.with_canonical(rows, "name", "key", fold)
+        assert values(got, "k", "key") == values(rows.select("k", fold(F.col("name")).alias("key")), "k", "key")
+    plain = text.with_canonical(rows.filter("k IN (1, 3, 4, 5)"), "name", "key", text.canonical_value)
+    assert len(plain.collect()) == 4 and "Python" not in last_plan(plain)
+
+
 def test_covering_rows_cover_all_pairs():
     factors = {"a": ["1", "2", "3"], "b": ["1", "2"], "c": ["1", "2", "3"], "d": ["1", "2"]}
     rows = design.covering_rows(factors)

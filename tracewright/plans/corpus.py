@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import text as T
 from tracewright.operators import corpus as C
-from tracewright.storage import table
+from tracewright.storage import stash, table
 
 QUANTITY = r"[0-9]+ [A-Za-z]+"
 #: What clerks may or must do, for sentences made of orders.
@@ -25,7 +25,9 @@ def value_canonical(spark: SparkSession, d: str) -> DataFrame:
     found = C.quantities(table(spark, d, "documents"), QUANTITY).select("quantity")
     found = found.unionByName(table(spark, d, "lineitem").select(F.format_string(" %s Total Attempts ", F.col("l_quantity").cast("string")).alias("quantity")))
     found = found.unionByName(table(spark, d, "part").select(F.concat(F.lit("Seven "), "p_name").alias("quantity")))
-    return found.groupBy(T.canonical_value(F.col("quantity")).alias("value")).agg(F.count("*").alias("n"))
+    # Quantities repeat, so each distinct one is named once; they are read twice, so texts aren't.
+    counted = stash(found.groupBy("quantity").agg(F.count("*").alias("n")), "quantities")
+    return T.with_canonical(counted, "quantity", "value", T.canonical_value).groupBy("value").agg(F.sum("n").alias("n"))
 
 
 def entity_ids(spark: SparkSession, d: str) -> DataFrame:
