@@ -218,6 +218,16 @@ def test_only_names_beyond_ascii_go_through_python(spark):
     assert len(plain.collect()) == 4 and "Python" not in last_plan(plain)
 
 
+def test_a_graph_of_plain_names_is_bound_without_python(spark):
+    seen = spark.createDataFrame([("Tool", "Card Check"), ("Tool", "scan"), ("Tool", "x"), ("State", "scan")], "entity_type string, token string")
+    declared, lexicon = spark.createDataFrame([("Tool", "card_check", "T:1")], "entity_type string, wire string, entity string"), spark.createDataFrame([("Tool", "Scan!", "T:2")], "entity_type string, label string, entity string")
+    bound = traces.bind(seen, declared, lexicon)
+    assert values(bound, "entity_type", "token", "entity", "method") == [("State", "scan", None, "none"), ("Tool", "Card Check", "T:1", "declared"), ("Tool", "scan", "T:2", "lexical"), ("Tool", "x", None, "none")]
+    assert "Python" not in last_plan(bound)
+    odd = traces.bind(seen.replace("scan", "scän"), declared, lexicon.replace("Scan!", "SCÄN"))
+    assert values(odd.filter("entity_type = 'Tool'"), "token", "entity") == [("Card Check", "T:1"), ("scän", "T:2"), ("x", None)]
+
+
 def test_covering_rows_cover_all_pairs():
     factors = {"a": ["1", "2", "3"], "b": ["1", "2"], "c": ["1", "2", "3"], "d": ["1", "2"]}
     rows = design.covering_rows(factors)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tracewright.functions.text import canonical_name
+from tracewright.functions.text import canonical_name, with_canonical
 
 #: How sure a binding or a placement by each method is.
 BINDING_CONFIDENCE = {"declared": 1.0, "lexical": 0.75, "none": 0.0}
@@ -28,16 +28,13 @@ def bind(observations: DataFrame, declared: DataFrame, lexicon: DataFrame) -> Da
     ``entity_type, label, entity``; the first wins. Keys are canonical names ("Card Check" finds ``card_check``), those that come out
     empty bind nothing, and observations carry the ``entity_type`` they are sought as. Each distinct token is folded once.
     """
-    d = declared.groupBy("entity_type", canonical_name(F.col("wire")).alias("key")).agg(F.max("entity").alias("by_name")).filter("key <> ''")
-    x = lexicon.groupBy("entity_type", canonical_name(F.col("label")).alias("key")).agg(F.min("entity").alias("by_label")).filter("key <> ''")
-    # What is ASCII, as nearly all tokens are, is folded in the JVM; the others go through one decomposition for each distinct token.
-    plain = canonical_name(F.col("token"), ascii_only=True)
-    is_odd = F.col("token").rlike(r"[^\x00-\x7F]")
+    d = with_canonical(declared, "wire", "key").groupBy("entity_type", "key").agg(F.max("entity").alias("by_name")).filter("key <> ''")
+    x = with_canonical(lexicon, "label", "key").groupBy("entity_type", "key").agg(F.min("entity").alias("by_label")).filter("key <> ''")
     if observations.isStreaming:  # distinct tokens can't be joined to their own stream
-        keyed = observations.withColumn("key", F.when(is_odd, canonical_name(F.when(is_odd, F.col("token")))).otherwise(plain))
+        is_odd = F.col("token").rlike(r"[^\x00-\x7F]")
+        keyed = observations.withColumn("key", F.when(is_odd, canonical_name(F.when(is_odd, F.col("token")))).otherwise(canonical_name(F.col("token"), ascii_only=True)))
     else:
-        odd = observations.filter(is_odd).select("token").distinct().select("token", canonical_name(F.col("token")).alias("odd_key"))
-        keyed = observations.join(odd, "token", "left").withColumn("key", F.coalesce("odd_key", plain)).drop("odd_key").select(*observations.columns, "key")
+        keyed = with_canonical(observations, "token", "key")
     found = keyed.join(d, ["entity_type", "key"], "left").join(x, ["entity_type", "key"], "left")
     method = F.when(F.col("by_name").isNotNull(), "declared").when(F.col("by_label").isNotNull(), "lexical").otherwise("none")
     return found.withColumns({"entity": F.coalesce("by_name", "by_label"), "method": method}).drop("key", "by_name", "by_label")
