@@ -182,7 +182,7 @@ def test_compressed_files_have_the_same_lines(spark, tmp_path):
 
 
 def test_states_go_on_with_and_without_a_library(monkeypatch):
-    assert canonical._crypto() is not None  # a gigabyte would take hours without it
+    assert canonical._crypto() is not None  # a gigabyte would take over an hour without it
     for n in (0, 1, 55, 56, 63, 64, 65, 200, 5_000):
         data = bytes(k * 7 % 251 for k in range(n))
         for library in (canonical._crypto, lambda: None):
