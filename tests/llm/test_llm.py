@@ -1,5 +1,6 @@
 """Operators of the subpackage against brute force, on small tables with the awkward cases."""
 
+import contextlib
 import hashlib
 import random
 import re
@@ -667,3 +668,23 @@ def test_pipeline_stages_keep_the_columns(spark, tmp_path):
     assert 81 not in left and 80 not in left
     packed = corpus_pipeline.run(spark, folder)
     assert {r["doc_id"] for r in packed.collect()} == left
+
+
+def test_pipeline_stages_called_on_their_own_keep_batches_small(spark, tmp_path):
+    import corpus_pipeline
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(1, "some words in a line")], "doc_id long, text string")
+    try:
+        for stage in (corpus_pipeline.drop_unidentified, corpus_pipeline.pack):
+            spark.conf.set(name, "10000")
+            with contextlib.suppress(Exception):  # the tables may not do for a stage; its batches are set before
+                stage(spark, docs, str(tmp_path))
+            assert spark.conf.get(name) == "1000"
+        spark.conf.set(name, "77")
+        with contextlib.suppress(Exception):
+            corpus_pipeline.drop_unidentified(spark, docs, str(tmp_path))
+        assert spark.conf.get(name) == "77"
+    finally:
+        spark.conf.set(name, before)

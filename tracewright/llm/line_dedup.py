@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.batches import joined
+from tracewright.llm.batches import give_back, joined
 from tracewright.llm.components import connected_components
 from tracewright.llm.membership import bitmap, contains
 from tracewright.llm.skew import join_heavy
@@ -377,6 +377,7 @@ def _lines(rows: DataFrame) -> DataFrame:
     """``doc_id, body, line_no, key`` of every line with words; ``key`` is the form's digest."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back("line_dedup")
         for batch in batches:
             for owner, number, lines in parts(batch.column("text").to_pylist()):
                 # Taken in Arrow, so that ids of any type keep their values and nulls.
@@ -391,6 +392,7 @@ def _dealt(rows: DataFrame) -> DataFrame:
     """``cell, line`` of every form; ``line`` is the first half of its digest. A task deals a repeated line once."""
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back("line_dedup")
         unseen = _Unseen()
         for batch in batches:
             for _, _, lines in parts(list(batch["text"])):
@@ -425,6 +427,7 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     has = bitmap(wanted, "line", hashed=True)
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back("line_dedup")
         unseen = _Unseen()
         for batch in batches:
             for _, _, lines in parts(list(batch["text"])):
@@ -466,6 +469,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, on: str, least: float) -> Data
     rows = near.join(x.select("key_a", "form_a"), "key_a").join(y.select("key_b", "form_b"), "key_b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back("line_dedup")
         for batch in joined(batches, VERIFY_ROWS):
             ok = similar_pairs(list(zip(batch["form_a"], batch["form_b"], strict=True)), least)
             yield pd.DataFrame({"a": batch["key_a"][ok], "b": batch["key_b"][ok]})

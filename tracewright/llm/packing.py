@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.llm.batches import give_back
 from tracewright.llm.encoding import encoder, worker_path
 from tracewright.storage import stash
 
@@ -215,6 +216,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
 
     @F.pandas_udf("struct<sequence_id: long, offset: long>")
     def place(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        give_back("packing")  # all texts are encoded by now
         for length, rank in batches:
             out = np.zeros((len(length), 2), dtype=np.int64)
             lengths, ranks = length.to_numpy(), rank.to_numpy()

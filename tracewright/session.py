@@ -27,13 +27,15 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g",
 ROWS_PER_BATCH = 1_000
 
 
-def reach_workers(spark: SparkSession, root: str) -> None:
-    """Let Python workers import this repository when the session was started elsewhere, and keep batches of whole texts small.
-
-    A batch size that the session has set itself stays as it is.
-    """
+def small_batches(spark: SparkSession) -> None:
+    """Keep batches of whole texts small. A batch size that the session has set itself stays as it is."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+
+
+def reach_workers(spark: SparkSession, root: str) -> None:
+    """Let Python workers import this repository when the session was started elsewhere, and keep batches of whole texts small."""
+    small_batches(spark)
     known = spark.sparkContext.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if root not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
