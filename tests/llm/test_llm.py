@@ -688,3 +688,51 @@ def test_pipeline_stages_called_on_their_own_keep_batches_small(spark, tmp_path)
         assert spark.conf.get(name) == "77"
     finally:
         spark.conf.set(name, before)
+
+
+def test_edit_distances_within_limits(monkeypatch):
+    rng, pairs = random.Random(5), []
+    for k in range(900):
+        a = [rng.choice("abcdef ") for _ in range(rng.choice([5, 40, 63, 64, 65, 130, 200, 300, 420, 700]))]
+        b = list(a)
+        for _ in range(rng.randint(0, max(1, len(a) // 3))):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "yz"])
+            b = b or ["q"]
+        pairs.append(("".join(a), "".join(b)))
+    plain = np.array([line_dedup._in_whole_numbers(*line_dedup._trimmed(line_dedup._codes(a), line_dedup._codes(b))) if a != b and all(map(len, line_dedup._trimmed(line_dedup._codes(a), line_dedup._codes(b)))) else abs(len(a) - len(b)) for a, b in pairs])
+    monkeypatch.setattr(line_dedup, "FEW_PAIRS", 0)  # all in step
+    assert (line_dedup.edit_distances(pairs) == plain).all()
+    longer = np.array([max(map(len, p)) for p in pairs])
+    for least in (0.6, 0.85, 0.95):
+        limits = np.maximum(((1 - least) * longer).astype(int) + 1, [abs(len(a) - len(b)) for a, b in pairs])
+        found = line_dedup.edit_distances(pairs, limits)
+        assert (found[plain <= limits] == plain[plain <= limits]).all() and (found[plain > limits] > limits[plain > limits]).all()
+        assert (line_dedup.similar_pairs(pairs, least) == (1 - plain / longer >= least)).all()
+
+
+def test_pairs_of_large_cells_are_verified_where_they_meet(spark, monkeypatch):
+    """A family of lines that are alike, but mostly not near enough: nothing leaves a tile but links, and groups are those of all pairs."""
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(16)]
+    texts = []
+    for _ in range(150):
+        line = list(base)
+        for at in rng.sample(range(16), 3):
+            line[at] = "".join(rng.choice("abcdefgh") for _ in range(6))
+        texts.append(" ".join(line))
+    forms, joined = [line_dedup.normal_form(t) for t in texts], []
+    whole = line_dedup._verified
+    monkeypatch.setattr(line_dedup, "TILE", 60)
+    monkeypatch.setattr(line_dedup, "SMALL_CELL", 2)
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, *rest: (joined.append(pairs.distinct().count()), whole(pairs, *rest))[1])
+    out = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(documents(spark, texts)).select("doc_id", "n_dropped").collect()}
+    # Before, all pairs that share enough blocks left their tiles and met their texts in a join.
+    assert len(out) == len(texts)
+    a, b = np.triu_indices(len(forms), 1)
+    near = line_dedup.similar_pairs([(forms[i], forms[j]) for i, j in zip(a, b, strict=True)])
+    label = np.arange(len(forms))
+    for i, j in zip(a[near], b[near], strict=True):
+        label[label == label[j]] = label[i]
+    assert {k for k, n in out.items() if not n} >= {int(np.flatnonzero(label == x)[0]) for x in np.unique(label)}
+    assert joined[-1] < 300

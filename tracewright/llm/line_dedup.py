@@ -13,7 +13,7 @@
    lengths between go to both kinds of cells.
 4. *Verify.* In each cell all are compared with one pivot first; those that reach the edit similarity
    are linked, and groups of links are found. What is left are pairs from different groups: in each cell,
-   those outside the pivot's group are compared with all others, tile by tile. So large families of variants cost
+   those outside the pivot's group are compared with all others, tile by tile, and verified within the tile. So large families of variants cost
    a comparison for each member rather than each pair, and no link between groups is lost.
 5. *Keep one.* Of the occurrences of each connected group the first stays; the others are dropped.
 
@@ -53,7 +53,7 @@ STEP_CHARS = 100_000
 #: Words of masks that the edit distances of a step hold, roughly.
 STEP_CELLS = 1 << 20
 #: Pairs of one size, for each word that they fill, from which on they go in step.
-FEW_PAIRS = 40
+FEW_PAIRS = 12
 #: Pairs that are verified at a time.
 VERIFY_ROWS = 10_000
 #: Characters whose grams are hashed at a time, so that they stay in the processor's cache.
@@ -64,6 +64,8 @@ KEPT_LINES = 1_000_000
 SAMPLE, HOT_ROWS, HOT_CELLS, SALTS = 64, 50, 10_000, 64
 #: Forms of a cell in one task, and of a cell all pairs of which are listed by one row.
 TILE, SMALL_CELL = 1_000, 16
+#: Pairs of a tile that are verified at a time; what these link needs no more comparisons.
+TILE_PAIRS = 2_500
 #: Rounds of comparisons: with a line's main pivot, with the pivots of all its cells, and of all pairs left in cells of several groups.
 ROUNDS = 2
 _BASE = 0x5851F42D4C957F2D
@@ -271,11 +273,14 @@ def _trimmed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[: n - k], b[: len(b) - k]
 
 
-def edit_distances(pairs: list[tuple[str, str]]) -> np.ndarray:
-    """Levenshtein distances of many pairs in step: of each pair a column of its table at a time, in the bits of 64-bit words."""
+def edit_distances(pairs: list[tuple[str, str]], limits: np.ndarray | None = None) -> np.ndarray:
+    """Levenshtein distances of many pairs in step: of each pair a column of its table at a time, in the bits of 64-bit words.
+
+    With ``limits``, which are at least the differences in length, a distance beyond its pair's limit may come out larger than it is.
+    """
     short, long = zip(*(_trimmed(_codes(a), _codes(b)) for a, b in pairs), strict=True) if pairs else ((), ())
     out = np.array([len(x) for x in long], dtype=np.int64)
-    words = np.array([-(-len(x) // 64) for x in short], dtype=np.int64)
+    words = np.array([_width(len(x)) for x in short], dtype=np.int64)
     order = np.lexsort((-out, words))
     order = order[words[order] > 0]
     at = 0
@@ -284,13 +289,20 @@ def edit_distances(pairs: list[tuple[str, str]]) -> np.ndarray:
         end = min(int(np.searchsorted(words[order], w, side="right")), at + max(1, STEP_CELLS // (int(w) * 256)))
         some = order[at:end]
         if len(some) >= FEW_PAIRS * w:
-            out[some] = _in_step([short[k] for k in some], [long[k] for k in some], int(w))
+            out[some] = _in_step([short[k] for k in some], [long[k] for k in some], int(w), int(w) * 64 if limits is None else int(limits[some].max()))
         else:
             out[some] = [_in_whole_numbers(short[k], long[k]) for k in some]
         at = end
     return out
 
 
+def _width(size: int) -> int:
+    """Words for a text of ``size`` characters, rounded up beyond four so that more pairs are of one width."""
+    words = -(-size // 64)
+    step = 1 << max(0, (words - 1).bit_length() - 2)
+    return -(-words // step) * step
+
+
 def _in_whole_numbers(short: np.ndarray, long: np.ndarray) -> int:
     """The distance of one pair, a column in one whole number of any size; faster where few pairs are of one size."""
     masks: dict[int, int] = {}
@@ -308,8 +320,12 @@ def _in_whole_numbers(short: np.ndarray, long: np.ndarray) -> int:
     return score
 
 
-def _in_step(short: list[np.ndarray], long: list[np.ndarray], w: int) -> np.ndarray:
-    """Distances of pairs whose short texts fill ``w`` words each; the long texts come in falling order of length."""
+def _in_step(short: list[np.ndarray], long: list[np.ndarray], w: int, band: int) -> np.ndarray:
+    """Distances of pairs whose short texts fill up to ``w`` words each; the long texts come in falling order of length.
+
+    Of a column only the words with rows up to ``band`` off the diagonal are worked out, which hold all ways of at most ``band`` edits. Above them
+    a row is taken to rise from column to column, and below them a column from row to row: no distance comes out too small.
+    """
     n, sizes = len(short), np.array([len(x) for x in short])
     # The letters of the short texts get classes; all others have one whose mask is empty.
     letters = np.unique(np.concatenate(short))
@@ -323,14 +339,20 @@ def _in_step(short: list[np.ndarray], long: list[np.ndarray], w: int) -> np.ndar
     classes = np.full((int(lengths[0]), n), len(letters), dtype=np.int32)
     classes[np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths), np.repeat(np.arange(n), lengths)] = np.where(letters[found] == flat, found, len(letters))
     live = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
-    score, last, lane = sizes.astype(np.int64), np.uint64(1) << ((sizes - 1) & 63).astype(np.uint64), np.arange(n)
+    score, lane = sizes.astype(np.int64), np.arange(n)
     one, top = np.uint64(1), np.uint64(63)
+    # The row that the score is read from, if k is the last word worked out: a text's last one, or the word's.
+    end, bit = (sizes - 1) >> 6, np.uint64(1) << ((sizes - 1) & 63).astype(np.uint64)
+    own = [np.where(end == k, bit, np.uint64(0)) for k in range(w)]
+    edge = [np.where(end > k, one << top, own[k]) for k in range(w)]
+    ending = [bool((end == k).any()) for k in range(w)]
     # Where a column rises or falls from one row to the next.
     up, down = np.full((w, n), np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros((w, n), dtype=np.uint64)
     for step, m in enumerate(live):
         carry, grown, shrunk = np.zeros(m, np.uint64), np.ones(m, np.uint64), np.zeros(m, np.uint64)
         mine = classes[step, :m]
-        for k in range(w):
+        low, high = max(0, (step - band) >> 6), min(w - 1, (step + band) >> 6)
+        for k in range(low, high + 1):
             u, d, match = up[k, :m], down[k, :m], masks[mine, k, lane[:m]]
             part = match & u
             total = part + u
@@ -340,8 +362,9 @@ def _in_step(short: list[np.ndarray], long: list[np.ndarray], w: int) -> np.ndar
             flat_way = (total ^ u) | match | d
             carry = over.astype(np.uint64)
             rise, fall = d | ~(flat_way | u), u & flat_way
-            if k == w - 1:
-                score[:m] += ((rise & last[:m]) != 0).astype(np.int64) - ((fall & last[:m]) != 0)
+            if k == high or ending[k]:
+                read = (edge if k == high else own)[k][:m]
+                score[:m] += ((rise & read) != 0).astype(np.int64) - ((fall & read) != 0)
             next_rise, next_fall = rise >> top, fall >> top
             rise, fall = (rise << one) | grown, (fall << one) | shrunk
             grown, shrunk = next_rise, next_fall
@@ -360,7 +383,8 @@ def similar_pairs(pairs: list[tuple[str, str]], least: float = SIMILARITY) -> np
     fits = np.array([abs(len(a) - len(b)) for a, b in pairs], dtype=np.int64) <= (1 - least) * longer
     out = np.zeros(len(pairs), dtype=bool)
     some = np.flatnonzero(fits)
-    out[some] = 1 - edit_distances([pairs[k] for k in some]) / longer[some] >= least
+    limits = ((1 - least) * longer[some]).astype(np.int64) + 1
+    out[some] = 1 - edit_distances([pairs[k] for k in some], limits) / longer[some] >= least
     return out
 
 
@@ -489,30 +513,48 @@ def _small_cell_pairs(left: DataFrame, least: float) -> DataFrame:
 
 
 def _search_cells(left: DataFrame, least: float) -> DataFrame:
-    """``a, b`` (a < b): pairs of different components that meet in a cell and are to be verified.
+    """``a, b``: links between different components within cells, enough of them to connect all that are linked there.
 
-    ``left`` has ``cell, key, chars, blocks, component`` and the number ``n`` of the cell's forms.
+    ``left`` has ``cell, key, chars, blocks, form, component``, the number ``n`` of the cell's forms, and all ``cells`` of its kind that the form is in.
+    Pairs are verified where they meet, so only links leave a task; a pair that meets in several cells is verified in one of them.
     """
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     own = F.pmod(F.xxhash64("key"), tiles).cast("int")
     # Of a cell in k tiles, a form goes to the k pairs of its own tile with each.
     dealt = left.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    dealt = dealt.select("cell", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "key", "chars", "blocks", "component")
+    dealt = dealt.select("cell", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "key", "chars", "blocks", "form", "cells", "component")
 
-    def search(tile: pd.DataFrame, i: int, j: int) -> list[tuple[bytes, bytes]]:
+    def search(tile: pd.DataFrame, cell: int, i: int, j: int) -> list[tuple[bytes, bytes]]:
         x, y = (np.flatnonzero(tile["own"] == k) for k in (i, j))
         chars, blocks, out = tile["chars"].to_numpy(), _block_array(tile["blocks"]), []
-        component, key = pd.factorize(tile["component"])[0], tile["key"].to_numpy()
+        component, key, form = pd.factorize(tile["component"])[0], tile["key"].to_numpy(), tile["form"].to_numpy()
+        cells, waiting = [frozenset(c.tolist()) for c in tile["cells"]], []
+
+        def here(k: int, m: int) -> bool:
+            common = sorted(cells[k] & cells[m])
+            return common[(key[k][0] + key[m][0]) % len(common)] == cell
+
+        def verify() -> None:
+            for (k, m), ok in zip(waiting, similar_pairs([(form[k], form[m]) for k, m in waiting], least), strict=True):
+                if ok and component[k] != component[m]:
+                    out.append((min(key[k], key[m]), max(key[k], key[m])))
+                    component[component == component[m]] = component[k]
+            waiting.clear()
+
         y = y[np.argsort(chars[y], kind="stable")]
         for k in x:  # against those of a fitting length
             some = y[np.searchsorted(chars[y], chars[k] * least) : np.searchsorted(chars[y], chars[k] / least + 1, side="right")]
             some = some[component[some] != component[k]]
             some = some[_near(blocks[some], blocks[k], chars[some], chars[k], least)]
-            out += [(min(key[k], key[m]), max(key[k], key[m])) for m in some if i != j or key[k] < key[m]]
+            waiting += [(k, m) for m in some if (i != j or key[k] < key[m]) and here(k, m)]
+            if len(waiting) >= TILE_PAIRS:
+                verify()
+        verify()
         return out
 
     def search_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by tile; one may go on in the next batch, and has 2 TILE rows or so."""
+        give_back("line_dedup")
         waiting: pd.DataFrame | None = None
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
@@ -523,7 +565,7 @@ def _search_cells(left: DataFrame, least: float) -> DataFrame:
             ends = np.append(np.flatnonzero((tile[1:] != tile[:-1]).any(axis=1)) + 1, len(tile))
             out, a = [], 0
             for b in ends if batch is None else ends[:-1]:
-                out += search(waiting.iloc[a:b], tile[a, 1], tile[a, 2])
+                out += search(waiting.iloc[a:b], *tile[a].tolist())
                 a = b
             waiting = waiting.iloc[a:].reset_index(drop=True)
             yield pd.DataFrame(out, columns=["a", "b"])
@@ -557,8 +599,10 @@ def line_links(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
         else:
             left = left.drop("pivot").distinct()
             small = left.filter(F.col("n") <= SMALL_CELL).join(grouped.select("line", "key", "chars", "component"), "line")
-            pairs = _small_cell_pairs(small, least).unionByName(_search_cells(left.filter(F.col("n") > SMALL_CELL).join(grouped, "line"), least)).distinct()
-            more = _verified(pairs, texts, "key", least)
+            large = left.filter(F.col("n") > SMALL_CELL)
+            cells = large.groupBy("line").agg(F.collect_set("cell").alias("cells"))
+            members = cells.join(grouped, "line").join(texts.select("key", "form"), "key")
+            more = _verified(_small_cell_pairs(small, least).distinct(), texts, "key", least).unionByName(_search_cells(large.join(members, "line"), least))
         links = stash(links.unionByName(more), "line-links")
     return links
 
